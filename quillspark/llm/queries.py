@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import exact_dedup, mixing, packing, sharding
+from quillspark.llm import exact_dedup, huffman, langid, maxscore, mixing, packing, sharding, simhash
+from quillspark.session import shared_dir
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +20,16 @@ def bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    huffman.write_ids(documents(spark, sf_dir), folder, bpe())
+    return huffman.read_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shuffled_shards(documents(spark, sf_dir).select("doc_id", "text"), 16)
     return rows.select("doc_id", sharding.sized("text").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
@@ -35,5 +48,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), bpe()).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op4_exact_dedup, op6_mixing, op7_packing)}
-ORACLES = {"op4_exact_dedup": exact_dedup.OP4_SQL}
+def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = maxscore.whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return maxscore.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_ids, op3_sharding, op4_exact_dedup, op6_mixing, op7_packing, op8_maxscore, op10_language_id)}
+ORACLES = {"op4_exact_dedup": exact_dedup.OP4_SQL, "op8_maxscore": maxscore.OP8_SQL}
