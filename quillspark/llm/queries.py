@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import exact_dedup, huffman, langid, maxscore, mixing, packing, sharding, simhash
+from quillspark.llm import context_mixing, exact_dedup, huffman, langid, maxscore, mixing, packing, sharding, simhash
 from quillspark.session import shared_dir
 
 
@@ -53,9 +53,13 @@ def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.scored(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_ids, op3_sharding, op4_exact_dedup, op6_mixing, op7_packing, op8_maxscore, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_ids, op3_sharding, op4_exact_dedup, op6_mixing, op7_packing, op8_maxscore, op9_lm_score, op10_language_id)}
 ORACLES = {"op4_exact_dedup": exact_dedup.OP4_SQL, "op8_maxscore": maxscore.OP8_SQL}
