@@ -7,6 +7,13 @@ from pyspark.sql import DataFrame, functions as F
 from quillspark.llm.common import fold
 
 
+def grouped(rows: DataFrame, keep: str) -> DataFrame:
+    """(h, text_sha256, keep_id, group_size), one row for each distinct text of ``rows`` (doc_id, folded)."""
+    end = {"min": F.min, "max": F.max}[keep]
+    groups = rows.groupBy(F.md5("folded").alias("h"), "folded").agg(end("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    return groups.select("h", F.sha2("folded", 256).alias("text_sha256"), "keep_id", "group_size")
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row for each row of ``docs``.
 
@@ -22,12 +29,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     dropped. Rows that repeat the kept id with an equal text are all marked kept. Other columns are
     ignored. An empty table gives no rows.
     """
-    end = {"min": F.min, "max": F.max}[keep]
     rows = docs.select(F.col(id_col).alias("doc_id"), fold(F.col(text_col)).alias("folded"))
-    keyed = rows.withColumn("h", F.md5("folded"))
-    groups = keyed.groupBy("h", "folded").agg(end("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = groups.select("h", F.sha2("folded", 256).alias("text_sha256"), "keep_id", "group_size")
-    members = keyed.select("doc_id", "h", F.sha2("folded", 256).alias("text_sha256"))
+    groups = grouped(rows, keep)
+    members = rows.select("doc_id", F.md5("folded").alias("h"), F.sha2("folded", 256).alias("text_sha256"))
     return members.join(groups, ["h", "text_sha256"]).select(
         "doc_id", "keep_id", "group_size",
         (F.col("keep_id").isNull() | F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False))).alias("kept"), "text_sha256",
@@ -35,18 +39,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Rows that repeat id and text stay once.
-
-    Same grouping as ``exact_duplicates``; a whole row travels with its text in the aggregation.
-    """
-    end = {"min": F.min_by, "max": F.max_by}[keep]
-    held = docs.withColumns({"__h": F.md5(fold(F.col(text_col))), "__id": F.col(id_col)})
-    names = exact_duplicates(docs, id_col, text_col, keep).where("kept").select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__s")
-    )
-    rows = held.drop("__h").withColumn("__s", F.sha2(fold(F.col(text_col)), 256))
-    stay = rows.join(names.distinct(), (rows["__id"].eqNullSafe(names["__id"])) & (rows["__s"] == names["__s"]), "left_semi")
-    return stay.drop("__s").dropDuplicates(["__id", text_col]).drop("__id")
+    """The rows of ``docs`` that stay by ``exact_duplicates``, with all their columns. Rows that repeat a kept id and its text stay once, as do equal texts that all lack an id."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), fold(F.col(text_col)).alias("folded"))
+    key = lambda named, sha: F.concat_ws(" ", sha, named.cast("string"))
+    stay = grouped(rows, keep).select(key(F.col("keep_id"), F.col("text_sha256")).alias("__key"))
+    keyed = docs.withColumn("__key", key(F.col(id_col), F.sha2(fold(F.col(text_col)), 256)))
+    return keyed.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
 
 
 OP4_SQL = """

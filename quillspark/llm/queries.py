@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import context_mixing, exact_dedup, huffman, langid, maxscore, mixing, packing, sharding, simhash
+from quillspark.llm import context_mixing, exact_dedup, huffman, langid, licenses, maxscore, mixing, packing, sharding, simhash
 from quillspark.session import shared_dir
 
 
@@ -40,6 +40,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir), keep="max")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir), licenses.known(spark))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(documents(spark, sf_dir))
 
@@ -61,5 +65,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_ids, op3_sharding, op4_exact_dedup, op6_mixing, op7_packing, op8_maxscore, op9_lm_score, op10_language_id)}
-ORACLES = {"op4_exact_dedup": exact_dedup.OP4_SQL, "op8_maxscore": maxscore.OP8_SQL}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_ids, op3_sharding, op4_exact_dedup, op5_licenses, op6_mixing, op7_packing, op8_maxscore, op9_lm_score, op10_language_id, pipeline)}
+ORACLES = {"op4_exact_dedup": exact_dedup.OP4_SQL, "op5_licenses": licenses.oracle_sql(), "op8_maxscore": maxscore.OP8_SQL}
