@@ -30,14 +30,17 @@ class WordCachedTokenizer:
     """Ids of whole texts by a byte-level BPE of the tokenizers library, as little-endian uint32 bytes.
 
     Byte-level BPE never merges across a boundary between two non-blank characters that one space or
-    one line end separates, so a text's ids are those of its space-separated words (each with its
-    space) in turn. Words are encoded once and kept, in two generations of bounded size. Texts with
-    two blanks in a row are encoded whole.
+    one line end separates, nor between letters and the punctuation after them. So a text's ids are those
+    of its space-separated words (each with its space) in turn, and a word's those of its letters and of
+    its closing punctuation. Letters and words are encoded once and kept, in two generations of bounded
+    size. Texts with two blanks in a row are encoded whole.
     """
 
-    BLANKS = re.compile(r"\s\s")
+    BLANKS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]{2}"
+    #: Latin letters, then ASCII punctuation without the apostrophe.
+    CLOSED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 
-    def __init__(self, path: str, keep: int = 250_000) -> None:
+    def __init__(self, path: str, keep: int = 200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -45,61 +48,101 @@ class WordCachedTokenizer:
         self.of.encode_special_tokens = True  # their strings in a text are ordinary text
         self.keep = keep
         self.line_end = self.whole("\n")
-        self.empty = {"": b""}, {"": self.whole(" ")}  # of a line's first word, and of a word after a space
-        self.young = self.old = tuple(map(dict, self.empty))
+        # Of words by what precedes them, a line's beginning or a space; of letters likewise.
+        self.words = Kept({"": b""}), Kept({"": self.whole(" ")})
+        self.letters = Kept({}), Kept({})
 
     def whole(self, text: str) -> bytes:
         import numpy as np
 
-        return np.array(self.of.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.of.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def learn(self, words: Iterable[str], spaced: int) -> None:
+    def encode_into(self, known: dict[str, bytes], words: list[str], lead: str) -> None:
         import numpy as np
 
-        young, old = self.young[spaced], self.old[spaced]
-        unseen = []
-        for w in words:
-            if w not in young:
-                if (ids := old.get(w)) is None:
-                    if w[0].isspace() or w[-1].isspace():
-                        young[w] = self.whole(" " * spaced + w)
-                    else:
-                        unseen.append(w)
-                else:
-                    young[w] = ids
-        if not unseen:
-            return
-        lead, end = " " * spaced, int.from_bytes(self.line_end, "little")
-        for at in range(0, len(unseen), 20_000):
-            part = unseen[at : at + 20_000]
-            ids = np.array(self.of.encode("".join(f"{lead}{w}\n" for w in part) + ".", add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == end).tolist()
+        end = int.from_bytes(self.line_end, "little")
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            raw = self.whole("".join([f"{lead}{w}\n" for w in part]) + ".")
+            cuts = np.flatnonzero(np.frombuffer(raw, "<u4") == end).tolist()
             if len(self.line_end) != 4 or len(cuts) != len(part):  # a vocabulary without a line-end token of its own
-                young.update((w, self.whole(lead + w)) for w in part)
+                known.update((w, self.whole(lead + w)) for w in part)
                 continue
-            raw, a = ids.tobytes(), 0
+            a = 0
             for w, b in zip(part, cuts, strict=True):
-                young[w] = raw[4 * a : 4 * b]
+                known[w] = raw[4 * a : 4 * b]
                 a = b + 1
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [[line.split(" ") for line in t.split("\n")] if t and not self.BLANKS.search(t) else t for t in texts]
-        heads, tails = set(), set()
-        for lines in split:
-            if isinstance(lines, list):
-                for line in lines:
-                    heads.add(line[0])
-                    tails.update(line[1:])
-        self.learn(heads, 0)
-        self.learn(tails, 1)
-        head, tail = self.young[0], self.young[1].__getitem__
-        for lines in split:
-            if isinstance(lines, list):
-                yield self.line_end.join([head[line[0]] + b"".join(map(tail, line[1:])) if len(line) > 1 else head[line[0]] for line in lines])
+    def learn(self, words: Iterable[str], spaced: int) -> None:
+        known, letters = self.words[spaced], self.letters[spaced]
+        plain, closed = [], []
+        for w in known.unseen(words):
+            if m := self.CLOSED.fullmatch(w):
+                closed.append((w, *m.groups()))
+            elif w[0].isspace() or w[-1].isspace():
+                known.young[w] = self.whole(" " * spaced + w)
             else:
-                yield self.whole(lines) if lines else b""
-        if max(map(len, self.young)) > self.keep:
-            self.old, self.young = self.young, tuple(map(dict, self.empty))
+                plain.append(w)
+        wanted = letters.unseen({*plain, *[a for _, a, _ in closed]})
+        self.encode_into(letters.young, wanted, " " * spaced)
+        if closed:
+            tails = {b for _, _, b in closed}
+            self.encode_into(self.words[0].young, self.words[0].unseen(tails), "")
+        by, tail = letters.young, self.words[0].young
+        for w in plain:
+            known.young[w] = by[w]
+        for w, a, b in closed:
+            known.young[w] = by[a] + tail[b]
+
+    def encode(self, texts) -> list[bytes]:
+        """Ids of each text of an Arrow array. Only distinct words become Python objects; ids are put together by place."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, self.BLANKS)
+        words = pc.split_pattern(pc.replace_substring(pc.if_else(whole, "", texts), "\n", " \n"), " ")
+        begins = words.offsets.to_numpy()
+        flat = words.flatten()
+        firsts = flat.take(words.offsets[:-1]).to_pylist()
+        coded = flat.dictionary_encode()
+        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        self.learn([w for w in distinct if w[:1] != "\n"], 1)
+        self.learn({*firsts, *[w[1:] for w in distinct if w[:1] == "\n"]}, 0)
+        head, tail = self.words[0].young, self.words[1].young
+        ids = [tail[w] if w[:1] != "\n" else self.line_end + head[w[1:]] for w in distinct] + [head[w] for w in firsts]
+        at[begins[:-1]] = len(distinct) + np.arange(len(firsts))  # the first word follows nothing
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        starts, table = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), "<u4")
+        own = sizes[at]
+        ends = np.cumsum(own)
+        raw = table[np.repeat(starts[at] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        ends = (4 * np.concatenate(([0], ends))[begins]).tolist()
+        for words, letters in zip(self.words, self.letters, strict=True):
+            words.turn(self.keep // 2)
+            letters.turn(self.keep)
+        return [self.whole(t.as_py()) if w else raw[a:b] for t, w, a, b in zip(texts, whole.to_pylist(), ends, ends[1:], strict=False)]
+
+
+class Kept:
+    """A cache in two generations: what is used moves to the young one; when that is full, the old one goes."""
+
+    def __init__(self, always: dict[str, bytes]) -> None:
+        self.always, self.young, self.old = always, dict(always), {}
+
+    def unseen(self, words: Iterable[str]) -> list[str]:
+        young, old, out = self.young, self.old, []
+        for w in words:
+            if w not in young:
+                if (ids := old.get(w)) is None:
+                    out.append(w)
+                else:
+                    young[w] = ids
+        return out
+
+    def turn(self, most: int) -> None:
+        if len(self.young) > most:
+            self.old, self.young = self.young, dict(self.always)
 
 
 _made: dict[str, WordCachedTokenizer] = {}
@@ -112,13 +155,14 @@ def tokenizer(path: str) -> WordCachedTokenizer:
     return _made[path]
 
 
-def encoded(path: str, texts: Iterable[str | None], at_once: int = 2 << 20) -> Iterator[bytes]:
-    """Ids of each text; texts of about ``at_once`` characters are looked up together."""
-    tok, some, size = tokenizer(path), [], 0
-    for t in texts:
-        some.append(t)
-        size += len(t or "")
-        if size >= at_once:
-            yield from tok.encode(some)
-            some, size = [], 0
-    yield from tok.encode(some)
+def encoded(path: str, texts, at_once: int = 2 << 20) -> Iterator[bytes]:
+    """Ids of each text of an Arrow array; texts of about ``at_once`` bytes are looked up together."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + at_once, side="right")))
+        yield from tokenizer(path).encode(texts[a:b])
+        a = b

@@ -77,7 +77,7 @@ def packed(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int =
         import pyarrow as pa
 
         for b in batches:
-            ids = [x + end for x in encoded(tokenizer_path, b["text"].to_pylist())]
+            ids = [x + end for x in encoded(tokenizer_path, b["text"])]
             yield pa.RecordBatch.from_arrays([b["group"], b["doc_id"], pa.array(ids, pa.binary())], ["group", "doc_id", "ids"])
 
     def pack(table):
