@@ -112,7 +112,7 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, he
     able = docs.where(~held_out & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     rows = able.select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit(3), F.col(id_col)).alias("h"), F.col(text_col).alias("text"))
     counts = rows.groupBy("lang").count()
-    drawn = F.shiftrightunsigned("h", 12) * F.col("count") < F.lit(1.25 * docs_per_lang + 8) * float(1 << 52)
+    drawn = F.shiftrightunsigned("h", 12).cast("double") * F.col("count") < F.lit(1.25 * docs_per_lang + 8) * float(1 << 52)
     middle = F.greatest(F.lit(1), F.floor(F.char_length("text") / 2) - 128).cast("int")
     return rows.join(F.broadcast(counts), "lang").where(drawn).select("lang", "h", F.substring(F.col("text"), middle, F.lit(256)).alias("piece"))
 
