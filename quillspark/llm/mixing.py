@@ -55,7 +55,7 @@ def queued(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     rows = rows.drop("source").join(sources, "key").withColumn("run", run).drop("runs")
     runs = rows.groupBy("key", "run").agg(F.sum("size").alias("in_run"))
     runs = runs.select("key", "run", F.coalesce(F.sum("in_run").over(W.partitionBy("key").orderBy("run").rowsBetween(*BEFORE)), F.lit(0)).alias("earlier"))
-    inside = W.partitionBy("key", "run").orderBy("draw", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("key", "run").orderBy(F.shiftrightunsigned("draw", 1), "draw", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)  # unsigned, as runs are
     rows = rows.withColumn("inside", F.sum("size").over(inside)).join(runs, ["key", "run"])
     return rows.select("doc_id", "draw", "size", "source_size", "target", (F.col("inside") + F.col("earlier")).alias("upto"))
 
