@@ -26,7 +26,7 @@ class Automaton:
 
     A transition that the automaton lacks leads to where the byte leads from the root, marked ENDS: the
     longest match ends before that byte and the next phrase begins with it. A byte that the training text
-    lacks is a phrase of its own and leads back to the root.
+    lacks is a phrase of its own; it leads to a last state, the start too, from which every byte begins a phrase.
     """
 
     def __init__(self, training: bytes) -> None:
@@ -59,8 +59,9 @@ class Automaton:
                         p = link[p]
                     link[q] = link[new] = clone
             last = new
-        root = np.array([to[0].get(c, 0) for c in range(width)], np.int64) * width
-        table = np.tile(root | ENDS, (len(to), 1)).astype(np.int32)
+        self.start = len(to) * width
+        root = np.array([to[0].get(c, len(to)) for c in range(width)], np.int64) * width
+        table = np.tile(root | ENDS, (len(to) + 1, 1)).astype(np.int32)
         for state, out in enumerate(to):
             for c, q in out.items():
                 table[state, c] = q * width
@@ -69,8 +70,8 @@ class Automaton:
 
     def phrases(self, padded: np.ndarray, lanes: np.ndarray) -> np.ndarray:
         """Phrases of each column of ``padded`` (steps by segments, longest segments first); lanes: segments alive at each step."""
-        at = np.zeros(padded.shape[1], np.int32)
-        n = np.ones(padded.shape[1], np.int64)
+        at = np.full(padded.shape[1], self.start, np.int32)
+        n = np.zeros(padded.shape[1], np.int64)
         table, classes = self.table, self.classes
         for step, live in enumerate(lanes.tolist()):
             went = table[at[:live] + classes[padded[step, :live]]]
