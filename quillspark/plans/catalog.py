@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import string
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quillspark.functions import fuzzy, scores, text as T
@@ -14,11 +17,17 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+def named(sql: str) -> str:
+    """``sql`` with the names that DuckDB reserves in quotes; text literals stay as they are."""
+    parts = sql.split("'")
+    return "'".join(p if i % 2 else re.sub(r"\b(at|both)\b", r'"\1"', p) for i, p in enumerate(parts))
+
+
 def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql
+            ORACLES[f.__name__] = named(sql)
         return f
 
     return register
@@ -36,7 +45,7 @@ SCORED = f"WITH {PAPERS}, scored AS (SELECT *, round({' + '.join(PARTS)}, 2) AS
 
 @query(f"WITH {PAPERS} SELECT ord, title, citation_count FROM papers WHERE (contains(lower(title), 'the') OR contains(lower(abstract), 'the')) AND (contains(lower(title), 'and') OR contains(lower(abstract), 'and')) ORDER BY citation_count DESC, ord LIMIT 100")
 def keyword_and_search(spark, d):
-    rows = papers(spark, d).where(filters.F.lit(True) & T.matches_all(["The", "and"]))
+    rows = papers(spark, d).where(T.matches_all(["The", "and"]))
     return filters.top(rows, 100, F.desc_nulls_last("citation_count"), F.col("ord")).select("ord", "title", "citation_count")
 
 
@@ -142,7 +151,7 @@ def doubled(spark, d) -> DataFrame:
     """Papers and a copy of each from another source, its DOI written as a link, title in capitals, without abstract."""
     p = papers(spark, d)
     q = p.withColumns({
-        "ord": F.col("ord") + (1 << 40), "doi": F.when(F.pmod("ord", F.lit(3)) < 2, F.concat(F.lit("https://doi.org/"), F.upper("doi"))), "title": F.upper("title"), "abstract": F.lit(None).cast("string"),
+        "ord": F.col("ord") + (1 << 40), "doi": F.when(F.pmod("ord", F.lit(3)) < 2, F.concat(F.lit("https://doi.org/"), F.upper("doi"))), "title": F.translate("title", string.ascii_lowercase, string.ascii_uppercase), "abstract": F.lit(None).cast("string"),
         "citation_count": F.col("citation_count") * 2, "sources": F.array(F.lit("crossref")), "is_peer_reviewed": F.lit(True), "year": F.when(F.pmod("ord", F.lit(5)) > 0, F.col("year")),
     })
     return p.unionByName(q)
@@ -152,7 +161,7 @@ NORM_TITLE = "trim(regexp_replace(lower(title), '[^a-z0-9 ]', '', 'g'))"
 DOUBLED = f"""{PAPERS}, doubled AS (
   SELECT ord, doi, title, abstract, year, citation_count, src_name, is_peer_reviewed, repo_stars FROM papers
   UNION ALL
-  SELECT ord + 1099511627776, CASE WHEN ord % 3 < 2 THEN 'https://doi.org/' || upper(doi) END, upper(title), NULL, CASE WHEN ord % 5 > 0 THEN year END, citation_count * 2, 'crossref', true, repo_stars FROM papers
+  SELECT ord + 1099511627776, CASE WHEN ord % 3 < 2 THEN 'https://doi.org/' || upper(doi) END, translate(title, '{string.ascii_lowercase}', '{string.ascii_uppercase}'), NULL, CASE WHEN ord % 5 > 0 THEN year END, citation_count * 2, 'crossref', true, repo_stars FROM papers
 ), keyed AS (
   SELECT ord, 'd' || trim(lower(regexp_replace(doi, '(?i)^https?://(?:dx\\.)?doi\\.org/', ''))) AS k FROM doubled WHERE doi IS NOT NULL
   UNION ALL SELECT ord, 't' || {NORM_TITLE} || '|' || coalesce(CAST(year AS VARCHAR), '-') FROM doubled WHERE {NORM_TITLE} <> ''
@@ -198,7 +207,7 @@ def upsert_fill(spark, d):
     return out.join(n, ["project_id", "doi"]).select("project_id", "doi", "n", "venue", "repo_stars", F.array_join("sources", ",").alias("sources"))
 
 
-ORACLES["upsert_fill"] = ORACLES["upsert_fill"].replace("ord AS at", "(CASE WHEN ord % 20 < 10 THEN 0 ELSE 1 END) * 1000000000000 + ord AS at")
+ORACLES["upsert_fill"] = ORACLES["upsert_fill"].replace('ord AS "at"', "(CASE WHEN ord % 20 < 10 THEN 0 ELSE 1 END) * 1000000000000 + ord AS \"at\"")
 
 
 @query()

@@ -120,10 +120,10 @@ def arxiv(r: DataFrame) -> DataFrame:
 
 def europe_pmc(r: DataFrame) -> DataFrame:
     c = F.col
-    people = full(each(F.split(F.regexp_replace(F.coalesce(c("authorString"), F.lit("")), r"\.+$", ""), ","), F.trim))
+    people = full(each(F.split(F.regexp_replace(F.coalesce(c("authorString"), F.lit("")), r"\.+$", ""), ","), lambda x: F.trim(x)))
     return as_papers(
         r, "europe_pmc", doi=c("doi"), pubmed_id=c("pmid"), title=c("title"), abstract=c("abstractText"), year=digits_year(c("pubYear")), publication_date=c("firstPublicationDate"),
-        authors=each(people, author), journal=c("journalTitle"), venue=c("journalTitle"), is_open_access=c("isOpenAccess") == "Y",
+        authors=each(people, lambda n: author(n)), journal=c("journalTitle"), venue=c("journalTitle"), is_open_access=c("isOpenAccess") == "Y",
         pdf_url=first(F.filter(c("fullTextUrlList.fullTextUrl"), lambda u: u["documentStyle"] == "pdf"))["url"], citation_count=c("citedByCount"),
         mesh_terms=full(each(c("meshHeadingList.meshHeading"), lambda m: m["meshHeading"])), keywords=c("keywordList.keyword"),
         is_peer_reviewed=F.lower(F.coalesce(c("pubType"), F.lit(""))) == "journal article",
