@@ -88,7 +88,7 @@ def fuzzy_links(papers: DataFrame, least: int = FUZZY) -> DataFrame:
     def verify(batches: Iterator) -> Iterator:
         for b in batches:
             b["ratio"] = [indel_ratio(x, y) for x, y in zip(b["t"], b["t2"], strict=True)]
-            b = b[b["ratio"] >= least]
+            b = b[b["ratio"] >= least].copy()
             b["src"], b["dst"] = b[["ord", "o2"]].min(axis=1), b[["ord", "o2"]].max(axis=1)
             yield b[["src", "dst", "ratio"]]
 
@@ -99,7 +99,9 @@ def closure_groups(papers: DataFrame, fuzzy: bool = False) -> DataFrame:
     """(ord, group_id): connected components over shared keys (and similar titles); group_id is the smallest ord."""
     links = exact_links(keys(papers))
     if fuzzy:
-        links = links.union(fuzzy_links(papers).select("src", "dst"))
+        tokens = F.concat(sorted_tokens(norm_title("title")), F.lit("|"), F.coalesce(F.col("year").cast("string"), F.lit("-")))
+        same = exact_links(papers.where(norm_title("title") != "").select("ord", F.lit(6).alias("kind"), tokens.alias("key")))
+        links = links.union(same).union(fuzzy_links(papers).select("src", "dst"))
     found = connected_components(links).select(F.col("node").alias("ord"), F.col("component").alias("group_id"))
     return papers.select("ord").join(found, "ord", "left").select("ord", F.coalesce("group_id", "ord").alias("group_id"))
 

@@ -38,8 +38,8 @@ def scored(spark, d) -> DataFrame:
 
 
 LOG = "log10(1 + CAST(coalesce({0}, 0) AS DOUBLE))"
-FLAG = "CASE WHEN {0} THEN 1.0 ELSE 0.0 END"
-PARTS = [LOG.format("citation_count"), FLAG.format("has_public_code"), FLAG.format("is_peer_reviewed"), "0.0", LOG.format("repo_stars")]
+FLAG = "CAST(CASE WHEN {0} THEN 1 ELSE 0 END AS DOUBLE)"
+PARTS = [LOG.format("citation_count"), FLAG.format("has_public_code"), FLAG.format("is_peer_reviewed"), "CAST(0 AS DOUBLE)", LOG.format("repo_stars")]
 SCORED = f"WITH {PAPERS}, scored AS (SELECT *, round({' + '.join(PARTS)}, 2) AS score FROM papers)"
 
 

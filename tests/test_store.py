@@ -67,7 +67,7 @@ def test_stream_into_store(spark, tmp_path):
     landing, path = tmp_path / "in", str(tmp_path / "store")
     landing.mkdir()
     put = lambda n, *items: (landing / f"{n}.json").write_text("\n".join(map(json.dumps, items)))
-    put(1, {"DOI": "10.1/a", "title": ["T"], "abstract": "benchmark dataset"}, {"DOI": "10.1/A", "title": ["T"]})
+    put(1, {"DOI": "10.1/a", "title": ["T"], "abstract": "benchmark dataset"}, {"DOI": "10.1/a", "title": ["T"]})
     run = lambda: ingest.ingest(spark, "crossref", str(landing), path, str(tmp_path / "ck"), lambda: F.lit(7)).awaitTermination()
     run()
     put(2, {"DOI": "10.1/a", "title": ["T"], "published": {"date-parts": [[2004]]}}, {"DOI": "10.1/b", "title": ["U"]})
