@@ -57,28 +57,38 @@ TEXTS = {
 }
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, every run of other characters than letters and digits one space, one spelling of equivalent words."""
-    plain = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
-    plain = F.trim(F.regexp_replace(plain, NOT_WORD, " "))
-    spelled = F.concat(F.lit(" "), plain, F.lit(" "))
+def plain(line: Column) -> Column:
+    """A line in lower case, nothing of a copyright line, every run of other characters than letters and digits one space."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), COPYRIGHT_LINE, " "), NOT_WORD, " "))
+
+
+def spelled(line: Column) -> Column:
+    """A plain line with one spelling of equivalent words."""
+    padded = F.concat(F.lit(" "), line, F.lit(" "))
+    out = padded
     for a, b in EQUIVALENT.items():
-        spelled = F.replace(spelled, F.lit(f" {a} "), F.lit(f" {b} "))
-    some = F.concat(F.lit(" "), plain, F.lit(" ")).rlike(" (?:" + "|".join(EQUIVALENT) + ") ")
-    return F.when(some, F.trim(spelled)).otherwise(plain)
+        out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
+    return F.when(padded.rlike(" (?:" + "|".join(EQUIVALENT) + ") "), F.trim(out)).otherwise(line)
 
 
-def digest(text: Column) -> Column:
-    """Of the canonical text; null if nothing is left of it."""
-    plain = canonical(text)
-    return F.when(plain != "", F.sha2(plain, 256))
+def canonical_parts(rows: DataFrame, text: str, *keep: str) -> DataFrame:
+    """``keep`` and parts: the canonical form of the whole text, then, if it has several lines, of each line.
+
+    Every rule looks at one line only, so the whole text's form is that of its lines put together. The
+    steps are projections of their own: an expression used twice is then evaluated once.
+    """
+    lines = rows.select(*keep, F.transform(F.split(F.col(text), "\n"), plain).alias("lines"))
+    lines = lines.select(*keep, F.transform("lines", spelled).alias("lines"))
+    whole = F.array_join(F.filter("lines", lambda x: x != ""), " ")
+    return lines.select(*keep, F.when(F.size("lines") > 1, F.concat(F.array(whole), F.col("lines"))).otherwise(F.col("lines")).alias("parts"))
 
 
 def known(spark: SparkSession, texts: dict[str, str] | None = None, notices: dict[str, list[str]] | None = None) -> DataFrame:
     """(license, digest) of license texts and notices; as many rows as are given, the built-in ones by default."""
     rows = [*(TEXTS if texts is None else texts).items(), *((k, x) for k, v in (NOTICES if notices is None else notices).items() for x in v)]
     given = spark.createDataFrame(rows, "license string, text string").coalesce(1)
-    return given.select("license", digest(F.col("text")).alias("digest")).where("digest is not null").distinct()
+    whole = canonical_parts(given, "text", "license").select("license", F.get("parts", F.lit(0)).alias("c"))
+    return whole.where("c <> ''").select("license", F.sha2("c", 256).alias("digest")).distinct()
 
 
 def scan(docs: DataFrame, licenses: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,10 +103,8 @@ def scan(docs: DataFrame, licenses: DataFrame, id_col: str = "doc_id", text_col:
     rows. Other columns are ignored. A digest under several licenses counts for each.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    lines = F.split(F.col("text"), "\n")
-    parts = F.when(F.size(lines) > 1, F.concat(F.array(F.col("text")), lines)).otherwise(F.array(F.col("text")))
-    units = rows.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(parts).alias("unit", "part"))
-    hits = units.select("doc_id", "h", "unit", digest(F.col("part")).alias("digest")).join(licenses, "digest")
+    units = canonical_parts(rows.withColumn("h", F.xxhash64("text")), "text", "doc_id", "h").select("doc_id", "h", F.posexplode("parts").alias("unit", "part"))
+    hits = units.where("part <> ''").select("doc_id", "h", "unit", F.sha2("part", 256).alias("digest")).join(licenses, "digest")
     found = hits.groupBy("doc_id", "h").agg(
         F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"), F.countDistinct("unit").alias("n_hits"), F.bool_or(F.col("unit") == 0).alias("whole_text"))
     found = found.withColumnsRenamed({"doc_id": "i", "h": "k"})
