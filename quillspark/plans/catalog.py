@@ -526,3 +526,66 @@ def cascade_delete(spark, d):
     t = projects(spark, d)
     left = store.delete_projects({k: t[k] for k in ("projects", "library")}, t["projects"].where("project_id % 10 = 3"))
     return dashboard.totals(left["projects"], {"library": left["library"]})
+
+
+# --- display, layout and settings -------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, CASE WHEN len(event_type) <= 5 THEN event_type ELSE rtrim(left(event_type, 4)) || '…' END AS short, CASE WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago' WHEN s < 2592000 THEN s // 86400 || 'd ago' ELSE s // 2592000 || 'mo ago' END AS age, CASE WHEN event_id % 10 >= 7 THEN 'high' WHEN event_id % 10 >= 4 THEN 'medium' ELSE 'low' END AS bucket FROM (SELECT *, date_diff('second', ts, TIMESTAMP '2024-02-01 00:00:00') - CASE WHEN extract(microsecond FROM ts) % 1000000 > 0 THEN 1 ELSE 0 END AS s FROM events)")
+def display_functions(spark, d):
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return e.select("event_id", T.truncated("event_type", 5).alias("short"), T.relative_time("ts", now).alias("age"), T.score_bucket(F.pmod("event_id", F.lit(10)) / 10).alias("bucket"))
+
+
+@query(f"WITH {TYPE} SELECT b AS community, node, CAST(row_number() OVER (PARTITION BY b ORDER BY score DESC, title, node) AS INTEGER) AS place, node = first_value(node) OVER (PARTITION BY b ORDER BY score DESC, node) AS is_rep FROM m")
+def cluster_members(spark, d):
+    return clusters.members(*type_levels(spark, d), 0)
+
+
+@query(f"WITH {TYPE}, p AS (SELECT node, node % 5 AS level, node AS ord FROM m WHERE node % 9 = 0) SELECT b AS community, arg_max(p.node, p.level * 1000000000 - p.ord) AS parent FROM p JOIN m USING (node) GROUP BY 1")
+def parent_links(spark, d):
+    levels, nodes = type_levels(spark, d)
+    placed = nodes.where("node % 9 = 0").select("node", F.pmod("node", F.lit(5)).alias("level"), F.col("node").alias("ord"))
+    return clusters.parent_links(placed, levels.where("level = 0").select("node", "community"))
+
+
+@query()
+def sibling_recommendations(spark, d):
+    levels, nodes = type_levels(spark, d)
+    return clusters.siblings(levels, nodes, nodes.where("node % 97 = 0"), 11)
+
+
+@query(f"WITH {TYPE}, h AS (SELECT b AS lane, count(*) AS height FROM m GROUP BY 1) SELECT lane, coalesce(CAST(sum(height) OVER (ORDER BY lane ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS top FROM h")
+def lane_tops(spark, d):
+    levels, _ = type_levels(spark, d)
+    heights = levels.where("level = 0").groupBy(F.col("community").alias("lane")).agg(F.count("*").alias("height"))
+    return clusters.lane_offsets(heights)
+
+
+@query("WITH w AS (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year FROM orders) SELECT year, CAST(CASE WHEN year < 1996 THEN 0 WHEN year >= 2000 THEN 10 ELSE (year - 1996) * 10.0 / 4 END AS DOUBLE) AS x FROM w")
+def year_positions(spark, d):
+    axis = spark.createDataFrame([(1996, 0.0), (2000, 10.0)], "year int, x double")
+    return clusters.year_position(axis, table(spark, d, "orders").select(F.year("o_orderdate").alias("year")).distinct())
+
+
+@query("SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 1.0) AS code, 1.0::DOUBLE AS citations FROM events")
+def project_settings(spark, d):
+    raw = F.replace(F.col("props"), F.lit('"k"'), F.lit('"code"'))
+    return table(spark, d, "events").select("event_id", scores.weights_from_json(raw).alias("w")).select("event_id", "w.code", "w.citations")
+
+
+@query(f"WITH {PAPERS} SELECT ord, CASE WHEN regexp_matches(abstract, '(?i)(?:{T.DATASET_HOSTS}|{T.DATASET_PHRASES})') THEN true ELSE false END AS has_dataset, coalesce(has_public_code, false) AS has_public_code, 0::BIGINT AS repo_stars FROM papers WHERE NOT regexp_matches(abstract, 'git(hub|lab)')")
+def enriched_papers(spark, d):
+    return models.enriched(papers(spark, d).where(~F.col("abstract").rlike("git(hub|lab)"))).select("ord", "has_dataset", "has_public_code", "repo_stars")
+
+
+@query(f"WITH RECURSIVE {DOUBLED} SELECT group_id AS ord, array_to_string(list_sort(list_distinct(list(src_name))), ',') AS sources FROM doubled JOIN groups USING (ord) GROUP BY 1")
+def first_kept(spark, d):
+    return resolve.first_kept(doubled(spark, d)).select("ord", F.array_join("sources", ",").alias("sources"))
+
+
+@query("SELECT l.l_shipmode AS kind, count(*) AS n FROM (SELECT l_returnflag || l_linestatus AS l_shipmode FROM lineitem) l GROUP BY 1 HAVING count(*) > 10 ORDER BY n DESC")
+def legend_sizes(spark, d):
+    rows = table(spark, d, "lineitem").select(F.lit(0).alias("level"), F.concat("l_returnflag", "l_linestatus").alias("community"))
+    return clusters.legend(rows, 0).where("size > 10").select(F.col("community").alias("kind"), F.col("size").alias("n"))
