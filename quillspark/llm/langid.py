@@ -80,7 +80,7 @@ class Automaton:
         return n
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def automata(samples: tuple[tuple[str, bytes], ...]) -> list[tuple[str, Automaton]]:
     return [(lang, Automaton(text)) for lang, text in samples]
 

@@ -76,7 +76,7 @@ def packed(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int =
     def tokens(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in (whole.slice(a, 1000) for whole in batches for a in range(0, whole.num_rows, 1000)):
             ids = [x + end for x in encoded(tokenizer_path, b["text"])]
             yield pa.RecordBatch.from_arrays([b["group"], b["doc_id"], pa.array(ids, pa.binary())], ["group", "doc_id", "ids"])
 
