@@ -30,15 +30,15 @@ class WordCachedTokenizer:
     """Ids of whole texts by a byte-level BPE of the tokenizers library, as little-endian uint32 bytes.
 
     Byte-level BPE never merges across a boundary between two non-blank characters that one space or
-    one line end separates, nor between letters and the punctuation after them. So a text's ids are those
-    of its space-separated words (each with its space) in turn, and a word's those of its letters and of
-    its closing punctuation. Letters and words are encoded once and kept, in two generations of bounded
-    size. Texts with two blanks in a row are encoded whole.
+    one line end separates, nor between a letter and the punctuation after it. So a text is cut there, and
+    its ids are those of the pieces in turn (a word with the space before it). Pieces are encoded once
+    and kept, in two generations of bounded size. Texts with two blanks in a row are encoded whole.
     """
 
-    BLANKS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]{2}"
-    #: Latin letters, then ASCII punctuation without the apostrophe.
-    CLOSED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+    BLANKS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]{2}|\x00"
+    #: A Latin letter and ASCII punctuation other than the apostrophe.
+    CLOSING = r"([A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~])"
+    LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
     def __init__(self, path: str, keep: int = 200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,79 +48,80 @@ class WordCachedTokenizer:
         self.of.encode_special_tokens = True  # their strings in a text are ordinary text
         self.keep = keep
         self.line_end = self.whole("\n")
-        # Of words by what precedes them, a line's beginning or a space; of letters likewise.
-        self.words = Kept({"": b""}), Kept({"": self.whole(" ")})
-        self.letters = Kept({}), Kept({})
+        # Pieces by what precedes them: nothing, or a space.
+        self.pieces = Kept({"": b""}), Kept({"": self.whole(" ")})
+        # Byte-level BPE spells bytes as characters: printable ones as they are, the others from 256 on.
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.spelling = {x: 256 + i for i, x in enumerate(x for x in range(256) if x not in plain)}
 
     def whole(self, text: str) -> bytes:
         import numpy as np
 
         return np.array(self.of.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def encode_into(self, known: dict[str, bytes], words: list[str], lead: str) -> None:
+    def learn(self, pieces: Iterable[str], spaced: int) -> None:
         import numpy as np
 
+        known, lead = self.pieces[spaced].young, " " * spaced
+        letters, spelled, others = [], [], []
+        mark = lead.translate(self.spelling)
+        for w in self.pieces[spaced].unseen(pieces):
+            if w.isascii() and w.isalpha():
+                letters.append(w)
+                spelled.append(mark + w)
+            elif self.LETTERS.fullmatch(w):
+                letters.append(w)
+                spelled.append(mark + w.encode().decode("latin-1").translate(self.spelling))
+            elif w[0].isspace() or w[-1].isspace():
+                known[w] = self.whole(lead + w)
+            else:
+                others.append(w)
+        # Letters are one piece for the tokenizer too, so its model takes them as they are.
+        tokens = list(map(self.of.model.tokenize, spelled))
+        raw = np.array([t.id for x in tokens for t in x], "<u4").tobytes()
+        at = 0
+        for w, n in zip(letters, map(len, tokens), strict=True):
+            known[w] = raw[at : (at := at + 4 * n)]
         end = int.from_bytes(self.line_end, "little")
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
+        for a in range(0, len(others), 20_000):
+            part = others[a : a + 20_000]
             raw = self.whole("".join([f"{lead}{w}\n" for w in part]) + ".")
             cuts = np.flatnonzero(np.frombuffer(raw, "<u4") == end).tolist()
             if len(self.line_end) != 4 or len(cuts) != len(part):  # a vocabulary without a line-end token of its own
                 known.update((w, self.whole(lead + w)) for w in part)
                 continue
-            a = 0
+            at = 0
             for w, b in zip(part, cuts, strict=True):
-                known[w] = raw[4 * a : 4 * b]
-                a = b + 1
-
-    def learn(self, words: Iterable[str], spaced: int) -> None:
-        known, letters = self.words[spaced], self.letters[spaced]
-        plain, closed = [], []
-        for w in known.unseen(words):
-            if m := self.CLOSED.fullmatch(w):
-                closed.append((w, *m.groups()))
-            elif w[0].isspace() or w[-1].isspace():
-                known.young[w] = self.whole(" " * spaced + w)
-            else:
-                plain.append(w)
-        wanted = letters.unseen({*plain, *[a for _, a, _ in closed]})
-        self.encode_into(letters.young, wanted, " " * spaced)
-        if closed:
-            tails = {b for _, _, b in closed}
-            self.encode_into(self.words[0].young, self.words[0].unseen(tails), "")
-        by, tail = letters.young, self.words[0].young
-        for w in plain:
-            known.young[w] = by[w]
-        for w, a, b in closed:
-            known.young[w] = by[a] + tail[b]
+                known[w] = raw[4 * at : 4 * b]
+                at = b + 1
 
     def encode(self, texts) -> list[bytes]:
-        """Ids of each text of an Arrow array. Only distinct words become Python objects; ids are put together by place."""
+        """Ids of each text of an Arrow array. Only distinct pieces become Python objects; ids are put together by place."""
         import numpy as np
         import pyarrow.compute as pc
 
         texts = pc.fill_null(texts, "")
         whole = pc.match_substring_regex(texts, self.BLANKS)
-        words = pc.split_pattern(pc.replace_substring(pc.if_else(whole, "", texts), "\n", " \n"), " ")
-        begins = words.offsets.to_numpy()
-        flat = words.flatten()
-        firsts = flat.take(words.offsets[:-1]).to_pylist()
+        cut = pc.replace_substring(pc.if_else(whole, "", texts), "\n", " \n")
+        cut = pc.split_pattern(pc.replace_substring_regex(cut, self.CLOSING, "\\1 \x00\\2"), " ")
+        begins = cut.offsets.to_numpy()
+        flat = cut.flatten()
+        firsts = flat.take(cut.offsets[:-1]).to_pylist()
         coded = flat.dictionary_encode()
-        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        self.learn([w for w in distinct if w[:1] != "\n"], 1)
-        self.learn({*firsts, *[w[1:] for w in distinct if w[:1] == "\n"]}, 0)
-        head, tail = self.words[0].young, self.words[1].young
-        ids = [tail[w] if w[:1] != "\n" else self.line_end + head[w[1:]] for w in distinct] + [head[w] for w in firsts]
-        at[begins[:-1]] = len(distinct) + np.arange(len(firsts))  # the first word follows nothing
+        distinct, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+        self.learn([w for w in distinct if w[:1] not in ("\n", "\0")], 1)
+        self.learn({*firsts, *[w[1:] for w in distinct if w[:1] in ("\n", "\0")]}, 0)
+        bare, spaced, line = self.pieces[0].young, self.pieces[1].young, self.line_end
+        ids = [spaced[w] if (c := w[:1]) not in ("\n", "\0") else bare[w[1:]] if c == "\0" else line + bare[w[1:]] for w in distinct] + [bare[w] for w in firsts]
+        at[begins[:-1]] = len(distinct) + np.arange(len(firsts))  # the first piece follows nothing
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
         starts, table = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), "<u4")
         own = sizes[at]
         ends = np.cumsum(own)
         raw = table[np.repeat(starts[at] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
         ends = (4 * np.concatenate(([0], ends))[begins]).tolist()
-        for words, letters in zip(self.words, self.letters, strict=True):
-            words.turn(self.keep // 2)
-            letters.turn(self.keep)
+        for kept in self.pieces:
+            kept.turn(self.keep)
         return [self.whole(t.as_py()) if w else raw[a:b] for t, w, a, b in zip(texts, whole.to_pylist(), ends, ends[1:], strict=False)]
 
 

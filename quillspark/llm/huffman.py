@@ -168,7 +168,7 @@ CHUNK = "part int, chunk int, doc_ids array<long>, sizes array<long>, ids binary
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
-              limit: int = 16, block: int = 256, file_ids: int = 1 << 20) -> None:
+              limit: int = 16, block: int = 256, file_ids: int = 1 << 19) -> None:
     """Tokenises whole texts (null: empty), appends ``end_id`` to each and writes the folder in ascending order of id.
 
     Rows are range-partitioned and sorted by id; a file holds consecutive documents of one partition with
@@ -192,7 +192,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], ["part", "chunk", "doc_ids", "sizes", "ids"])
 
         for b in batches:
-            for doc_id, ids in zip(b["doc_id"].to_pylist(), encoded(tokenizer_path, b["text"].to_pylist()), strict=True):
+            for doc_id, ids in zip(b["doc_id"].to_pylist(), encoded(tokenizer_path, b["text"]), strict=True):
                 if held and size + len(ids) > 4 * file_ids:
                     yield row()
                     chunk, held, size = chunk + 1, [], 0
