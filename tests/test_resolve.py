@@ -31,6 +31,15 @@ def test_components_of_chains_and_hubs(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_components_of_long_chains_in_any_order(spark):
+    ids = list(range(1000))
+    random.Random(5).shuffle(ids)
+    order = [2000, *range(2299, 2000, -1)]
+    edges = [*zip(ids, ids[1:]), *zip(order, order[1:])]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {x: 0 if x < 1000 else 2000 for x in [*ids, *order]}
+
+
 def replay(rows):
     ids, titles, years, out = {}, {}, {}, {}
     clean = lambda t: "".join(c for c in t.lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789 ").strip()
