@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word: a longest run of characters other than space and \t \n \v \f \r.
@@ -22,141 +21,161 @@ def fold(text: Column) -> Column:
     return F.when(F.char_length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-class WordCachedTokenizer:
+class PieceTokenizer:
     """Ids of whole texts by a byte-level BPE of the tokenizers library, as little-endian uint32 bytes.
 
-    Byte-level BPE never merges across a boundary between two non-blank characters that one space or
-    one line end separates, nor between a letter and the punctuation after it. So a text is cut there, and
-    its ids are those of the pieces in turn (a word with the space before it). Pieces are encoded once
-    and kept, in two generations of bounded size. Texts with two blanks in a row are encoded whole.
+    Such a tokenizer cuts a text into pieces before it merges bytes: before a blank that a non-blank follows
+    (of a run of blanks, before the run and before its last one), and between a letter and the punctuation after
+    it. A text's ids are those of its pieces in turn. Distinct pieces are encoded once and kept until more than
+    ``keep`` are held. Texts that spell a special token, end in two blanks or hold the cutting mark go to
+    the library whole.
     """
 
-    BLANKS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]{2}|\x00"
+    BLANK = r"[\t-\r \x{85}\p{Z}]"
+    WHOLE = r"[\x00\x1c-\x1f]|" + BLANK + BLANK + r"\z"
     #: A Latin letter and ASCII punctuation other than the apostrophe.
     CLOSING = r"([A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~])"
-    LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+    #: Pieces of letters alone, and pieces that are encoded by themselves: beyond one leading space they begin or end with a blank, or are empty.
+    LETTERS = r"\A ?[A-Za-zÀ-ÖØ-öø-ÿ]+\z"
+    ODD = r"\A ?\z|\A ?" + BLANK + "|" + BLANK + r"\z"
 
-    def __init__(self, path: str, keep: int = 200_000) -> None:
+    def __init__(self, path: str, keep: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
-        self.of.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = Tokenizer(self.of.model)  # merges alone, for pieces that need no further cutting
+        if hasattr(self.of.model, "_resize_cache"):
+            self.of.model._resize_cache(0)  # each piece comes once
+        self.special = [t.content for t in self.of.get_added_tokens_decoder().values()]
         self.keep = keep
-        self.line_end = self.whole("\n")
-        # Pieces by what precedes them: nothing, or a space.
-        self.pieces = Kept({"": b""}), Kept({"": self.whole(" ")})
         # Byte-level BPE spells bytes as characters: printable ones as they are, the others from 256 on.
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        self.spelling = {x: 256 + i for i, x in enumerate(x for x in range(256) if x not in plain)}
+        others = iter(range(256, 512))
+        self.spelling = np.array([x if x in plain else next(others) for x in range(256)], "<u4")
+        line_end = self.whole("\n")
+        self.line_end = int.from_bytes(line_end, "little") if len(line_end) == 4 else None
+        self.forget()
+
+    def forget(self) -> None:
+        import numpy as np
+        import pyarrow as pa
+
+        self.known = pa.array([""])
+        self.ends, self.ids = np.zeros(2, np.int64), np.zeros(0, "<u4")  # piece i has ids[ends[i] : ends[i + 1]]
 
     def whole(self, text: str) -> bytes:
         import numpy as np
 
         return np.array(self.of.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def learn(self, pieces: Iterable[str], spaced: int) -> None:
+    def lines(self, pieces, spelled: bool):
+        """(ids, their number by piece) of an Arrow array of pieces encoded together, a line each."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        if not len(pieces):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        lined = pc.binary_join_element_wise(pieces, "", "\n")
+        at = np.frombuffer(lined.buffers()[1], np.int32)[lined.offset : lined.offset + len(lined) + 1]
+        raw = np.frombuffer(lined.buffers()[2], np.uint8)[at[0] : at[-1]]
+        cuts = np.append(at[:-1][:: 256 if spelled else 20_000], at[-1]) - at[0]
+        if spelled:  # letters are one piece for the tokenizer too, so its merges take them as they are
+            texts = [self.spelling[raw[a:b]].tobytes().decode("utf-32-le") for a, b in zip(cuts, cuts[1:], strict=False)]
+            got = self.model.encode_batch_fast(texts, add_special_tokens=False)
+        else:
+            texts = [raw[a:b].tobytes().decode() + "." for a, b in zip(cuts, cuts[1:], strict=False)]
+            got = self.of.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids[: None if spelled else -1], "<u4") for x in got])
+        ends = np.flatnonzero(ids == self.line_end)
+        if len(ends) != len(pieces):
+            raise ValueError("the vocabulary merges a line end with what is beside it")
+        return ids[ids != self.line_end], np.diff(ends, prepend=-1) - 1
+
+    def learn(self, pieces):
+        """Places in ``known`` that the pieces of an Arrow array have from now on."""
         import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-        known, lead = self.pieces[spaced].young, " " * spaced
-        letters, spelled, others = [], [], []
-        mark = lead.translate(self.spelling)
-        for w in self.pieces[spaced].unseen(pieces):
-            if w.isascii() and w.isalpha():
-                letters.append(w)
-                spelled.append(mark + w)
-            elif self.LETTERS.fullmatch(w):
-                letters.append(w)
-                spelled.append(mark + w.encode().decode("latin-1").translate(self.spelling))
-            elif w[0].isspace() or w[-1].isspace():
-                known[w] = self.whole(lead + w)
-            else:
-                others.append(w)
-        # Letters are one piece for the tokenizer too, so its model takes them as they are.
-        tokens = list(map(self.of.model.tokenize, spelled))
-        raw = np.array([t.id for x in tokens for t in x], "<u4").tobytes()
-        at = 0
-        for w, n in zip(letters, map(len, tokens), strict=True):
-            known[w] = raw[at : (at := at + 4 * n)]
-        end = int.from_bytes(self.line_end, "little")
-        for a in range(0, len(others), 20_000):
-            part = others[a : a + 20_000]
-            raw = self.whole("".join([f"{lead}{w}\n" for w in part]) + ".")
-            cuts = np.flatnonzero(np.frombuffer(raw, "<u4") == end).tolist()
-            if len(self.line_end) != 4 or len(cuts) != len(part):  # a vocabulary without a line-end token of its own
-                known.update((w, self.whole(lead + w)) for w in part)
-                continue
-            at = 0
-            for w, b in zip(part, cuts, strict=True):
-                known[w] = raw[4 * at : 4 * b]
-                at = b + 1
+        told = lambda pattern: pc.match_substring_regex(pieces, pattern).to_numpy(zero_copy_only=False)
+        letters = told(self.LETTERS) if self.line_end is not None else np.zeros(len(pieces), bool)
+        odd = ~letters & (told(self.ODD) if self.line_end is not None else True)
+        kinds = np.where(letters, 0, np.where(odd, 2, 1))
+        order = np.argsort(kinds, kind="stable")
+        pieces = pieces.take(pa.array(order))
+        n, m = int(letters.sum()), int(len(pieces) - odd.sum())
+        ids, sizes = self.lines(pieces[:n], True)
+        more, widths = self.lines(pieces[n:m], False)
+        odd_ids = [np.frombuffer(self.whole(p), "<u4") for p in pieces[m:].to_pylist()]
+        base = len(self.known)
+        self.known = pa.concat_arrays([self.known, pieces])
+        self.ids = np.concatenate([self.ids, ids, more, *odd_ids])
+        held = np.concatenate([sizes, widths, np.fromiter(map(len, odd_ids), np.int64, len(odd_ids))])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(held)])
+        places = np.empty(len(order), np.int64)
+        places[order] = base + np.arange(len(order))
+        return places
 
     def encode(self, texts) -> list[bytes]:
-        """Ids of each text of an Arrow array. Only distinct pieces become Python objects; ids are put together by place."""
+        """Ids of each text of an Arrow array. No piece becomes a Python object; ids are put together by place."""
         import numpy as np
+        import pyarrow as pa
         import pyarrow.compute as pc
 
         texts = pc.fill_null(texts, "")
-        whole = pc.match_substring_regex(texts, self.BLANKS)
-        cut = pc.replace_substring(pc.if_else(whole, "", texts), "\n", " \n")
-        cut = pc.split_pattern(pc.replace_substring_regex(cut, self.CLOSING, "\\1 \x00\\2"), " ")
+        whole = pc.match_substring_regex(texts, self.WHOLE)
+        for t in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, t))
+        cut = pc.if_else(whole, "", texts)
+        if pc.any(pc.match_substring_regex(cut, self.BLANK + self.BLANK)).as_py():
+            cut = pc.replace_substring_regex(cut, f"({self.BLANK}*)({self.BLANK})", "\x00\\1\x00\\2")
+            cut = pc.replace_substring_regex(cut, r"\x00\n([^\x00\t-\r \x{85}\p{Z}])", "\x00\n\x00\\1")
+        else:
+            cut = pc.replace_substring(pc.replace_substring(cut, " ", "\x00 "), "\n", "\x00\n\x00")
+        cut = pc.split_pattern(pc.replace_substring_regex(cut, self.CLOSING, "\\1\x00\\2"), "\x00")
         begins = cut.offsets.to_numpy()
-        flat = cut.flatten()
-        firsts = flat.take(cut.offsets[:-1]).to_pylist()
-        coded = flat.dictionary_encode()
-        distinct, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
-        self.learn([w for w in distinct if w[:1] not in ("\n", "\0")], 1)
-        self.learn({*firsts, *[w[1:] for w in distinct if w[:1] in ("\n", "\0")]}, 0)
-        bare, spaced, line = self.pieces[0].young, self.pieces[1].young, self.line_end
-        ids = [spaced[w] if (c := w[:1]) not in ("\n", "\0") else bare[w[1:]] if c == "\0" else line + bare[w[1:]] for w in distinct] + [bare[w] for w in firsts]
-        at[begins[:-1]] = len(distinct) + np.arange(len(firsts))  # the first piece follows nothing
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-        starts, table = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), "<u4")
-        own = sizes[at]
-        ends = np.cumsum(own)
-        raw = table[np.repeat(starts[at] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-        ends = (4 * np.concatenate(([0], ends))[begins]).tolist()
-        for kept in self.pieces:
-            kept.turn(self.keep)
-        return [self.whole(t.as_py()) if w else raw[a:b] for t, w, a, b in zip(texts, whole.to_pylist(), ends, ends[1:], strict=False)]
-
-
-class Kept:
-    """A cache in two generations: what is used moves to the young one; when that is full, the old one goes."""
-
-    def __init__(self, always: dict[str, bytes]) -> None:
-        self.always, self.young, self.old = always, dict(always), {}
-
-    def unseen(self, words: Iterable[str]) -> list[str]:
-        young, old, out = self.young, self.old, []
-        for w in words:
-            if w not in young:
-                if (ids := old.get(w)) is None:
-                    out.append(w)
-                else:
-                    young[w] = ids
-        return out
-
-    def turn(self, most: int) -> None:
-        if len(self.young) > most:
-            self.old, self.young = self.young, dict(self.always)
-
-
-_made: dict[str, WordCachedTokenizer] = {}
-
-
-def tokenizer(path: str) -> WordCachedTokenizer:
+        coded = cut.flatten().dictionary_encode()
+        if len(self.known) > self.keep:
+            self.forget()
+        at = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.known), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = self.learn(coded.dictionary.take(pa.array(new)))
+        held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.known), [None, pa.py_buffer(4 * self.ends), pa.py_buffer(self.ids)])
+        out = held.take(pa.array(at[coded.indices.to_numpy()]))
+        raw = memoryview(out.buffers()[2] or b"")
+        ends = np.frombuffer(out.buffers()[1], np.int64)[begins].tolist()
+        return [self.whole(t.as_py()) if w else bytes(raw[a:b]) for t, w, a, b in zip(texts, whole.to_pylist(), ends, ends[1:], strict=False)]
+
+
+_made: dict[str, PieceTokenizer] = {}
+
+
+def tokenizer(path: str) -> PieceTokenizer:
     """One for each Python worker and file, kept between tasks."""
     if path not in _made:
-        _made[path] = WordCachedTokenizer(path)
+        _made[path] = PieceTokenizer(path)
     return _made[path]
 
 
-def encoded(path: str, texts, at_once: int = 2 << 20) -> Iterator[bytes]:
+def encoded(path: str, texts, at_once: int = 4 << 20) -> Iterator[bytes]:
     """Ids of each text of an Arrow array; texts of about ``at_once`` bytes are looked up together."""
     import numpy as np
     import pyarrow.compute as pc

@@ -164,7 +164,15 @@ def get(folder: str, name: str) -> bytes:
         return f.read()
 
 
-CHUNK = "part int, chunk int, doc_ids array<long>, sizes array<long>, ids binary"
+def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum of two arrays of counts of any lengths."""
+    out = np.zeros(max(len(a), len(b)), np.int64)
+    out[: len(a)] += a
+    out[: len(b)] += b
+    return out
+
+
+CHUNK = "part int, chunk int, doc_ids array<long>, sizes array<long>, ids binary, counts binary"
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
@@ -173,7 +181,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2
 
     Rows are range-partitioned and sorted by id; a file holds consecutive documents of one partition with
     about ``file_ids`` ids (a longer document has a file of its own). Ids are kept as a table in the shared
-    folder, so they are made once for the global counts and the files. Only counts by id (as many as the
+    folder, so they are made once for the global counts and the files; each task's last row there holds its counts. Only counts by id (as many as the
     vocabulary has) and the code table go through the driver; files have names of their own and replace
     themselves when a task is run again. Null ids come first; rows of equal id stand side by side. An empty table gives a
     code table without codes and no file. Other columns are ignored.
@@ -183,23 +191,28 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2
     def chunks(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        part, chunk, held, size = TaskContext.get().partitionId(), 0, [], 0
+        part, chunk, held, size, counts = TaskContext.get().partitionId(), 0, [], 0, np.zeros(0, np.int64)
+        pending, waiting = [], 0
 
-        def row():
+        def row(last: bool):
             named, ids = zip(*held, strict=True)
-            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            values = [[part], [chunk], [named], [[len(x) // 4 for x in ids]], [b"".join(ids)]]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], ["part", "chunk", "doc_ids", "sizes", "ids"])
+            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            values = [[part], [chunk], [named], [[len(x) // 4 for x in ids]], [b"".join(ids)], [counts.tobytes() if last else None]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], [c.split()[0] for c in CHUNK.split(", ")])
 
         for b in batches:
             for doc_id, ids in zip(b["doc_id"].to_pylist(), encoded(tokenizer_path, b["text"]), strict=True):
                 if held and size + len(ids) > 4 * file_ids:
-                    yield row()
+                    yield row(False)
                     chunk, held, size = chunk + 1, [], 0
                 held.append((doc_id, ids + end))
                 size += len(ids) + 4
+                pending.append(held[-1][1])
+                if (waiting := waiting + len(ids)) > 4 << 20:
+                    counts, pending, waiting = added(counts, np.bincount(np.frombuffer(b"".join(pending), "<u4"))), [], 0
         if held:
-            yield row()
+            counts = added(counts, np.bincount(np.frombuffer(b"".join(pending), "<u4")))
+            yield row(True)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32("text"))
@@ -210,14 +223,12 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2
 
         total = np.zeros(0, np.int64)
         for b in batches:
-            for ids in b["ids"]:
-                own = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"), minlength=len(total))
-                own[: len(total)] += total
-                total = own
+            for own in b["counts"]:
+                total = added(total, np.frombuffer(own.as_buffer(), np.int64))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
-    tallied = made.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    tallied = made.where("counts is not null").select("counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r.id for r in tallied), default=-1) + 1, np.int64)
     counts[[r.id for r in tallied]] = [r.n for r in tallied]
     limit = max(limit, int(np.count_nonzero(counts) - 1).bit_length() if counts.any() else 1)
@@ -236,7 +247,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2
                 put(folder, name, pack_file(code, doc_ids.as_py(), np.array(sizes.as_py()), own, block))
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(own)])], ["file", "n_ids"])
 
-    files = stored(made.mapInArrow(write, "file string, n_ids long"))
+    files = stored(made.drop("counts").mapInArrow(write, "file string, n_ids long"))
     before = F.coalesce(F.sum("n_ids").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     files.withColumn("start", before).write.mode("overwrite").parquet(f"{folder}/manifest")
 
