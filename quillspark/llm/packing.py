@@ -59,17 +59,18 @@ def balanced(lengths: list[int], size: int) -> list[list[tuple[int, int, int]]]:
 
 
 def packed(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
-           group_rows: int = 1024, seed: int = 5) -> DataFrame:
+           group_rows: int = 1024, group_bytes: int = 8 << 20, seed: int = 5) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids), one row a piece.
 
     A document is the ids of its text (null: empty) and ``end_id``. Rows are dealt by a seeded hash into
-    groups of about ``group_rows``, each packed by itself (``balanced``): a group is bounded, any number run
-    at once, and less than one sequence a group is padding. sequence_id is group * 2^32 + place.
+    groups of about ``group_rows`` rows or ``group_bytes`` of text, whichever makes more groups; each is packed by
+    itself (``balanced``), any number run at once, and less than one sequence a group is padding. sequence_id is group * 2^32 + place.
     Ids may be null or repeat; every row is a document of its own. An empty table gives no rows. Other
     columns are ignored. A document's ids are held in memory by one task.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    n_groups = max(1, -(-rows.count() // group_rows))
+    n_rows, n_bytes = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    n_groups = max(1, -(-n_rows // group_rows), -(-(n_bytes or 0) // group_bytes))
     group = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.crc32("text")), F.lit(n_groups)).cast("long")
     end = end_id.to_bytes(4, "little")
 
