@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if folder := spark.sparkContext.getCheckpointDir():
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(folder := tempfile.mkdtemp(prefix="spark-quill-"))
     return spark.sparkContext.getCheckpointDir() or folder
@@ -47,5 +47,24 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read again: columns stay prunable."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_written: list[str] = []
+
+
+def written() -> int:
+    """How many tables ``stored`` has written in this process: a mark for ``swept``."""
+    return len(_written)
+
+
+def swept(spark: SparkSession, since: int, *paths: str) -> None:
+    """Deletes ``paths`` and the tables that ``stored`` has written after the mark ``since``, for when everything that reads them is done."""
+    gone = [*_written[since:], *paths]
+    del _written[since:]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in gone:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
