@@ -1,4 +1,14 @@
-"""Language-model scores by online logistic mixing of hashed-context bit predictors."""
+"""Language-model scores by online logistic mixing of hashed-context bit predictors.
+
+A token is coded as binary decisions along the path to the leaf that its hash names, then as a decision among the leaf's
+words. Every decision is predicted by several contexts; weights that the contexts' confidence selects mix the predictions in
+the logistic domain and learn from each token. The spelling of words that the corpus lacks is coded byte by byte in the same way.
+
+What the corpus teaches is gathered over Spark's shuffle: counts of all words and, for every context of two words, the
+continuation seen most often (both exact, and growing with the corpus); and bit counts of low orders, of a fixed size. Batches of documents send the
+distinct keys they hold to hash buckets, as packed arrays; each bucket adds up what all batches send and answers each of them. So
+no task and no broadcast holds a table that grows with the corpus.
+"""
 
 from __future__ import annotations
 
@@ -11,25 +21,29 @@ from quillspark.session import stored
 
 #: The token that ends a text; no word holds a line end.
 END = b"\n"
-GATES = 4
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+SENT = "batch long, bucket long, kind int, payload binary"
+#: Kinds of payloads: counts of words, continuations of contexts, sums of bit counts.
+WORDS, CONTEXTS, SUMS = 0, 1, 2
+WORD_BITS, WORD_MASK = np.uint64(24), np.uint64((1 << 24) - 1)
 
 
 @dataclass(frozen=True)
 class Shape:
-    """Sizes of the model; they bound all that is broadcast, whatever the corpus.
+    """Sizes and rates of the model.
 
-    A word is coded as ``depth`` binary decisions that lead to one of 2^depth leaves by its hash, and then
-    by its share of the leaf's training tokens. ``slots``: log2 of the slots of each hashed context.
-    ``segment``: tokens after which the adaptive state begins anew.
+    ``depth``: decisions to one of 2^depth leaves. ``slots``: log2 of the slots of each table of low-order bit counts; these
+    tables, 4 of them, are all that is broadcast. ``start``: weights of the node's own frequency, orders 1 and 2, the
+    document's own bits and the expected continuation. ``real``: the type that mixing computes in.
     """
 
     depth: int = 10
     slots: int = 16
-    segment: int = 256
     rate: float = 0.02
     local_rate: float = 0.25
-    start: tuple[float, ...] = (0.35, 0.3, 0.2, 0.25)
+    match_rate: float = 0.15
+    start: tuple[float, ...] = (0.35, 0.3, 0.2, 0.25, 0.6)
+    real: type = np.float32
 
     @property
     def leaves(self) -> int:
@@ -40,26 +54,46 @@ class Shape:
         return ((context ^ spread) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - self.slots)
 
 
+#: How likely the expected continuation is before a document says more: by times seen (1, 2-3, 4-15, more), where it was most of what followed and where not.
+EXPECTED = np.array([0.6, 0.8, 0.9, 0.95, 0.2, 0.3, 0.35, 0.4])
+
+
 def spread_of(node: np.ndarray) -> np.ndarray:
     return node.astype(np.uint32) * np.uint32(0x9E3779B1)
 
 
-def leaf_of(words: list[bytes], shape: Shape) -> np.ndarray:
-    """The low bits of XXH64 with seed 42, as Spark's xxhash64 gives it."""
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    """XXH64 with seed 42."""
     from xxhash import xxh64_intdigest
 
-    return np.fromiter((xxh64_intdigest(w, 42) & (shape.leaves - 1) for w in words), np.int32, len(words))
+    return np.fromiter((xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
 
 
-def contexts(leaf: np.ndarray, first: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+def before(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The value before each token, 0 where a document begins."""
+    out = np.concatenate((values[:1], values[:-1]))
+    out[first] = 0
+    return out
+
+
+def contexts(leaf: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the leaf before and of the two leaves before each token; first: where a document begins."""
-    before = np.concatenate(([0], leaf[:-1] + 1)).astype(np.uint32)
-    before[first] = 0
-    second = np.concatenate(([0], before[:-1])).astype(np.uint32)
-    second[first] = 0
-    one = (before + np.uint32(1)) * np.uint32(0xC2B2AE35)
-    two = (one ^ (second + np.uint32(7)) * np.uint32(0x27D4EB2F)) * np.uint32(0x165667B1)
-    return one, two
+    prior = before(leaf.astype(np.uint32) + np.uint32(1), first)
+    second = before(prior, first)
+    one = (prior + np.uint32(1)) * np.uint32(0xC2B2AE35)
+    return one, (one ^ (second + np.uint32(7)) * np.uint32(0x27D4EB2F)) * np.uint32(0x165667B1)
+
+
+def pair_keys(hashed: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """64-bit keys of the two words before each token."""
+    prior = before(hashed, first)
+    second = before(prior, first)
+    key = (prior * np.uint64(0x9E3779B97F4A7C15)) ^ ((second + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
+    return (keys >> np.uint64(33)) % np.uint64(n)
 
 
 def tokens_of(texts):
@@ -79,177 +113,445 @@ def tokens_of(texts):
     return pa.concat_arrays([coded.dictionary.cast(pa.binary()), pa.array([END], pa.binary())]), ids, sizes
 
 
-def tally(table, shape: Shape):
-    """Of a batch of documents: training count of each word, and training counts of bits by hashed context."""
+# --- packed arrays ----------------------------------------------------------------------------------------------------
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays in one compressed payload; ``unpacked`` gives them back."""
+    import pyarrow as pa
+
+    raw = [np.ascontiguousarray(x) for x in arrays]
+    head = ";".join(f"{x.dtype.str},{len(x)}" for x in raw).encode()
+    body = len(head).to_bytes(4, "little") + head + b"".join(x.tobytes() for x in raw)
+    return len(body).to_bytes(8, "little") + pa.Codec("zstd").compress(body, asbytes=True)
+
+
+def unpacked(payload: bytes) -> list[np.ndarray]:
     import pyarrow as pa
 
-    words, ids, sizes = tokens_of(table["text"])
-    seen = np.flatnonzero(np.bincount(ids, minlength=len(words)))
-    training = ~table["held_out"].to_numpy(zero_copy_only=False).astype(bool)
-    at = ids[np.repeat(training, sizes)]
-    first = np.cumsum(sizes[training]) - sizes[training]
-    n = np.bincount(at, minlength=len(words))[seen]
-    leaf = np.zeros(len(words), np.int32)
-    leaf[seen] = leaf_of(words.take(pa.array(seen)).to_pylist(), shape)
-    counts = np.zeros((2, 2, 1 << shape.slots), np.int64)
-    leaves = leaf[at]
-    hashed = contexts(leaves, first, shape) if len(at) else ()
-    for d in range(shape.depth if len(at) else 0):
-        spread = spread_of((leaves | shape.leaves) >> (shape.depth - d))
-        bit = (leaves >> (shape.depth - 1 - d) & 1).astype(np.uint32)
-        for k, context in enumerate(hashed):
-            both = np.bincount(shape.slot(context, spread) << np.uint32(1) | bit, minlength=2 << shape.slots).reshape(-1, 2)
-            counts[k, 0] += both.sum(axis=1)
-            counts[k, 1] += both[:, 1]
-    # A node's ones are what its right child sees; all nodes' counts come from those of the leaves.
-    under = np.bincount(leaves | shape.leaves, minlength=2 * shape.leaves)
-    for node in range(shape.leaves - 1, 0, -1):
-        under[node] = under[2 * node] + under[2 * node + 1]
-    node_counts = np.stack((under[: shape.leaves], under[1::2]))
-    node_counts[:, 0] = 0  # no node
-    flat = np.concatenate((node_counts.ravel(), counts.ravel())).astype("<u4").reshape(-1, shape.leaves)
-    batch = table["batch"][0].as_py()
-    rows = len(seen) + len(flat)
-    return pa.table(
-        {
-            "batch": pa.array(np.full(rows, batch, np.int32)),
-            "word": pa.concat_arrays([words.take(pa.array(seen)), pa.nulls(len(flat), pa.binary())]),
-            "n": pa.concat_arrays([pa.array(n), pa.nulls(len(flat), pa.int64())]),
-            "part": pa.concat_arrays([pa.nulls(len(seen), pa.int32()), pa.array(np.arange(len(flat), dtype=np.int32))]),
-            "counts": pa.concat_arrays([pa.nulls(len(seen), pa.binary()), pa.array([x.tobytes() for x in flat], pa.binary())]),
-        }
-    )
-
-
-TALLY = "batch int, word binary, n long, part int, counts binary"
+    body = pa.Codec("zstd").decompress(payload[8:], decompressed_size=int.from_bytes(payload[:8], "little"), asbytes=True)
+    at = 4 + int.from_bytes(body[:4], "little")
+    out = []
+    for x in body[4:at].decode().split(";"):
+        kind, n = x.split(",")
+        out.append(np.frombuffer(body, kind, int(n), at))
+        at += out[-1].nbytes
+    return out
+
+
+def steps(sorted_keys: np.ndarray) -> np.ndarray:
+    """Differences of ascending keys; their running sum gives the keys back."""
+    return np.diff(sorted_keys, prepend=sorted_keys.dtype.type(0))
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct keys, and the place of each key among them."""
+    import pyarrow as pa
+
+    coded = pa.array(keys).dictionary_encode()
+    names = coded.dictionary.to_numpy()
+    order = np.argsort(names)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return names[order], rank[coded.indices.to_numpy()]
+
+
+def by_bucket(bucket: np.ndarray) -> list[tuple[int, slice]]:
+    """(bucket, where it is) of an ascending array of buckets."""
+    at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
+    return [(int(bucket[a]), slice(int(a), int(b))) for a, b in zip(at, np.append(at[1:], len(bucket)), strict=True)]
+
+
+# --- what a batch sends, and what comes back --------------------------------------------------------------------------
+
+
+class Batch:
+    """The tokens of some documents, their keys in the order in which they are sent, and where documents begin."""
+
+    def __init__(self, table, shape: Shape, buckets: int) -> None:
+        self.shape, self.buckets = shape, buckets
+        self.words, self.ids, self.sizes = tokens_of(table["text"])
+        self.training = ~table["held_out"].to_numpy(zero_copy_only=False).astype(bool)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.learns = np.repeat(self.training, self.sizes)  # by token
+        seen = np.flatnonzero(np.bincount(self.ids, minlength=len(self.words)))
+        hashed = np.zeros(len(self.words), np.uint64)
+        hashed[seen] = hashes_of(self.words.take(_indices(seen)).to_pylist())
+        self.hashed, self.seen = hashed, seen[np.lexsort((hashed[seen], bucket_of(hashed[seen], buckets)))]
+        self.leaf = (hashed & np.uint64(shape.leaves - 1)).astype(np.int64)
+        self.by_token = self.leaf[self.ids]
+        keys = pair_keys(hashed[self.ids], self.first)
+        places = (bucket_of(keys, buckets) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))  # a bucket tells its keys apart by 32 bits
+        self.places, self.place_of = distinct(places)
+        self.short = (hashed & WORD_MASK)[self.ids]  # 24 bits of the word; the lowest name its leaf
+
+    def sent(self):
+        """(bucket, kind, payload): words with their training counts, contexts with their training continuations, sums of bit counts."""
+        n = np.bincount(self.ids[self.learns], minlength=len(self.words))[self.seen]
+        keys = self.hashed[self.seen]
+        for bucket, at in by_bucket(bucket_of(keys, self.buckets)):
+            yield bucket, WORDS, packed(steps(keys[at]), n[at])
+        pairs, times = np.unique((self.place_of[self.learns].astype(np.uint64) << WORD_BITS) | self.short[self.learns], return_counts=True)
+        of = (pairs >> WORD_BITS).astype(np.int64)
+        held = np.bincount(of, minlength=len(self.places))
+        from_ = np.cumsum(held) - held
+        for bucket, at in by_bucket(self.places >> np.uint64(32)):
+            a, b = int(from_[at.start]), int(from_[at.stop - 1] + held[at.stop - 1])
+            word = (pairs[a:b] & WORD_MASK).astype("<u4")
+            split = np.ascontiguousarray(word).view(np.uint8).reshape(-1, 4)[:, :3]
+            keys32 = (self.places[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            yield bucket, CONTEXTS, packed(steps(keys32), held[at].astype(np.uint16), np.ascontiguousarray(split).ravel(), times[a:b].astype(np.uint16))
+        yield int(self.places[0] % np.uint64(self.buckets)), SUMS, packed(self.bit_counts())  # any bucket will do
+
+    def bit_counts(self) -> np.ndarray:
+        """Training counts of bits: by node, by hashed order 1 and 2; then of the bytes of the training words by hashed order 1 and 2."""
+        shape = self.shape
+        counts = np.zeros((4, 2, 1 << shape.slots), np.int64)
+        leaves = self.by_token[self.learns]
+        sizes = self.sizes[self.training]
+        hashed = contexts(leaves, np.cumsum(sizes) - sizes) if len(leaves) else ()
+        for d in range(shape.depth if len(leaves) else 0):
+            spread = spread_of((leaves | shape.leaves) >> (shape.depth - d))
+            bit = (leaves >> (shape.depth - 1 - d) & 1).astype(np.uint32)
+            for k, context in enumerate(hashed):
+                self.add(counts[k], shape.slot(context, spread), bit)
+        # A node's ones are what its right child sees; all nodes' counts come from those of the leaves.
+        under = np.bincount(leaves | shape.leaves, minlength=2 * shape.leaves)
+        for node in range(shape.leaves - 1, 0, -1):
+            under[node] = under[2 * node] + under[2 * node + 1]
+        nodes = np.stack((under[: shape.leaves], under[1::2]))
+        nodes[:, 0] = 0  # no node
+        known = np.flatnonzero(np.bincount(self.ids[self.learns], minlength=len(self.words)))
+        byte, starts = spellings(self.words.take(_indices(known)))
+        for d in range(8 if len(byte) else 0):
+            node, bit = (byte | 256) >> (8 - d), (byte >> (7 - d) & 1).astype(np.uint32)
+            for k, context in enumerate(contexts(byte, starts), 2):
+                self.add(counts[k], shape.slot(context, spread_of(node)), bit)
+        return np.concatenate((nodes.ravel(), counts.ravel()))
+
+    def add(self, counts: np.ndarray, slot: np.ndarray, bit: np.ndarray) -> None:
+        both = np.bincount(slot << np.uint32(1) | bit, minlength=2 << self.shape.slots).reshape(-1, 2)
+        counts[0] += both.sum(axis=1)
+        counts[1] += both[:, 1]
+
+
+def _indices(at: np.ndarray):
+    import pyarrow as pa
+
+    return pa.array(at)
+
+
+def spellings(words) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, starts) of an Arrow array of words put together, each followed by a space, which no word holds."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    ended = pc.binary_join_element_wise(words, pa.scalar(b"", pa.binary()), pa.scalar(b" ", pa.binary()))
+    at = np.frombuffer(ended.buffers()[1], np.int32)[ended.offset : ended.offset + len(ended) + 1] if len(ended) else np.zeros(1, np.int32)
+    raw = np.frombuffer(ended.buffers()[2], np.uint8)[at[0] : at[-1]] if len(ended) else np.zeros(0, np.uint8)
+    return raw.astype(np.int64), (at[:-1] - at[0]).astype(np.int64)
+
+
+def answered(batches: list[int], payloads: list[bytes], kind: int, shape: Shape) -> list[tuple[int, int, bytes]]:
+    """(batch, kind, payload) for what all batches sent to one bucket; batch -1: for the model."""
+    held = [unpacked(p) for p in payloads]
+    if kind == SUMS:
+        return [(-1, SUMS, packed(sum(x[0] for x in held)))]
+    keys = [np.cumsum(x[0], dtype=x[0].dtype) for x in held]
+    if kind == WORDS:
+        every, at = np.unique(np.concatenate(keys), return_inverse=True)
+        c = np.bincount(at, np.concatenate([x[1] for x in held]), len(every)).astype(np.int64)
+        out, begin = [], 0
+        for batch, k in zip(batches, keys, strict=True):
+            out.append((batch, WORDS, packed(c[at[begin : begin + len(k)]])))
+            begin += len(k)
+        leaf = (every & np.uint64(shape.leaves - 1)).astype(np.int64)
+        return [*out, (-1, WORDS, packed(np.bincount(leaf, c, shape.leaves).astype(np.int64), np.bincount(leaf, c > 0, shape.leaves).astype(np.int64)))]
+    words = []
+    for x in held:
+        wide = np.zeros((len(x[3]), 4), np.uint8)
+        wide[:, :3] = x[2].reshape(-1, 3)
+        words.append(wide.view("<u4").ravel().astype(np.uint64))
+    pairs = np.concatenate([(np.repeat(k, x[1]).astype(np.uint64) << WORD_BITS) | w for k, x, w in zip(keys, held, words, strict=True)])
+    pairs, at = np.unique(pairs, return_inverse=True)
+    n = np.bincount(at, np.concatenate([x[3] for x in held]), len(pairs)).astype(np.int64)
+    key, word = (pairs >> WORD_BITS).astype(np.uint32), (pairs & WORD_MASK).astype(np.uint32)
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    total = np.add.reduceat(n, starts) if len(key) else np.zeros(0, np.int64)
+    order = np.lexsort((word, -n, key))  # the first of each key: seen most often, the smallest on ties
+    top, times, names = word[order][starts], n[order][starts], key[starts]
+    out = []
+    for batch, k in zip(batches, keys, strict=True):
+        where = np.minimum(np.searchsorted(names, k), max(0, len(names) - 1))
+        seen = names[where] == k if len(names) else np.zeros(len(k), bool)
+        often = seen & (total[where] > 1) if len(names) else seen
+        told = where[often]
+        out.append((batch, CONTEXTS, packed(np.packbits(often), top[told], times[told], total[told])))
+    return out
+
+
+class Answers:
+    """What a batch got back, in the order in which it sent: c by word; top, times and total by context (total 0: nothing to expect)."""
+
+    def __init__(self, batch: Batch, rows: list[tuple[int, int, bytes]]) -> None:
+        got = {(kind, bucket): unpacked(p) for kind, bucket, p in rows}
+        self.c = np.zeros(len(batch.words), np.int64)
+        for bucket, at in by_bucket(bucket_of(batch.hashed[batch.seen], batch.buckets)):
+            self.c[batch.seen[at]] = got[WORDS, bucket][0]
+        n = len(batch.places)
+        self.top, self.times, self.total = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for bucket, at in by_bucket(batch.places >> np.uint64(32)):
+            often, top, times, total = got[CONTEXTS, bucket]
+            where = at.start + np.flatnonzero(np.unpackbits(often, count=at.stop - at.start))
+            self.top[where], self.times[where], self.total[where] = top, times, total
+
+
+def expectations(batch: Batch, answers: Answers) -> tuple[np.ndarray, np.ndarray]:
+    """(word, kind) that is expected at each token: the continuation seen most often after the two words before, and its place in ``EXPECTED``; kind -1 for none.
+
+    A training document's own words do not count: what only it says is nothing to expect.
+    """
+    top, times, total = answers.top[batch.place_of], answers.times[batch.place_of], answers.total[batch.place_of]
+    held = np.flatnonzero((total > 0) & batch.learns)
+    doc = np.repeat(np.arange(len(batch.sizes)), batch.sizes)[held]
+    own = doc * np.int64(len(batch.places)) + batch.place_of[held]
+    names, at = np.unique(own, return_inverse=True)
+    times, total = times.copy(), total.copy()
+    times[held] -= np.bincount(at, batch.short[held] == top[held], len(names)).astype(np.int64)[at]
+    total[held] -= np.bincount(at, minlength=len(names))[at]
+    size = np.searchsorted([2, 4, 16], times, side="right")
+    return top, np.where(times > 0, np.where(2 * times >= total, size, size + 4), -1)
+
+
+# --- the model --------------------------------------------------------------------------------------------------------
 
 
 class Model:
-    """Logits of the trained predictors, the gates their counts open, and the leaves' totals."""
+    """Logits of the trained low-order predictors, the gates their counts open, and the leaves' totals."""
 
     def __init__(self, shape: Shape, sums: np.ndarray, leaf_tokens: np.ndarray, leaf_words: np.ndarray) -> None:
         self.shape, self.tokens, self.words = shape, int(leaf_tokens.sum()), int(leaf_words.sum())
         nodes = sums[: 2 * shape.leaves].reshape(2, -1)
-        held = sums[2 * shape.leaves :].reshape(2, 2, -1)
-        logit = lambda seen, ones: np.log((ones + 0.4) / (seen - ones + 0.4)).clip(-12, 12).astype(np.float32)
+        held = sums[2 * shape.leaves :].reshape(4, 2, -1)
+        logit = lambda seen, ones: np.log((ones + 0.4) / (seen - ones + 0.4)).clip(-12, 12).astype(shape.real)
         self.order0 = logit(*nodes)
-        self.order1, self.order2 = logit(*held[0]), logit(*held[1])
-        sure = (held[:, 0] >= 32).astype(np.int64)
-        self.gate1, self.gate2 = sure[0], 2 * sure[1]
+        self.order1, self.order2, self.byte1, self.byte2 = (logit(*x) for x in held)
+        sure = (held[:, 0] >= 32).astype(np.int8)
+        self.gate1, self.gate2, self.byte_gate = sure[0], 2 * sure[1], sure[3]
         self.leaf_total = leaf_tokens + 0.5 * (leaf_words + 1)
 
-    def log_bits(self, leaf: np.ndarray, first: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """Natural-log probability of the bit decisions of each segment (begins: where segments begin; they end where the next begins).
+    def log_tokens(self, leaf: np.ndarray, share: np.ndarray, sizes: np.ndarray, expected: np.ndarray, kind: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        """Natural-log probability of each document's tokens.
 
-        Segments run side by side, token by token, bit by bit. Four predictors give logits: the node's own frequency, the hashed order-1
-        and order-2 contexts, and one that learns the node's bits in this segment. Their weighted sum is the
-        prediction; the weights are those that the contexts' counts gate in, and move by the gradient of
-        the coding cost after every bit.
+        leaf, share: leaf of each token and log of its word's share of the leaf. expected, kind: leaf of the expected word and its place in ``EXPECTED`` (-1: none); hit: whether
+        it is the token. Documents run side by side, token by token. Five predictors give logits for each decision of
+        the path: the node's own frequency, hashed orders 1 and 2, one that learns the document's bits, and the
+        expected word as long as the path agrees with its own. Weights, chosen by the contexts' counts and by whether a word is expected, mix them
+        and move by the gradient of the coding cost after every token. On the expected word's leaf one more decision says whether it is that word;
+        otherwise the word costs its share of the leaf.
         """
-        shape = self.shape
-        sizes = np.diff(np.append(begins, len(leaf)))
+        shape, real = self.shape, self.shape.real
         order = np.argsort(-sizes, kind="stable")
-        begins, sizes = begins[order], sizes[order]
-        one, two = contexts(leaf, first, shape)
-        lanes, total = len(begins), np.zeros(len(begins))
-        weights = np.tile(np.array(shape.start, np.float32)[:, None, None], (1, GATES, lanes)).reshape(4, -1)
-        local = np.tile(self.order0[:, None], (1, lanes)).ravel()
-        every = np.arange(lanes, dtype=np.int64)
+        begins, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        one, two = contexts(leaf, begins)
+        half = shape.depth // 2
+        middle = spread_of((leaf | shape.leaves) >> (shape.depth - half))
+        gate_of = self.gate1.take(shape.slot(one, middle)) + self.gate2.take(shape.slot(two, middle)) + 4 * (kind >= 0).astype(np.int8)
+        lanes, gates, total = len(begins), 8, np.zeros(len(begins))
+        weights = np.repeat(np.array(shape.start, real)[:, None], gates * lanes, axis=1)
+        local = np.repeat(self.order0, lanes)
+        # Logit of "the path goes on as expected" after d agreeing bits, and at the leaf.
+        depth = np.arange(shape.depth + 1)
+        right = EXPECTED[:, None] + (1 - EXPECTED[:, None]) * 0.5 ** (depth + 1)
+        right[:, -1] = EXPECTED * 0.98
+        reach = EXPECTED[:, None] + (1 - EXPECTED[:, None]) * 0.5**depth
+        reach[:, -1] = 1
+        trust = np.repeat(np.log(right / (reach - right)).astype(real).ravel(), lanes)
+        lane_of, level = np.arange(lanes), np.arange(shape.depth)[:, None] * lanes
+        down, bit_of = np.arange(shape.depth, 0, -1)[:, None], np.arange(shape.depth - 1, -1, -1)[:, None]
         live_at = np.searchsorted(-sizes, -np.arange(sizes[0] if lanes else 0), side="left")
-        rate, local_rate, least, most = map(np.float32, (shape.rate, shape.local_rate, 1 / 65536, 1 - 1 / 65536))
-        w_0, w_1, w_2, w_3 = weights
-        order0, order1, order2, gate1, gate2 = self.order0, self.order1, self.order2, self.gate1, self.gate2
+        rate, local_rate, match_rate, least, most = map(real, (shape.rate, shape.local_rate, shape.match_rate, 1 / 65536, 1 - 1 / 65536))
+        spreads, inputs = spread_of(np.arange(shape.leaves)), np.zeros((5, shape.depth, lanes), real)
         for t, live in enumerate(live_at.tolist()):
-            at = begins[:live] + t
-            to, c1, c2, lane = leaf[at], one[at], two[at], every[:live]
-            cost, node = np.ones(live), np.ones(live, np.int64)
-            bits = [(to >> (shape.depth - 1 - d) & 1).astype(np.float32) for d in range(shape.depth)]
-            for d in range(shape.depth):
-                bit = bits[d]
-                spread, own = spread_of(node), node * lanes + lane
-                s1, s2 = shape.slot(c1, spread), shape.slot(c2, spread)
-                gate = (gate1.take(s1) + gate2.take(s2)) * lanes + lane
-                x0, x1, x2, x3 = order0.take(node), order1.take(s1), order2.take(s2), local.take(own)
-                w0, w1, w2, w3 = w_0.take(gate), w_1.take(gate), w_2.take(gate), w_3.take(gate)
-                p = 1 / (1 + np.exp(-(w0 * x0 + w1 * x1 + w2 * x2 + w3 * x3)))
-                off = bit - np.minimum(np.maximum(p, least), most)
-                cost *= 1 - np.abs(off)
-                step = rate * off
-                w_0[gate] = w0 + step * x0
-                w_1[gate] = w1 + step * x1
-                w_2[gate] = w2 + step * x2
-                w_3[gate] = w3 + step * x3
-                local[own] = x3 + local_rate * (bit - 1 / (1 + np.exp(-x3)))
-                node = (node << 1) + (to >> (shape.depth - 1 - d) & 1)
-            total[:live] += np.log(cost)
+            at, lane, x = begins[:live] + t, lane_of[:live], inputs[:, :, :live]
+            to, sort = leaf.take(at), kind.take(at)
+            path = (to | shape.leaves) >> down
+            up = (to >> bit_of) & 1
+            spread = spreads.take(path)
+            own = path * lanes + lane
+            x[0] = self.order0.take(path)
+            x[1] = self.order1.take(shape.slot(one.take(at), spread))
+            x[2] = self.order2.take(shape.slot(two.take(at), spread))
+            x[3] = local.take(own)
+            some = np.flatnonzero(sort >= 0)
+            x[4] = 0
+            if len(some):
+                awaited = expected.take(at[some])
+                agrees = ((to[some] ^ awaited) >> down) == 0
+                of = sort[some] * ((shape.depth + 1) * lanes) + some
+                held = trust.take(of + level)
+                as_expected = (awaited >> bit_of & 1) == up[:, some]
+                x[4][:, some] = np.where(agrees, np.where(awaited >> bit_of & 1, held, -held), real(0))
+                went = held + match_rate * (as_expected - 1 / (1 + np.exp(-held)))
+                trust[(of + level)[agrees]] = went[agrees]
+            gate = gate_of.take(at) * np.int64(lanes) + lane
+            w = weights[:, gate]
+            p = 1 / (1 + np.exp(-sum(a * b for a, b in zip(w, x, strict=True))))
+            off = up - np.minimum(np.maximum(p, least), most)
+            cost = np.log(1 - np.abs(off)).sum(axis=0, dtype=np.float64)
+            weights[:, gate] = w + rate * np.einsum("dl,kdl->kl", off.astype(real), x)
+            local[own] = x[3] + local_rate * (up - 1 / (1 + np.exp(-x[3])))
+            cost += share.take(at)
+            if len(some) and (reached := some[to[some] == awaited]).size:
+                where = sort[reached] * ((shape.depth + 1) * lanes) + shape.depth * lanes + reached
+                q, is_it, whole = trust.take(where), hit.take(at[reached]), share.take(at[reached])
+                p = 1 / (1 + np.exp(-q))
+                sure = np.minimum(np.maximum(p, least), most).astype(np.float64)
+                cost[reached] += np.where(is_it, np.log(sure) - whole, np.log1p(-sure))
+                trust[where] = q + match_rate * (is_it - p)
+            total[:live] += cost
         out = np.empty(lanes)
         out[order] = total
         return out
 
+    def log_spelling(self, byte: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Natural-log probability of each document's unknown words' bytes. starts: where words begin. Hashed orders 1 and 2 inside the word, and the document's own bits after the byte before, are mixed as tokens are."""
+        shape, real = self.shape, self.shape.real
+        order = np.argsort(-sizes, kind="stable")
+        begins, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        one, two = contexts(byte, starts)
+        lanes, gates, total = len(begins), 2, np.zeros(len(begins))
+        weights = [np.full(gates * lanes, x, real) for x in (0.3, 0.6, 0.3)]
+        local = np.zeros(256 * lanes, real)
+        lane_of, down, bit_of = np.arange(lanes), np.arange(8, 0, -1)[:, None], np.arange(7, -1, -1)[:, None]
+        live_at = np.searchsorted(-sizes, -np.arange(sizes[0] if lanes else 0), side="left")
+        rate, local_rate, least, most = map(real, (shape.rate, shape.local_rate, 1 / 65536, 1 - 1 / 65536))
+        for t, live in enumerate(live_at.tolist()):
+            at, lane = begins[:live] + t, lane_of[:live]
+            to = byte[at]
+            path, bit = (to | 256) >> down, (to >> bit_of & 1).astype(real)
+            spread = spread_of(path)
+            s1, s2, own = shape.slot(one[at], spread), shape.slot(two[at], spread), path * lanes + lane
+            inputs = (self.byte1.take(s1), self.byte2.take(s2), local.take(own))
+            gate = self.byte_gate.take(s2).astype(np.int64)
+            dot = sum(w.take(gate * lanes + lane) * x for w, x in zip(weights, inputs, strict=True))
+            off = bit - np.minimum(np.maximum(1 / (1 + np.exp(-dot)), least), most)
+            total[:live] += np.log((1 - np.abs(off)).astype(np.float64).prod(axis=0))
+            where = (gate * live + lane).ravel()
+            for w, x in zip(weights, inputs, strict=True):
+                w.reshape(gates, lanes)[:, :live] += (rate * np.bincount(where, (off * x).ravel(), gates * live).reshape(gates, live)).astype(real)
+            local[own] = inputs[2] + local_rate * (bit - 1 / (1 + np.exp(-inputs[2])))
+        out = np.empty(lanes)
+        out[order] = total
+        return out
 
-def score_batch(docs, counted, model: Model):
-    """Scores of a batch of documents, given the training count of each of its words."""
+
+def score_batch(docs, answers: list[tuple[int, int, bytes]], model: Model, buckets: int):
+    """Scores of a batch of documents, given what came back for its keys as (kind, bucket, payload)."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    shape = model.shape
-    words, ids, sizes = tokens_of(docs["text"])
-    place = pc.fill_null(pc.index_in(words, value_set=counted["word"].combine_chunks()), 0).to_numpy()  # only the empty string, if any, is not counted
-    c, leaf_by_word = counted["c"].to_numpy()[place], leaf_of(words.to_pylist(), shape)
-    n_bytes = pc.fill_null(pc.binary_length(docs["text"]), 0).to_numpy()
-    n_docs, first = len(sizes), np.cumsum(sizes) - sizes
+    batch = Batch(docs, model.shape, buckets)
+    got = Answers(batch, answers)
+    ids, sizes, n_docs = batch.ids, batch.sizes, len(batch.sizes)
     owner = np.repeat(np.arange(n_docs), sizes)
+    c = got.c
     base = np.log10((c + 0.5) / (model.tokens + 0.5 * (model.words + 1)))
-    inside = np.log10((c + 0.5) / model.leaf_total[leaf_by_word])
-    parts = -(-sizes // shape.segment)
-    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    begins = np.repeat(first, parts) + nth * shape.segment
-    bits = model.log_bits(leaf_by_word[ids], first, begins)
-    score = np.bincount(owner, inside[ids], n_docs) + np.bincount(np.repeat(np.arange(n_docs), parts), bits, n_docs) / np.log(10)
+    share = np.log((c + 0.5) / model.leaf_total[batch.leaf])
+    top, kind = expectations(batch, got)
+    hit = (kind >= 0) & (top == batch.short)
+    awaited = (top & np.uint64(model.shape.leaves - 1)).astype(np.int64)
+    score = model.log_tokens(batch.by_token, share[ids], sizes, awaited, kind, hit) / np.log(10)
+    unknown = np.flatnonzero(c[ids] == 0)
+    byte, starts = spellings(batch.words.take(_indices(ids[unknown])))
+    lengths = np.bincount(owner[unknown], np.diff(np.append(starts, len(byte))), n_docs).astype(np.int64)
+    spelled = np.zeros(n_docs)
+    some = lengths > 0
+    if some.any():
+        spelled[some] = model.log_spelling(byte, lengths[some], starts)
+    n_bytes = pc.fill_null(pc.binary_length(docs["text"]), 0).to_numpy()
     columns = {
         "doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": pa.array(sizes), "n_known": pa.array(np.bincount(owner, c[ids] > 0, n_docs).astype(np.int64)),
         "train_tokens": pa.array(np.full(n_docs, model.tokens)), "base_score": pa.array(np.bincount(owner, base[ids], n_docs)), "score": pa.array(score),
-        "bits_per_byte": pa.array(-score * np.log2(10) / np.maximum(1, n_bytes)),
+        "bits_per_byte": pa.array(-(score * np.log2(10) + spelled / np.log(2)) / np.maximum(1, n_bytes)),
     }
     return pa.table(columns)
 
 
+def totals(answers: DataFrame, shape: Shape) -> list[np.ndarray]:
+    """(bit counts, tokens by leaf, words by leaf) out of the rows for the model: summed up in each task, then by slices of 1024 numbers."""
+    lengths = {SUMS: 2 * shape.leaves + (8 << shape.slots), WORDS: 2 * shape.leaves}
+
+    def partial(batches):
+        import pyarrow as pa
+
+        held = {k: np.zeros(n, np.int64) for k, n in lengths.items()}
+        for b in batches:
+            for kind, payload in zip(b["kind"].to_pylist(), b["payload"].to_pylist(), strict=True):
+                held[kind] += np.concatenate(unpacked(payload))
+        for kind, sums in held.items():
+            parts = -(-len(sums) // 1024)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(parts, kind, np.int32)), pa.array(np.arange(parts, dtype=np.int32)), pa.array([sums[1024 * k : 1024 * k + 1024].tobytes() for k in range(parts)], pa.binary())], ["kind", "part", "sums"]
+            )
+
+    def add(table):
+        import pyarrow as pa
+
+        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table["sums"])
+        return table.slice(0, 1).set_column(2, "sums", pa.array([total.tobytes()], pa.binary()))
+
+    told = "kind int, part int, sums binary"
+    parts = answers.where("batch < 0").select("kind", "payload").mapInArrow(partial, told).groupBy("kind", "part").applyInArrow(add, told).collect()
+    out = {k: np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r.sums, np.int64) for r in sorted(parts, key=lambda r: r.part) if r.kind == k]]) for k in lengths}
+    out = {k: x if len(x) else np.zeros(lengths[k], np.int64) for k, x in out.items()}
+    return [out[SUMS], out[WORDS][: shape.leaves], out[WORDS][shape.leaves :]]
+
+
 def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", shape: Shape | None = None, batch_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), one row for each row of ``docs``.
 
-    Tokens are words lower-cased in A-Z, then one end. The model learns from all rows outside ``held_out``:
-    counts of every word, and counts of every bit decision under each hashed context, summed over Spark's
-    shuffle. base_score is that of the unigram model with 0.5 added; score is the mixed model's log10
-    probability of the text: that of each word's path to its leaf, times its share of the leaf. A word that
-    was not seen takes a share of 0.5 counts of its leaf. A row's score depends on the trained model and
-    its own text only: the mixing weights start anew every ``shape.segment`` tokens.
+    Tokens are words lower-cased in A-Z, then one end. The model learns from all rows outside ``held_out``. base_score is that of the
+    unigram model with 0.5 added; score is the mixed model's log10 probability of the text's tokens, words without a training count being
+    one token as they are there, with a share of 0.5 counts of their leaf. bits_per_byte also counts the spelling of those words. Of what follows
+    two words, a training document's score does not use what only the document itself says. A row's score
+    depends on the trained model and its own text only; weights and the document's own predictor go on through the whole text.
 
-    Documents are dealt by hash into batches of about ``batch_bytes``; a batch meets the counts of its own words only, so no task holds
-    the vocabulary, which grows with the corpus. The context tables, of a size set by ``shape``, are broadcast.
+    Documents are dealt by hash into batches of about ``batch_bytes``, long ones among themselves and twice as large, so that those of a batch are of
+    like length. Buckets of keys grow in number with the text. The low-order tables, of a size set by ``shape``, are broadcast.
 
     Null text counts as empty (one token, the end); null ids are never held out; repeated rows repeat.
-    Without training rows all probabilities come from the added 0.5. An empty table gives no rows. Other columns are ignored.
+    Without training rows all probabilities come from what is added. An empty table gives no rows. Other columns are ignored.
     """
     shape = shape or Shape()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
-    n_batches = max(1, -(-int(size) // batch_bytes))
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64(F.lit(9), "doc_id", F.crc32("text")), F.lit(n_batches)).cast("int"))
-    tallied = stored(rows.groupBy("batch").applyInArrow(lambda t: tally(t, shape), TALLY))
-    words = tallied.where("word is not null").select("batch", "word", "n")
-    vocabulary = stored(words.groupBy("word").agg(F.sum("n").alias("c")))
+    length = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    kinds = [length <= 4096, (length > 4096) & (length <= 16_384), length > 16_384]
+    held = rows.agg(*[F.sum(F.when(k, length)) for k in kinds]).first()
+    counts = [-(-(x or 0) // (batch_bytes << (i == 2))) for i, x in enumerate(held)]
+    buckets = max(1, sum(x or 0 for x in held) // (2 * batch_bytes))
+    own = F.xxhash64(F.lit(9), "doc_id", F.crc32("text"))
+    deal = lambda i: F.pmod(own, F.lit(max(1, counts[i]))) + sum(counts[:i])
+    rows = rows.withColumn("batch", F.when(kinds[0], deal(0)).when(kinds[1], deal(1)).otherwise(deal(2)).cast("long"))
+
+    def send(table):
+        import pyarrow as pa
 
-    def add(table):
+        batch = table["batch"][0].as_py()
+        sent = [*Batch(table, shape, buckets).sent()]
+        return pa.table({"batch": pa.array([batch] * len(sent), pa.int64()), "bucket": pa.array([x[0] for x in sent], pa.int64()), "kind": pa.array([x[1] for x in sent], pa.int32()), "payload": pa.array([x[2] for x in sent], pa.binary())})
+
+    def answer(table):
         import pyarrow as pa
 
-        total = sum(np.frombuffer(x.as_buffer(), "<u4").astype(np.int64) for x in table["counts"])
-        return pa.table({"part": table["part"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
-
-    parts = tallied.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part int, sums binary").collect()
-    sums = np.concatenate([np.frombuffer(r.sums, "<i8") for r in sorted(parts, key=lambda r: r.part)]) if parts else np.zeros(2 * shape.leaves + (4 << shape.slots), np.int64)
-    leaf_tokens, leaf_words = np.zeros(shape.leaves, np.int64), np.zeros(shape.leaves, np.int64)
-    for r in vocabulary.where("c > 0").groupBy(F.xxhash64("word").bitwiseAND(F.lit(shape.leaves - 1)).alias("leaf")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
-        leaf_tokens[r.leaf], leaf_words[r.leaf] = r.c, r.n
-    model = docs.sparkSession.sparkContext.broadcast(Model(shape, sums, leaf_tokens, leaf_words))
-    known = words.select("batch", "word").join(vocabulary, "word").select("batch", "word", "c")
-    return rows.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(lambda d, k: score_batch(d, k, model.value), SCORED)
+        bucket, kind = table["bucket"][0].as_py(), table["kind"][0].as_py()
+        told = answered(table["batch"].to_pylist(), table["payload"].to_pylist(), kind, shape)
+        return pa.table({"batch": pa.array([x[0] for x in told], pa.int64()), "bucket": pa.array([bucket] * len(told), pa.int64()), "kind": pa.array([x[1] for x in told], pa.int32()), "payload": pa.array([x[2] for x in told], pa.binary())})
+
+    answers = stored(rows.groupBy("batch").applyInArrow(send, SENT).groupBy("kind", "bucket").applyInArrow(answer, SENT))
+    model = docs.sparkSession.sparkContext.broadcast(Model(shape, *totals(answers, shape)))
+
+    def score(documents, told):
+        return score_batch(documents, [*zip(told["kind"].to_pylist(), told["bucket"].to_pylist(), told["payload"].to_pylist(), strict=True)], model.value, buckets)
+
+    return rows.groupBy("batch").cogroup(answers.where("batch >= 0").groupBy("batch")).applyInArrow(score, SCORED)
