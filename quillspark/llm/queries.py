@@ -45,7 +45,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed_sizes(documents(spark, sf_dir))
+    return mixing.mixed_sizes(documents(spark, sf_dir)).drop("draw")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
