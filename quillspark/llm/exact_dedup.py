@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from quillspark.llm.common import fold
+from quillspark.llm.common import fold, own_names
 
 
 def grouped(rows: DataFrame, keep: str) -> DataFrame:
@@ -39,12 +39,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of ``docs`` that stay by ``exact_duplicates``, with all their columns. Rows that repeat a kept id and its text stay once, as do equal texts that all lack an id."""
+    """The rows of ``docs`` that stay by ``exact_duplicates``, with all their columns, whatever their names. Rows that repeat a kept id and its text stay once, as do equal texts that all lack an id."""
     rows = docs.select(F.col(id_col).alias("doc_id"), fold(F.col(text_col)).alias("folded"))
-    key = lambda named, sha: F.concat_ws(" ", sha, named.cast("string"))
-    stay = grouped(rows, keep).select(key(F.col("keep_id"), F.col("text_sha256")).alias("__key"))
-    keyed = docs.withColumn("__key", key(F.col(id_col), F.sha2(fold(F.col(text_col)), 256)))
-    return keyed.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    named = lambda of, sha: F.concat_ws(" ", sha, of.cast("string"))
+    key, turn = own_names(docs, "key", "turn")
+    stay = grouped(rows, keep).select(named(F.col("keep_id"), F.col("text_sha256")).alias(key))
+    keyed = docs.withColumn(key, named(F.col(id_col), F.sha2(fold(F.col(text_col)), 256))).join(stay, key, "left_semi")
+    # The window meets rows where the join has sorted them; no row moves again.
+    return keyed.withColumn(turn, F.row_number().over(W.partitionBy(key).orderBy(key))).where(F.col(turn) == 1).select(docs.columns)
 
 
 OP4_SQL = """
