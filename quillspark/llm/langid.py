@@ -108,14 +108,18 @@ def costs(texts: list[bytes], of: list[tuple[str, Automaton]], segment: int = 51
     return found * np.array([x.bits for _, x in of]) / np.maximum(1, sizes)[:, None]
 
 
-def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, held_out: Column, docs_per_lang: int) -> DataFrame:
-    """(lang, h, piece) of labelled rows outside ``held_out`` that have a letter: about ``docs_per_lang`` a language, drawn by hash of the id."""
+def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, held_out: Column, docs_per_lang: int, train_bytes: int) -> DataFrame:
+    """(lang, h, piece) of labelled rows outside ``held_out`` that have a letter: about ``docs_per_lang`` a language, drawn by hash of the id.
+
+    A piece comes from the middle of its text; the fewer rows a language has, the longer it is, so that together they can fill ``train_bytes``.
+    """
     able = docs.where(~held_out & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     rows = able.select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit(3), F.col(id_col)).alias("h"), F.col(text_col).alias("text"))
     counts = rows.groupBy("lang").count()
     drawn = F.shiftrightunsigned("h", 12).cast("double") * F.col("count") < F.lit(1.25 * docs_per_lang + 8) * float(1 << 52)
-    middle = F.greatest(F.lit(1), F.floor(F.char_length("text") / 2) - 128).cast("int")
-    return rows.join(F.broadcast(counts), "lang").where(drawn).select("lang", "h", F.substring(F.col("text"), middle, F.lit(256)).alias("piece"))
+    long = F.greatest(F.lit(256), F.ceil(F.lit(2 * train_bytes) / F.col("count"))).cast("int")
+    middle = F.greatest(F.lit(1), F.floor((F.char_length("text") - long) / 2)).cast("int")
+    return rows.join(counts, "lang").where(drawn).select("lang", "h", F.substring(F.col("text"), middle, long).alias("piece"))
 
 
 def learn(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -123,16 +127,19 @@ def learn(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     """(lang, training text) by code point of the language.
 
     The classifier's sample is bounded: from each language about ``docs_per_lang`` labelled documents, a
-    piece from the middle of each, ``train_bytes`` bytes in all. That bound (and the number of languages)
-    is all that reaches the driver.
+    piece from the middle of each, ``train_bytes`` bytes in all; a language with few documents gives longer pieces of them.
+    That bound (and the number of languages) is all that reaches the driver.
     """
     by: dict[str, list[tuple[int, bytes]]] = {}
-    for lang, h, piece in training_rows(docs, id_col, text_col, lang_col, held_out, docs_per_lang).collect():
+    for lang, h, piece in training_rows(docs, id_col, text_col, lang_col, held_out, docs_per_lang, train_bytes).collect():
         by.setdefault(lang, []).append((h, spelled(piece)))
     out = []
     for lang, pieces in sorted(by.items(), key=lambda x: x[0].encode()):
-        each = max(16, train_bytes // len(pieces))
-        out.append((lang, b"".join(p[:each] for _, p in sorted(pieces))[:train_bytes]))
+        text, left = [], train_bytes
+        for k, (_, p) in enumerate(sorted(pieces)):
+            text.append(p[: max(16, left // (len(pieces) - k))])  # what short pieces leave, later ones may take
+            left -= len(text[-1])
+        out.append((lang, b"".join(text)[:train_bytes]))
     return tuple(out)
 
 
