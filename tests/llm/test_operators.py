@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -18,10 +20,10 @@ from quillspark.llm.common import tokenizer
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names operators use inside.
-CLASH = ("h", "folded", "batch", "bucket", "group", "size", "draw", "shard", "slot", "word", "key", "fp", "label", "held_out", "keep_id", "run")
+CLASH = ("h", "__h", "__bucket", "__key", "key", "turn", "__at", "at", "folded", "batch", "bucket", "group", "size", "draw", "shard", "slot", "word", "fp", "label", "held_out", "keep_id", "run")
 ODD = [
     (5, None, None, None, None), (3, "", "en", "a", 0), (9, "", "en", "a", 0), (1, "Hello World", "en", "a", 11), (7, "hELLO wORLD", "en", "b", 11), (8, "Éa", "fr", "b", 2), (2, "éa", "fr", None, 2),
-    (4, "x " * 9000, "de", "c", 18000), (6, "one two three four", "en", "c", 18), (6, "one two three four", "en", "c", 18), (None, "no id", "en", "a", 5), (10, " \t\n ", "en", "a", 4), (11, "1 2 3", "en", "b", 5),
+    (4, "x " * 9000, "de", "c", 18000), (6, "one two three four", "en", "c", 18), (6, "one two three four", "en", "c", 18), (None, "no id", "en", "a", 5), (10, " \t\n ", "en", "a", 4), (11, "1 2 3", "en", "b", 5), (12, "a <|endoftext|> b\n\n  c", "en", "b", 22),
 ]
 
 
@@ -96,7 +98,7 @@ def test_near_duplicates(spark, odd, none):
     key = lambda x: (x[0] is None, x[0] or 0, x[1])
     want = sorted(((r[0], f"{f:016x}", least[p]) for r, f, p in zip(rows, fps, part, strict=True)), key=key)
     assert sorted(map(tuple, got.collect()), key=key) == want
-    assert simhash.near_duplicates(none).count() == 0 and simhash.drop_near_duplicates(odd).columns == odd.columns
+    assert simhash.near_duplicates(none).count() == 0
 
 
 @settings(max_examples=30, deadline=None)
@@ -128,14 +130,21 @@ def test_tiled_buckets_lose_no_link(spark):
 def test_tokenizer_equals_the_library():
     tok = tokenizer(queries.bpe())
     rng = random.Random(1)
-    parts = ["a", "the", " ", "Zé", "'s", ".", ",", "###", "-", "\n", "\t", "\r", "\x85", "\xa0", " ", "一", "²", "1", "<|endoftext|>", "\x00", "don't", "ß"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(4000)] + ["", " ", "\n", " a", "a ", "a\n", "\na"]
-    want = [np.array(e.ids, "<u4").tobytes() for e in tok.of.encode_batch(texts, add_special_tokens=False)]
+    parts = ["a", "the", " ", "Zé", "'s", ".", ",", "###", "-", "\n", "\t", "\r", "\x85", "\xa0", " ", "一", "²", "1", "<|endoftext|>", "\x00", "don't", "ß", "ª", "\x1c", "  ", "\n\n", "('"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(4000)] + ["", " ", "\n", " a", "a ", "a\n", "\na", "a  ", "\n\n", " \n "]
+    want = [np.array(e.ids, "<u4").tobytes() for e in fresh().encode_batch(texts, add_special_tokens=False)]
     assert tok.encode(pa.array(texts)) == want and tok.encode(pa.array([None, "a"], pa.string()))[0] == b""
 
 
+@functools.cache
+def fresh():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(queries.bpe())
+
+
 def ids_of(text, end):
-    return np.array([*tokenizer(queries.bpe()).of.encode(text or "", add_special_tokens=False).ids, end], "<u4")
+    return np.array([*fresh().encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
 @settings(max_examples=40, deadline=None)
@@ -205,26 +214,46 @@ def fair(sizes, weights, most):
         capped |= over
 
 
+def queue(rows, most, packet, draws):
+    """taken by row of a sequential queue: packets of all copies by finish time, served until the budget is used up."""
+    words = lambda t: len((t or "").encode().split())
+    by = {}
+    for n, r in enumerate(rows):
+        by.setdefault(r.source, []).append(n)
+    sizes = [words(r.text) for r in rows]
+    want = fair({s: sum(sizes[n] for n in v) for s, v in by.items()}, mixing.WEIGHTS, most)
+    entries = []
+    for s, v in by.items():
+        v = sorted(v, key=lambda n: (draws[n] % 2**64 >> 1, draws[n], rows[n].doc_id is not None, rows[n].doc_id or 0, sizes[n]))
+        at = 0
+        for _ in range(most):
+            for n in v:
+                for k in range(0, sizes[n], packet):
+                    w = min(packet, sizes[n] - k)
+                    at += w
+                    entries.append((at / want[s], draws[n], w, n))
+    left, taken = sum(sizes), [0] * len(rows)
+    for _, _, w, n in sorted(entries):
+        taken[n] += min(w, left)
+        left -= min(w, left)
+    return sizes, want, taken
+
+
 def test_mixing(spark, odd, none):
     for df in (odd, docs_of(spark, 400), docs_of(spark, 60, 5).withColumn("source", F.concat("source", F.col("doc_id") % 9))):
-        rows = df.collect()
-        words = lambda t: len([x for x in (t or "").replace("\t", " ").replace("\n", " ").split(" ") if x])
-        sizes = {}
-        for r in rows:
-            sizes[r.source] = sizes.get(r.source, 0) + words(r.text)
-        want = fair(sizes, mixing.WEIGHTS, 3)
-        got = mixing.mixed_sizes(df, run_rows=5).collect()
-        assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r["size"] for r in got)
-        by = {}
-        for r in got:
-            by.setdefault((r.source_size, round(r.target, 6)), []).append(r.taken)
-        for s in sizes:
-            assert (sizes[s], round(want[s], 6)) in by
-        assert sum(r.taken for r in got) <= sum(sizes.values()) and abs(sum(r.taken for r in got) - sum(math.floor(x) for x in want.values())) <= len(want)
-        again = {(r.doc_id, r.taken) for r in mixing.mixed_sizes(df.repartition(5), run_rows=50).collect()}
-        assert again == {(r.doc_id, r.taken) for r in got}
-    mixed = mixing.mix(odd)
-    assert mixed.columns == odd.columns and mixed.where("text is null").count() == 0
+        rows = df.withColumn("drawn", mixing.draw(17, F.col("doc_id"), F.col("text"))).collect()
+        sizes, want, taken = queue(rows, 3, 16, [r.drawn for r in rows])
+        got = mixing.mixed_sizes(df, packet=16, range_rows=7, run_rows=5).collect()
+        assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r["size"] for r in got) and sum(r.taken for r in got) == sum(sizes)
+        key = lambda i, n, t, k: (i or -1, n, round(t, 6), k)
+        assert sorted(key(r.doc_id, r["size"], r.target, r.taken) for r in got) == sorted(key(r.doc_id, n, want[r.source], k) for r, n, k in zip(rows, sizes, taken, strict=True))
+        for s, t in want.items():
+            assert abs(sum(k for r, k in zip(rows, taken, strict=True) if r.source == s) - t) <= 17
+        again = mixing.mixed_sizes(df.repartition(5), packet=16, range_rows=1000, run_rows=50).collect()
+        assert sorted((r.doc_id or -1, r.taken) for r in again) == sorted((r.doc_id or -1, r.taken) for r in got)
+    clash = odd.withColumns({c: F.lit("x") for c in ("at", "copies", "id", "copy", "taken", "target", "range")})
+    mixed = mixing.mix(clash)
+    assert mixed.columns == clash.columns and mixed.where("text is null").count() == 0
     assert mixing.mixed_sizes(none).count() == 0 and mixing.mix(none).count() == 0
 
 
@@ -311,22 +340,138 @@ def test_language_model_base_and_gain(spark, odd, none):
     assert sorted((r.doc_id or -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     assert all(r.score < 0 and math.isfinite(r.score) and r.bits_per_byte > 0 for r in got)
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
-    again = context_mixing.scored(df.repartition(5), out, batch_bytes=9000).collect()
+    again = context_mixing.scored(df.repartition(5), out, batch_bytes=90_000).collect()
     assert sorted(round(r.score, 3) for r in again) == sorted(round(r.score, 3) for r in got)
     assert context_mixing.scored(none, out).count() == 0
 
 
+def plain_scores(rows, held, shape):
+    """score by loops over documents, tokens and decisions, from counts in dictionaries."""
+    from xxhash import xxh64_intdigest
+
+    tokens = {n: [*(r.text or "").encode().lower().split(), b"\n"] for n, r in enumerate(rows)}
+    h = lambda w: xxh64_intdigest(w, 42)
+    leaf = lambda w: h(w) % shape.leaves
+    u32 = lambda x: x & 0xFFFFFFFF
+    counts, node, slots, follow = {}, {}, [{}, {}], {}
+
+    def places(n, t):
+        p1 = leaf(tokens[n][t - 1]) + 1 if t else 0
+        p2 = leaf(tokens[n][t - 2]) + 1 if t > 1 else 0
+        one = u32((p1 + 1) * 0xC2B2AE35)
+        two = u32((one ^ u32((p2 + 7) * 0x27D4EB2F)) * 0x165667B1)
+        slot = lambda c, v: u32((c ^ u32(v * 0x9E3779B1)) * 0x85EBCA6B) >> (32 - shape.slots)
+        x = leaf(tokens[n][t])
+        path = [(x | shape.leaves) >> (shape.depth - d) for d in range(shape.depth)]
+        bits = [x >> (shape.depth - 1 - d) & 1 for d in range(shape.depth)]
+        return path, bits, [slot(one, v) for v in path], [slot(two, v) for v in path], lambda v: (slot(one, v), slot(two, v))
+
+    pair = lambda n, t: (tokens[n][t - 2] if t > 1 else None, tokens[n][t - 1] if t else None)
+    short = lambda w: h(w) % 2**24
+    for n, r in enumerate(rows):
+        if held(r.doc_id):
+            continue
+        for t, w in enumerate(tokens[n]):
+            counts[w] = counts.get(w, 0) + 1
+            path, bits, s1, s2, _ = places(n, t)
+            for v, bit, a, b in zip(path, bits, s1, s2, strict=True):
+                for table, key in ((node, v), (slots[0], a), (slots[1], b)):
+                    seen, ones = table.get(key, (0, 0))
+                    table[key] = seen + 1, ones + bit
+            after = follow.setdefault(pair(n, t), {})
+            after.setdefault(short(w), []).append(n)
+    total = {}
+    for w, c in counts.items():
+        total[leaf(w)] = total.get(leaf(w), 0) + c + 0.5
+    logit = lambda x: min(12, max(-12, math.log((x[1] + 0.4) / (x[0] - x[1] + 0.4))))
+    sigma = lambda x: 1 / (1 + math.exp(-x))
+    clip = lambda p: min(max(p, 1 / 65536), 1 - 1 / 65536)
+    out = []
+    for n, r in enumerate(rows):
+        w8 = [list(shape.start) for _ in range(8)]
+        local, trust, score = {}, {}, 0.0
+        for t, w in enumerate(tokens[n]):
+            path, bits, s1, s2, at = places(n, t)
+            awaited, kind = None, -1
+            after = follow.get(pair(n, t), {})
+            if sum(map(len, after.values())) > 1:
+                best = min(after, key=lambda x: (-len(after[x]), x))
+                own = not held(r.doc_id)
+                times = sum(m != n for m in after[best]) if own else len(after[best])
+                every = sum(m != n for v in after.values() for m in v) if own else sum(map(len, after.values()))
+                if times:
+                    awaited = best
+                    kind = sum(times >= x for x in (2, 4, 16)) + (0 if 2 * times >= every else 4)
+            g1, g2 = at((leaf(w) | shape.leaves) >> (shape.depth - shape.depth // 2))
+            gate = (slots[0].get(g1, (0, 0))[0] >= 32) + 2 * (slots[1].get(g2, (0, 0))[0] >= 32) + 4 * (kind >= 0)
+            step = [0.0] * 5
+            moves = []
+            for d, (v, bit, a, b) in enumerate(zip(path, bits, s1, s2, strict=True)):
+                x = [logit(node.get(v, (0, 0))), logit(slots[0].get(a, (0, 0))), logit(slots[1].get(b, (0, 0))), local.get(v, logit(node.get(v, (0, 0)))), 0.0]
+                if kind >= 0 and (awaited % shape.leaves ^ leaf(w)) >> (shape.depth - d) == 0:
+                    e = context_mixing.EXPECTED[kind]
+                    right, reach = e + (1 - e) * 0.5 ** (d + 1), e + (1 - e) * 0.5**d
+                    q = trust.get((kind, d), math.log(right / (reach - right)))
+                    up = awaited % shape.leaves >> (shape.depth - 1 - d) & 1
+                    x[4] = q if up else -q
+                    moves.append(((kind, d), q + shape.match_rate * ((up == bit) - sigma(q))))
+                off = bit - clip(sigma(sum(p * q for p, q in zip(w8[gate], x, strict=True))))
+                score += math.log(1 - abs(off))
+                step = [s + off * y for s, y in zip(step, x, strict=True)]
+                local[v] = x[3] + shape.local_rate * (bit - sigma(x[3]))
+            w8[gate] = [p + shape.rate * s for p, s in zip(w8[gate], step, strict=True)]
+            trust.update(moves)
+            share = math.log((counts.get(w, 0) + 0.5) / (total.get(leaf(w), 0) + 0.5))
+            if kind >= 0 and awaited % shape.leaves == leaf(w):
+                e = context_mixing.EXPECTED[kind] * 0.98
+                q = trust.get((kind, -1), math.log(e / (1 - e)))
+                p = clip(sigma(q))
+                score += math.log(p) if short(w) == awaited else math.log1p(-p) + share
+                trust[kind, -1] = q + shape.match_rate * ((short(w) == awaited) - sigma(q))
+            else:
+                score += share
+        out.append(score / math.log(10))
+    return out
+
+
+def test_language_model_equals_plain_loops(spark):
+    shape = context_mixing.Shape(depth=6, slots=9, real=np.float64)
+    df = docs_of(spark, 24, words=("alpha", "beta", "gamma", "delta", "Eps.", "z", "eta", "theta")).unionByName(spark.createDataFrame([(100, "one two three four five", "en", "a", 0), (101, "one two three four six", "en", "a", 0), (102, None, "en", "a", 0), (103, "odd", "en", "a", 0)], DDL))
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    rows = sorted(df.collect(), key=lambda r: r.doc_id)
+    got = {r.doc_id: r.score for r in context_mixing.scored(df, F.crc32(F.col("doc_id").cast("string")) % 5 == 1, shape=shape, batch_bytes=700).collect()}
+    for r, want in zip(rows, plain_scores(rows, held, shape), strict=True):
+        assert got[r.doc_id] == pytest.approx(want, rel=1e-6), r.doc_id
+
+
 def test_mixed_probabilities_of_a_token_add_up():
-    """Over all leaves and, in a leaf, over its words and the unseen one."""
-    shape = context_mixing.Shape(depth=3, slots=6)
+    """Over all leaves and, in a leaf, over its words and the unseen one; with an expected word and without."""
+    shape = context_mixing.Shape(depth=3, slots=6, real=np.float64)
     rng = np.random.default_rng(5)
-    sums = np.concatenate([np.sort(rng.integers(0, 50, (2, 8)), axis=0)[::-1].ravel(), *[np.sort(rng.integers(0, 40, (2, 64)), axis=0)[::-1].ravel() for _ in range(2)]])
+    counts = lambda n, most: np.sort(rng.integers(0, most, (2, n)), axis=0)[::-1].ravel()
+    sums = np.concatenate([counts(8, 50), *[counts(64, 40) for _ in range(4)]])
     model = context_mixing.Model(shape, sums, np.full(8, 9), np.full(8, 2))
-    total = 0
-    for leaf in range(8):
-        total += math.exp(model.log_bits(np.array([3, 1, leaf]), np.array([0]), np.array([0]))[0] - model.log_bits(np.array([3, 1]), np.array([0]), np.array([0]))[0])
-    assert total == pytest.approx(1, abs=1e-3)
-    assert (5 + 0.5 + 4 + 0.5 + 0.5) / model.leaf_total[0] == 1
+    told = lambda leaf, share, expected, kind, hit: model.log_tokens(np.array(leaf), np.array(share), np.array([len(leaf)]), np.array(expected), np.array(kind), np.array(hit))[0]
+    shares = [math.log((c + 0.5) / model.leaf_total[0]) for c in (5, 4, 0)]
+    assert sum(map(math.exp, shares)) == pytest.approx(1)
+    start = told([3, 1], [0.0, 0.0], [0, 1], [-1, 2], [False, True])
+    for kind in (-1, 2):
+        total = 0
+        for leaf in range(8):
+            for k, share in enumerate(shares):
+                total += math.exp(told([3, 1, leaf], [0.0, 0.0, share], [0, 1, 6], [-1, 2, kind], [False, True, False]) - start)
+            if kind >= 0 and leaf == 6:
+                total += math.exp(told([3, 1, leaf], [0.0, 0.0, 0.0], [0, 1, 6], [-1, 2, kind], [False, True, True]) - start)
+        assert total == pytest.approx(1, abs=1e-3)
+
+
+def test_spelling_probabilities_add_up():
+    shape = context_mixing.Shape(depth=3, slots=6, real=np.float64)
+    rng = np.random.default_rng(8)
+    sums = np.concatenate([np.sort(rng.integers(0, 50, (2, n)), axis=0)[::-1].ravel() for n in (8, 64, 64, 64, 64)])
+    model = context_mixing.Model(shape, sums, np.full(8, 9), np.full(8, 2))
+    told = lambda *byte: model.log_spelling(np.array(byte), np.array([len(byte)]), np.array([0]))[0]
+    assert sum(math.exp(told(97, x) - told(97)) for x in range(256)) == pytest.approx(1, abs=1e-3)
 
 
 def test_automaton_finds_longest_matches():
@@ -359,14 +504,38 @@ def test_language_id_held_out(spark, odd, none):
 
 
 def test_licenses(spark, odd, none):
-    mit = licenses.TEXTS["MIT"]
+    mit = licenses.TEXTS["MIT"][0]
     rows = [(1, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace(",", " ;"), "", "", 0), (2, "text\nReleased under the MIT Licence!\nAll rights reserved.", "", "", 0), (3, "Licensed under CC BY-NC 4.0", "", "", 0),
             (4, mit + " more", "", "", 0), (5, "Copyright 2020 X", "", "", 0), (6, "released under the mit license\nLICENSED under the Apache License, Version 2.0", "", "", 0)]
     got = {r.doc_id: (r.licenses, r.n_hits, r.whole_text) for r in licenses.scan(spark.createDataFrame(rows, DDL), licenses.known(spark)).collect()}
-    assert got == {1: ("MIT", 1, True), 2: ("MIT", 1, False), 3: ("CC-BY-NC-4.0", 1, True), 4: (None, 0, False), 5: (None, 0, False), 6: ("Apache-2.0,MIT", 2, False)}
+    assert got == {1: ("MIT", 1, True), 2: ("MIT", 1, False), 3: ("CC-BY-NC-4.0", 1, False), 4: (None, 0, False), 5: (None, 0, False), 6: ("Apache-2.0,MIT", 2, False)}
     assert licenses.scan(odd, licenses.known(spark)).where("n_hits = 0").count() == len(ODD) and licenses.scan(none, licenses.known(spark)).count() == 0
 
 
+def test_licenses_at_any_width_with_and_without_title(spark):
+    import textwrap
+
+    rows, want = [], []
+    for name, text, whole in licenses.library():
+        text = "\n".join(x for x in text.split("\n") if not re.match(r"\s*copyright( \(c\)| \[yyyy\])", x.lower()))
+        for width in (range(40, 121) if name in ("MIT", "ISC", "Unlicense") and len(text) < 3000 else (48, 61, 72, 80, 100)) if whole else ():
+            lines = [x for p in text.split("\n\n") for x in [*textwrap.wrap(" ".join(p.split()), width, break_on_hyphens=False, break_long_words=False), ""]]
+            if any(x.lower().startswith("copyright (c)") for x in lines):
+                continue  # an example of a statement inside the text has come to stand like one
+            rows.append((len(rows), "Copyright (C) 2021, 2022 Jane Doe <jane@x.org>\n\u00a9 Others\ncopyright John Roe\n\n" + "\n".join(lines), "", "", 0))
+            want.append(name)
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, DDL), licenses.known(spark)).collect()}
+    missed = [(name, rows[i][1][:90]) for i, name in enumerate(want) if name not in (got[i].licenses or "").split(",") or not got[i].whole_text]
+    assert not missed, (len(missed), missed[:5])
+
+
+def test_spellings_and_copyright_statements(spark):
+    lines = ["licence licence", "The Licence favours behaviour", "COPYRIGHT HOLDERS BE LIABLE", "copyright notice and this permission", "Copyright (c) notice", " * Copyright Jane", "(c) You must retain", "(c) 2020 X", "All rights reserved.", "all rights reserved to them", "Copyright 1999 holders"]
+    want = ["license license", "the license favours behavior", "copyright holders be liable", "copyright notice and this permission", "", "", "c you must retain", "", "", "all rights reserved to them", ""]
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, t string")
+    assert [r.x for r in df.select("i", licenses.plain(F.col("t")).alias("p")).select("i", licenses.spelled(F.col("p")).alias("x")).orderBy("i").collect()] == want
+
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -387,17 +556,18 @@ def test_pipeline_stage_by_stage(spark, odd):
         last[key] = r if key not in last or (r.doc_id or -1) > (last[key].doc_id or -1) else last[key]
     assert sorted(map(str, c)) == sorted(str(r) for r in last.values())
     d = (near := stages["simhash_near_dedup"](spark, kept, "").persist()).collect()
-    fps = {r: plain_fingerprint(r.text) for r in c}
+    split = {r: fold(r.text).encode().split() for r in c}
+    shingled = {r: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for r, w in split.items()}
     part = {r: r for r in c}
     for x in c:
         for y in c:
-            if x is not y and (fps[x] ^ fps[y]).bit_count() <= 2 and part[x] is not part[y]:
+            if x is not y and part[x] is not part[y] and len(shingled[x] & shingled[y]) >= 0.8 * len(shingled[x] | shingled[y]):
                 old, new = part[x], part[y]
                 part = {r: new if q is old else q for r, q in part.items()}
     groups = {}
     for r in c:
         groups.setdefault(part[r], []).append(r)
-    want = [r for g in groups.values() for r in g if r.doc_id is None or r.doc_id == min(q.doc_id for q in g if q.doc_id is not None)]
+    want = [min(g, key=lambda r: (r.doc_id is None, r.doc_id)) for g in groups.values()]
     assert sorted(map(str, d)) == sorted(map(str, want))
     e = (mixed := stages["mixing"](spark, near, "").persist()).collect()
     words = lambda t: len(t.encode().split())
@@ -407,7 +577,7 @@ def test_pipeline_stage_by_stage(spark, odd):
     for r in e:
         got[r.source] = got.get(r.source, 0) + words(r.text)
     largest = {s: max(words(r.text) for r in d if r.source == s) for s in sizes}
-    assert all(abs(got.get(s, 0) - t) <= largest[s] / 2 + 1 for s, t in fair(sizes, mixing.WEIGHTS, 3).items()) and {str(r) for r in e} <= {str(r) for r in d}
+    assert all(abs(got.get(s, 0) - t) <= largest[s] / 2 + 129 for s, t in fair(sizes, mixing.WEIGHTS, 3).items()) and {str(r) for r in e} <= {str(r) for r in d}
     from collections import Counter
 
     assert max(Counter(map(str, e)).values()) <= 3
