@@ -28,12 +28,16 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     starts, ends = starts[: -(shingle - 1) or None].tolist(), ends[shingle - 1 :].tolist()
+    hashes = np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts))
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray, at_once: int = 65_536) -> int:
+    """The fingerprint of ``hashes``: bit i is 1 if set in over half of them."""
     set_in = np.zeros(BITS, np.int64)
-    for at in range(0, len(starts), 65_536):
-        hashes = [xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[at : at + 65_536], ends[at : at + 65_536], strict=True)]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        set_in += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * set_in > len(starts), bitorder="little").view("<u8")[0])
+    for at in range(0, len(hashes), at_once):
+        set_in += np.unpackbits(hashes[at : at + at_once].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * set_in > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -208,9 +212,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
     named = cut(rooted.join(names, "component").select("fp", "component_id"))
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose id names its component: one document of each group. Rows without an id stay."""
-    gone = near_duplicates(docs, id_col, text_col, **how).where("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
