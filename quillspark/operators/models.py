@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quillspark.functions.answers import keywords_of, label_of, summary_of
 from quillspark.operators.filters import needs_classification
 
 # Cue phrases of the primary labels; stand-ins for a trained model, whose labels they do not reproduce.
@@ -79,45 +80,28 @@ def metrics(df: DataFrame, truth: str, guess: str) -> DataFrame:
     return rows.agg(F.sum("support").alias("n"), (F.sum("hit") / F.sum("support")).alias("accuracy"), (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1"))
 
 
-def _embedded(text: str, opening: str) -> list:
-    """JSON values that begin with ``opening``, in order."""
-    import json
+def two_heads(df: DataFrame, first: tuple[str, str], second: tuple[str, str]) -> DataFrame:
+    """(accuracy_1, f1_1, accuracy_2, f1_2, accuracy, f1): ``metrics`` of two (truth, guess) pairs and their means."""
+    both = [metrics(df, *pair).select(F.col("accuracy").alias(f"accuracy_{k}"), F.col("weighted_f1").alias(f"f1_{k}")) for k, pair in enumerate((first, second), 1)]
+    rows = both[0].join(F.broadcast(both[1]), F.lit(True))  # one row each
+    return rows.withColumns({x: (F.col(f"{x}_1") + F.col(f"{x}_2")) / 2 for x in ("accuracy", "f1")})
 
-    found, decoder = [], json.JSONDecoder()
-    for at, c in enumerate(text):
-        if c == opening:
-            try:
-                found.append(decoder.raw_decode(text, at)[0])
-            except ValueError:
-                continue
-    return found
 
+def classified_items(items: DataFrame, heads: dict[str, DataFrame], id_col: str = "id") -> DataFrame:
+    """``items`` with a label and <label>_confidence for each head (id, label, confidence); blank abstracts have null labels and confidence 0.0, whatever the heads say."""
+    out = items
+    has = F.coalesce(F.trim("abstract"), F.lit("")) != ""
+    for name, head in heads.items():
+        out = out.join(head.select(F.col("id").alias(id_col), F.col("label").alias(name), F.col("confidence").alias(f"{name}_confidence")), id_col, "left")
+        out = out.withColumns({name: F.when(has, F.col(name)), f"{name}_confidence": F.when(has, F.coalesce(f"{name}_confidence", F.lit(0.0))).otherwise(0.0)})
+    return out
 
-def keywords_of(answer: str) -> list[str]:
-    """The last JSON array in a model's answer that is not empty."""
-    arrays = [[s for x in a if (s := str(x).strip())] for a in _embedded(answer or "", "[") if isinstance(a, list)]
-    return next((a for a in reversed(arrays) if a), [])
 
-
-def summary_of(answer: str) -> tuple[str, str]:
-    """(title, summary): from the whole answer as JSON, else its last object that has either, else its last Title: and Summary: lines."""
-    import json
-    import re
-
-    text = re.sub(r"```(?:json)?", "", answer or "").strip()
-    try:
-        whole = json.loads(text)
-        held = [whole] if isinstance(whole, dict) else []
-    except ValueError:
-        held = [x for x in _embedded(text, "{") if isinstance(x, dict) and ("title" in x or "summary" in x)]
-    if held and (told := str(held[-1].get("summary", "")).strip()):
-        return str(held[-1].get("title", "")).strip(), told
-
-    def line(name: str) -> str:
-        said = re.findall(rf'["\']?{name}["\']?\s*[:=]\s*"((?:[^"\\]|\\.)*)"', text, re.I) or re.findall(rf'(?:^|\n)[ \t>*#-]*["\']?{name}["\']?\s*[:=]\s*(.+)', text, re.I)
-        return said[-1].strip().strip("\"'").strip() if said else ""
-
-    return line("title"), line("summary")
+def encoded_labels(rows: DataFrame, label: str, labels: list[str], fallback: str = "None") -> DataFrame:
+    """``rows`` with <label>_id: the place of the label in ``labels``; unknown ones take the place of ``fallback``, or 0."""
+    known = F.array_position(F.lit(labels), F.coalesce(F.col(label), F.lit(fallback))) - 1
+    other = labels.index(fallback) if fallback in labels else 0
+    return rows.withColumn(f"{label}_id", F.when(known >= 0, known).otherwise(other).cast("int"))
 
 
 def recovered(df: DataFrame, answer: str, id_col: str = "id") -> DataFrame:
@@ -134,6 +118,21 @@ def recovered(df: DataFrame, answer: str, id_col: str = "id") -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(answer).alias("answer")).mapInPandas(run, f"id {kind}, title string, summary string, keywords array<string>")
 
 
+def recovered_labels(df: DataFrame, answer: str, id_col: str = "row_index") -> DataFrame:
+    """(row_index, main_archetype, second_tier_archetype, parse_error) out of model answers; the index is the row's own, whatever the answer says."""
+
+    def run(batches: Iterator) -> Iterator:
+        for b in batches:
+            told = [label_of(x) for x in b["answer"]]
+            for k, name in enumerate(("main_archetype", "second_tier_archetype", "parse_error")):
+                b[name] = [x[k] for x in told]
+            yield b.drop(columns="answer")
+
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(id_col).alias("row_index"), F.col(answer).alias("answer"))
+    return rows.mapInPandas(run, f"row_index {kind}, main_archetype string, second_tier_archetype string, parse_error string")
+
+
 def enriched(papers: DataFrame, stars: DataFrame | None = None) -> DataFrame:
     """Papers with code and data signals: a repository address sets has_public_code and fills code_url; without one, null becomes false.
 

@@ -1,13 +1,11 @@
-"""Files by suffix, the CSV corpus and its citations, BibTeX text."""
+"""Files by suffix, the CSV corpus and its citations."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.functions.text import filled, label, quoted_names, safe_int
-from quillspark.schemas import BIB_ENTRY, CORPUS
+from quillspark.schemas import CORPUS
 from quillspark.sources.normalize import as_papers, author
 
 UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
@@ -73,42 +71,3 @@ def write_index(rows: DataFrame, folder: str, version: int = 1) -> None:
 
 def read_index(spark: SparkSession, folder: str, version: int = 1) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{folder}/v{version}/{n}") for n in ("cites_by_src", "cites_by_dst", "meta", "titles")}
-
-
-def bib_fields(body: str) -> dict[str, str]:
-    """name = {value}, "value" or bare value, in any order; braces go, blanks collapse."""
-    import re
-
-    out = {}
-    for name, braced, said, bare in re.findall(r'(\w+)\s*=\s*(?:\{(.*?)\}|"(.*?)"|([^,\n]+))\s*,?', body, re.S):
-        out[name.lower()] = " ".join((braced or said or bare).replace("{", "").replace("}", "").split())
-    return out
-
-
-def parse_bibtex(texts: DataFrame, text_col: str = "text", id_col: str = "id") -> DataFrame:
-    """(id, ord, entry...) of each entry of each BibTeX text; malformed parts are skipped, nothing raises."""
-
-    def parse(batches: Iterator) -> Iterator:
-        import re
-
-        import pandas as pd
-
-        for b in batches:
-            rows = []
-            for i, text in zip(b["id"], b["text"], strict=True):
-                parts = re.split(r"@(\w+)\s*\{", text or "")
-                for n, (kind, body) in enumerate(zip(parts[1::2], parts[2::2], strict=True)):
-                    f = bib_fields(body)
-                    words = [w.strip() for w in re.split("[;,]", f.get("keywords", "")) if w.strip()]
-                    rows.append((i, n, kind.lower(), *[f.get(k) or None for k in ("title", "abstract", "author", "year")], words))
-            yield pd.DataFrame(rows, columns=["id", "ord", "entry_type", "title", "abstract", "author", "year", "keywords"])
-
-    kind = texts.schema[id_col].dataType.simpleString()
-    return texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(parse, f"id {kind}, ord long, {BIB_ENTRY}")
-
-
-def bib_keywords(entries: DataFrame) -> DataFrame:
-    """(id, keywords): distinct keywords of all entries of an id in order, the first spelling of each."""
-    each = entries.select("id", "ord", F.posexplode("keywords").alias("pos", "kw"))
-    once = each.groupBy("id", F.lower("kw").alias("low")).agg(F.min(F.struct("ord", "pos", "kw")).alias("k"))
-    return once.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("k")), lambda k: k["kw"]).alias("keywords"))
