@@ -96,7 +96,10 @@ def fuzzy_links(papers: DataFrame, least: int = FUZZY) -> DataFrame:
 
 
 def closure_groups(papers: DataFrame, fuzzy: bool = False) -> DataFrame:
-    """(ord, group_id): connected components over shared keys (and similar titles); group_id is the smallest ord."""
+    """(ord, group_id): connected components over shared keys (and similar titles); group_id is the smallest ord.
+
+    On purpose the closure, which does not depend on the order of records; ``greedy_groups`` is the sequential rule.
+    """
     links = exact_links(keys(papers))
     if fuzzy:
         tokens = F.concat(sorted_tokens(norm_title("title")), F.lit("|"), F.coalesce(F.col("year").cast("string"), F.lit("-")))
@@ -129,14 +132,16 @@ def greedy_groups(papers: DataFrame, fuzzy: bool = True) -> DataFrame:
             if found is None and r.t:
                 found = by_title.get((r.t, r.year))
                 if found is None and fuzzy:
-                    found = next((g for tokens, g in by_year.get(r.year, []) if indel_ratio(r.tokens, tokens) >= FUZZY), None)
+                    n = len(r.tokens)  # a ratio cannot exceed that of the lengths
+                    near = (g for t, (tokens, g) in by_year.get(r.year, {}).items() if 200 * min(n, len(tokens)) >= FUZZY * (n + len(tokens)) and indel_ratio(r.tokens, tokens) >= FUZZY)
+                    found = next(near, None)
             found = r.ord if found is None else found
             for k, x in enumerate(r.ids):
                 if x:
                     by_key[k, x] = found
             if r.t:
                 by_title[r.t, r.year] = found
-                by_year.setdefault(r.year, []).append((r.tokens, found))
+                by_year.setdefault(r.year, {})[r.t] = (r.tokens, found)  # in order of first mention
             out.append((r.ord, found))
         return pd.DataFrame(out, columns=["ord", "group_id"])
 
@@ -152,12 +157,12 @@ def rank(field: str) -> Column:
     return F.coalesce(F.array_position(F.lit(order), F.get(known, F.lit(0))), F.lit(0)).cast("int") + F.when(F.size(known) > 0, 0).otherwise(len(order) + 1)
 
 
-def merged(papers: DataFrame, groups: DataFrame) -> DataFrame:
+def merged(papers: DataFrame, groups: DataFrame, parity: bool = True) -> DataFrame:
     """One paper for each group of (ord, group_id).
 
     By field: the first value that counts (not null, 0, '', false or empty) by source priority, or in order;
     lists united and sorted; flags true over false over null; largest star count. A group of one stays as it
-    is; labels are lost when several records merge.
+    is. Labels are lost when several records merge; with ``parity`` False the first label stays.
     """
     rows = papers.join(groups, "ord")
     out = []
@@ -176,7 +181,7 @@ def merged(papers: DataFrame, groups: DataFrame) -> DataFrame:
             e = F.min_by(value, F.when(value.isNotNull(), F.struct(rank(BY_SOURCE[c]), "ord")))
         else:
             e = F.min_by(value, F.when(value.isNotNull(), F.col("ord")))
-        if c.startswith("predicted_"):
+        if c.startswith("predicted_") and parity:
             e = F.when(F.count("*") == 1, F.first(c))
         else:
             e = F.when(F.count("*") == 1, F.first(c)).otherwise(e)
@@ -192,27 +197,59 @@ def removed(papers: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def first_kept(papers: DataFrame) -> DataFrame:
-    """The lighter rule: groups by shared keys only; the first record stays, with the sources of all united."""
-    groups = closure_groups(papers)
+    """The lighter rule: groups by shared keys only, in sequence; the first record stays, with the sources of all united."""
+    groups = greedy_groups(papers, fuzzy=False)
     rows = papers.join(groups, "ord")
     firsts = rows.groupBy("group_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
     return papers.drop("sources").join(firsts, papers["ord"] == firsts["group_id"]).drop("group_id").select(papers.columns)
 
 
+def upsert_groups(both: DataFrame) -> DataFrame:
+    """(project_id, at, group_at): the paper that each record of ``both`` (project_id, at, doi, arxiv_id, semantic_scholar_id) ends in, named by the place of its first record.
+
+    In order of ``at`` a record meets the paper of its project that holds its DOI, else its arXiv id, else its Semantic Scholar id (the
+    earliest if several do), and leaves its identifiers where the paper has none, so that later records find the paper by those. The
+    identifiers are replayed for each project and connected part by itself: a part is held by one task, as long as its records share identifiers.
+    """
+    ids = ["doi", "arxiv_id", "semantic_scholar_id"]
+    node = F.concat_ws(":", F.col("project_id").cast("string"), F.col("at").cast("string"))
+    held = both.select("project_id", "at", node.alias("node"), *[filled(c).alias(c) for c in ids])
+    keyed = held.select("project_id", "node", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("key")) for k, c in enumerate(ids)]))).where("key is not null")
+    firsts = keyed.groupBy("project_id", "kind", "key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    links = keyed.join(firsts, ["project_id", "kind", "key"]).where("node <> first").select(F.col("first").alias("src"), F.col("node").alias("dst")).distinct()
+    placed = held.join(connected_components(links), "node", "left")
+
+    def replay(group):
+        papers: list[dict] = []
+        holders: dict[tuple[int, str], int] = {}
+        out = []
+        group = group.sort_values("at")
+        for r in group.itertuples():
+            own = [(k, x) for k, x in enumerate((r.doi, r.arxiv_id, r.semantic_scholar_id)) if x is not None]
+            found = next((holders[x] for x in own if x in holders), None)
+            if found is None:
+                found = len(papers)
+                papers.append({"at": r.at})
+            for k, x in own:
+                if k not in papers[found]:
+                    papers[found][k] = x
+                    holders[k, x] = min(found, holders.get((k, x), found))
+            out.append(papers[found]["at"])
+        return group.assign(group_at=out)[["project_id", "at", "group_at"]]
+
+    several = placed.where("component is not null").groupBy("component").applyInPandas(replay, f"project_id {held.schema['project_id'].dataType.simpleString()}, at long, group_at long")
+    return several.union(placed.where("component is null").select("project_id", "at", F.col("at").alias("group_at")))
+
+
 def upserted(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Papers of projects after ``incoming`` (project_id and the paper schema) is merged into ``stored`` (the same).
 
-    A record meets a stored paper of its project by DOI, else arXiv id, else Semantic Scholar id, as they are (the smallest
-    ord if several). Null fields are filled in order of ``ord``, true wins for flags, stars take the largest, sources unite;
-    lists of a stored paper stay. Records that meet none are added; such as share an identifier meet each other.
+    Records meet papers by ``upsert_groups``. Null fields are filled in order of ``ord``, true wins for flags, stars take
+    the largest, sources unite; lists of a stored paper stay. Stored papers are never merged with each other, unless they share an identifier.
     """
-    ids = ["doi", "arxiv_id", "semantic_scholar_id"]
     both = stored.select("project_id", *PAPER.fieldNames(), F.lit(0).alias("new")).unionByName(incoming.select("project_id", *PAPER.fieldNames(), F.lit(1).alias("new")))
     both = both.withColumn("at", F.col("new") * F.lit(1 << 60) + F.col("ord"))
-    keyed = both.select("project_id", "at", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), filled(c).alias("key")) for k, c in enumerate(ids)]))).where("key is not null")
-    firsts = keyed.groupBy("project_id", "kind", "key").agg(F.min("at").alias("first"))
-    met = keyed.join(firsts, ["project_id", "kind", "key"]).groupBy("project_id", "at").agg(F.min_by("first", F.when(F.col("first") < F.col("at"), F.col("kind"))).alias("first"))
-    rows = both.join(met, ["project_id", "at"], "left").withColumn("group_at", F.coalesce("first", "at"))
+    rows = both.join(upsert_groups(both), ["project_id", "at"], "left").withColumn("group_at", F.coalesce("group_at", "at"))
     out = []
     for f in PAPER:
         c = f.name

@@ -41,7 +41,7 @@ def test_components_of_long_chains_in_any_order(spark):
 
 
 def replay(rows):
-    ids, titles, years, out = {}, {}, {}, {}
+    ids, titles, out = {}, {}, {}
     clean = lambda t: "".join(c for c in t.lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789 ").strip()
     for o, doi, arxiv, title, year, *_ in rows:
         keys = [("d", doi.lower()) if doi else None, ("a", arxiv) if arxiv else None]
@@ -51,14 +51,13 @@ def replay(rows):
             g = titles.get((t, year))
             if g is None:
                 tokens = " ".join(sorted(t.split()))
-                g = next((h for s, h in years.get(year, []) if resolve.indel_ratio(tokens, s) >= 92), None)
+                g = next((h for (s, y), h in titles.items() if y == year and resolve.indel_ratio(tokens, " ".join(sorted(s.split()))) >= 92), None)
         g = o if g is None else g
         for k in keys:
             if k:
                 ids[k] = g
         if t:
             titles[t, year] = g
-            years.setdefault(year, []).append((" ".join(sorted(t.split())), g))
         out[o] = g
     return out
 
@@ -113,3 +112,34 @@ def test_upsert_fills_nulls_within_projects(spark):
     assert mine["t"].year == 1999 and mine["t"].citation_count == 0 and mine["t"].sources == ["arxiv", "core"]
     assert len([r for r in rows if r.project_id == 2]) == 1 and "w" in mine
     assert {f.name for f in PAPER} < set(rows[0].asDict())
+
+
+def test_first_kept_and_upsert_follow_the_sequence(spark):
+    rows = [(0, "10.1/a", None, "", 2000, 1, "core", None), (1, None, "x1", "", 2000, 1, "arxiv", None), (2, "10.1/a", "x1", "", 2000, 1, "dblp", None), (3, None, "x1", "", 2000, 1, "pubmed", None)]
+    p = paper(spark, rows)
+    assert {r.ord: r.sources for r in resolve.first_kept(p).collect()} == {0: ["core", "dblp", "pubmed"], 1: ["arxiv"]}
+    assert {r.group_id for r in resolve.closure_groups(p).collect()} == {0}
+    old = paper(spark, [(0, None, "x1", "s", None, 0, "arxiv", None)]).withColumn("project_id", F.lit(1))
+    new = paper(spark, [(1, "10.1/d", "x1", "a", None, 0, "core", None), (2, "10.1/d", None, "b", 1999, 0, "dblp", None), (3, None, "x9", "c", 1, 0, "dblp", None)]).withColumn("project_id", F.lit(1))
+    out = sorted((r.title, r.doi, r.arxiv_id, r.year, r.sources) for r in resolve.upserted(old, new).collect())
+    assert out == [("c", None, "x9", 1, ["dblp"]), ("s", "10.1/d", "x1", 1999, ["arxiv", "core", "dblp"])]
+
+
+def upserts(rows):
+    """Names of the papers that records end in, one project, in sequence."""
+    papers, out = [], {}
+    for at, *ids in rows:
+        found = next((p for k, x in enumerate(ids) if x for p in papers if p["ids"][k] == x), None)
+        if found is None:
+            papers.append(found := {"at": at, "ids": [None] * 3})
+        found["ids"] = [a or b for a, b in zip(found["ids"], ids, strict=True)]
+        out[at] = found["at"]
+    return out
+
+
+def test_upsert_groups_equal_a_sequence(spark):
+    rng = random.Random(8)
+    rows = [(at, *[rng.choice([None, None, f"{k}{rng.randrange(12)}"]) for k in "das"]) for at in range(70)]
+    df = spark.createDataFrame([(1, *r) for r in rows] + [(2, *r) for r in rows[::2]], "project_id int, at long, doi string, arxiv_id string, semantic_scholar_id string")
+    got = {(r.project_id, r.at): r.group_at for r in resolve.upsert_groups(df).collect()}
+    assert got == {(1, k): v for k, v in upserts(rows).items()} | {(2, k): v for k, v in upserts(rows[::2]).items()}
