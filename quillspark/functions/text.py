@@ -92,10 +92,11 @@ def truncated(x: Column | str, n: int) -> Column:
     return F.when(F.char_length(t) <= n, t).otherwise(F.concat(F.rtrim(F.left(t, F.lit(n - 1))), F.lit("…")))
 
 
-def author_line(names: Column | str, most: int = 3) -> Column:
-    """The first names, then "et al." if there are more."""
-    shown = F.array_join(F.slice(col(names), 1, most), ", ")
-    return F.when(F.size(col(names)) > most, F.concat(shown, F.lit(" et al."))).otherwise(shown)
+def author_line(names: Column | str, most: int = 3, ending: str = " et al.", none: str = "") -> Column:
+    """The first names, then ``ending`` if there are more; ``none`` if there is no name. Lists show 3 (", et al.", "—"), cards 5, graphs 3."""
+    names = col(names)
+    shown = F.array_join(F.slice(names, 1, most), ", ")
+    return F.when(F.size(names) > most, F.concat(shown, F.lit(ending))).when(F.size(names) > 0, shown).otherwise(F.lit(none))
 
 
 # --- queries ----------------------------------------------------------------------------------------------------------
@@ -143,12 +144,14 @@ def source_query(raw: Column | str, source: Column | str) -> Column:
 
 
 def parsed_keywords(raw: Column | str) -> Column:
-    """Keywords of a search line: no -negations, quoted phrases first, then words of two characters or more, each once in any case."""
-    kept = F.regexp_replace(col(raw), r"-\S+", " ")
-    phrases = F.transform(F.regexp_extract_all(kept, F.lit('"([^"]+)"'), F.lit(1)), lambda x: F.trim(x))
-    words = F.split(F.regexp_replace(F.regexp_replace(kept, '"[^"]*"', " "), r"[()\"]|\b(?:AND|OR|NOT)\b", " "), r"\s+")
-    every = F.filter(F.concat(phrases, words), lambda x: F.char_length(x) >= 2)
-    return F.filter(every, lambda x, i: F.array_position(F.transform(every, lambda y: F.lower(y)), F.lower(x)) == i + 1)
+    """Keywords of a search line, each once in any case: quoted phrases, then words of two characters or more without operators and brackets. -word and -"phrase" go."""
+    kept = F.regexp_replace(F.regexp_replace(col(raw), '-"[^"]*"', ""), r"-\S+", "")
+    phrases = F.filter(F.transform(F.regexp_extract_all(kept, F.lit('"([^"]+)"'), F.lit(1)), lambda x: F.trim(x)), lambda x: x != "")
+    words = F.split(F.regexp_replace(F.regexp_replace(kept, '"[^"]*"', ""), "[()]", " "), r"\s+")
+    words = F.filter(words, lambda x: (F.char_length(x) >= 2) & ~x.isin(OPERATORS) & ~x.isin([x.lower() for x in OPERATORS]))
+    every = F.concat(phrases, words)
+    lower = F.transform(every, lambda y: F.lower(y))
+    return F.filter(every, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)
 
 
 def keywords_to_query(keywords: Column | str) -> Column:
@@ -191,12 +194,12 @@ def candidate_phrases(text: Column | str) -> Column:
 
 
 def repo_url(code_url: Column | str, abstract: Column | str) -> Column:
-    """The repository's address from code_url, else from the abstract; GitHub before GitLab, without file endings."""
+    """The repository's address from code_url, else from the abstract; GitHub before GitLab, without one file ending, then without dots at the end."""
 
     def found(x: Column) -> Column:
         def address(pattern: str, host: str) -> Column:
             path = filled(F.regexp_extract(x, pattern, 1))
-            return F.concat(F.lit(f"https://{host}/"), F.regexp_replace(F.regexp_replace(path, r"\.+$", ""), r"(?:\.git|\.zip|\.tar\.gz)$", ""))
+            return F.concat(F.lit(f"https://{host}/"), F.regexp_replace(F.regexp_replace(path, r"\.(?:git|zip|tar\.gz)$", ""), r"\.+$", ""))
 
         return F.coalesce(address(GITHUB, "github.com"), address(GITLAB, "gitlab.com"))
 
@@ -260,10 +263,16 @@ def bib_context(entries: Column | str, most: int = 20) -> Column:
 
 
 def relative_time(at: Column | str, now: Column) -> Column:
-    s = F.timestamp_diff("SECOND", col(at), now)
-    of = lambda unit, size: F.concat(F.floor(s / size).cast("string"), F.lit(f"{unit} ago"))
-    return (F.when(s < 60, of("s", 1)).when(s < 3600, of("m", 60)).when(s < 86400, of("h", 3600)).when(s < 2592000, of("d", 86400))
-            .when(s < 31536000, of("mo", 2592000)).otherwise(of("y", 31536000)))
+    """How long ago, each unit rounded (halves up) from the one below."""
+    nearest = lambda x, size: F.floor(x / size + 0.5)
+    sec = nearest(F.timestamp_diff("MILLISECOND", col(at), now), 1000)
+    minutes = nearest(sec, 60)
+    hours = nearest(minutes, 60)
+    days = nearest(hours, 24)
+    months = nearest(days, 30)
+    of = lambda n, unit: F.concat(n.cast("string"), F.lit(f"{unit} ago"))
+    return (F.when(sec < 45, "just now").when(minutes < 60, of(minutes, "m")).when(hours < 24, of(hours, "h")).when(days < 30, of(days, "d"))
+            .when(months < 12, of(months, "mo")).otherwise(of(nearest(months, 12), "y")))
 
 
 def compact(n: Column | str) -> Column:
@@ -275,6 +284,7 @@ def score_bucket(share: Column) -> Column:
     return F.when(share >= 0.7, "high").when(share >= 0.4, "medium").otherwise("low")
 
 
+# The messages.
 def describe_error(status: Column | str, kind: Column | str, message: Column | str) -> Column:
     """What went wrong with a source, from HTTP status, kind of error and message (cut at 80 characters)."""
     s, m = col(status), col(message)
@@ -291,6 +301,13 @@ def sources_label(queried: Column | str, failed: Column | str) -> Column:
     return F.array_join(F.transform(F.array_except(col(queried), col(failed)), lambda s: F.regexp_replace(s, "^([^_]*)_", "$1 ")), ", ")
 
 
+def failed_label(failed: Column | str, reasons: Column | str) -> Column:
+    """Failed sources with the reason from a map, if any, in brackets."""
+    name = lambda s: F.regexp_replace(s, "^([^_]*)_", "$1 ")
+    told = lambda s: F.concat(name(s), F.coalesce(F.concat(F.lit(" ("), filled(F.try_element_at(col(reasons), s)), F.lit(")")), F.lit("")))
+    return F.array_join(F.transform(col(failed), told), ", ")
+
+
 def cluster_color(community: Column | str, palette: list[str]) -> Column:
     return F.element_at(F.lit(palette), (F.pmod(col(community), F.lit(len(palette))) + 1).cast("int"))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from quillspark.functions.scores import middle_years
+
 
 def representatives(levels: DataFrame, nodes: DataFrame) -> DataFrame:
     """(level, community, rep, size): the best-scored node of each cluster, the smallest on ties."""
@@ -88,6 +90,12 @@ def expandable_years(nodes: DataFrame, placed: DataFrame) -> DataFrame:
     return nodes.where("year is not null").join(placed.select("node"), "node", "left_anti").select("year").distinct()
 
 
+def expandable_gaps(gaps: DataFrame, years: DataFrame) -> DataFrame:
+    """``gaps`` (left, right: years) with expandable: whether a middle year of the gap is in ``years`` (year)."""
+    each = gaps.select("left", "right", F.explode(middle_years(F.col("left"), F.col("right"))).alias("year")).join(years.distinct().withColumn("is", F.lit(True)), "year", "left")
+    return each.groupBy("left", "right").agg(F.coalesce(F.bool_or("is"), F.lit(False)).alias("expandable"))
+
+
 def parent_links(placed: DataFrame, at: DataFrame) -> DataFrame:
     """(community, parent): the placed node of the coarsest level in each cluster, the first placed on ties. placed: (node, level, ord)."""
     return placed.join(at, "node").groupBy("community").agg(F.max_by("node", F.struct("level", -F.col("ord"))).alias("parent"))

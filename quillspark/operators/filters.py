@@ -126,17 +126,18 @@ def bar_widths(df: DataFrame, value: str) -> DataFrame:
 def star_tiers(df: DataFrame, score: str = "score", gold: float = 0.01, silver: float = 0.05) -> DataFrame:
     """``df`` with tier: gold or silver by the score at place ceil(n * share) from the top, ties included, else null.
 
-    The two thresholds come from a top-k, not from ranking all rows: only the first ceil(n * silver)
-    scores are sorted.
+    Both thresholds come from counts by score: scores are rounded to hundredths, so they are few however many
+    rows there are, and only that table is summed up in order.
     """
-    counted = df.agg(F.count("*").alias("n")).first()["n"]
-    k = lambda share: max(1, -int(-counted * share // 1))
-    least = {}
-    for name, share in (("gold", gold), ("silver", silver)):
-        best = df.select(score).orderBy(F.desc(score)).limit(k(share)).agg(F.min(score).alias("at")).first()
-        least[name] = best["at"]
+    counts = df.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(W.orderBy(F.desc_nulls_last("s")))
+    n = F.sum("k").over(W.partitionBy())
+    places = counts.withColumns({"upto": upto, "n": n})
+    at = lambda share: F.max(F.when(F.col("upto") >= F.greatest(F.lit(1), F.ceil(F.col("n") * share)), F.col("s")))
+    least = places.agg(at(gold).alias("__gold"), at(silver).alias("__silver"))
     s = F.col(score)
-    return df.withColumn("tier", F.when(s >= F.lit(least["gold"]), "gold").when(s >= F.lit(least["silver"]), "silver"))
+    tiered = df.join(F.broadcast(least), F.lit(True))  # one row
+    return tiered.withColumn("tier", F.when(s >= F.col("__gold"), "gold").when(s >= F.col("__silver"), "silver")).drop("__gold", "__silver")
 
 
 def keyword_ranking(df: DataFrame, id_col: str, phrases: str, limit: int = 10, most_words: int = 4) -> DataFrame:

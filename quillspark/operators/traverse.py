@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quillspark.functions.text import looks_like_identifier, matches_any
@@ -32,12 +35,13 @@ def seed_or_raw(meta: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(found, "query", "left").select("query", F.coalesce("found", F.trim("query")).alias("id"))
 
 
-def adjacency(cites: DataFrame, meta: DataFrame, direction: str = BOTH, cap: int | None = None, keywords: list[str] | None = None, exclude_non_matching: bool = True) -> DataFrame:
-    """(at, to, src, dst): neighbours of every node as they may be followed.
+def adjacency(cites: DataFrame, meta: DataFrame, direction: str = BOTH, cap: int | None = None, keywords: list[str] | None = None, exclude_non_matching: bool = True,
+              of: DataFrame | None = None) -> DataFrame:
+    """(at, to, src, dst): neighbours of the nodes in ``of`` (at; every node without it) as they may be followed.
 
     The cap takes the first ``cap`` entries of a node's references and of its citers, duplicates and absent papers
     included; then neighbours must exist in ``meta`` and match a keyword. None of this depends on what has been
-    visited, so it is one table for all hops. Direction past: references; future: citers; anything else but both: none.
+    visited. Nodes are cut to ``of`` before anything is ranked. Direction past: references; future: citers; anything else but both: none.
     """
     sides = []
     if direction in (BOTH, PAST):
@@ -46,6 +50,8 @@ def adjacency(cites: DataFrame, meta: DataFrame, direction: str = BOTH, cap: int
         sides.append(cites.select(F.lit(1).alias("side"), F.col("dst").alias("at"), F.col("src").alias("to"), "pos", "src", "dst"))
     if not sides:
         return cites.select(F.col("src").alias("at"), F.col("dst").alias("to"), "src", "dst").where(F.lit(False))
+    if of is not None:
+        sides = [x.join(of.select("at"), "at", "left_semi") for x in sides]
     rows = sides[0] if len(sides) == 1 else sides[0].union(sides[1])
     if cap is not None:
         # pos orders a paper's own references; citers come in order of their id, then pos.
@@ -57,25 +63,25 @@ def adjacency(cites: DataFrame, meta: DataFrame, direction: str = BOTH, cap: int
     return rows.join(known.select(F.col("id").alias("to")), "to", "left_semi").select("at", "to", "src", "dst").distinct()
 
 
-def bfs(seeds: DataFrame, near: DataFrame, hops: int) -> tuple[DataFrame, DataFrame]:
+def bfs(seeds: DataFrame, near: Callable[[DataFrame], DataFrame], hops: int) -> tuple[DataFrame, DataFrame]:
     """(id, hop) first reached within ``hops``, and the distinct edges (src, dst) leaving nodes of fewer hops.
 
-    One join and one anti-join a hop (``hops`` is at most 10); the visited table is checkpointed, so plans stay short.
+    ``near`` gives the neighbours (at, to, src, dst) of a frontier (at). Each node is expanded once, and its
+    edges are kept, so a hop reads what its frontier touches; ``hops`` is at most 10. Frontiers are checkpointed, so plans stay short.
     Stops at an empty frontier.
     """
     if not 1 <= hops <= 10:
         raise ValueError("hops: 1 to 10")
-    visited = cut(seeds.select("id", F.lit(0).alias("hop")).distinct())
+    visited = fresh = cut(seeds.select("id", F.lit(0).alias("hop")).distinct())
+    edges = None
     for hop in range(1, hops + 1):
-        frontier = visited.where(F.col("hop") == hop - 1).select(F.col("id").alias("at"))
-        found = near.join(frontier, "at", "left_semi").select(F.col("to").alias("id")).distinct()
-        fresh = cut(found.join(visited, "id", "left_anti").select("id", F.lit(hop).alias("hop")))
+        met = cut(near(fresh.select(F.col("id").alias("at"))).select("to", "src", "dst").distinct())
+        edges = met.select("src", "dst") if edges is None else edges.union(met.select("src", "dst"))
+        fresh = cut(met.select(F.col("to").alias("id")).distinct().join(visited, "id", "left_anti").select("id", F.lit(hop).alias("hop")))
         if fresh.isEmpty():
             break
         visited = visited.union(fresh)
-    visited = cut(visited)
-    inner = visited.where(F.col("hop") < hops).select(F.col("id").alias("at"))
-    return visited, near.join(inner, "at", "left_semi").select("src", "dst").distinct()
+    return visited, edges.distinct()
 
 
 def explore(cites: DataFrame, meta: DataFrame, seeds: DataFrame, hops: int = 2, direction: str = BOTH, cap: int | None = None, keywords: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -83,7 +89,7 @@ def explore(cites: DataFrame, meta: DataFrame, seeds: DataFrame, hops: int = 2,
     if cap is not None and not 1 <= cap <= 100_000:
         raise ValueError("cap: 1 to 100000")
     known = seeds.select("id").join(meta.select("id"), "id", "left_semi")
-    return bfs(known, adjacency(cites, meta, direction, cap, keywords), hops)
+    return bfs(known, lambda at: adjacency(cites, meta, direction, cap, keywords, of=at), hops)
 
 
 def reference_counts(cites: DataFrame) -> DataFrame:
@@ -129,3 +135,50 @@ def reindexed(nodes: DataFrame, edges: DataFrame, id_col: str = "id", by: Column
     nodes = ranged.withColumn("__n", place).join(before, "__p").withColumn("idx", F.col("__from") + F.col("__n") - 1).drop("__p", "__n", "__from")
     at = lambda end, name: nodes.select(F.col(id_col).alias(end), F.col("idx").alias(name))
     return nodes, edges.join(at("src", "source"), "src").join(at("dst", "target"), "dst").select("source", "target")
+
+
+def filtered_graph(nodes: DataFrame, edges: DataFrame, seed: Column, keywords: list[str], on: bool = True, prefiltered: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The graph (nodes: id, title, abstract; edges: src, dst) under the keyword toggle: on, the seed and matching nodes with the edges between them; off, all of it.
+
+    Without keywords, or on a graph that was prefiltered, the toggle does nothing.
+    """
+    if not on or prefiltered or not keywords:
+        return nodes, edges.select("src", "dst")
+    kept = nodes.where((F.col("id") == seed) | matches_any(keywords))
+    return kept, induced(edges, kept)
+
+
+def clusters_shown(nodes: DataFrame, most: int = 3000) -> DataFrame:
+    """(n, shown): whether a graph is small enough for the cluster view."""
+    return nodes.agg(F.count("*").alias("n")).withColumn("shown", F.col("n") <= most)
+
+
+@dataclass(frozen=True)
+class GraphSettings:
+    """How a neighbourhood is explored; ``most_per_hop`` None: all citations."""
+
+    hops: int = 2
+    most_per_hop: int | None = None
+    resolution: float = 0.5
+
+
+def _number(text: Column) -> Column:
+    """The number that a form field holds; a blank one is 0, anything else null."""
+    t = F.trim(text)
+    return F.when(t == "", 0.0).when(t.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"), t.try_cast("double"))
+
+
+def sanitized_settings(hops: Column, most_per_hop: Column, resolution: Column, defaults: GraphSettings = GraphSettings()) -> Column:
+    """Struct of settings out of form fields: hops rounded and 1 or more, most_per_hop rounded and positive or null, resolution positive; else the defaults."""
+    nearest = lambda x: F.floor(_number(x) + 0.5).cast("int")
+    return F.struct(
+        F.when(nearest(hops) >= 1, nearest(hops)).otherwise(defaults.hops).alias("hops"), F.when(nearest(most_per_hop) > 0, nearest(most_per_hop)).alias("most_per_hop"),
+        F.when(_number(resolution) > 0, _number(resolution)).otherwise(defaults.resolution).alias("resolution"),
+    )
+
+
+def settings_from_json(raw: Column, defaults: GraphSettings = GraphSettings()) -> Column:
+    """Saved settings over their defaults; what cannot be parsed leaves the defaults."""
+    given = F.from_json(raw, "hops int, most_per_hop int, resolution double")
+    kinds = {"hops": "int", "most_per_hop": "int", "resolution": "double"}
+    return F.struct(*[F.coalesce(given[k], F.lit(v).cast(kinds[k])).alias(k) for k, v in defaults.__dict__.items()])

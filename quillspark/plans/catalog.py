@@ -8,9 +8,9 @@ import string
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quillspark.functions import fuzzy, scores, text as T
-from quillspark.operators import clusters, community, dashboard, filters, models, resolve, store, traverse
+from quillspark.operators import clusters, community, dashboard, filters, keywords, listings, models, resolve, store, traverse
 from quillspark.plans.surrogate import NAMES, PAPERS, PROJECTS, cites, cites_sql, meta, papers, projects, table
-from quillspark.sources import normalize
+from quillspark.sources import bibtex as bib, normalize
 from quillspark.streaming import ingest
 
 QUERIES: dict = {}
@@ -267,19 +267,19 @@ def explore_keyword(spark, d):
     return traverse.explore(cites(spark, d), meta(spark, d), seeds(spark, d), 2, cap=8, keywords=["Brand#1", "Brand#2"])[0]
 
 
-@query(f"WITH {cites_sql(45)} SELECT c.src, c.dst FROM cites c JOIN meta a ON a.id = c.src JOIN meta b ON b.id = c.dst WHERE contains(lower(a.title || ' ' || a.abstract), '1') AND contains(lower(b.title || ' ' || b.abstract), '1')")
+@query(f"WITH {cites_sql()} SELECT c.src, c.dst FROM cites c JOIN meta a ON a.id = c.src JOIN meta b ON b.id = c.dst WHERE contains(lower(a.title || ' ' || a.abstract), '1') AND contains(lower(b.title || ' ' || b.abstract), '1')")
 def induced_subgraph(spark, d):
-    return traverse.induced(cites(spark, d, 45), meta(spark, d).where(T.matches_any(["1"])))
+    return traverse.induced(cites(spark, d), meta(spark, d).where(T.matches_any(["1"])))
 
 
-@query(f"WITH {cites_sql(40)} SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM cites GROUP BY 1, 2")
+@query(f"WITH {cites_sql()} SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM cites GROUP BY 1, 2")
 def undirected_edges(spark, d):
-    return traverse.undirected(cites(spark, d, 40))
+    return traverse.undirected(cites(spark, d))
 
 
-@query(f"WITH {cites_sql(48)}, c AS (SELECT src, dst FROM cites), ids AS (SELECT id, ord FROM meta) SELECT DISTINCT src, dst FROM c JOIN ids a ON a.id = src JOIN ids b ON b.id = dst")
+@query(f"WITH {cites_sql()}, c AS (SELECT src, dst FROM cites), ids AS (SELECT id, ord FROM meta) SELECT DISTINCT src, dst FROM c JOIN ids a ON a.id = src JOIN ids b ON b.id = dst")
 def reference_graph(spark, d):
-    m, c = meta(spark, d), cites(spark, d, 48)
+    m, c = meta(spark, d), cites(spark, d)
     refs = c.groupBy(F.col("src").alias("id")).agg(F.collect_list(F.concat(F.lit("P"), F.col("dst"))).alias("references"))
     rows = m.join(refs, "id", "left").select("ord", F.concat(F.lit("p"), F.col("id")).alias("doi"), F.coalesce("references", F.array()).alias("references"), F.array().cast("array<string>").alias("referenced_by"))
     return traverse.reference_graph(rows, ["doi"])
@@ -289,13 +289,13 @@ def reference_graph(spark, d):
 
 
 def brand_graph(spark, d) -> tuple[DataFrame, DataFrame]:
-    """One graph of the parts, thinned citations as edges."""
-    nodes, edges = traverse.reindexed(meta(spark, d), traverse.undirected(cites(spark, d, 48)).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    """One graph of the parts, citations as edges."""
+    nodes, edges = traverse.reindexed(meta(spark, d), traverse.undirected(cites(spark, d)).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     edges = edges.select(F.lit("parts").alias("graph_id"), "source", "target", F.lit(1.0).alias("weight"), (F.col("source") * (1 << 32) + F.col("target")).alias("ord"))
     return nodes.withColumn("graph_id", F.lit("parts")), edges
 
 
-BRANDS = f"""{cites_sql(48)}, e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM cites JOIN meta m ON m.id = src JOIN meta n ON n.id = dst),
+BRANDS = f"""{cites_sql()}, e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM cites JOIN meta m ON m.id = src JOIN meta n ON n.id = dst),
 at AS (SELECT id AS node, p_brand AS c FROM meta), k AS (SELECT node, count(*) AS k FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY 1)"""
 
 
@@ -314,7 +314,7 @@ def modularity(spark, d):
 
 @query(f"WITH {BRANDS} SELECT least(p.c, q.c) AS a, greatest(p.c, q.c) AS b, count(*) AS n FROM e JOIN at p ON p.node = a JOIN at q ON q.node = b WHERE p.c <> q.c GROUP BY 1, 2")
 def cluster_edges(spark, d):
-    edges = traverse.undirected(cites(spark, d, 48)).select(F.col("a").alias("source"), F.col("b").alias("target"))
+    edges = traverse.undirected(cites(spark, d)).select(F.col("a").alias("source"), F.col("b").alias("target"))
     return clusters.cluster_edges(edges, meta(spark, d).select(F.col("id").alias("node"), F.col("p_brand").alias("community")))
 
 
@@ -366,10 +366,10 @@ def year_queue(spark, d):
     return clusters.year_queues(levels, nodes, levels.where("level = 1"), nodes.where("node % 7 = 0"), 1990)
 
 
-@query(f"WITH {TYPE}, {cites_sql(40)}, e AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM cites GROUP BY 1, 2), x AS (SELECT p.b // 10 AS t1, q.b // 10 AS t2, p.b AS s1, q.b AS s2 FROM e JOIN m p ON p.node = e.a JOIN m q ON q.node = e.b WHERE p.b // 10 <> q.b // 10), y AS (SELECT least(t1, t2) AS a, greatest(t1, t2) AS b, CASE WHEN t1 < t2 THEN s1 ELSE s2 END AS sa, CASE WHEN t1 < t2 THEN s2 ELSE s1 END AS sb, count(*) AS k FROM x GROUP BY 1, 2, 3, 4), z AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY k DESC, sa, sb) AS r, sum(k) OVER (PARTITION BY a, b) AS n FROM y) SELECT a, b, CAST(n AS BIGINT) AS n, sa AS sub_a, sb AS sub_b, ra.rep AS rep_a, rb.rep AS rep_b FROM z JOIN reps ra ON ra.level = 0 AND ra.community = sa JOIN reps rb ON rb.level = 0 AND rb.community = sb WHERE r = 1")
+@query(f"WITH {TYPE}, {cites_sql()}, e AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM cites GROUP BY 1, 2), x AS (SELECT p.b // 10 AS t1, q.b // 10 AS t2, p.b AS s1, q.b AS s2 FROM e JOIN m p ON p.node = e.a JOIN m q ON q.node = e.b WHERE p.b // 10 <> q.b // 10), y AS (SELECT least(t1, t2) AS a, greatest(t1, t2) AS b, CASE WHEN t1 < t2 THEN s1 ELSE s2 END AS sa, CASE WHEN t1 < t2 THEN s2 ELSE s1 END AS sb, count(*) AS k FROM x GROUP BY 1, 2, 3, 4), z AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY k DESC, sa, sb) AS r, sum(k) OVER (PARTITION BY a, b) AS n FROM y) SELECT a, b, CAST(n AS BIGINT) AS n, sa AS sub_a, sb AS sub_b, ra.rep AS rep_a, rb.rep AS rep_b FROM z JOIN reps ra ON ra.level = 0 AND ra.community = sa JOIN reps rb ON rb.level = 0 AND rb.community = sb WHERE r = 1")
 def bridges(spark, d):
     levels, nodes = type_levels(spark, d)
-    edges = traverse.undirected(cites(spark, d, 40)).select(F.col("a").alias("source"), F.col("b").alias("target"))
+    edges = traverse.undirected(cites(spark, d)).select(F.col("a").alias("source"), F.col("b").alias("target"))
     top = levels.where("level = 1").select("node", "community", F.lit(False).alias("is_misc"))
     return clusters.bridges(edges, top, levels.where("level = 0").select("node", "community"), nodes)
 
@@ -403,10 +403,10 @@ def expandable_years(spark, d):
 # --- text -------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, array_to_string(list_filter(string_split_regex(left(text, 60), '[\\s()\"]+'), x -> x <> '' AND x NOT IN ('AND', 'OR', 'NOT')), ' ') AS stripped, list_has_any(string_split_regex(left(text, 60), '\\s+'), ['AND', 'OR', 'NOT']) AS has_operators FROM documents".replace("x -> ", "lambda x: "))
+@query("SELECT doc_id, array_to_string(list_filter(string_split_regex(text, '[\\s()\"]+'), x -> x <> '' AND x NOT IN ('AND', 'OR', 'NOT')), ' ') AS stripped, list_has_any(string_split_regex(text, '\\s+'), ['AND', 'OR', 'NOT']) AS has_operators FROM documents".replace("x -> ", "lambda x: "))
 def strip_boolean(spark, d):
-    head = F.replace(F.left("text", F.lit(60)), F.lit('"'), F.lit(" "))
-    return table(spark, d, "documents").select("doc_id", T.strip_boolean(head).alias("stripped"), T.has_boolean_operators(F.left("text", F.lit(60))).alias("has_operators"))
+    unquoted = F.replace("text", F.lit('"'), F.lit(" "))
+    return table(spark, d, "documents").select("doc_id", T.strip_boolean(unquoted).alias("stripped"), T.has_boolean_operators("text").alias("has_operators"))
 
 
 def _build_sql() -> str:
@@ -448,9 +448,9 @@ def rake_keywords(spark, d):
     return filters.keyword_ranking(rows, "doc_id", "phrases").select("id", F.array_join("keywords", "; ").alias("keywords"))
 
 
-@query("SELECT page_id, regexp_matches(html, '(?i)(?:" + T.DATASET_HOSTS + "|" + T.DATASET_PHRASES + ")') AS has_dataset, 'https://github.com/' || regexp_replace(regexp_replace(nullif(regexp_extract(html, '" + T.GITHUB + "', 1), ''), '\\.+$', ''), '(?:\\.git|\\.zip|\\.tar\\.gz)$', '') AS repo FROM pages WHERE NOT regexp_matches(html, 'gitlab')")
+@query("SELECT page_id, regexp_matches(html, '(?i)(?:" + T.DATASET_HOSTS + "|" + T.DATASET_PHRASES + ")') AS has_dataset, 'https://github.com/' || regexp_replace(regexp_replace(nullif(regexp_extract(html, '" + T.GITHUB + "', 1), ''), '\\.(git|zip|tar\\.gz)$', ''), '\\.+$', '') AS repo FROM pages")
 def code_signals(spark, d):
-    return table(spark, d, "pages").where(~F.col("html").rlike("gitlab")).select("page_id", T.has_dataset("html").alias("has_dataset"), T.repo_url(F.lit(None).cast("string"), "html").alias("repo"))
+    return table(spark, d, "pages").select("page_id", T.has_dataset("html").alias("has_dataset"), T.repo_url(F.lit(None).cast("string"), "html").alias("repo"))
 
 
 @query("SELECT doc_id, array_to_string(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''), ' ') AS abstract FROM documents")
@@ -466,18 +466,18 @@ def _landed(spark, d, **fields) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])).alias("raw"))
 
 
-@query("SELECT doc_id AS ord, '10.1/' || doc_id AS doi, left(text, 30) AS title, 'A ' || source AS author, CAST(1990 + doc_id % 30 AS INTEGER) AS year, doc_id % 2 = 0 AS is_peer_reviewed, n_chars AS citation_count FROM documents")
+@query("SELECT doc_id AS ord, '10.1/' || doc_id AS doi, text AS title, 'A ' || source AS author, CAST(1990 + doc_id % 30 AS INTEGER) AS year, doc_id % 2 = 0 AS is_peer_reviewed, n_chars AS citation_count FROM documents")
 def source_crossref(spark, d):
     i = F.col("doc_id")
     kind = F.when(F.pmod(i, F.lit(2)) == 0, "journal-article").otherwise("dataset")
-    raw = _landed(spark, d, DOI=F.concat(F.lit(" 10.1/"), i, F.lit(" ")), title=F.array(F.left("text", F.lit(30))), author=F.array(F.struct(F.lit("A").alias("given"), F.col("source").alias("family"))), published=F.struct(F.array(F.array(1990 + F.pmod(i, F.lit(30)))).alias("date-parts")), type=kind, **{"is-referenced-by-count": F.col("n_chars")})
+    raw = _landed(spark, d, DOI=F.concat(F.lit(" 10.1/"), i, F.lit(" ")), title=F.array(F.col("text")), author=F.array(F.struct(F.lit("A").alias("given"), F.col("source").alias("family"))), published=F.struct(F.array(F.array(1990 + F.pmod(i, F.lit(30)))).alias("date-parts")), type=kind, **{"is-referenced-by-count": F.col("n_chars")})
     return normalize.from_landed(raw, "crossref", "raw").select("ord", "doi", "title", F.col("authors")[0]["name"].alias("author"), "year", "is_peer_reviewed", "citation_count")
 
 
-@query("SELECT doc_id AS ord, left(text, 30) AS title, array_to_string(['a ' || lang, 'b'], ';') AS authors, doc_id % 3 = 0 AS is_open_access, CASE WHEN doc_id % 2 = 0 THEN CAST(1990 + doc_id % 30 AS INTEGER) END AS year FROM documents")
+@query("SELECT doc_id AS ord, text AS title, array_to_string(['a ' || lang, 'b'], ';') AS authors, doc_id % 3 = 0 AS is_open_access, CASE WHEN doc_id % 2 = 0 THEN CAST(1990 + doc_id % 30 AS INTEGER) END AS year FROM documents")
 def source_europe_pmc(spark, d):
     i = F.col("doc_id")
-    raw = _landed(spark, d, title=F.left("text", F.lit(30)), authorString=F.concat(F.lit("a "), F.col("lang"), F.lit(", b,.")), isOpenAccess=F.when(F.pmod(i, F.lit(3)) == 0, "Y").otherwise("N"), pubYear=F.when(F.pmod(i, F.lit(2)) == 0, (1990 + F.pmod(i, F.lit(30))).cast("string")).otherwise("n.d."))
+    raw = _landed(spark, d, title=F.col("text"), authorString=F.concat(F.lit("a "), F.col("lang"), F.lit(", b,.")), isOpenAccess=F.when(F.pmod(i, F.lit(3)) == 0, "Y").otherwise("N"), pubYear=F.when(F.pmod(i, F.lit(2)) == 0, (1990 + F.pmod(i, F.lit(30))).cast("string")).otherwise("n.d."))
     return normalize.from_landed(raw, "europe_pmc", "raw").select("ord", "title", F.array_join(F.transform("authors", lambda a: a["name"]), ";").alias("authors"), "is_open_access", "year")
 
 
@@ -531,7 +531,10 @@ def cascade_delete(spark, d):
 # --- display, layout and settings -------------------------------------------------------------------------------------
 
 
-@query("SELECT event_id, CASE WHEN len(event_type) <= 5 THEN event_type ELSE rtrim(left(event_type, 4)) || '…' END AS short, CASE WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago' WHEN s < 2592000 THEN s // 86400 || 'd ago' ELSE s // 2592000 || 'mo ago' END AS age, CASE WHEN event_id % 10 >= 7 THEN 'high' WHEN event_id % 10 >= 4 THEN 'medium' ELSE 'low' END AS bucket FROM (SELECT *, date_diff('second', ts, TIMESTAMP '2024-02-01 00:00:00') - CASE WHEN extract(microsecond FROM ts) % 1000000 > 0 THEN 1 ELSE 0 END AS s FROM events)")
+@query("""WITH s AS (SELECT *, round((epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(ts)) // 1000 / 1000.0) AS s FROM events), m AS (SELECT *, round(s / 60) AS m FROM s), h AS (SELECT *, round(m / 60) AS h FROM m), a AS (SELECT *, round(h / 24) AS a FROM h)
+SELECT event_id, CASE WHEN len(event_type) <= 5 THEN event_type ELSE rtrim(left(event_type, 4)) || '…' END AS short,
+CASE WHEN s < 45 THEN 'just now' WHEN m < 60 THEN CAST(m AS BIGINT) || 'm ago' WHEN h < 24 THEN CAST(h AS BIGINT) || 'h ago' WHEN a < 30 THEN CAST(a AS BIGINT) || 'd ago' WHEN a < 345 THEN CAST(round(a / 30) AS BIGINT) || 'mo ago' ELSE CAST(round(round(a / 30) / 12) AS BIGINT) || 'y ago' END AS age,
+CASE WHEN event_id % 10 >= 7 THEN 'high' WHEN event_id % 10 >= 4 THEN 'medium' ELSE 'low' END AS bucket FROM a""")
 def display_functions(spark, d):
     now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
@@ -575,17 +578,293 @@ def project_settings(spark, d):
     return table(spark, d, "events").select("event_id", scores.weights_from_json(raw).alias("w")).select("event_id", "w.code", "w.citations")
 
 
-@query(f"WITH {PAPERS} SELECT ord, CASE WHEN regexp_matches(abstract, '(?i)(?:{T.DATASET_HOSTS}|{T.DATASET_PHRASES})') THEN true ELSE false END AS has_dataset, coalesce(has_public_code, false) AS has_public_code, 0::BIGINT AS repo_stars FROM papers WHERE NOT regexp_matches(abstract, 'git(hub|lab)')")
+@query(f"WITH {PAPERS} SELECT ord, CASE WHEN regexp_matches(abstract, '(?i)(?:{T.DATASET_HOSTS}|{T.DATASET_PHRASES})') THEN true ELSE false END AS has_dataset, coalesce(has_public_code, false) AS has_public_code, 0::BIGINT AS repo_stars FROM papers")
 def enriched_papers(spark, d):
-    return models.enriched(papers(spark, d).where(~F.col("abstract").rlike("git(hub|lab)"))).select("ord", "has_dataset", "has_public_code", "repo_stars")
+    return models.enriched(papers(spark, d)).select("ord", "has_dataset", "has_public_code", "repo_stars")
 
 
-@query(f"WITH RECURSIVE {DOUBLED} SELECT group_id AS ord, array_to_string(list_sort(list_distinct(list(src_name))), ',') AS sources FROM doubled JOIN groups USING (ord) GROUP BY 1")
+def chained(spark, d) -> DataFrame:
+    """Threes of untitled papers: one with a DOI, one with an arXiv id, one with both. In sequence the third joins the first, though it shares a key with the second too."""
+    p, k, third = papers(spark, d), F.floor(F.col("ord") / 3), F.pmod("ord", F.lit(3))
+    return p.withColumns({"title": F.lit(""), "doi": F.when(third != 1, F.concat(F.lit("10.1/"), k)), "arxiv_id": F.when(third != 0, F.concat(F.lit("x"), k))})
+
+
+@query(f"WITH {PAPERS}, g AS (SELECT ord, src_name, ord // 3 AS k, CASE WHEN ord % 3 = 2 THEN 1 ELSE 0 END AS third FROM papers), t AS (SELECT k, list(ord ORDER BY ord) AS o, list(src_name ORDER BY ord) AS s FROM g GROUP BY k) SELECT CASE WHEN ord % 3 = 2 AND list_contains(o, 3 * k) THEN 3 * k WHEN ord % 3 = 2 AND list_contains(o, 3 * k + 1) THEN 3 * k + 1 ELSE ord END AS ord, array_to_string(list_sort(list_distinct(list(src_name))), ',') AS sources FROM g JOIN t USING (k) GROUP BY 1")
 def first_kept(spark, d):
-    return resolve.first_kept(doubled(spark, d)).select("ord", F.array_join("sources", ",").alias("sources"))
+    return resolve.first_kept(chained(spark, d)).select("ord", F.array_join("sources", ",").alias("sources"))
+
+
+@query(f"WITH {PAPERS} SELECT ord % 2 AS project_id, '10.1/' || (ord // 6) AS doi, 'x' || (ord // 6) AS arxiv_id, count(*) AS n_records, max(repo_stars) AS repo_stars FROM papers WHERE ord // 6 IN (SELECT ord // 6 FROM papers GROUP BY 1 HAVING count(*) = 6) GROUP BY 1, 2, 3")
+def upsert_chain(spark, d):
+    """In each project: a stored paper with an arXiv id, then a record that adds its DOI, then one with that DOI alone; all three are one paper."""
+    p, k, place = papers(spark, d), F.floor(F.col("ord") / 6), F.floor(F.pmod("ord", F.lit(6)) / 2)
+    whole = p.groupBy(k.alias("k")).agg(F.count("*").alias("n")).where("n = 6").select("k")
+    p = p.withColumn("k", k).join(whole, "k", "left_semi").withColumns({
+        "project_id": F.pmod("ord", F.lit(2)), "doi": F.when(place > 0, F.concat(F.lit("10.1/"), "k")), "arxiv_id": F.when(place < 2, F.concat(F.lit("x"), "k")), "reference_count": F.lit(1).cast("long"),
+        "keywords": F.array(), "n": F.lit(1)})
+    both = p.select("project_id", F.col("ord").alias("at"), "doi", "arxiv_id", "semantic_scholar_id")
+    n = resolve.upsert_groups(both).groupBy("project_id", F.col("group_at").alias("ord")).agg(F.count("*").alias("n_records"))
+    out = resolve.upserted(p.where(place == 0), p.where(place > 0))
+    return out.join(n, ["project_id", "ord"]).select("project_id", "doi", "arxiv_id", "n_records", "repo_stars")
 
 
 @query("SELECT l.l_shipmode AS kind, count(*) AS n FROM (SELECT l_returnflag || l_linestatus AS l_shipmode FROM lineitem) l GROUP BY 1 HAVING count(*) > 10 ORDER BY n DESC")
 def legend_sizes(spark, d):
     rows = table(spark, d, "lineitem").select(F.lit(0).alias("level"), F.concat("l_returnflag", "l_linestatus").alias("community"))
     return clusters.legend(rows, 0).where("size > 10").select(F.col("community").alias("kind"), F.col("size").alias("n"))
+
+
+# --- more sources -----------------------------------------------------------------------------------------------------
+
+
+def _xml(tag: str, *parts) -> F.Column:
+    return F.concat(F.lit(f"<{tag}>"), *[F.coalesce(x.cast("string"), F.lit("")) if not isinstance(x, str) else F.lit(x) for x in parts], F.lit(f"</{tag.split(' ')[0]}>"))
+
+
+@query("SELECT doc_id AS ord, '10.2/' || doc_id AS doi, 'W' || doc_id AS openalex_id, text AS title, array_to_string(list_filter(string_split_regex(source || ' of ' || lang, ' '), lambda w: w <> ''), ' ') AS abstract, 'Ann ' || lang AS author, CAST(1990 + doc_id % 30 AS INTEGER) AS year, '1-' || (doc_id % 9) AS pages, doc_id % 2 = 0 AS is_open_access, 'R' || (doc_id % 50) AS \"references\" FROM documents")
+def source_openalex(spark, d):
+    i, words = F.col("doc_id"), F.split(F.concat_ws(" ", "source", F.lit("of"), "lang"), " ")
+    index = F.map_from_entries(F.transform(words, lambda w, k: F.struct(w, F.array(k))))
+    raw = _landed(spark, d, id=F.concat(F.lit("W"), i), doi=F.concat(F.lit("https://doi.org/10.2/"), i), title=F.col("text"), publication_year=1990 + F.pmod(i, F.lit(30)), abstract_inverted_index=index,
+                  authorships=F.array(F.struct(F.struct(F.concat(F.lit("Ann "), "lang").alias("display_name")).alias("author"))), biblio=F.struct(F.lit("1").alias("first_page"), F.pmod(i, F.lit(9)).cast("string").alias("last_page")),
+                  open_access=F.struct((F.pmod(i, F.lit(2)) == 0).alias("is_oa")), referenced_works=F.array(F.concat(F.lit("https://openalex.org/R"), F.pmod(i, F.lit(50)))))
+    out = normalize.from_landed(raw, "openalex", "raw")
+    return out.select("ord", "doi", "openalex_id", "title", "abstract", F.col("authors")[0]["name"].alias("author"), "year", "pages", "is_open_access", F.array_join("references", ",").alias("references"))
+
+
+@query("SELECT doc_id AS ord, '10.3/' || doc_id AS doi, 'S' || doc_id AS semantic_scholar_id, text AS title, source AS journal, 'Bo ' || lang AS author, n_chars AS citation_count, doc_id % 2 = 0 AS is_peer_reviewed, 'https://x/' || doc_id AS pdf_url FROM documents")
+def source_semantic_scholar(spark, d):
+    i = F.col("doc_id")
+    kind = F.when(F.pmod(i, F.lit(2)) == 0, "Conference").otherwise("Review")
+    raw = _landed(spark, d, paperId=F.concat(F.lit("S"), i), externalIds=F.struct(F.concat(F.lit("10.3/"), i).alias("DOI")), title=F.col("text"), journal=F.struct(F.col("source").alias("name")),
+                  authors=F.array(F.struct(F.concat(F.lit("Bo "), "lang").alias("name"))), citationCount=F.col("n_chars"), publicationTypes=F.array(kind), openAccessPdf=F.struct(F.concat(F.lit("https://x/"), i).alias("url")))
+    return normalize.from_landed(raw, "semantic_scholar", "raw").select("ord", "doi", "semantic_scholar_id", "title", "journal", F.col("authors")[0]["name"].alias("author"), "citation_count", "is_peer_reviewed", "pdf_url")
+
+
+@query("SELECT doc_id AS ord, '10.4/' || doc_id AS doi, text AS title, CASE WHEN doc_id % 3 = 0 THEN 'Cy ' || lang WHEN doc_id % 3 = 1 THEN 'Di' ELSE 'Ed;Flo' END AS authors, CASE WHEN doc_id % 2 = 0 THEN source END AS journal, source AS venue, doc_id % 2 = 0 AS is_peer_reviewed FROM documents")
+def source_dblp(spark, d):
+    i = F.col("doc_id")
+    one = F.to_json(F.struct(F.concat(F.lit("Cy "), "lang").alias("text")))
+    people = F.when(F.pmod(i, F.lit(3)) == 0, one).when(F.pmod(i, F.lit(3)) == 1, F.lit('"Di"')).otherwise(F.lit('[{"text":"Ed"},"Flo"]'))
+    info = F.to_json(F.struct(F.concat(F.lit("https://doi.org/10.4/"), i).alias("doi"), F.col("text").alias("title"), F.col("source").alias("venue"), F.when(F.pmod(i, F.lit(2)) == 0, "Journal Articles").otherwise("Data").alias("type")))
+    raw = F.concat(F.lit('{"info":{"authors":{"author":'), people, F.lit("},"), F.substring(info, 2, 1 << 30), F.lit("}"))
+    rows = table(spark, d, "documents").select(i.alias("ord"), raw.alias("raw"))
+    return normalize.from_landed(rows, "dblp", "raw").select("ord", "doi", "title", F.array_join(F.transform("authors", lambda a: a["name"]), ";").alias("authors"), "journal", "venue", "is_peer_reviewed")
+
+
+@query("SELECT doc_id AS ord, CAST(doc_id AS VARCHAR) AS core_id, text AS title, CASE WHEN doc_id % 4 > 0 THEN CAST(1990 + doc_id % 30 AS INTEGER) END AS year, 'Gus' AS author, source AS journal, CASE WHEN doc_id % 2 = 0 THEN 'https://d/' || doc_id ELSE 'https://f/' || doc_id END AS pdf_url FROM documents")
+def source_core(spark, d):
+    i = F.col("doc_id")
+    raw = _landed(spark, d, id=i.cast("string"), title=F.col("text"), yearPublished=F.when(F.pmod(i, F.lit(4)) > 0, (1990 + F.pmod(i, F.lit(30))).cast("string")).otherwise("0"), authors=F.array(F.struct(F.lit("Gus").alias("name")), F.struct(F.lit("").alias("name"))),
+                  journals=F.array(F.struct(F.col("source").alias("title"))), downloadUrl=F.when(F.pmod(i, F.lit(2)) == 0, F.concat(F.lit("https://d/"), i)).otherwise(""), sourceFulltextUrls=F.array(F.concat(F.lit("https://f/"), i)))
+    return normalize.from_landed(raw, "core", "raw").select("ord", "core_id", "title", "year", F.col("authors")[0]["name"].alias("author"), "journal", "pdf_url")
+
+
+@query("SELECT doc_id AS ord, '24' || doc_id AS arxiv_id, 'On ' || source AS title, CASE WHEN doc_id % 2 = 0 THEN 'https://p/' || doc_id ELSE 'https://arxiv.org/pdf/24' || doc_id END AS pdf_url, CAST(1990 + doc_id % 30 AS INTEGER) AS year, 'Hal;Ida' AS authors, lang AS fields FROM documents")
+def source_arxiv(spark, d):
+    i = F.col("doc_id")
+    link = F.when(F.pmod(i, F.lit(2)) == 0, F.concat(F.lit('<link title="pdf" href="https://p/'), i, F.lit('"/>'))).otherwise(F.lit('<link href="https://q"/>'))
+    raw = _xml("entry", _xml("id", "http://arxiv.org/abs/24", i, "v3"), _xml("title", "On\n", F.col("source")), _xml("published", 1990 + F.pmod(i, F.lit(30)), "-01-02T00:00:00Z"),
+               "<author><name>Hal</name></author><author><name>Ida</name></author>", link, '<category term="', F.col("lang"), '"/><category term=""/>')
+    out = normalize.from_landed(table(spark, d, "documents").select(i.alias("ord"), raw.alias("raw")), "arxiv", "raw")
+    return out.select("ord", "arxiv_id", "title", "pdf_url", "year", F.array_join(F.transform("authors", lambda a: a["name"]), ";").alias("authors"), F.array_join("fields_of_study", ",").alias("fields"))
+
+
+@query("SELECT doc_id AS ord, CAST(doc_id AS VARCHAR) AS pubmed_id, 'On ' || source AS title, 'One ' || lang || ' Two' AS abstract, CASE WHEN doc_id % 3 = 0 THEN 'The Group' ELSE 'Jo ' || source END AS author, CAST(1990 + doc_id % 30 AS INTEGER) AS year, '10.5/' || doc_id AS doi FROM documents")
+def source_pubmed(spark, d):
+    i = F.col("doc_id")
+    who = F.when(F.pmod(i, F.lit(3)) == 0, F.lit("<Author><CollectiveName>The Group</CollectiveName></Author>")).otherwise(F.concat(F.lit("<Author><LastName>"), "source", F.lit("</LastName><ForeName>Jo</ForeName></Author>")))
+    article = _xml("Article", _xml("ArticleTitle", "On ", F.col("source")), _xml("Abstract", _xml("AbstractText", 'One ', F.col("lang")), '<AbstractText Label="x">Two</AbstractText>'), _xml("AuthorList", who),
+                   _xml("Journal", _xml("JournalIssue", _xml("PubDate", _xml("Year", 1990 + F.pmod(i, F.lit(30)))))))
+    ids = F.concat(F.lit('<PubmedData><ArticleIdList><ArticleId IdType="pii">z</ArticleId><ArticleId IdType="doi">10.5/'), i, F.lit("</ArticleId></ArticleIdList></PubmedData>"))
+    raw = _xml("PubmedArticle", _xml("MedlineCitation", F.concat(F.lit('<PMID Version="1">'), i, F.lit("</PMID>")), article), ids)
+    out = normalize.from_landed(table(spark, d, "documents").select(i.alias("ord"), raw.alias("raw")), "pubmed", "raw")
+    return out.select("ord", "pubmed_id", "title", "abstract", F.col("authors")[0]["name"].alias("author"), "year", "doi")
+
+
+# --- lists, nodes and settings ----------------------------------------------------------------------------------------
+
+
+@query(f"{SCORED}, told AS (SELECT lower(title) AS low, max(doc_id % 13 + 0.5) AS told FROM (SELECT ord AS doc_id, upper(title) AS title FROM papers WHERE ord % 4 = 0) GROUP BY 1) SELECT ord, CAST(coalesce(told, score) AS DOUBLE) AS score FROM scored LEFT JOIN told ON lower(title) = low")
+def score_join(spark, d):
+    p = papers(spark, d)
+    told = p.where("ord % 4 = 0").select(F.upper("title").alias("title"), (F.pmod("ord", F.lit(13)) + 0.5).cast("double").alias("score"))
+    return listings.with_scores(p, told, scores.composite_score()).select("ord", "score")
+
+
+@query("""WITH r AS (SELECT doc_id AS ord, source AS name, CASE WHEN doc_id % 2 = 0 THEN 'A' || lang END AS oa FROM documents), stored(author_id, name, oa) AS (VALUES ('s1', 'Someone', 'Aen'), ('s2', 'src1', NULL)),
+free AS (SELECT * FROM r WHERE NOT (oa IS NOT NULL AND oa = 'Aen') AND name IS DISTINCT FROM 'src1'), keyed AS (SELECT ord, oa, name FROM free WHERE oa IS NULL), made AS (SELECT name, min(ord) AS first FROM keyed GROUP BY 1)
+SELECT ord, coalesce(CASE WHEN oa = 'Aen' THEN 's1' END, CASE WHEN name = 'src1' THEN 's2' END, 'new:' || first) AS author_id FROM r LEFT JOIN made USING (name) WHERE oa IS NULL OR oa = 'Aen'""")
+def author_match(spark, d):
+    i = F.col("doc_id")
+    rows = table(spark, d, "documents").where("doc_id % 2 = 1 or lang = 'en'").select(i.alias("ord"), F.col("source").alias("name"), F.when(F.pmod(i, F.lit(2)) == 0, F.concat(F.lit("A"), "lang")).alias("openalex_id"))
+    held = spark.createDataFrame([("s1", "Someone", "Aen"), ("s2", "src1", None)], "author_id string, name string, openalex_id string")
+    return listings.matched_authors(held, rows).select("ord", "author_id")
+
+
+@query(f"WITH {PAPERS} SELECT CAST(row_number() OVER (ORDER BY ord DESC) AS INTEGER) AS place, doi AS id, CASE WHEN ord % 5 = 0 THEN 'saved' WHEN ord % 3 = 0 THEN 'external' ELSE 'search' END AS layer FROM papers WHERE ord % 5 = 0 OR ord % 3 = 0 OR ord % 2 = 0")
+def override_union(spark, d):
+    p = papers(spark, d)
+    of = lambda name, n: p.where(f"ord % {n} = 0").select("ord", "doi", F.lit(name).alias("from"))
+    wanted = p.select(F.col("doi").alias("id"), (-F.col("ord")).alias("place")).union(spark.createDataFrame([("none", 0)], "id string, place long"))
+    rows = listings.overridden(wanted, [of("search", 2), of("external", 3), of("saved", 5)], F.col("doi"))
+    # -ord is the selection's order; its rank makes the places of what is found comparable.
+    return rows.withColumn("place", F.row_number().over(W.orderBy("place"))).select("place", "id", F.col("from").alias("layer"))
+
+
+@query("SELECT o_orderkey AS ord, CAST(o_orderdate AS TIMESTAMP) AS last_used_at FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 5")
+def shelf_recent(spark, d):
+    return listings.recent(table(spark, d, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_orderdate").cast("timestamp_ntz").alias("last_used_at")))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS INTEGER) AS place, o_orderkey AS ord FROM orders WHERE o_custkey = 7")
+def shelf_listing(spark, d):
+    rows = table(spark, d, "orders").where("o_custkey = 7").select(F.col("o_orderkey").alias("ord"), F.col("o_orderdate").alias("at"))
+    return listings.listing(rows, "at").select(F.row_number().over(W.orderBy(F.desc("at"), "ord")).alias("place"), "ord")
+
+
+@query(f"WITH {PAPERS} SELECT ord, CASE WHEN ord % 4 = 0 THEN ord * 10 ELSE citation_count END AS citation_count FROM papers")
+def arxiv_citation_counts(spark, d):
+    p = papers(spark, d).withColumn("arxiv_id", F.when(F.pmod("ord", F.lit(2)) == 0, F.concat(F.lit("x"), "ord")))
+    counts = p.where("arxiv_id is not null").select("arxiv_id", F.when(F.pmod("ord", F.lit(4)) == 0, F.col("ord") * 10).alias("citation_count"))
+    return listings.with_citation_counts(p, counts).select("ord", "citation_count")
+
+
+def _nodes(spark, d) -> DataFrame:
+    i = F.col("doc_id")
+    journal = F.when(F.pmod(i, F.lit(3)) == 0, F.concat(F.lit('{"name":"'), "source", F.lit('"}'))).when(F.pmod(i, F.lit(3)) == 1, F.concat(F.lit('"'), "lang", F.lit('"'))).otherwise("null")
+    rest = F.to_json(F.struct(F.when(F.pmod(i, F.lit(7)) > 0, F.concat(F.lit("N"), i)).alias("paperId"), F.col("text").alias("title"), F.col("n_chars").alias("citationCount"), F.array(F.struct(F.col("lang").alias("name"))).alias("authors")))
+    return table(spark, d, "documents").select(F.pmod(i, F.lit(3)).alias("hop"), F.concat(F.lit('{"journal":'), journal, F.lit(","), F.substring(rest, 2, 1 << 30)).alias("raw"))
+
+
+@query("SELECT 'N' || doc_id AS semantic_scholar_id, text AS title, CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN lang END AS journal, lang AS authors, n_chars AS citation_count, false AS is_open_access, false AS has_public_code, round(log10(1 + CAST(n_chars AS DOUBLE)), 2) AS score FROM documents WHERE doc_id % 7 > 0")
+def node_papers(spark, d):
+    rows = listings.node_papers(listings.graph_nodes(_nodes(spark, d)), scores.rep_score("citation_count"))
+    return rows.select("semantic_scholar_id", "title", "journal", F.array_join("authors", ",").alias("authors"), "citation_count", "is_open_access", "has_public_code", "score")
+
+
+@query("SELECT o_orderkey AS id, CAST(n - 1 AS INTEGER) AS place FROM (SELECT l_orderkey AS o_orderkey, count(*) AS c FROM lineitem GROUP BY 1) o, LATERAL (SELECT unnest(range(1, least(c, 3) + 1)) AS n) WHERE o_orderkey % 3 = 0")
+def neighbour_answers(spark, d):
+    k = F.col("l_orderkey")
+    held = table(spark, d, "lineitem").groupBy(k.alias("id")).agg(F.collect_list(F.struct(F.col("l_partkey").alias("paperId"))).alias("data"))
+    status = F.when(F.pmod("id", F.lit(3)) == 1, 404).otherwise(200)
+    body = F.when(F.pmod("id", F.lit(3)) == 2, '{"data":null}').otherwise(F.to_json(F.struct("data")))
+    return listings.neighbours(held.select("id", F.lit("references").alias("kind"), status.alias("status"), body.alias("body")), 3).select("id", "place")
+
+
+@query(f"WITH {cites_sql()}, kept AS (SELECT id FROM meta WHERE id = 7 OR contains(lower(title || ' ' || abstract), 'brand#1')) SELECT src, dst FROM cites WHERE src IN (SELECT id FROM kept) AND dst IN (SELECT id FROM kept)")
+def filter_toggle(spark, d):
+    return traverse.filtered_graph(meta(spark, d), cites(spark, d), F.lit(7), ["Brand#1"])[1]
+
+
+@query("SELECT count(*) AS n, count(*) <= 3000 AS shown FROM part")
+def node_guard(spark, d):
+    return traverse.clusters_shown(meta(spark, d))
+
+
+@query("SELECT event_id, CAST(CASE WHEN event_id % 4 = 0 THEN 2 WHEN event_id % 4 = 1 THEN event_id % 9 + 1 WHEN event_id % 4 = 2 THEN 2 ELSE 2 END AS INTEGER) AS hops, CAST(CASE WHEN event_id % 4 = 1 THEN event_id % 9 + 1 END AS INTEGER) AS most_per_hop, CASE WHEN event_id % 4 = 1 THEN event_id % 9 + 0.5 WHEN event_id % 4 = 3 THEN 1.5 ELSE 0.5 END::DOUBLE AS resolution FROM events")
+def graph_settings(spark, d):
+    i, kind = F.col("event_id"), F.pmod("event_id", F.lit(4))
+    half = F.concat(F.pmod(i, F.lit(9)).cast("string"), F.lit(".5"))
+    hops = F.when(kind == 0, " ").when(kind == 1, half).when(kind == 2, "-3").otherwise("1.5")
+    most = F.when(kind == 0, "").when(kind == 1, half).when(kind == 2, "0").otherwise("many")
+    resolution = F.when(kind == 0, "").when(kind == 1, half).when(kind == 2, "-1").otherwise("15e-1")
+    return table(spark, d, "events").select("event_id", traverse.sanitized_settings(hops, most, resolution).alias("s")).select("event_id", "s.*")
+
+
+@query(f"WITH {TYPE}, y AS (SELECT DISTINCT year FROM m WHERE node % 11 <> 0 AND year % 3 = 0), g AS (SELECT year AS left, year + 1 + year % 4 AS right FROM (SELECT DISTINCT year FROM m)) SELECT g.left, g.right, (g.left + g.right) // 2 IN (SELECT year FROM y) OR ((g.left + g.right) % 2 = 1 AND (g.left + g.right) // 2 + 1 IN (SELECT year FROM y)) AS expandable FROM g")
+def expandable_gaps(spark, d):
+    _, nodes = type_levels(spark, d)
+    years = nodes.where("node % 11 <> 0 and year % 3 = 0").select("year").distinct()
+    return clusters.expandable_gaps(nodes.select(F.col("year").alias("left"), (F.col("year") + 1 + F.pmod("year", F.lit(4))).alias("right")).distinct(), years)
+
+
+MODES = {"relevancy": "score DESC", "year_desc": "year DESC", "year_asc": "year", "citations_desc": "citation_count DESC", "citations_asc": "citation_count", "title": "lower(title) COLLATE C"}
+
+
+@query(f"{SCORED} " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{m}' AS mode, CAST(row_number() OVER (ORDER BY {by.replace(' COLLATE C', '')}, ord) AS INTEGER) AS place, ord FROM scored ORDER BY place LIMIT 20)" for m, by in MODES.items()))
+def sort_modes(spark, d):
+    rows, out = scored(spark, d), None
+    for mode in MODES:
+        best = filters.top(rows, 20, *filters.order(mode))
+        part = best.select(F.lit(mode).alias("mode"), F.row_number().over(W.orderBy(*filters.order(mode))).alias("place"), "ord")
+        out = part if out is None else out.union(part)
+    return out
+
+
+# --- keywords and answers ---------------------------------------------------------------------------------------------
+
+
+@query("""WITH k AS (SELECT p_partkey, list_concat([p_name], list_filter(string_split(p_type, ' '), lambda w: len(w) >= 2)) AS k FROM part), l AS (SELECT p_partkey, k, list_transform(k, lambda x: lower(x)) AS low FROM k)
+SELECT p_partkey, array_to_string(list_filter(k, lambda x, i: list_position(low, lower(x)) = i), ';') AS keywords FROM l""")
+def parsed_keywords(spark, d):
+    raw = F.concat(F.lit('-"not this" "'), "p_name", F.lit('" AND ('), "p_type", F.lit(") or x -"), "p_brand", F.lit(" NOT "), "p_type")
+    return table(spark, d, "part").select("p_partkey", F.array_join(T.parsed_keywords(raw), ";").alias("keywords"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 4 > 0 THEN 'told' WHEN doc_id % 8 = 0 THEN 'heuristic' END AS method, CASE WHEN doc_id % 4 > 0 THEN lang || ';' || source WHEN doc_id % 8 = 0 THEN 'graph nets;' || source END AS keywords, CASE WHEN doc_id % 8 = 4 THEN 'Could not derive keywords from the input.' END AS error FROM documents")
+def keyword_chain(spark, d):
+    """A model's answers first, the heuristic with a bibliography's keywords where there is none."""
+    i = F.col("doc_id")
+    rows = table(spark, d, "documents").select(
+        i.alias("id"), F.when(F.pmod(i, F.lit(8)) == 0, "Graph nets").otherwise("the").alias("prompt"), F.when(F.pmod(i, F.lit(8)) == 0, F.concat(F.lit("Title: a | Keywords: GRAPH nets, "), "source", F.lit(" | Abstract: b, c"))).otherwise("").alias("context"),
+        F.concat(F.lit("I think of ['x'] and [] but [\"old\"], so: [\""), "lang", F.lit("\", \" "), "source", F.lit("\", \" \"]")).alias("answer"))
+    told = lambda r: models.recovered(r.where("id % 4 > 0"), "answer").select("id", "keywords")
+    out = keywords.generated(rows, {"told": told, "heuristic": lambda r: keywords.heuristic(r, context="context")})
+    return out.select("id", "method", F.nullif(F.array_join("keywords", ";"), F.lit("")).alias("keywords"), "error")
+
+
+@query("SELECT doc_id, len(left(text, 100000)) AS n, CASE WHEN doc_id % 3 = 0 AND trim(left(coalesce(text, ''), 100000), ' ') = '' THEN 'Provide a research description or a .bib file.' END AS error FROM documents")
+def keyword_guard(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.when(F.pmod("doc_id", F.lit(3)) == 0, "  ").otherwise("on graphs").alias("prompt"), F.col("text").alias("bibtex"))
+    return keywords.guarded(rows).select("doc_id", F.char_length("bibtex").cast("long").alias("n"), "error")
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'On \"' || lang || '\"' ELSE 'Of ' || source END AS title, CASE WHEN doc_id % 2 = 0 THEN 'Café {' || source || '}' ELSE 'Several works.' END AS summary FROM documents")
+def answer_summaries(spark, d):
+    """Objects at the end of prose, and fields of prose with escapes."""
+    i = F.col("doc_id")
+    object_ = F.concat(F.lit('Draft {"title": "no", "summary": "old"}. Final: {"title": "On \\"'), "lang", F.lit('\\"", "summary": "Caf\\u00e9 {'), "source", F.lit('}"} done'))
+    prose = F.concat(F.lit("Thinking.\n* Title: draft\n* **\n> Title: Of "), "source", F.lit("\nSummary:\nSeveral works.\nBye"))
+    rows = table(spark, d, "documents").select(i.alias("id"), F.when(F.pmod(i, F.lit(2)) == 0, object_).otherwise(prose).alias("answer"))
+    return models.recovered(rows, "answer").select("id", "title", "summary")
+
+
+@query("SELECT doc_id AS row_index, CASE WHEN doc_id % 3 = 0 THEN lang END AS main_archetype, CASE WHEN doc_id % 3 = 0 THEN source END AS second_tier_archetype, doc_id % 3 > 0 AS failed FROM documents")
+def answer_labels(spark, d):
+    i = F.col("doc_id")
+    good = F.to_json(F.struct(F.lit(-1).alias("row_index"), F.col("lang").alias("main_archetype"), F.col("source").alias("second_tier_archetype")))
+    rows = table(spark, d, "documents").select(i.alias("row_index"), F.when(F.pmod(i, F.lit(3)) == 0, good).when(F.pmod(i, F.lit(3)) == 1, '{"row_index": 1}').otherwise("no JSON").alias("answer"))
+    return models.recovered_labels(rows, "answer").select("row_index", "main_archetype", "second_tier_archetype", F.col("parse_error").isNotNull().alias("failed"))
+
+
+@query(f"WITH {PAPERS} SELECT ord AS id, CASE WHEN coalesce(trim(abstract, ' '), '') <> '' THEN lang END AS main, CASE WHEN coalesce(trim(abstract, ' '), '') <> '' THEN 0.25 ELSE 0 END::DOUBLE AS main_confidence FROM papers")
+def classified_items(spark, d):
+    p = papers(spark, d).withColumn("id", F.col("ord"))
+    head = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), F.lit(0.25).alias("confidence"))
+    return models.classified_items(p, {"main": head}).select("id", "main", "main_confidence")
+
+
+def _f1_sql(t: str, g: str, k: int) -> str:
+    return f"c{k} AS (SELECT {t} AS t, {g} AS g, count(*) AS n FROM l GROUP BY 1, 2), a{k} AS (SELECT sum(n) FILTER (t = g) / sum(n) AS accuracy FROM c{k}), s{k} AS (SELECT t, sum(n) AS support, coalesce(sum(n) FILTER (t = g), 0) AS hit FROM c{k} GROUP BY t), p{k} AS (SELECT g AS t, sum(n) AS guessed FROM c{k} GROUP BY g), f{k} AS (SELECT sum(2.0 * hit / (support + coalesce(guessed, 0)) * support) / sum(support) AS f1 FROM s{k} LEFT JOIN p{k} USING (t))"
+
+
+@query(f"WITH l AS (SELECT quality, toxic, doc_id % 2 AS o FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL), {_f1_sql('quality', 'toxic', 1)}, {_f1_sql('toxic', 'o', 2)} SELECT round((a1.accuracy + a2.accuracy) / 2, 9) AS accuracy, round((f1.f1 + f2.f1) / 2, 9) AS f1 FROM a1, a2, f1, f2")
+def two_heads(spark, d):
+    rows = table(spark, d, "labels").where("quality is not null and toxic is not null").withColumn("o", F.pmod("doc_id", F.lit(2)))
+    return models.two_heads(rows, ("quality", "toxic"), ("toxic", "o")).select(F.round("accuracy", 9).alias("accuracy"), F.round("f1", 9).alias("f1"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN '—' WHEN c_custkey % 7 <= 3 THEN array_to_string(list_transform(range(1, c_custkey % 7 + 1), lambda i: 'n' || i), ', ') ELSE 'n1, n2, n3, et al.' END AS listed, CASE WHEN c_custkey % 7 <= 5 THEN array_to_string(list_transform(range(1, c_custkey % 7 + 1), lambda i: 'n' || i), ', ') ELSE 'n1, n2, n3, n4, n5 et al.' END AS card, CASE WHEN c_custkey % 2 = 0 THEN 'semantic scholar (' || c_mktsegment || '), core' ELSE 'semantic scholar, core' END AS failed FROM customer")
+def author_and_source_lines(spark, d):
+    names = F.filter(F.lit([f"n{i}" for i in range(1, 7)]), lambda x: F.substring(x, 2, 1).cast("int") <= F.pmod("c_custkey", F.lit(7)))
+    reasons = F.create_map(F.lit("semantic_scholar"), F.when(F.pmod("c_custkey", F.lit(2)) == 0, F.col("c_mktsegment")))
+    return table(spark, d, "customer").select("c_custkey", T.author_line(names, 3, ", et al.", "—").alias("listed"), T.author_line(names, 5).alias("card"), T.failed_label(F.lit(["semantic_scholar", "core"]), reasons).alias("failed"))
+
+
+@query("SELECT p_partkey AS id, 'article' AS entry_type, p_name || ' {' AS opened, p_name || ' of parts' AS title, p_brand || ';' || p_type AS keywords FROM part".replace("p_name || ' {' AS opened, ", ""))
+def parsed_bibtex(spark, d):
+    """Entries with braces inside titles, quoted and bare values."""
+    entry = F.concat(F.lit("junk @Article{key"), "p_partkey", F.lit(",\n title = {"), "p_name", F.lit(" {of}  parts},\n year = 2020, keywords = \""), "p_brand", F.lit("; "), "p_type", F.lit("\"\n}"))
+    rows = bib.parse_bibtex(table(spark, d, "part").select(F.col("p_partkey").alias("id"), entry.alias("text")))
+    return rows.select("id", "entry_type", "title", F.array_join("keywords", ";").alias("keywords"))

@@ -37,10 +37,10 @@ papers AS (
 )"""
 
 
-def cites(spark: SparkSession, sf_dir: str, least_quantity: float = 0) -> DataFrame:
+def cites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, pos) over parts: part cites the part of number l_orderkey modulo the number of parts."""
     n = table(spark, sf_dir, "part").agg(F.count("*").alias("n"))
-    rows = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= least_quantity).join(F.broadcast(n), F.lit(True))
+    rows = table(spark, sf_dir, "lineitem").join(F.broadcast(n), F.lit(True))
     rows = rows.select(F.col("l_partkey").alias("src"), (F.col("l_orderkey") % F.col("n")).alias("dst")).where("src <> dst").distinct()
     return rows.withColumn("pos", F.col("dst"))
 
@@ -51,9 +51,9 @@ def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("p_size").cast("long").alias("n_citation"), F.col("p_partkey").alias("ord"), "p_brand")
 
 
-def cites_sql(least_quantity: float = 0) -> str:
-    return f"""
-cites AS (SELECT DISTINCT l_partkey AS src, l_orderkey % n AS dst FROM lineitem, (SELECT count(*) AS n FROM part) WHERE l_quantity >= {least_quantity} AND l_partkey <> l_orderkey % n),
+def cites_sql() -> str:
+    return """
+cites AS (SELECT DISTINCT l_partkey AS src, l_orderkey % n AS dst FROM lineitem, (SELECT count(*) AS n FROM part) WHERE l_partkey <> l_orderkey % n),
 meta AS (SELECT p_partkey AS id, p_name AS title, p_brand || ' ' || p_type AS abstract, CAST(p_size AS BIGINT) AS n_citation, p_partkey AS ord, p_brand FROM part)"""
 
 

@@ -71,7 +71,7 @@ def entries(text: str | None) -> list[tuple[str, dict[str, str]]]:
         if found := entry_at(text, at):
             opened.append((at, *found))
     ends = [x[0] for x in opened[1:]] + [len(text)]
-    return [(kind, fields_in(text, begin, stop)) for (_, kind, begin), stop in zip(opened, ends, strict=True)]
+    return [(kind, fields_in(text, begin, stop)) for (_, kind, begin), stop in zip(opened, ends, strict=False)]
 
 
 def keywords_in(value: str) -> list[str]:

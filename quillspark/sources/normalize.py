@@ -232,9 +232,10 @@ SOURCES: dict[str, Source] = {
 
 
 def from_landed(rows: DataFrame, name: str, raw: str) -> DataFrame:
-    """Papers out of a column of JSON text, for records that arrive in a table; ``ord`` is kept."""
+    """Papers out of a column of JSON or XML text, for records that arrive in a table; ``ord`` is kept."""
     source = SOURCES[name]
-    held = rows.select("ord", F.from_json(F.col(raw), source.schema).alias("r"))
+    record = F.from_xml(F.col(raw), source.schema, {"rowTag": source.row_tag, "ignoreNamespace": "true"}) if source.row_tag else F.from_json(F.col(raw), source.schema)
+    held = rows.select("ord", record.alias("r"))
     return source.normalize(held.select("ord", "r.*"))
 
 

@@ -2,8 +2,10 @@
 
 import json
 
+import pytest
+
 from quillspark.operators import traverse
-from quillspark.sources import files, normalize
+from quillspark.sources import bibtex, files, normalize
 
 ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/abs/2101.00001v2</id><title>A
  title</title><summary> Text </summary><published>2021-01-02T00:00:00Z</published><author><name>Ada L</name></author><author><name>Bo M</name></author>
@@ -72,9 +74,17 @@ def test_federated_and_registry(spark, tmp_path):
 def test_bibtex(spark):
     text = '@article{k1,\n title = {A {Deep} Title},\n author="X and Y", year = 2020,\n keywords = {nets; Graphs, nets}}\n@misc{broken, title = '
     df = spark.createDataFrame([(1, text), (2, None)], "id int, text string")
-    rows = files.parse_bibtex(df).orderBy("ord").collect()
-    assert (rows[0].entry_type, rows[0].title, rows[0].year, rows[0].keywords) == ("article", "A Deep", "2020", ["nets", "Graphs", "nets"])
-    assert files.bib_keywords(files.parse_bibtex(df)).first().keywords == ["nets", "Graphs"]
+    rows = bibtex.parse_bibtex(df).orderBy("ord").collect()
+    assert (rows[0].entry_type, rows[0].title, rows[0].year, rows[0].keywords) == ("article", "A Deep Title", "2020", ["nets", "Graphs", "nets"])
+    assert [r.entry_type for r in rows] == ["article", "misc"] and bibtex.bib_keywords(bibtex.parse_bibtex(df)).first().keywords == ["nets", "Graphs"]
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("", []), ("no entry @ here {", []), ("@a{k, x = {1}, x = {2}}", [("a", {"x": "2"})]), ('@A {k, t = "say {"}hi{"} now", y=2020}', [("a", {"t": 'say "hi" now', "y": "2020"})]),
+    ("@a{k, t = {never closed @b{j, u = {v}}", [("a", {"t": "never closed"}), ("b", {"u": "v"})]), ("@a{k, n = bare value\n, m = 3 }", [("a", {"n": "bare value", "m": "3"})]),
+])
+def test_bibtex_entries(text, want):
+    assert bibtex.entries(text) == want
 
 
 def test_corpus(spark, tmp_path):

@@ -28,6 +28,8 @@ def test_build_query(spark, source, n, want):
 
 def test_parsed_keywords(spark):
     assert one(spark, T.parsed_keywords(F.lit('"deep nets" AND (Graph OR graph) x -bad'))) == ["deep nets", "Graph"]
+    assert one(spark, T.parsed_keywords(F.lit('-"retrieval augmented" x "y" and "A b" or AND/OR not LLM a B'))) == ["y", "A b", "AND/OR", "LLM"]
+    assert one(spark, T.parsed_keywords(F.lit(""))) == []
 
 
 def test_keywords_to_query(spark):
@@ -55,7 +57,9 @@ def test_candidate_phrases(spark):
 
 def test_repo_and_dataset(spark):
     u = T.repo_url(F.lit(None).cast("string"), F.lit("code at https://github.com/a/b.git. and https://gitlab.com/c/d"))
-    assert one(spark, u) == "https://github.com/a/b"
+    assert one(spark, u) == "https://github.com/a/b.git"  # one ending, then the dots
+    assert one(spark, T.repo_url(F.lit("https://github.com/a/b.tar.gz"), F.lit(None).cast("string"))) == "https://github.com/a/b"
+    assert one(spark, T.repo_url(F.lit("none"), F.lit("see https://github.com/a/b..."))) == "https://github.com/a/b"
     assert one(spark, T.repo_url(F.lit("https://gitlab.com/g/s/r"), F.lit("x"))) == "https://gitlab.com/g/s/r"
     assert one(spark, T.has_dataset(F.lit("The dataset is available"))) and not one(spark, T.has_dataset(F.lit(None).cast("string")))
 
@@ -81,3 +85,23 @@ def test_blend_and_labels(spark):
     assert one(spark, T.sources_label(F.lit(["semantic_scholar", "core"]), F.lit(["core"]))) == "semantic scholar"
     assert one(spark, T.describe_error(F.lit(503), F.lit("http"), F.lit(None).cast("string"))) == "Server error (HTTP 503)"
     assert one(spark, T.compact(F.lit(1234))) == "1.2k"
+
+
+@pytest.mark.parametrize(("seconds", "want"), [
+    (30, "just now"), (44, "just now"), (45, "1m ago"), (100, "2m ago"), (59 * 60, "59m ago"), (105 * 60, "2h ago"), (36 * 3600, "2d ago"), (29 * 86400, "29d ago"), (45 * 86400, "2mo ago"), (360 * 86400, "1y ago"), (-5, "just now"),
+])
+def test_relative_time(spark, seconds, want):
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    assert one(spark, T.relative_time(now - F.make_dt_interval(secs=F.lit(seconds)), now)) == want
+
+
+def test_lines_and_keys(spark):
+    names = lambda n: F.lit([f"n{i}" for i in range(n)]) if n else F.array().cast("array<string>")
+    assert [one(spark, T.author_line(names(n), 3, ", et al.", "—")) for n in (0, 2, 4)] == ["—", "n0, n1", "n0, n1, n2, et al."]
+    assert one(spark, T.author_line(names(6), 5)) == "n0, n1, n2, n3, n4 et al." and one(spark, T.author_line(names(0))) == ""
+    assert one(spark, T.failed_label(F.lit(["semantic_scholar", "core"]), F.create_map(F.lit("core"), F.lit("HTTP 500")))) == "semantic scholar, core (HTTP 500)"
+    assert one(spark, T.paper_key(), "doi string, arxiv_id string, semantic_scholar_id string, openalex_id string, title string", ("", None, "s", "o", "t")) == "s"
+    assert one(spark, T.source_query(F.lit("a AND (b)"), F.lit("dblp"))) == "a b" and one(spark, T.source_query(F.lit("a AND b"), F.lit("arxiv"))) == "a AND b"
+    assert one(spark, T.cluster_color(F.lit(-1), ["r", "g", "b"])) == "b"
+    entries = F.array(F.struct(F.lit("T").alias("title"), F.lit(["k", "l"]).alias("keywords"), F.lit("x" * 400).alias("abstract")), F.struct(F.lit(None).cast("string").alias("title"), F.array().cast("array<string>").alias("keywords"), F.lit("a").alias("abstract")))
+    assert one(spark, T.bib_context(entries)) == "Title: T | Keywords: k, l | Abstract: " + "x" * 300
