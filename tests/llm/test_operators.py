@@ -490,6 +490,44 @@ def test_automaton_finds_longest_matches():
         assert round(got) == n
 
 
+def test_language_id_equals_plain_parsing(spark, odd):
+    """lang_pred and score of every row, by searching for longest matches with ``in``."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 1500").limit(60).unionByName(odd.select("doc_id", "text", "lang", "source", "n_chars"))
+    out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    samples = langid.learn(docs, out, docs_per_lang=20, train_bytes=1500)
+    assert all(len(t) <= 1500 for _, t in samples) and len(samples) > 2
+
+    def bits(text, train):
+        n = 0
+        for a in range(0, len(text), 512):
+            part, at = text[a : a + 512], 0
+            while at < len(part):
+                end = at + 1
+                while end < len(part) and part[at : end + 1] in train:
+                    end += 1
+                n, at = n + 1, end
+        return n * math.log2(max(2, len(train))) / max(1, len(text))
+
+    want = []
+    for r in docs.withColumn("out", out).collect():
+        if not any(c.isalpha() for c in r.text or ""):
+            want.append((r.doc_id, r.out, "und", 0.0))
+            continue
+        text = bytes(re.sub(rb"[^A-Za-z\x80-\xff]+", b" ", r.text.lower().encode()))
+        cost = sorted((bits(text, t), k) for k, (_, t) in enumerate(samples))
+        want.append((r.doc_id, r.out, samples[cost[0][1]][0], max(0.0, 1 - cost[0][0] / cost[1][0])))
+    got = [tuple(r) for r in langid.identified(docs, out, docs_per_lang=20, train_bytes=1500).collect()]
+    key = lambda x: (x[0] is None, x[0] or 0, x[2], round(x[3], 9))
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3])
+
+
+def test_rare_languages_fill_their_sample(spark):
+    rows = [(i, "x" * 40 + " abc" * 3000, "xx" if i < 3 else "yy", "s", 0) for i in range(60)]
+    got = dict(langid.learn(spark.createDataFrame(rows, DDL), F.lit(False), train_bytes=20_000))
+    assert len(got["xx"]) == 20_000 and len(got["yy"]) <= 20_000
+
+
 def test_language_id_held_out(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
