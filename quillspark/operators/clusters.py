@@ -107,10 +107,10 @@ def siblings(levels: DataFrame, nodes: DataFrame, placed: DataFrame, node: int)
     below = levels.select(F.col("level").alias("below"), "node", F.col("community").alias("sub"))
     above = levels.select((F.col("level") - 1).alias("below"), "node", F.col("community").alias("inside"))
     mine = own.select((F.col("level") - 1).alias("below"), "inside")
-    inner = above.join(F.broadcast(mine), ["below", "inside"]).join(below, ["below", "node"])  # one row a level
+    inner = above.join(mine, ["below", "inside"]).join(below, ["below", "node"])
     reps = representatives(levels, nodes).select(F.col("level").alias("below"), F.col("community").alias("sub"), F.col("rep"))
     level_reps = inner.select("below", "sub").distinct().join(reps, ["below", "sub"]).select((F.col("below") + 1).alias("level"), F.col("rep").alias("node"))
-    leaves = levels.where("level = 0").join(F.broadcast(own.where("level = 0").select("inside")), F.col("community") == F.col("inside")).select(F.lit(0).alias("level"), "node")
+    leaves = levels.where("level = 0").join(own.where("level = 0").select("inside"), F.col("community") == F.col("inside")).select(F.lit(0).alias("level"), "node")
     free = level_reps.union(leaves).join(placed.select("node"), "node", "left_anti").where(F.col("node") != node).distinct()
     best = free.agg(F.max("level").alias("level"))
     return free.join(F.broadcast(best), "level").select("node", "level")
@@ -161,7 +161,7 @@ def renumbered(at: DataFrame) -> DataFrame:
     return at.join(first, "community").select("node", F.col("number").alias("community"))
 
 
-# --- summaries --------------------------------------------------------------------------------------------------------
+# --- summaries (fixed values: the wording of summaries and prompts) --------------------------------------------------------------------------------------------------------
 
 
 def truncated_title(t: Column, n: int = 60) -> Column:

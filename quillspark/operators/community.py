@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from quillspark.operators.components import connected_components
 
 LEVELS = "graph_id string, level int, node long, community long, is_misc boolean"
 
@@ -189,8 +188,3 @@ def lanes(sizes: DataFrame, weights: DataFrame, sweeps: int = 12) -> DataFrame:
 
     weights = weights.select(*[F.col(c).alias(c) for c in ("graph_id", "a", "b", "n")])
     return sizes.groupBy("graph_id").cogroup(weights.groupBy("graph_id")).applyInPandas(run, "graph_id string, community long, lane int")
-
-
-def parts(edges: DataFrame) -> DataFrame:
-    """Connected components of an edge table (src, dst)."""
-    return connected_components(edges)

@@ -442,7 +442,15 @@ def phrase_words(spark, d):
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
-@query()
+STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+
+
+@query(f"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9-]+'), lambda w: w <> '') AS w FROM documents),
+e AS (SELECT doc_id, i, w[i] AS w FROM t, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)), m AS (SELECT *, len(w) < 2 OR w IN ({STOP}) AS stop FROM e),
+g AS (SELECT *, sum(CASE WHEN stop THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM m), p AS (SELECT doc_id, g, list(w ORDER BY i) AS ws, min(i) AS pos FROM g WHERE NOT stop GROUP BY 1, 2),
+f AS (SELECT doc_id, w, count(*) AS f FROM g WHERE NOT stop GROUP BY 1, 2), d AS (SELECT doc_id, ws[1:4] AS ws, min(pos) AS pos FROM p GROUP BY doc_id, p.ws),
+s AS (SELECT doc_id, pos, ws, sum(f) * len(ws) AS score FROM (SELECT doc_id, pos, ws, unnest(ws) AS w FROM d) JOIN f USING (doc_id, w) GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS r FROM s) SELECT doc_id AS id, string_agg(array_to_string(ws, ' '), '; ' ORDER BY r) AS keywords FROM r WHERE r <= 10 GROUP BY 1""")
 def rake_keywords(spark, d):
     rows = table(spark, d, "documents").select("doc_id", T.candidate_phrases("text").alias("phrases"))
     return filters.keyword_ranking(rows, "doc_id", "phrases").select("id", F.array_join("keywords", "; ").alias("keywords"))
@@ -553,7 +561,10 @@ def parent_links(spark, d):
     return clusters.parent_links(placed, levels.where("level = 0").select("node", "community"))
 
 
-@query()
+@query(f"""WITH {TYPE}, placed AS (SELECT node FROM m WHERE node % 97 = 0), me AS (SELECT level, community FROM levels WHERE node = 11),
+up AS (SELECT 1 AS level, r.rep AS node FROM reps r WHERE r.level = 0 AND r.community IN (SELECT l.community FROM levels l WHERE l.level = 0 AND l.node IN (SELECT node FROM levels WHERE level = 1 AND community = (SELECT community FROM me WHERE level = 1)))),
+leaf AS (SELECT 0 AS level, node FROM levels WHERE level = 0 AND community = (SELECT community FROM me WHERE level = 0)),
+free AS (SELECT DISTINCT * FROM (SELECT * FROM up UNION ALL SELECT * FROM leaf) WHERE node <> 11 AND node NOT IN (SELECT node FROM placed)) SELECT node, level FROM free WHERE level = (SELECT max(level) FROM free)""")
 def sibling_recommendations(spark, d):
     levels, nodes = type_levels(spark, d)
     return clusters.siblings(levels, nodes, nodes.where("node % 97 = 0"), 11)
