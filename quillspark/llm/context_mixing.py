@@ -144,18 +144,6 @@ def steps(sorted_keys: np.ndarray) -> np.ndarray:
     return np.diff(sorted_keys, prepend=sorted_keys.dtype.type(0))
 
 
-def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending distinct keys, and the place of each key among them."""
-    import pyarrow as pa
-
-    coded = pa.array(keys).dictionary_encode()
-    names = coded.dictionary.to_numpy()
-    order = np.argsort(names)
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return names[order], rank[coded.indices.to_numpy()]
-
-
 def by_bucket(bucket: np.ndarray) -> list[tuple[int, slice]]:
     """(bucket, where it is) of an ascending array of buckets."""
     at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
@@ -176,13 +164,13 @@ class Batch:
         self.learns = np.repeat(self.training, self.sizes)  # by token
         seen = np.flatnonzero(np.bincount(self.ids, minlength=len(self.words)))
         hashed = np.zeros(len(self.words), np.uint64)
-        hashed[seen] = hashes_of(self.words.take(_indices(seen)).to_pylist())
+        hashed[seen] = hashes_of(self.words.take(_indices(seen)).to_numpy(zero_copy_only=False).tolist())
         self.hashed, self.seen = hashed, seen[np.lexsort((hashed[seen], bucket_of(hashed[seen], buckets)))]
         self.leaf = (hashed & np.uint64(shape.leaves - 1)).astype(np.int64)
         self.by_token = self.leaf[self.ids]
         keys = pair_keys(hashed[self.ids], self.first)
         places = (bucket_of(keys, buckets) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))  # a bucket tells its keys apart by 32 bits
-        self.places, self.place_of = distinct(places)
+        self.places, self.place_of = np.unique(places, return_inverse=True)
         self.short = (hashed & WORD_MASK)[self.ids]  # 24 bits of the word; the lowest name its leaf
 
     def sent(self):
@@ -273,13 +261,17 @@ def answered(batches: list[int], payloads: list[bytes], kind: int, shape: Shape)
         wide[:, :3] = x[2].reshape(-1, 3)
         words.append(wide.view("<u4").ravel().astype(np.uint64))
     pairs = np.concatenate([(np.repeat(k, x[1]).astype(np.uint64) << WORD_BITS) | w for k, x, w in zip(keys, held, words, strict=True)])
-    pairs, at = np.unique(pairs, return_inverse=True)
-    n = np.bincount(at, np.concatenate([x[3] for x in held]), len(pairs)).astype(np.int64)
+    order = np.argsort(pairs)
+    pairs, n = pairs[order], np.concatenate([x[3] for x in held]).astype(np.int64)[order]
+    new = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))) if len(pairs) else np.zeros(0, np.int64)
+    n, pairs = np.add.reduceat(n, new) if len(new) else n, pairs[new]
     key, word = (pairs >> WORD_BITS).astype(np.uint32), (pairs & WORD_MASK).astype(np.uint32)
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    total = np.add.reduceat(n, starts) if len(key) else np.zeros(0, np.int64)
-    order = np.lexsort((word, -n, key))  # the first of each key: seen most often, the smallest on ties
-    top, times, names = word[order][starts], n[order][starts], key[starts]
+    names = key[starts]
+    total, times = (np.add.reduceat(n, starts), np.maximum.reduceat(n, starts)) if len(key) else (n, n)
+    # The word seen most often after each key, the smallest on ties: the first in the key's row that reaches the largest count.
+    most = np.flatnonzero(n == np.repeat(times, np.diff(np.append(starts, len(key)))))
+    top = word[most[np.searchsorted(most, starts)]] if len(key) else word
     out = []
     for batch, k in zip(batches, keys, strict=True):
         where = np.minimum(np.searchsorted(names, k), max(0, len(names) - 1))
@@ -376,7 +368,8 @@ class Model:
             at, lane, x = begins[:live] + t, lane_of[:live], inputs[:, :, :live]
             to, sort = leaf.take(at), kind.take(at)
             path = (to | shape.leaves) >> down
-            up = (to >> bit_of) & 1
+            bit = (to >> bit_of) & 1
+            up = bit.astype(real)
             spread = spreads.take(path)
             own = path * lanes + lane
             x[0] = self.order0.take(path)
@@ -389,17 +382,23 @@ class Model:
                 awaited = expected.take(at[some])
                 agrees = ((to[some] ^ awaited) >> down) == 0
                 of = sort[some] * ((shape.depth + 1) * lanes) + some
-                held = trust.take(of + level)
-                as_expected = (awaited >> bit_of & 1) == up[:, some]
-                x[4][:, some] = np.where(agrees, np.where(awaited >> bit_of & 1, held, -held), real(0))
-                went = held + match_rate * (as_expected - 1 / (1 + np.exp(-held)))
-                trust[(of + level)[agrees]] = went[agrees]
+                of = of + level
+                held = trust.take(of)
+                toward = awaited >> bit_of & 1
+                x[4][:, some] = np.where(agrees, np.where(toward, held, -held), real(0))
+                of, held, hits = of[agrees], held[agrees], (toward == bit[:, some])[agrees]
+                trust[of] = held + match_rate * (hits - 1 / (1 + np.exp(-held)))
             gate = gate_of.take(at) * np.int64(lanes) + lane
             w = weights[:, gate]
-            p = 1 / (1 + np.exp(-sum(a * b for a, b in zip(w, x, strict=True))))
-            off = up - np.minimum(np.maximum(p, least), most)
+            dot = w[0] * x[0]
+            for a, b in zip(w[1:], x[1:], strict=True):
+                dot += a * b
+            np.exp(np.negative(dot, out=dot), out=dot)
+            dot += 1
+            p = np.minimum(np.maximum(np.reciprocal(dot, out=dot), least), most)
+            off = up - p
             cost = np.log(1 - np.abs(off)).sum(axis=0, dtype=np.float64)
-            weights[:, gate] = w + rate * np.einsum("dl,kdl->kl", off.astype(real), x)
+            weights[:, gate] = w + rate * np.einsum("dl,kdl->kl", off, x)
             local[own] = x[3] + local_rate * (up - 1 / (1 + np.exp(-x[3])))
             cost += share.take(at)
             if len(some) and (reached := some[to[some] == awaited]).size:
@@ -517,8 +516,8 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     two words, a training document's score does not use what only the document itself says. A row's score
     depends on the trained model and its own text only; weights and the document's own predictor go on through the whole text.
 
-    Documents are dealt by hash into batches of about ``batch_bytes``, long ones among themselves and twice as large, so that those of a batch are of
-    like length. Buckets of keys grow in number with the text. The low-order tables, of a size set by ``shape``, are broadcast.
+    Documents are dealt by hash into batches of about ``batch_bytes`` (twice that from 16 KB on), those of one doubling of length among themselves,
+    so that a batch's documents end at about the same time. Buckets of keys grow in number with the text. The low-order tables, of a size set by ``shape``, are broadcast.
 
     Null text counts as empty (one token, the end); null ids are never held out; repeated rows repeat.
     Without training rows all probabilities come from what is added. An empty table gives no rows. Other columns are ignored.
@@ -526,13 +525,13 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     shape = shape or Shape()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     length = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
-    kinds = [length <= 4096, (length > 4096) & (length <= 16_384), length > 16_384]
-    held = rows.agg(*[F.sum(F.when(k, length)) for k in kinds]).first()
-    counts = [-(-(x or 0) // (batch_bytes << (i == 2))) for i, x in enumerate(held)]
-    buckets = max(1, sum(x or 0 for x in held) // (2 * batch_bytes))
-    own = F.xxhash64(F.lit(9), "doc_id", F.crc32("text"))
-    deal = lambda i: F.pmod(own, F.lit(max(1, counts[i]))) + sum(counts[:i])
-    rows = rows.withColumn("batch", F.when(kinds[0], deal(0)).when(kinds[1], deal(1)).otherwise(deal(2)).cast("long"))
+    rows = rows.withColumn("likes", F.greatest(F.lit(0), F.ceil(F.log2(length / 2048))).cast("int"))
+    held = {r.likes: r.bytes for r in rows.groupBy("likes").agg(F.sum(length).alias("bytes")).collect()}  # a row for each doubling of length
+    counts = {k: -(-n // (batch_bytes << (k > 3))) for k, n in sorted(held.items())}
+    starts = {k: sum(n for j, n in counts.items() if j < k) for k in counts}
+    buckets = max(1, sum(held.values()) // (2 * batch_bytes))
+    of = lambda d: F.element_at(F.create_map(*[F.lit(x) for pair in d.items() for x in pair]), F.col("likes")) if d else F.lit(1)
+    rows = rows.withColumn("batch", (F.pmod(F.xxhash64(F.lit(9), "doc_id", F.crc32("text")), of(counts)) + of(starts)).cast("long")).drop("likes")
 
     def send(table):
         import pyarrow as pa
