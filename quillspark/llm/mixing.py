@@ -91,8 +91,12 @@ def mixed_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ends = F.least(F.col("size"), (F.col("k") + 1) * packet)
     packets = packets.withColumns({"words": ends - F.col("k") * packet, "finish": F.try_divide((F.col("begins") + ends).cast("double"), F.col("target"))})
     packets = packets.where((first & (F.col("k") == 0)) | (F.col("finish") <= latest))
-    at = F.least(F.lit(ranges), F.floor(F.coalesce("finish", F.lit(0.0)) * (ranges / latest))).cast("int")
-    packets = packets.withColumn("range", at)
+    # Packets without words, and those kept only so that their row has a result, take no part in the order; they are spread over ranges of their own.
+    idle = (F.col("words") == 0) | ~F.coalesce(F.col("finish") <= latest, F.lit(False))
+    packets = packets.withColumns({
+        "range": F.when(idle, ranges + 1 + F.pmod(F.xxhash64("draw", "place"), F.lit(ranges))).otherwise(F.floor(F.col("finish") * (ranges / latest))).cast("int"),
+        "words": F.when(idle, 0).otherwise(F.col("words")),
+    })
     sums = packets.groupBy("range").agg(F.sum("words").alias("in_range"))
     sums = sums.select("range", F.coalesce(F.sum("in_range").over(W.orderBy("range").rowsBetween(*BEFORE)), F.lit(0)).alias("earlier"))
     order = W.partitionBy("range").orderBy("finish", "draw", "key", "run", "place", "k").rowsBetween(*BEFORE)
