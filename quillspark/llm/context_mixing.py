@@ -108,7 +108,7 @@ def tokens_of(texts):
     held = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # blanks at an end leave empty strings
     place, owner = coded.indices.to_numpy()[held], np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))[held]
     sizes = np.bincount(owner, minlength=len(texts)) + 1
-    ids = np.full(int(sizes.sum()), len(coded.dictionary), np.int64)
+    ids = np.full(int(sizes.sum()), len(coded.dictionary), np.int32)
     ids[np.arange(len(place)) + owner] = place
     return pa.concat_arrays([coded.dictionary.cast(pa.binary()), pa.array([END], pa.binary())]), ids, sizes
 
@@ -166,12 +166,13 @@ class Batch:
         hashed = np.zeros(len(self.words), np.uint64)
         hashed[seen] = hashes_of(self.words.take(_indices(seen)).to_numpy(zero_copy_only=False).tolist())
         self.hashed, self.seen = hashed, seen[np.lexsort((hashed[seen], bucket_of(hashed[seen], buckets)))]
-        self.leaf = (hashed & np.uint64(shape.leaves - 1)).astype(np.int64)
+        self.leaf = (hashed & np.uint64(shape.leaves - 1)).astype(np.int32)
         self.by_token = self.leaf[self.ids]
         keys = pair_keys(hashed[self.ids], self.first)
-        places = (bucket_of(keys, buckets) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))  # a bucket tells its keys apart by 32 bits
-        self.places, self.place_of = np.unique(places, return_inverse=True)
-        self.short = (hashed & WORD_MASK)[self.ids]  # 24 bits of the word; the lowest name its leaf
+        keys = (bucket_of(keys, buckets) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))  # a bucket tells its keys apart by 32 bits
+        self.places, place_of = np.unique(keys, return_inverse=True)
+        self.place_of = place_of.astype(np.int32)
+        self.short = (hashed & WORD_MASK).astype(np.uint32)[self.ids]  # 24 bits of the word; the lowest name its leaf
 
     def sent(self):
         """(bucket, kind, payload): words with their training counts, contexts with their training continuations, sums of bit counts."""
@@ -179,7 +180,7 @@ class Batch:
         keys = self.hashed[self.seen]
         for bucket, at in by_bucket(bucket_of(keys, self.buckets)):
             yield bucket, WORDS, packed(steps(keys[at]), n[at])
-        pairs, times = np.unique((self.place_of[self.learns].astype(np.uint64) << WORD_BITS) | self.short[self.learns], return_counts=True)
+        pairs, times = np.unique((self.place_of[self.learns].astype(np.uint64) << WORD_BITS) | self.short[self.learns].astype(np.uint64), return_counts=True)
         of = (pairs >> WORD_BITS).astype(np.int64)
         held = np.bincount(of, minlength=len(self.places))
         from_ = np.cumsum(held) - held
@@ -291,11 +292,11 @@ class Answers:
         for bucket, at in by_bucket(bucket_of(batch.hashed[batch.seen], batch.buckets)):
             self.c[batch.seen[at]] = got[WORDS, bucket][0]
         n = len(batch.places)
-        self.top, self.times, self.total = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.top, self.times, self.total = np.zeros(n, np.uint32), np.zeros(n, np.int32), np.zeros(n, np.int32)
         for bucket, at in by_bucket(batch.places >> np.uint64(32)):
             often, top, times, total = got[CONTEXTS, bucket]
             where = at.start + np.flatnonzero(np.unpackbits(often, count=at.stop - at.start))
-            self.top[where], self.times[where], self.total[where] = top, times, total
+            self.top[where], self.times[where], self.total[where] = top, np.minimum(times, 1 << 30), np.minimum(total, 1 << 30)
 
 
 def expectations(batch: Batch, answers: Answers) -> tuple[np.ndarray, np.ndarray]:
@@ -308,11 +309,10 @@ def expectations(batch: Batch, answers: Answers) -> tuple[np.ndarray, np.ndarray
     doc = np.repeat(np.arange(len(batch.sizes)), batch.sizes)[held]
     own = doc * np.int64(len(batch.places)) + batch.place_of[held]
     names, at = np.unique(own, return_inverse=True)
-    times, total = times.copy(), total.copy()
-    times[held] -= np.bincount(at, batch.short[held] == top[held], len(names)).astype(np.int64)[at]
-    total[held] -= np.bincount(at, minlength=len(names))[at]
-    size = np.searchsorted([2, 4, 16], times, side="right")
-    return top, np.where(times > 0, np.where(2 * times >= total, size, size + 4), -1)
+    times[held] -= np.bincount(at, batch.short[held] == top[held], len(names)).astype(np.int32)[at]
+    total[held] -= np.bincount(at, minlength=len(names)).astype(np.int32)[at]
+    kind = ((times >= 2).astype(np.int8) + (times >= 4) + (times >= 16)) + np.where(2 * times.astype(np.int64) >= total, np.int8(0), np.int8(4))
+    return top, np.where(times > 0, kind, np.int8(-1)).astype(np.int8)
 
 
 # --- the model --------------------------------------------------------------------------------------------------------
@@ -366,7 +366,7 @@ class Model:
         spreads, inputs = spread_of(np.arange(shape.leaves)), np.zeros((5, shape.depth, lanes), real)
         for t, live in enumerate(live_at.tolist()):
             at, lane, x = begins[:live] + t, lane_of[:live], inputs[:, :, :live]
-            to, sort = leaf.take(at), kind.take(at)
+            to, sort = leaf.take(at).astype(np.int64), kind.take(at).astype(np.int64)
             path = (to | shape.leaves) >> down
             bit = (to >> bit_of) & 1
             up = bit.astype(real)
@@ -379,7 +379,7 @@ class Model:
             some = np.flatnonzero(sort >= 0)
             x[4] = 0
             if len(some):
-                awaited = expected.take(at[some])
+                awaited = expected.take(at[some]).astype(np.int64)
                 agrees = ((to[some] ^ awaited) >> down) == 0
                 of = sort[some] * ((shape.depth + 1) * lanes) + some
                 of = of + level
@@ -388,7 +388,7 @@ class Model:
                 x[4][:, some] = np.where(agrees, np.where(toward, held, -held), real(0))
                 of, held, hits = of[agrees], held[agrees], (toward == bit[:, some])[agrees]
                 trust[of] = held + match_rate * (hits - 1 / (1 + np.exp(-held)))
-            gate = gate_of.take(at) * np.int64(lanes) + lane
+            gate = gate_of.take(at).astype(np.int64) * lanes + lane
             w = weights[:, gate]
             dot = w[0] * x[0]
             for a, b in zip(w[1:], x[1:], strict=True):
@@ -456,10 +456,11 @@ def score_batch(docs, answers: list[tuple[int, int, bytes]], model: Model, bucke
     owner = np.repeat(np.arange(n_docs), sizes)
     c = got.c
     base = np.log10((c + 0.5) / (model.tokens + 0.5 * (model.words + 1)))
-    share = np.log((c + 0.5) / model.leaf_total[batch.leaf])
+    share = np.log((c + 0.5) / model.leaf_total[batch.leaf]).astype(model.shape.real)
     top, kind = expectations(batch, got)
     hit = (kind >= 0) & (top == batch.short)
-    awaited = (top & np.uint64(model.shape.leaves - 1)).astype(np.int64)
+    awaited = (top & np.uint32(model.shape.leaves - 1)).astype(np.int32)
+    del top
     score = model.log_tokens(batch.by_token, share[ids], sizes, awaited, kind, hit) / np.log(10)
     unknown = np.flatnonzero(c[ids] == 0)
     byte, starts = spellings(batch.words.take(_indices(ids[unknown])))
@@ -516,7 +517,7 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     two words, a training document's score does not use what only the document itself says. A row's score
     depends on the trained model and its own text only; weights and the document's own predictor go on through the whole text.
 
-    Documents are dealt by hash into batches of about ``batch_bytes`` (twice that from 16 KB on), those of one doubling of length among themselves,
+    Documents are dealt by hash into batches of about ``batch_bytes``, those of one doubling of length among themselves,
     so that a batch's documents end at about the same time. Buckets of keys grow in number with the text. The low-order tables, of a size set by ``shape``, are broadcast.
 
     Null text counts as empty (one token, the end); null ids are never held out; repeated rows repeat.
@@ -527,7 +528,7 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     length = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
     rows = rows.withColumn("likes", F.greatest(F.lit(0), F.ceil(F.log2(length / 2048))).cast("int"))
     held = {r.likes: r.bytes for r in rows.groupBy("likes").agg(F.sum(length).alias("bytes")).collect()}  # a row for each doubling of length
-    counts = {k: -(-n // (batch_bytes << (k > 3))) for k, n in sorted(held.items())}
+    counts = {k: -(-n // batch_bytes) for k, n in sorted(held.items())}
     starts = {k: sum(n for j, n in counts.items() if j < k) for k in counts}
     buckets = max(1, sum(held.values()) // (2 * batch_bytes))
     of = lambda d: F.element_at(F.create_map(*[F.lit(x) for pair in d.items() for x in pair]), F.col("likes")) if d else F.lit(1)
