@@ -245,11 +245,13 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2
                 name = f"{part.as_py():06d}-{chunk.as_py():06d}.ids"
                 own = np.frombuffer(ids.as_buffer(), "<u4")
                 put(folder, name, pack_file(code, doc_ids.as_py(), np.array(sizes.as_py()), own, block))
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(own)])], ["file", "n_ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([part.as_py()], pa.int32()), pa.array([name]), pa.array([len(own)])], ["part", "file", "n_ids"])
 
-    files = stored(made.drop("counts").mapInArrow(write, "file string, n_ids long"))
-    before = F.coalesce(F.sum("n_ids").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    files.withColumn("start", before).write.mode("overwrite").parquet(f"{folder}/manifest")
+    files = stored(made.drop("counts").mapInArrow(write, "part int, file string, n_ids long"))
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", before(W.orderBy("part")).alias("earlier"))
+    placed = files.withColumn("inside", before(W.partitionBy("part").orderBy("file"))).join(parts, "part")
+    placed.select("file", "n_ids", (F.col("earlier") + F.col("inside")).alias("start")).write.mode("overwrite").parquet(f"{folder}/manifest")
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
