@@ -54,7 +54,7 @@ class PieceTokenizer:
     LETTERS = r"\A ?[A-Za-zÀ-ÖØ-öø-ÿ]+\z"
     ODD = r"\A ?\z|\A ?" + BLANK + "|" + BLANK + r"\z"
 
-    def __init__(self, path: str, keep: int = 400_000) -> None:
+    def __init__(self, path: str, keep: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         from tokenizers import Tokenizer
@@ -175,9 +175,10 @@ def tokenizer(path: str) -> PieceTokenizer:
     return _made[path]
 
 
-def encoded(path: str, texts, at_once: int = 4 << 20) -> Iterator[bytes]:
+def encoded(path: str, texts, at_once: int = 2 << 20) -> Iterator[bytes]:
     """Ids of each text of an Arrow array; texts of about ``at_once`` bytes are looked up together."""
     import numpy as np
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -186,3 +187,4 @@ def encoded(path: str, texts, at_once: int = 4 << 20) -> Iterator[bytes]:
         b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + at_once, side="right")))
         yield from tokenizer(path).encode(texts[a:b])
         a = b
+    pa.default_memory_pool().release_unused()  # a worker lives on, beside others

@@ -552,6 +552,9 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     model = docs.sparkSession.sparkContext.broadcast(Model(shape, *totals(answers, shape)))
 
     def score(documents, told):
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()  # of the batch before
         return score_batch(documents, [*zip(told["kind"].to_pylist(), told["bucket"].to_pylist(), told["payload"].to_pylist(), strict=True)], model.value, buckets)
 
     return rows.groupBy("batch").cogroup(answers.where("batch >= 0").groupBy("batch")).applyInArrow(score, SCORED)

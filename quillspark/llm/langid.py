@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 UNKNOWN = "und"
+#: Languages whose counts are broadcast at most.
+MOST_BROADCAST = 10_000
 #: In a transition, marks that the phrase before this character has ended.
 ENDS = 1 << 30
 _GAPS = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -116,6 +118,9 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, he
     able = docs.where(~held_out & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     rows = able.select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit(3), F.col(id_col)).alias("h"), F.col(text_col).alias("text"))
     counts = rows.groupBy("lang").count()
+    few = counts.limit(MOST_BROADCAST + 1).collect()
+    if len(few) <= MOST_BROADCAST:  # else Spark shuffles both sides
+        counts = F.broadcast(docs.sparkSession.createDataFrame(few, counts.schema))
     drawn = F.shiftrightunsigned("h", 12).cast("double") * F.col("count") < F.lit(1.25 * docs_per_lang + 8) * float(1 << 52)
     long = F.greatest(F.lit(256), F.ceil(F.lit(2 * train_bytes) / F.col("count"))).cast("int")
     middle = F.greatest(F.lit(1), F.floor((F.char_length("text") - long) / 2)).cast("int")
