@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import context_mixing, exact_dedup, huffman, langid, licenses, maxscore, mixing, packing, sharding, simhash
+from quillspark.llm import chat, collocations, context_mixing, exact_dedup, huffman, langid, licenses, maxscore, mixing, packing, sharding, simhash, whitening
 from quillspark.session import shared_dir
 
 
@@ -65,11 +65,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.formatted(turns.unionByName(spark.sql(chat.TRAP))))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_ids, op3_sharding, op4_exact_dedup, op5_licenses, op6_mixing, op7_packing, op8_maxscore, op9_lm_score, op10_language_id, pipeline)}
-ORACLES = {"op4_exact_dedup": exact_dedup.OP4_SQL, "op5_licenses": licenses.oracle_sql(), "op8_maxscore": maxscore.OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_ids, op3_sharding, op4_exact_dedup, op5_licenses, op6_mixing, op7_packing, op8_maxscore, op9_lm_score, op10_language_id,
+                                 op11_whitening, op12_chat_format, op13_collocations, pipeline)}
+ORACLES = {"op4_exact_dedup": exact_dedup.OP4_SQL, "op5_licenses": licenses.oracle_sql(), "op8_maxscore": maxscore.OP8_SQL,
+           "op12_chat_format": chat.OP12_SQL, "op13_collocations": collocations.OP13_SQL}
