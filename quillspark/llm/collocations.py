@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from quillspark.llm.common import lean_worker
 from quillspark.session import stored
 
 LONGEST = 4
@@ -112,15 +113,19 @@ def slices(batch, most: int) -> Iterator:
         a = b
 
 
-def edges(rows: DataFrame, ranges: Ranges, batch_bytes: int) -> DataFrame:
-    """EDGES of ``rows`` (lang, text): counts of a slice of texts. Of each position the longest gram is told; besides, of each word its count, and under the empty phrase the number of all words."""
+def edges(rows: DataFrame, ranges: Ranges, batch_bytes: int, most_singles: int = 500_000) -> DataFrame:
+    """EDGES of ``rows`` (lang, text): counts of a slice of texts. Of each position the longest gram is told; besides, of each word its count, and under the empty phrase the number of all words, which a task adds up over slices."""
 
     def told(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import pyarrow.compute as pc
         from pyspark import TaskContext
 
-        turn = TaskContext.get().partitionId()
+        lean_worker()
+        turn = TaskContext.get().partitionId() % (len(ranges.begins) + 1)
+        table = lambda *columns: pa.Table.from_arrays(list(columns), schema=pa.schema([("range", pa.int32()), ("open", pa.int32()), ("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())]))
+        same = lambda value, n: pa.array(np.full(n, value, np.int32))
+        singles, held = [], 0
         for batch in batches:
             for part in slices(batch, batch_bytes):
                 codes, words, doc, left = tokens(part.column("text"))
@@ -129,23 +134,32 @@ def edges(rows: DataFrame, ranges: Ranges, batch_bytes: int) -> DataFrame:
                 coded = part.column("lang").dictionary_encode()
                 langs = coded.indices.to_numpy().astype(np.int64)[doc]
                 in_lang, grams, counts = counted(codes, len(words), langs, left)
+                single, times = np.unique(langs * len(words) + codes, return_counts=True)
+                everything, totals = np.unique(langs, return_counts=True)
+                del codes, doc, left, langs
                 places = np.append(np.zeros(1, np.uint64), ranges.places(hashes(words)))
                 at, opened = ranges.of(places[grams])
-                single, singles = np.unique(langs * len(words) + codes, return_counts=True)
-                alone = np.zeros((len(single), LONGEST), np.int64)
-                alone[:, 0] = single % len(words) + 1
-                everything, totals = np.unique(langs, return_counts=True)
                 named = pa.concat_arrays([pa.array([None], pa.string()), words])
                 phrase = pc.binary_join_element_wise(*(named.take(pa.array(grams[:, j])) for j in range(LONGEST)), " ", null_handling="skip")
-                table = pa.Table.from_arrays([
-                    pa.array(np.concatenate((at, ranges.of(places[alone])[0], np.full(len(totals), turn % (len(ranges.begins) + 1)))).astype(np.int32)),
-                    pa.array(np.concatenate((opened, np.full(len(single), -1), np.zeros(len(totals)))).astype(np.int32)),
-                    coded.dictionary.take(pa.array(np.concatenate((in_lang, single // len(words), everything)))),
-                    pa.chunked_array([phrase, words.take(pa.array(single % len(words))), pa.array([""] * len(totals))]).combine_chunks(),
-                    pa.array(np.concatenate((counts, singles, totals)).astype(np.int64)),
-                ], names=["range", "open", "lang", "phrase", "n"])
-                yield from table.to_batches(max_chunksize=65_536)
+                yield from table(pa.array(at.astype(np.int32)), pa.array(opened.astype(np.int32)), coded.dictionary.take(pa.array(in_lang)), phrase, pa.array(counts)).to_batches(max_chunksize=65_536)
+                del in_lang, grams, counts, at, opened, phrase
+                alone = np.zeros((len(words), LONGEST), np.uint64)
+                alone[:, 0] = places[1:]
+                at = ranges.of(alone)[0].astype(np.int32)[single % len(words)]
+                singles.append(table(pa.array(at), same(-1, len(at)), coded.dictionary.take(pa.array(single // len(words))), words.take(pa.array(single % len(words))), pa.array(times)))
+                singles.append(table(same(turn, len(totals)), same(0, len(totals)), coded.dictionary.take(pa.array(everything)), pa.array([""] * len(totals), pa.string()), pa.array(totals)))
+                held += len(at)
+                if held > most_singles:
+                    met = pa.concat_tables(singles).group_by(["range", "open", "lang", "phrase"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["range", "open", "lang", "phrase", "n"])
+                    singles, held = [met], met.num_rows
+                    if held > most_singles // 2:
+                        yield from met.to_batches(max_chunksize=65_536)
+                        singles, held = [], 0
                 pa.default_memory_pool().release_unused()
+        if singles:
+            met = pa.concat_tables(singles).group_by(["range", "open", "lang", "phrase"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["range", "open", "lang", "phrase", "n"])
+            yield from met.to_batches(max_chunksize=65_536)
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(told, EDGES)
 
@@ -157,6 +171,7 @@ def bounds(rows: DataFrame, share: float, rate: float, ranges: int, batch_bytes:
     def told(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        lean_worker()
         for batch in batches:
             for part in slices(batch, batch_bytes):
                 codes, words, _, left = tokens(part.column("text"))
@@ -180,7 +195,7 @@ def first_words(phrase: Column, n: int) -> Column:
     return F.substring_index(phrase, " ", n)
 
 
-def frequent(docs: DataFrame, least: int = 30, text_col: str = "text", lang_col: str = "lang", ranges: int = 4096, part_bytes: int = 8 << 20, batch_bytes: int = 12 << 20,
+def frequent(docs: DataFrame, least: int = 30, text_col: str = "text", lang_col: str = "lang", ranges: int = 4096, part_bytes: int = 8 << 20, batch_bytes: int = 10 << 20,
              sample_docs: int = 2000, sample_grams: int = 1 << 16) -> DataFrame:
     """(lang, phrase, f): every phrase of up to four words that occurs ``least`` times in its language within pieces, and under the empty phrase the number of all words.
 

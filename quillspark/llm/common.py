@@ -36,6 +36,15 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def lean_worker() -> None:
+    """Lets this Python worker give large arrays back to the system as soon as they are freed, where the C library can be told so: idle workers then hold little."""
+    import contextlib
+    import ctypes
+
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, fixed
+
+
 class PieceTokenizer:
     """Ids of whole texts by a byte-level BPE of the tokenizers library, as little-endian uint32 bytes.
 
