@@ -15,7 +15,8 @@ LONGEST = 4
 KIND = np.zeros(256, np.uint8)
 KIND[list(b" \t")] = 1
 KIND[list(b".,;:!?\n\x0b\x0c\r")] = 2
-EDGES = "range int, open int, lang string, phrase string, n long"
+#: kind: the number of words, and 8 for each leading word down to which the phrase may go on in other ranges.
+EDGES = "range int, kind int, lang string, phrase string, n long"
 
 
 def tokens(texts):
@@ -123,7 +124,7 @@ def edges(rows: DataFrame, ranges: Ranges, batch_bytes: int, most_singles: int =
 
         lean_worker()
         turn = TaskContext.get().partitionId() % (len(ranges.begins) + 1)
-        table = lambda *columns: pa.Table.from_arrays(list(columns), schema=pa.schema([("range", pa.int32()), ("open", pa.int32()), ("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())]))
+        table = lambda *columns: pa.Table.from_arrays(list(columns), schema=pa.schema([("range", pa.int32()), ("kind", pa.int32()), ("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())]))
         same = lambda value, n: pa.array(np.full(n, value, np.int32))
         singles, held = [], 0
         for batch in batches:
@@ -141,23 +142,23 @@ def edges(rows: DataFrame, ranges: Ranges, batch_bytes: int, most_singles: int =
                 at, opened = ranges.of(places[grams])
                 named = pa.concat_arrays([pa.array([None], pa.string()), words])
                 phrase = pc.binary_join_element_wise(*(named.take(pa.array(grams[:, j])) for j in range(LONGEST)), " ", null_handling="skip")
-                yield from table(pa.array(at.astype(np.int32)), pa.array(opened.astype(np.int32)), coded.dictionary.take(pa.array(in_lang)), phrase, pa.array(counts)).to_batches(max_chunksize=65_536)
+                yield from table(pa.array(at.astype(np.int32)), pa.array((8 * opened + (grams > 0).sum(axis=1)).astype(np.int32)), coded.dictionary.take(pa.array(in_lang)), phrase, pa.array(counts)).to_batches(max_chunksize=65_536)
                 del in_lang, grams, counts, at, opened, phrase
                 alone = np.zeros((len(words), LONGEST), np.uint64)
                 alone[:, 0] = places[1:]
                 at = ranges.of(alone)[0].astype(np.int32)[single % len(words)]
-                singles.append(table(pa.array(at), same(-1, len(at)), coded.dictionary.take(pa.array(single // len(words))), words.take(pa.array(single % len(words))), pa.array(times)))
+                singles.append(table(pa.array(at), same(1, len(at)), coded.dictionary.take(pa.array(single // len(words))), words.take(pa.array(single % len(words))), pa.array(times)))
                 singles.append(table(same(turn, len(totals)), same(0, len(totals)), coded.dictionary.take(pa.array(everything)), pa.array([""] * len(totals), pa.string()), pa.array(totals)))
                 held += len(at)
                 if held > most_singles:
-                    met = pa.concat_tables(singles).group_by(["range", "open", "lang", "phrase"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["range", "open", "lang", "phrase", "n"])
+                    met = pa.concat_tables(singles).group_by(["range", "kind", "lang", "phrase"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["range", "kind", "lang", "phrase", "n"])
                     singles, held = [met], met.num_rows
                     if held > most_singles // 2:
                         yield from met.to_batches(max_chunksize=65_536)
                         singles, held = [], 0
                 pa.default_memory_pool().release_unused()
         if singles:
-            met = pa.concat_tables(singles).group_by(["range", "open", "lang", "phrase"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["range", "open", "lang", "phrase", "n"])
+            met = pa.concat_tables(singles).group_by(["range", "kind", "lang", "phrase"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["range", "kind", "lang", "phrase", "n"])
             yield from met.to_batches(max_chunksize=65_536)
         pa.default_memory_pool().release_unused()
 
@@ -212,11 +213,10 @@ def frequent(docs: DataFrame, least: int = 30, text_col: str = "text", lang_col:
     share = min(1.0, sample_docs / max(1, n))
     cut = Ranges(bounds(rows, share, min(1.0, 8 * sample_grams / max(1.0, share * (size or 0))), ranges, batch_bytes))  # a gram for each 8 bytes, at most about
     dealt = edges(rows, cut, batch_bytes).repartition(max(1, -(-(size or 0) // part_bytes)), "range")
-    k = words_in(F.col("phrase"))
-    prefix = lambda j: F.when(k > j, F.struct(first_words(F.col("phrase"), j).alias("phrase"), (F.col("open") >= j).alias("shared")))
-    itself = F.struct("phrase", ((F.col("phrase") == "") | (F.col("open") >= k)).alias("shared"))
-    flows = dealt.select("range", "lang", "n", F.explode(F.when(F.col("open") < 0, F.array(itself)).otherwise(F.array(itself, prefix(2), prefix(3)))).alias("one")).where("one IS NOT NULL")
-    flows = flows.select("range", "lang", "n", "one.*").groupBy("range", "lang", "phrase").agg(F.sum("n").alias("f"), F.max("shared").alias("shared"))
+    k, levels = F.col("kind").bitwiseAND(7), lambda *js: F.array(*map(F.lit, js))
+    flows = dealt.withColumn("j", F.explode(F.when(k == 4, levels(2, 3, 4)).when(k == 3, levels(2, 3)).when(k == 2, levels(2)).when(k == 1, levels(1)).otherwise(levels(0))))
+    flows = flows.select("range", "lang", "n", F.when(F.col("j") == k, F.col("phrase")).otherwise(F.expr("substring_index(phrase, ' ', j)")).alias("phrase"), (F.shiftright("kind", 3) >= F.col("j")).alias("shared"))
+    flows = flows.groupBy("range", "lang", "phrase").agg(F.sum("n").alias("f"), F.max("shared").alias("shared"))
     whole = flows.where((F.col("f") >= least) | F.col("shared")).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     return whole.where((F.col("f") >= least) | (F.col("phrase") == ""))
 
