@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from quillspark.session import stored
 
 LEVELS = "graph_id string, level int, node long, community long, is_misc boolean"
 
@@ -110,6 +113,90 @@ def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, max_lev
     return n.groupBy("graph_id").cogroup(edges.groupBy("graph_id")).applyInPandas(run, LEVELS)
 
 
+def weighed(links: DataFrame, nodes: DataFrame, m2: DataFrame, resolution: float) -> DataFrame:
+    """(graph_id, q) of the labels in ``nodes`` (graph_id, node, k, inner, label): textbook modularity. inner: weight inside a node, both ways."""
+    sides = links.join(nodes.select("graph_id", F.col("node").alias("a"), F.col("label").alias("x")), ["graph_id", "a"]).join(nodes.select("graph_id", F.col("node").alias("b"), F.col("label").alias("y")), ["graph_id", "b"])
+    within = sides.where("x = y").groupBy("graph_id", F.col("x").alias("label")).agg(F.sum("w").alias("w"))
+    mass = nodes.groupBy("graph_id", "label").agg(F.sum("k").alias("k"), F.sum("inner").alias("inner"))
+    terms = mass.join(within, ["graph_id", "label"], "left").join(m2, "graph_id")
+    return terms.groupBy("graph_id").agg(F.sum((F.col("inner") + F.coalesce("w", F.lit(0.0))) / F.col("m2") - resolution * (F.col("k") / F.col("m2")) ** 2).alias("q"))
+
+
+def moved_half(links: DataFrame, nodes: DataFrame, m2: DataFrame, resolution: float, turn: int) -> DataFrame:
+    """``nodes`` (graph_id, node, k, inner, label) after one step in which about half of them, told by a hash, take the label that gains most, if any gains; ties go to the smallest label."""
+    held = nodes.select("graph_id", F.col("node").alias("b"), F.col("label").alias("to"))
+    moving = nodes.where(F.pmod(F.xxhash64(F.lit(turn // 2), "graph_id", "node"), F.lit(2)) == turn % 2)
+    toward = links.join(held, ["graph_id", "b"]).groupBy("graph_id", F.col("a").alias("node"), "to").agg(F.sum("w").alias("w"))
+    choices = toward.unionByName(moving.select("graph_id", "node", F.col("label").alias("to"), F.lit(0.0).alias("w"))).groupBy("graph_id", "node", "to").agg(F.sum("w").alias("w"))
+    mass = nodes.groupBy("graph_id", F.col("label").alias("to")).agg(F.sum("k").alias("mass"))
+    rated = choices.join(moving, ["graph_id", "node"]).join(mass, ["graph_id", "to"]).join(m2, "graph_id")
+    stays = F.col("to") == F.col("label")
+    gain = F.col("w") - resolution * F.col("k") * (F.col("mass") - F.when(stays, F.col("k")).otherwise(0.0)) / F.col("m2")
+    # The own label wins unless another is better beyond rounding.
+    best = rated.groupBy("graph_id", "node").agg(F.max_by("to", F.struct(F.round(gain, 9), stays, -F.col("to"))).alias("to"))
+    return nodes.join(best, ["graph_id", "node"], "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+
+
+def louvain_parallel(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, max_levels: int = 20, sweeps: int = 8) -> DataFrame:
+    """(graph_id, level, node, community, is_misc) as ``louvain`` has them, for graphs of any size: no graph is one task.
+
+    Local moving by joins: in every step about half of the nodes, another half each time, move at once to the neighbouring community that gains most by the sums
+    of the step before; nodes that move together can then not swap places with those that stay. A graph keeps the labels of its best sweep (a step of either half) by modularity, and rests when two sweeps, with different halves,
+    gain nothing. Then communities become nodes, links between them add up, and the level above begins, until none gains or ``max_levels`` are done. Modularity so never falls from
+    level to level, and each level's communities are unions of those below. A community is named by its smallest node; unlinked nodes share one, named by the smallest of them.
+    The order of nodes and edges plays no part: results differ from the sequential method's, which ``louvain`` keeps for graphs of interactive size.
+    """
+    pairs = edges.where("source <> target").select("graph_id", F.col("source").alias("a"), F.col("target").alias("b"), F.col("weight").cast("double").alias("w"))
+    links = stored(pairs.unionByName(pairs.select("graph_id", F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("graph_id", "a", "b").agg(F.sum("w").alias("w")))
+    every = nodes.select("graph_id", F.col("idx").cast("long").alias("node"))
+    degree = links.groupBy("graph_id", F.col("a").alias("node")).agg(F.sum("w").alias("k"))
+    held = every.join(degree, ["graph_id", "node"], "left").withColumn("is_misc", F.col("k").isNull())
+    alone = held.where("is_misc").groupBy("graph_id").agg(F.min("node").alias("misc"))
+    held = stored(held.join(alone, "graph_id", "left").select("graph_id", "node", "is_misc", F.coalesce("k", F.lit(0.0)).alias("k"), F.when(F.col("is_misc"), F.col("misc")).otherwise(F.col("node")).alias("at")))
+    m2 = stored(held.groupBy("graph_id").agg(F.sum("k").alias("m2")).where("m2 > 0"))
+    # Each node's community so far, the level's nodes, and what has been found.
+    below, found = held.select("graph_id", "node", "at", "is_misc"), []
+    level = stored(held.where("NOT is_misc").select("graph_id", "node", "k", F.lit(0.0).alias("inner")))
+    while len(found) < max_levels:
+        now = stored(level.withColumn("label", F.col("node")))
+        best = stored(now.join(weighed(links, now, m2, resolution), "graph_id").withColumn("idle", F.lit(0)))
+        for turn in range(sweeps):
+            step = best.where("idle < 2").select("graph_id", "node", "k", "inner", "label")
+            for half in (0, 1):
+                step = stored(moved_half(links, step, m2, resolution, 2 * turn + half))
+            rise = weighed(links, step, m2, resolution).withColumnRenamed("q", "now")
+            tried = step.select("graph_id", "node", F.col("label").alias("new")).join(rise, "graph_id")
+            gains = F.coalesce(F.col("now") > F.col("q") + 1e-6, F.lit(False))
+            best = stored(best.join(tried, ["graph_id", "node"], "left").select(
+                "graph_id", "node", "k", "inner", F.when(gains, F.col("new")).otherwise(F.col("label")).alias("label"), F.when(gains, F.col("now")).otherwise(F.col("q")).alias("q"), F.when(gains, 0).otherwise(F.col("idle") + 1).alias("idle")))
+            if best.where("idle < 2").isEmpty():
+                break
+        names = best.groupBy("graph_id", "label").agg(F.min("node").alias("name"))
+        renamed = stored(best.join(names, ["graph_id", "label"]).select("graph_id", "node", "k", "inner", F.col("name").alias("to")))
+        merges = not renamed.where("node <> to").isEmpty()
+        if found and not merges:
+            break
+        below = stored(below.join(renamed.select("graph_id", F.col("node").alias("at"), "to"), ["graph_id", "at"], "left").select("graph_id", "node", F.coalesce("to", "at").alias("at"), "is_misc"))
+        found.append(below.select("graph_id", F.lit(len(found)).alias("level"), "node", F.col("at").alias("community"), "is_misc"))
+        if not merges:
+            break
+        ends = links.join(renamed.select("graph_id", F.col("node").alias("a"), F.col("to").alias("x")), ["graph_id", "a"]).join(renamed.select("graph_id", F.col("node").alias("b"), F.col("to").alias("y")), ["graph_id", "b"])
+        ends = stored(ends.groupBy("graph_id", F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")))
+        inner = ends.where("a = b").select("graph_id", F.col("a").alias("node"), F.col("w").alias("more"))
+        level = renamed.groupBy("graph_id", F.col("to").alias("node")).agg(F.sum("k").alias("k"), F.sum("inner").alias("inner"))
+        level = stored(level.join(inner, ["graph_id", "node"], "left").select("graph_id", "node", "k", (F.col("inner") + F.coalesce("more", F.lit(0.0))).alias("inner")))
+        links = ends.where("a <> b")
+    return functools.reduce(DataFrame.unionByName, found) if found else below.select("graph_id", F.lit(0).alias("level"), "node", F.col("at").alias("community"), "is_misc")
+
+
+def nested(levels: DataFrame) -> DataFrame:
+    """(graph_id, nested): whether nodes that share a community share the one above too, at every level."""
+    above = levels.select("graph_id", "node", (F.col("level") - 1).alias("level"), F.col("community").alias("above"))
+    split = levels.join(above, ["graph_id", "node", "level"]).groupBy("graph_id", "level", "community").agg(F.countDistinct("above").alias("parts"))
+    broken = split.groupBy("graph_id").agg(F.max("parts").alias("parts"))
+    return levels.select("graph_id").distinct().join(broken, "graph_id", "left").select("graph_id", (F.coalesce("parts", F.lit(1)) == 1).alias("nested"))
+
+
 def at_level(levels: DataFrame, level: int) -> DataFrame:
     """(graph_id, node, community) at a level, or at the last one of a graph that has fewer."""
     last = levels.withColumn("top", F.max("level").over(W.partitionBy("graph_id", "node")))

@@ -16,10 +16,23 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     already takes no part any more. The rounds' names are then put together from the last to the first. Names and
     edges are checkpointed; only whether an edge is left reaches the driver. The joins are plain equi-joins
     between exchanged sides, so that adaptive execution can split a hub's edges over tasks.
+    Stars are settled before the first round: where the smallest node of a component is an end of all its edges, its name is the answer, and
+    most groups of equal keys are no more than that.
     Edges with a null end are left out; self-loops only register their node; no edges: no rows.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    both = cut(pairs.union(pairs.select("b", "a")).distinct())
+    lone, linked = pairs.where("a = b"), cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    inner = linked.select(F.col("a").alias("b")).distinct().withColumn("inner", F.lit(True))
+    leaves = linked.groupBy("b").agg(F.count("*").alias("n")).join(inner, "b", "left").select("b", ((F.col("n") == 1) & F.col("inner").isNull()).alias("leaf"))
+    outer = linked.select(F.col("b").alias("a")).distinct().withColumn("outer", F.lit(True))
+    heads = linked.join(leaves, "b").groupBy("a").agg(F.bool_and("leaf").alias("star")).join(outer, "a", "left").where("star AND outer IS NULL").select("a")
+    stars = cut(linked.join(heads, "a"))
+    rest = cut(linked.join(heads, "a", "left_anti"))
+    settled = stars.select(F.col("b").alias("node"), F.col("a").alias("component")).union(heads.select("a", "a")).union(lone.select("a", "a"))
+    settled = settled.groupBy("node").agg(F.min("component").alias("component"))
+    if rest.isEmpty():
+        return settled
+    both = rest.union(rest.select("b", "a"))
     rounds: list[DataFrame] = []
     while True:
         order = lambda c: F.struct(F.xxhash64(F.lit(len(rounds)), c).alias("h"), F.col(c).alias("n"))
@@ -37,4 +50,4 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         whole = names.join(whole.select(F.col("node").alias("to"), F.col("to").alias("on")), "to", "left").select("node", F.coalesce("on", "to").alias("to"))
     whole = cut(whole)
     least = whole.groupBy("to").agg(F.min("node").alias("component"))
-    return whole.join(least, "to").select("node", "component")
+    return whole.join(least, "to").select("node", "component").union(settled).groupBy("node").agg(F.min("component").alias("component"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import functools
 
-from quillspark.operators.components import connected_components
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from quillspark.session import stored
 
 
 def with_scores(papers: DataFrame, told: DataFrame, local: Column) -> DataFrame:
@@ -43,37 +45,37 @@ def with_citation_counts(papers: DataFrame, counts: DataFrame) -> DataFrame:
     return joined.withColumn("citation_count", F.coalesce("told", "citation_count")).select(papers.columns)
 
 
-def matched_authors(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+def first_apart(pairs: DataFrame) -> DataFrame:
+    """Of ``pairs`` (ord, name, oa) those that make an author in sequence: a pair does if no earlier one that does has its name or its oa (null: none).
+
+    In rounds over all pairs at once: a pair that is the first undecided one of its name and of its oa makes an author, and decides all others of
+    that name or oa against them. Rounds are as many as pairs in the longest run in which each waits for the one before; a common name is one partial aggregate and one join, not a task.
+    """
+    left, made = stored(pairs), []
+    while not left.isEmpty():
+        of = lambda c: left.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("ord").alias(f"first_{c}"))
+        marked = left.join(of("name"), "name", "left").join(of("oa"), "oa", "left")
+        leads = (F.coalesce("first_name", "ord") == F.col("ord")) & (F.coalesce("first_oa", "ord") == F.col("ord"))
+        made.append(stored(marked.where(leads).select("ord", "name", "oa")))
+        left = stored(left.join(made[-1].select("name"), "name", "left_anti").join(made[-1].where("oa IS NOT NULL").select("oa"), "oa", "left_anti").join(made[-1].select("ord"), "ord", "left_anti").select("ord", "name", "oa"))
+    return functools.reduce(DataFrame.unionByName, made) if made else left
+
+
+def matched_authors(held: DataFrame, incoming: DataFrame) -> DataFrame:
     """(ord, author_id, created) of each author in ``incoming`` (ord, name, openalex_id): the stored author (author_id, name, openalex_id) of that
     OpenAlex id, else of exactly that name, else a new one, which later rows find in the same two ways.
 
     A new author's author_id is 'new:' and the ord of the row that made it; an author keeps the OpenAlex id it was made with. Only the first row of each
-    (name, openalex_id) can make an author, so only those are replayed in order, by connected names and ids.
+    (name, openalex_id) can make an author, and of those the ones that ``first_apart`` tells do.
     """
     blank = lambda c: F.nullif(F.col(c), F.lit(""))
-    stored = stored.select(F.col("author_id").cast("string").alias("author_id"), "name", blank("openalex_id").alias("oa"))
+    held = held.select(F.col("author_id").cast("string").alias("author_id"), "name", blank("openalex_id").alias("oa"))
     rows = incoming.select("ord", "name", blank("openalex_id").alias("oa"))
-    by_oa = stored.where("oa is not null").groupBy("oa").agg(F.min("author_id").alias("of_oa"))
-    by_name = stored.groupBy("name").agg(F.min("author_id").alias("of_name"))
+    by_oa = held.where("oa is not null").groupBy("oa").agg(F.min("author_id").alias("of_oa"))
+    by_name = held.groupBy("name").agg(F.min("author_id").alias("of_name"))
     pairs = rows.groupBy("name", "oa").agg(F.min("ord").alias("ord")).join(by_oa, "oa", "left").join(by_name, "name", "left")
-    # A pair that storage settles makes nothing; the others meet over names and ids.
-    free = pairs.where("of_oa is null and of_name is null").select("ord", "name", "oa")
-    ends = free.select("ord", F.concat(F.lit("n"), "name").alias("key")).union(free.where("oa is not null").select("ord", F.concat(F.lit("o"), "oa").alias("key")))
-    firsts = ends.groupBy("key").agg(F.min("ord").alias("first"), F.count("*").alias("n")).where("n > 1")
-    links = ends.join(firsts, "key").where("ord <> first").select(F.col("first").alias("src"), F.col("ord").alias("dst")).distinct()
-    parts = connected_components(links).select(F.col("node").alias("ord"), F.col("component").alias("part"))
-    placed = free.join(parts, "ord", "left").withColumn("part", F.coalesce("part", "ord"))
-
-    def replay(group):
-        names, ids, made = set(), set(), []
-        for r in group.sort_values("ord").itertuples():
-            if (r.oa is None or r.oa not in ids) and r.name not in names:
-                names.add(r.name)
-                ids.add(r.oa)
-                made.append(r.ord)
-        return group[group["ord"].isin(made)][["ord", "name", "oa"]]
-
-    made = placed.groupBy("part").applyInPandas(replay, "ord long, name string, oa string")
+    # A pair that storage settles makes nothing.
+    made = first_apart(pairs.where("of_oa is null and of_name is null").select("ord", "name", "oa"))
     new_id = F.concat(F.lit("new:"), F.col("ord"))
     new_name = made.select("name", new_id.alias("new_name"))
     new_oa = made.where("oa is not null").select("oa", F.col("ord").alias("since"), new_id.alias("new_oa"))
@@ -118,3 +120,33 @@ def seed_errors(answers: DataFrame) -> DataFrame:
     """(id, error) of seed answers (id, status): not found and upstream errors are told apart."""
     what = F.when(F.col("status") == 404, "not found").when(F.col("status") == 429, "rate limited").when(F.col("status").isNull(), "network error").when(F.col("status") >= 400, "upstream error")
     return answers.select("id", what.alias("error")).where("error is not null")
+
+
+def scored_papers(papers: DataFrame, scores: DataFrame) -> DataFrame:
+    """(place, id, score, authors, title) of ``scores`` (id, score) joined back to the papers they are of, best first, ties by id: a score of no known paper goes, of several scores of a paper the largest counts."""
+    best = scores.where("id IS NOT NULL").groupBy("id").agg(F.max("score").alias("score"))
+    rows = best.join(papers.select("id", "authors", "title"), "id")
+    return numbered(rows, [F.desc_nulls_last("score"), F.asc("id")]).select("place", "id", "score", "authors", "title")
+
+
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``rows`` with ``place``, their number from 1 in ``order``: sorted by ranges, each of which begins where those before it end, one count a range."""
+    spread = stored(stored(rows).repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    begins = spread.groupBy("__range").agg(F.count("*").alias("__rows")).select("__range", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__earlier"))
+    placed = spread.join(begins, "__range").withColumn("place", F.row_number().over(W.partitionBy("__range").orderBy(*order)) + F.col("__earlier"))
+    return placed.drop("__range", "__earlier")
+
+
+def with_children(parents: DataFrame, on: str, **children: tuple[DataFrame, list[Column]]) -> DataFrame:
+    """``parents`` with one array column for each of ``children`` (name: (rows, order)): its rows of the same ``on`` as structs in that order; empty where a parent has none.
+
+    A parent's children become one row: use it for what belongs to one parent, such as a paper's authors or identifiers.
+    """
+    out = parents
+    for name, (rows, order) in children.items():
+        rest = [c for c in rows.columns if c != on]
+        keyed = rows.select(on, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.struct(*rest).alias("row")).alias("one"))
+        listed = keyed.groupBy(on).agg(F.transform(F.sort_array(F.collect_list("one")), lambda x: x["row"]).alias(name))
+        out = out.join(listed, on, "left").withColumn(name, F.coalesce(name, F.array().cast(listed.schema[name].dataType)))
+    return out

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quillspark.functions.text import filled, norm_arxiv, norm_doi, norm_title, sorted_tokens, truthy
 from quillspark.operators.components import connected_components
 from quillspark.schemas import LISTS, PAPER
+from quillspark.session import stored
 
 # Which source is trusted first, by field.
 PRIORITY = {
@@ -59,42 +60,66 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * common / (len(a) + len(b))
 
 
-def fuzzy_links(papers: DataFrame, least: int = FUZZY) -> DataFrame:
-    """(src, dst, ratio): pairs of different titles of one year whose sorted tokens are at least ``least`` similar.
+#: Letters of a gram.
+GRAM = 3
+
 
-    Candidates come from a join on grams, not from all pairs of a year. With at most
-    indel = (100 - least)/100 * (|a| + |b|) edits and lengths that then differ by no more, one of the pieces
-    of the shorter title's cut into k + 1 pieces stays whole, so both titles share a piece at nearly the
-    same place. Equal titles meet once. Survivors of Spark's bounded levenshtein (never above the indel
-    distance) are verified by the exact ratio in Arrow batches.
+def title_candidates(papers: DataFrame, least: int = FUZZY) -> DataFrame:
+    """(a, b, t, t2): pairs of different sorted-token titles of one year that may be ``least`` similar, a and b the first records that have them; none that is, is absent.
+
+    A similarity join by prefix filtering. Similar titles differ by at most k = share * (n + m) inserted or deleted letters, each of which spoils GRAM grams at most, so
+    in any common order of grams the first GRAM * k + 1 of either hold one that both have, at most k places apart. In order of rarity these are a title's rarest ones: common grams are
+    seldom keys, and rows of a key that is common all the same can be split, since the join is a plain one. Lengths bound k: a partner has at most
+    (1 + share) / (1 - share) times a title's letters, and shorter titles than six letters have no partner but equal ones.
     """
     share = (100 - least) / 100
     titled = papers.select("ord", F.coalesce("year", F.lit(-1)).alias("year"), sorted_tokens(norm_title("title")).alias("t")).where("t <> ''")
-    once = titled.groupBy("year", "t").agg(F.min("ord").alias("ord"))
-    n = F.char_length("t")
-    # A partner's length m satisfies |n - m| <= share * (n + m); edits k <= share * (n + m) <= 2 * share * n / (1 - share).
-    k = F.floor(2 * share * n / (1 - share)).cast("int")
-    width = F.greatest(F.lit(1), F.floor(n / (k + 1)).cast("int"))
-    pieces = once.withColumns({"n": n, "k": k, "w": width})
-    own = pieces.select("year", "ord", "t", "n", "k", "w", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
-    own = own.select("year", "ord", "t", "n", "k", "w", F.expr("i * w").alias("at"), F.expr("substring(t, i * w + 1, w)").alias("gram")).where("char_length(gram) = w")
-    widths = pieces.select("year", "w").distinct().select("year", F.col("w").alias("width"))
-    other = once.withColumn("m", n).join(widths, "year").where("m >= width")
-    grams = other.select("year", F.col("ord").alias("o2"), F.col("t").alias("t2"), "m", F.col("width").alias("w"), F.explode(F.sequence(F.lit(0), F.expr("m - width"))).alias("p"))
-    grams = grams.select("year", "o2", "t2", "m", "w", "p", F.expr("substring(t2, p + 1, w)").alias("gram"))
-    near = own.join(grams, ["year", "w", "gram"]).where(f"t <> t2 and abs(p - at) <= k and abs(n - m) <= {share} * (n + m) and (n < m or (n = m and t < t2))")
-    pairs = near.select("ord", "o2", "t", "t2", "n", "m").distinct().where(F.expr(f"levenshtein(t, t2, cast(floor({share} * (n + m)) as int)) >= 0"))
+    once = titled.groupBy("year", "t").agg(F.min("ord").alias("ord")).withColumn("n", F.char_length("t"))
+    once = once.withColumn("k", F.floor(share * (F.col("n") + F.floor(F.col("n") * (1 + share) / (1 - share) + 1e-9)) + 1e-9).cast("int")).where("k > 0")
+    once = stored(once)
+    grams = once.select("year", "ord", "t", "n", "k", F.posexplode(F.expr(f"transform(sequence(1, n - {GRAM - 1}), i -> substring(t, i, {GRAM}))")).alias("p", "gram"))
+    rarity = grams.groupBy("year", "gram").agg(F.count("*").alias("held"))
+    told = F.struct("held", "gram", "p")
+    keys_of = grams.join(rarity, ["year", "gram"]).groupBy("year", "ord", "t", "n", "k").agg(F.sort_array(F.collect_list(told)).alias("all"))
+    # A gram that one title alone has cannot meet another; it still counts as one of the rarest.
+    rarest = keys_of.select("year", "ord", "t", "n", F.explode(F.filter(F.slice("all", 1, GRAM * F.col("k") + 1), lambda g: g["held"] > 1)).alias("g"))
+    rarest = stored(rarest.select("year", "ord", "t", "n", "g.gram", "g.p"))
+    other = rarest.select("year", "gram", *[F.col(x).alias(y) for x, y in (("ord", "o2"), ("t", "t2"), ("n", "m"), ("p", "p2"))])
+    apart = f"abs(n - m) <= {share} * (n + m) + 1e-9 AND abs(p - p2) <= {share} * (n + m) + 1e-9"
+    return rarest.join(other, ["year", "gram"]).where(f"ord < o2 AND {apart}").select(F.col("ord").alias("a"), F.col("o2").alias("b"), "t", "t2").distinct()
+
+
+def fuzzy_links(papers: DataFrame, least: int = FUZZY) -> DataFrame:
+    """(src, dst, ratio): pairs of different titles of one year whose sorted tokens are at least ``least`` similar, named by the first records that have them, src the earlier.
+
+    Candidates (``title_candidates``) pass Spark's bounded levenshtein, which is never above the indel
+    distance, and are verified by the exact ratio in Arrow batches.
+    """
+    share = (100 - least) / 100
+    pairs = title_candidates(papers, least).where(F.expr(f"levenshtein(t, t2, cast(floor({share} * (char_length(t) + char_length(t2)) + 1e-9) as int)) >= 0"))
 
     def verify(batches: Iterator) -> Iterator:
         for b in batches:
             b["ratio"] = [indel_ratio(x, y) for x, y in zip(b["t"], b["t2"], strict=True)]
-            b = b[b["ratio"] >= least].copy()
-            b["src"], b["dst"] = b[["ord", "o2"]].min(axis=1), b[["ord", "o2"]].max(axis=1)
-            yield b[["src", "dst", "ratio"]]
+            yield b.loc[b["ratio"] >= least, ["a", "b", "ratio"]].rename(columns={"a": "src", "b": "dst"})
 
     return pairs.mapInPandas(verify, "src long, dst long, ratio double")
 
 
+def last_before(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """``rows`` with the column ``before``: the largest ``value`` of rows of equal ``keys`` that come earlier by ``order``, null if none has one. No two rows of equal keys share an ``order``.
+
+    Rows are sorted into ranges of keys and order, so a key that many rows share lies in many of them. Each range is swept by itself, and begins with what the ranges before it
+    had of its first key: one row for each range and key.
+    """
+    swept = stored(stored(rows).repartitionByRange(*keys, order).withColumn("__range", F.spark_partition_id()))
+    inside = W.partitionBy("__range", *keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    ends = swept.groupBy("__range", *keys).agg(F.max(value).alias("__end")).withColumn("__earlier", F.max("__end").over(earlier)).where("__earlier IS NOT NULL").drop("__end")
+    out = swept.withColumn("__inside", F.max(value).over(inside)).join(ends, ["__range", *keys], "left")
+    return out.withColumn("before", F.coalesce("__inside", "__earlier")).drop("__range", "__inside", "__earlier")
+
+
 def closure_groups(papers: DataFrame, fuzzy: bool = False) -> DataFrame:
     """(ord, group_id): connected components over shared keys (and similar titles); group_id is the smallest ord.
 
@@ -112,42 +137,44 @@ def closure_groups(papers: DataFrame, fuzzy: bool = False) -> DataFrame:
 def greedy_groups(papers: DataFrame, fuzzy: bool = True) -> DataFrame:
     """(ord, group_id) of the sequential rule: a record joins the group that the first of its keys names, else the first similar title of its year, else opens one; its keys then name that group.
 
-    A decision depends only on records in the same connected component of possible matches, so components
-    are replayed in order of ``ord`` by themselves. A component is held by one task: it is bounded by the
-    records that keys and similar titles join.
+    Every record writes its group to all of its keys, so what a key names when a record comes is the group of the last record before it with that key. Whom a record follows is
+    therefore known from places in the sequence alone: by the first kind of key that an earlier record has, its last holder; failing those, of
+    all titles similar to its own the one mentioned first, and that title's last holder so far. Groups are the trees of these steps, named by their roots.
+    No record waits for another's decision, and no task holds a group.
     """
-    whole = closure_groups(papers, fuzzy)
-    alone = whole.groupBy("group_id").agg(F.count("*").alias("n"))
-    held = papers.select(
-        "ord", F.array(norm_doi("doi"), norm_arxiv("arxiv_id"), F.trim("semantic_scholar_id"), F.trim("openalex_id"), F.trim("pubmed_id")).alias("ids"),
-        F.coalesce("year", F.lit(-1)).alias("year"), norm_title("title").alias("t"), sorted_tokens(norm_title("title")).alias("tokens"),
-    ).join(whole, "ord").join(alone.where("n > 1"), "group_id")
-
-    def replay(group):
-        import pandas as pd
-
-        by_key, by_title, by_year, out = {}, {}, {}, []
-        for r in group.sort_values("ord").itertuples():
-            found = next((by_key[k, x] for k, x in enumerate(r.ids) if x and (k, x) in by_key), None)
-            if found is None and r.t:
-                found = by_title.get((r.t, r.year))
-                if found is None and fuzzy:
-                    n = len(r.tokens)  # a ratio cannot exceed that of the lengths
-                    near = (g for t, (tokens, g) in by_year.get(r.year, {}).items() if 200 * min(n, len(tokens)) >= FUZZY * (n + len(tokens)) and indel_ratio(r.tokens, tokens) >= FUZZY)
-                    found = next(near, None)
-            found = r.ord if found is None else found
-            for k, x in enumerate(r.ids):
-                if x:
-                    by_key[k, x] = found
-            if r.t:
-                by_title[r.t, r.year] = found
-                by_year.setdefault(r.year, {})[r.t] = (r.tokens, found)  # in order of first mention
-            out.append((r.ord, found))
-        return pd.DataFrame(out, columns=["ord", "group_id"])
-
-    several = held.groupBy("group_id").applyInPandas(replay, "ord long, group_id long")
-    single = whole.join(alone.where("n = 1").select("group_id"), "group_id").select("ord", "group_id")
-    return single.union(several)
+    led = last_before(keys(papers), ["kind", "key"], "ord", "ord").where("before IS NOT NULL")
+    led = stored(led.groupBy("ord").agg(F.min(F.struct("kind", "before"))["before"].alias("leader")))
+    if fuzzy:
+        led = stored(led.unionByName(led_by_title(papers, led)))
+    return papers.select("ord").join(roots(led), "ord", "left").select("ord", F.coalesce("root", "ord").alias("group_id"))
+
+
+def roots(led: DataFrame) -> DataFrame:
+    """(ord, root) of a forest (ord, leader): whom each record follows in the end. Every round doubles the steps taken, so rounds are the logarithm of the longest way."""
+    while True:
+        ahead = led.select(F.col("ord").alias("leader"), F.col("leader").alias("beyond"))
+        moved = stored(led.join(ahead, "leader", "left").select("ord", F.coalesce("beyond", "leader").alias("leader"), F.col("beyond").isNotNull().alias("moved")))
+        led = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            return led.withColumnRenamed("leader", "root")
+
+
+def led_by_title(papers: DataFrame, led: DataFrame) -> DataFrame:
+    """(ord, leader) of the records absent from ``led`` that follow a similar title."""
+    titled = papers.select("ord", F.coalesce("year", F.lit(-1)).alias("year"), norm_title("title").alias("t"), sorted_tokens(norm_title("title")).alias("tokens")).where("t <> ''")
+    titled = stored(titled)
+    # Titles of equal tokens are one class, mentioned first by one record, under one of its titles.
+    classes = titled.groupBy("year", "tokens").agg(F.min(F.struct("ord", "t")).alias("first")).select("year", "tokens", F.col("first.ord").alias("class"), F.col("first.t").alias("named"))
+    links = fuzzy_links(papers)
+    near = links.select(F.col("src").alias("class"), F.col("dst").alias("to")).union(links.select("dst", "src"))
+    open_ = stored(titled.join(led, "ord", "left_anti").join(classes, ["year", "tokens"]).select("ord", "year", "class", "named"))
+    own = open_.where("class < ord").select("ord", "year", F.col("class").alias("to"), "named")
+    others = open_.drop("named").join(near, "class").where("to < ord").select("ord", "year", "to")
+    others = others.join(classes.select(F.col("class").alias("to"), "named"), "to").select("ord", "year", "to", "named")
+    chosen = own.unionByName(others).groupBy("ord", "year").agg(F.min(F.struct("to", "named"))["named"].alias("t"))
+    asks = chosen.select("year", "t", "ord", F.lit(None).cast("long").alias("holder")).unionByName(titled.select("year", "t", "ord", F.col("ord").alias("holder")))
+    # A record asks under another title than its own, so places do not repeat.
+    return last_before(asks, ["year", "t"], "ord", "holder").where("holder IS NULL").select("ord", F.col("before").alias("leader"))
 
 
 def rank(field: str) -> Column:
@@ -241,13 +268,13 @@ def upsert_groups(both: DataFrame) -> DataFrame:
     return several.union(placed.where("component is null").select("project_id", "at", F.col("at").alias("group_at")))
 
 
-def upserted(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Papers of projects after ``incoming`` (project_id and the paper schema) is merged into ``stored`` (the same).
+def upserted(held: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Papers of projects after ``incoming`` (project_id and the paper schema) is merged into ``held`` (the same).
 
     Records meet papers by ``upsert_groups``. Null fields are filled in order of ``ord``, true wins for flags, stars take
     the largest, sources unite; lists of a stored paper stay. Stored papers are never merged with each other, unless they share an identifier.
     """
-    both = stored.select("project_id", *PAPER.fieldNames(), F.lit(0).alias("new")).unionByName(incoming.select("project_id", *PAPER.fieldNames(), F.lit(1).alias("new")))
+    both = held.select("project_id", *PAPER.fieldNames(), F.lit(0).alias("new")).unionByName(incoming.select("project_id", *PAPER.fieldNames(), F.lit(1).alias("new")))
     both = both.withColumn("at", F.col("new") * F.lit(1 << 60) + F.col("ord"))
     rows = both.join(upsert_groups(both), ["project_id", "at"], "left").withColumn("group_at", F.coalesce("group_at", "at"))
     out = []

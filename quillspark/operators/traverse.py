@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quillspark.functions.text import looks_like_identifier, matches_any
-from quillspark.session import cut
+from quillspark.session import cut, stored
 
 BOTH, PAST, FUTURE = "both", "past", "future"
 
@@ -16,19 +17,39 @@ BOTH, PAST, FUTURE = "both", "past", "future"
 def resolve_seeds(meta: DataFrame, wanted: DataFrame) -> DataFrame:
     """(query, id) for each row of ``wanted`` (query): the exact id, else the first paper of that title, else the most cited whose title holds the query (earliest on ties).
 
-    ``meta``: id, title, n_citation, ord. Exact matches are hash joins; only queries that neither settles are
-    compared with all titles, and those few queries are the side that Spark broadcasts.
+    ``meta``: id, title, n_citation, ord. Exact matches are hash joins. What neither settles meets the titles through their grams (``holding``).
     """
     q = wanted.select("query", F.lower(F.trim("query")).alias("low")).where("low <> ''").distinct()
     by_id = q.join(meta.select("id"), F.trim("query") == F.col("id")).select("query", "id")
     named = meta.groupBy(F.lower(F.trim("title")).alias("low")).agg(F.min_by("id", "ord").alias("id"))
     by_title = q.join(by_id, "query", "left_anti").join(named, "low").select("query", "id")
     rest = q.join(by_id.union(by_title), "query", "left_anti")
-    part = meta.join(rest, F.contains(F.lower("title"), F.col("low")))
+    part = holding(meta, rest)
     best = part.groupBy("query").agg(F.max_by("id", F.struct(F.coalesce("n_citation", F.lit(0)), -F.col("ord"))).alias("id"))
     return by_id.union(by_title).union(best)
 
 
+def holding(meta: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``meta`` beside each row of ``wanted`` (query, low) whose ``low`` its title in lower case holds.
+
+    An index of grams of three letters (for shorter queries, of as many as they have): of a query's grams the one that fewest titles have
+    names the titles that are compared. Only grams of queries are looked up; both joins are by equality.
+    """
+    size = F.least(F.lit(3), F.char_length("low"))
+    grams = lambda text, n: F.array_distinct(F.expr(f"transform(sequence(1, char_length({text}) - {n} + 1), i -> substring({text}, i, {n}))"))
+    asked = stored(wanted.withColumn("n", size).where("n > 0").select("query", "low", "n", F.explode(grams("low", "n")).alias("gram")))
+    sizes = sorted(r.n for r in asked.select("n").distinct().collect())  # 1, 2 and 3 at most
+    titles = meta.withColumn("held", F.lower("title"))
+    told = [titles.where(F.char_length("held") >= n).select("*", F.explode(grams("held", n)).alias("gram")) for n in sizes]
+    if not told:  # no query is left
+        told = [titles.where("false").withColumn("gram", F.lit(""))]
+    index = functools.reduce(DataFrame.unionByName, told).join(asked.select("gram").distinct(), "gram", "left_semi")
+    index = stored(index)
+    rarity = index.groupBy("gram").agg(F.count("*").alias("titles"))
+    rarest = asked.join(rarity, "gram", "left").groupBy("query", "low").agg(F.min(F.struct(F.coalesce("titles", F.lit(0)).alias("titles"), "gram"))["gram"].alias("gram"))
+    return rarest.join(index, "gram").where(F.contains("held", F.col("low"))).drop("gram", "held")
+
+
 def seed_or_raw(meta: DataFrame, wanted: DataFrame) -> DataFrame:
     """(query, id): an identifier stays as it is; a title is resolved, or stays raw if nothing matches."""
     found = resolve_seeds(meta, wanted.where(~looks_like_identifier("query"))).withColumnRenamed("id", "found")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import string
 
+import functools
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quillspark.functions import fuzzy, scores, text as T
@@ -226,11 +228,14 @@ def citation_index(spark, d):
 SEEDS = ["7", "11", "part", "no such"]
 
 
-@query(f"""WITH {cites_sql()}, w(query) AS (SELECT * FROM (VALUES ('7'), ('11')) UNION ALL SELECT upper(title) FROM meta WHERE id = 3 UNION ALL SELECT 'no such')
-SELECT query, CASE WHEN query IN ('7', '11') THEN query WHEN query <> 'no such' THEN (SELECT CAST(arg_min(id, ord) AS VARCHAR) FROM meta WHERE lower(trim(title)) = lower(trim(query))) END AS id FROM w WHERE query <> 'no such'""")
+@query(f"""WITH {cites_sql()}, w(query) AS (SELECT * FROM (VALUES ('7'), ('11')) UNION ALL SELECT upper(title) FROM meta WHERE id = 3 UNION ALL SELECT * FROM (VALUES ('no such'), ('a'), ('re')) UNION ALL SELECT substr(title, 2, 9) FROM meta WHERE id % 500 = 8),
+q AS (SELECT DISTINCT query, lower(trim(query)) AS low FROM w), f AS (SELECT query, low, (SELECT CAST(arg_min(id, ord) AS VARCHAR) FROM meta WHERE lower(trim(title)) = low) AS id FROM q WHERE query NOT IN ('7', '11'))
+SELECT query, query AS id FROM q WHERE query IN ('7', '11') UNION ALL SELECT query, id FROM f WHERE id IS NOT NULL UNION ALL
+SELECT query, CAST(arg_max(m.id, (coalesce(m.n_citation, 0), -m.ord)) AS VARCHAR) FROM f, meta AS m WHERE f.id IS NULL AND contains(lower(m.title), low) GROUP BY query""")
 def seed_resolve(spark, d):
     m = meta(spark, d).withColumn("id", F.col("id").cast("string"))
-    wanted = spark.createDataFrame([(x,) for x in ("7", "11", "no such")], "query string").union(m.where("id = '3'").select(F.upper("title")))
+    wanted = spark.createDataFrame([(x,) for x in ("7", "11", "no such", "a", "re")], "query string").union(m.where("id = '3'").select(F.upper("title")))
+    wanted = wanted.union(m.where("cast(id as long) % 500 = 8").select(F.substring("title", 2, 9)))
     return traverse.resolve_seeds(m, wanted)
 
 
@@ -332,6 +337,15 @@ def louvain_levels(spark, d):
     return community.louvain(*brand_graphs(spark, d))
 
 
+@query("SELECT p_brand AS graph_id, true AS nested, true AS rising FROM part GROUP BY p_brand")
+def louvain_nested(spark, d):
+    nodes, edges = brand_graphs(spark, d)
+    levels = community.louvain_parallel(nodes, edges)
+    at = [community.modularity(edges, community.at_level(levels, n), textbook=True).withColumnRenamed("modularity", f"q{n}") for n in range(4)]
+    rising = functools.reduce(lambda a, b: a.join(b, "graph_id"), at).select("graph_id", F.expr("q0 <= q1 + 1e-9 AND q1 <= q2 + 1e-9 AND q2 <= q3 + 1e-9").alias("rising"))
+    return community.nested(levels).join(rising, "graph_id", "left").select("graph_id", "nested", F.coalesce("rising", F.lit(True)).alias("rising"))
+
+
 @query()
 def lane_order(spark, d):
     nodes, edges = brand_graphs(spark, d)
@@ -703,16 +717,30 @@ def score_join(spark, d):
     return listings.with_scores(p, told, scores.composite_score()).select("ord", "score")
 
 
-@query("""WITH r AS (SELECT doc_id AS ord, source AS name, CASE WHEN doc_id % 2 = 0 THEN 'A' || lang END AS oa FROM documents), stored(author_id, name, oa) AS (VALUES ('s1', 'Someone', 'Aen'), ('s2', 'src1', NULL)),
-free AS (SELECT * FROM r WHERE NOT (oa IS NOT NULL AND oa = 'Aen') AND name IS DISTINCT FROM 'src1'), keyed AS (SELECT ord, oa, name FROM free WHERE oa IS NULL), made AS (SELECT name, min(ord) AS first FROM keyed GROUP BY 1)
-SELECT ord, coalesce(CASE WHEN oa = 'Aen' THEN 's1' END, CASE WHEN name = 'src1' THEN 's2' END, 'new:' || first) AS author_id FROM r LEFT JOIN made USING (name) WHERE oa IS NULL OR oa = 'Aen'""")
+@query("""WITH RECURSIVE r AS (SELECT doc_id AS ord, source AS name, CASE WHEN doc_id % 2 = 0 THEN 'A' || lang END AS oa FROM documents),
+pairs AS (SELECT *, row_number() OVER (ORDER BY ord) AS i FROM (SELECT name, oa, min(ord) AS ord FROM r WHERE oa IS DISTINCT FROM 'Aen' AND name IS DISTINCT FROM 'src1' GROUP BY name, oa)),
+w AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS names, []::VARCHAR[] AS ids, []::BIGINT[] AS made UNION ALL
+  SELECT p.i, CASE WHEN new THEN list_append(names, name) ELSE names END, CASE WHEN new AND oa IS NOT NULL THEN list_append(ids, oa) ELSE ids END, CASE WHEN new THEN list_append(made, ord) ELSE made END
+  FROM (SELECT pairs.*, w.names, w.ids, w.made, NOT list_contains(w.names, name) AND (oa IS NULL OR NOT list_contains(w.ids, oa)) AS new FROM w JOIN pairs ON pairs.i = w.i + 1) AS p),
+m AS (SELECT name, oa, ord FROM pairs WHERE list_contains((SELECT made FROM w ORDER BY i DESC LIMIT 1), ord))
+SELECT r.ord, coalesce(CASE WHEN r.oa = 'Aen' THEN 's1' END, CASE WHEN o.ord <= r.ord THEN 'new:' || o.ord END, CASE WHEN r.name = 'src1' THEN 's2' END, 'new:' || n.ord) AS author_id
+FROM r LEFT JOIN m AS o ON o.oa = r.oa LEFT JOIN m AS n ON n.name = r.name""")
 def author_match(spark, d):
     i = F.col("doc_id")
-    rows = table(spark, d, "documents").where("doc_id % 2 = 1 or lang = 'en'").select(i.alias("ord"), F.col("source").alias("name"), F.when(F.pmod(i, F.lit(2)) == 0, F.concat(F.lit("A"), "lang")).alias("openalex_id"))
+    rows = table(spark, d, "documents").select(i.alias("ord"), F.col("source").alias("name"), F.when(F.pmod(i, F.lit(2)) == 0, F.concat(F.lit("A"), "lang")).alias("openalex_id"))
     held = spark.createDataFrame([("s1", "Someone", "Aen"), ("s2", "src1", None)], "author_id string, name string, openalex_id string")
     return listings.matched_authors(held, rows).select("ord", "author_id")
 
 
+@query(f"""WITH {PAPERS}, s AS (SELECT doi AS id, CAST(ord % 17 AS DOUBLE) / 4 AS score FROM papers WHERE ord % 3 <> 0 UNION ALL SELECT doi, 1.0 FROM papers WHERE ord % 6 = 1 UNION ALL SELECT 'none', 9.0),
+b AS (SELECT id, max(score) AS score FROM s GROUP BY id)
+SELECT row_number() OVER (ORDER BY score DESC, b.id) AS place, b.id, score, p.title FROM b JOIN papers AS p ON p.doi = b.id""")
+def scored_papers(spark, d):
+    p = papers(spark, d).withColumn("id", F.col("doi"))
+    told = p.where("ord % 3 <> 0").select("id", ((F.col("ord") % 17) / 4).alias("score")).union(p.where("ord % 6 = 1").select("id", F.lit(1.0))).union(spark.createDataFrame([("none", 9.0)], "id string, score double"))
+    return listings.scored_papers(p, told).select(F.col("place").cast("long").alias("place"), "id", "score", "title")
+
+
 @query(f"WITH {PAPERS} SELECT CAST(row_number() OVER (ORDER BY ord DESC) AS INTEGER) AS place, doi AS id, CASE WHEN ord % 5 = 0 THEN 'saved' WHEN ord % 3 = 0 THEN 'external' ELSE 'search' END AS layer FROM papers WHERE ord % 5 = 0 OR ord % 3 = 0 OR ord % 2 = 0")
 def override_union(spark, d):
     p = papers(spark, d)
