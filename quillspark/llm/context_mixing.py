@@ -5,7 +5,7 @@ words. Every decision is predicted by several contexts; weights that the context
 the logistic domain and learn from each token. The spelling of words that the corpus lacks is coded byte by byte in the same way.
 
 What the corpus teaches is gathered over Spark's shuffle: counts of all words and, for every context of two words, the
-continuation seen most often (both exact, and growing with the corpus); and bit counts of low orders, of a fixed size. Batches of documents send the
+continuation seen most often (both growing with the corpus; continuations are named by 32 bits, contexts in a bucket by 32, and words of one name share its probability); and bit counts of low orders, of a fixed size. Batches of documents send the
 distinct keys they hold to hash buckets, as packed arrays; each bucket adds up what all batches send and answers each of them. So
 no task and no broadcast holds a table that grows with the corpus.
 """
@@ -25,7 +25,7 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 SENT = "batch long, bucket long, kind int, payload binary"
 #: Kinds of payloads: counts of words, continuations of contexts, sums of bit counts.
 WORDS, CONTEXTS, SUMS = 0, 1, 2
-WORD_BITS, WORD_MASK = np.uint64(24), np.uint64((1 << 24) - 1)
+WORD_BITS, WORD_MASK = np.uint64(32), np.uint64((1 << 32) - 1)
 
 
 @dataclass(frozen=True)
@@ -96,6 +96,12 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return (keys >> np.uint64(33)) % np.uint64(n)
 
 
+def word_bucket(hashed: np.ndarray, n: int) -> np.ndarray:
+    """Words that share the 32 bits by which continuations name them meet in one bucket."""
+    low = hashed & WORD_MASK
+    return (low ^ (low >> np.uint64(11))) % np.uint64(n)
+
+
 def tokens_of(texts):
     """(words, ids, sizes) of an Arrow column of texts (null: empty): distinct tokens, their place for each token of each text in turn, the end included, and texts' numbers of tokens."""
     import pyarrow as pa
@@ -165,20 +171,20 @@ class Batch:
         seen = np.flatnonzero(np.bincount(self.ids, minlength=len(self.words)))
         hashed = np.zeros(len(self.words), np.uint64)
         hashed[seen] = hashes_of(self.words.take(_indices(seen)).to_numpy(zero_copy_only=False).tolist())
-        self.hashed, self.seen = hashed, seen[np.lexsort((hashed[seen], bucket_of(hashed[seen], buckets)))]
+        self.hashed, self.seen = hashed, seen[np.lexsort((hashed[seen], word_bucket(hashed[seen], buckets)))]
         self.leaf = (hashed & np.uint64(shape.leaves - 1)).astype(np.int32)
         self.by_token = self.leaf[self.ids]
         keys = pair_keys(hashed[self.ids], self.first)
         keys = (bucket_of(keys, buckets) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))  # a bucket tells its keys apart by 32 bits
         self.places, place_of = np.unique(keys, return_inverse=True)
         self.place_of = place_of.astype(np.int32)
-        self.short = (hashed & WORD_MASK).astype(np.uint32)[self.ids]  # 24 bits of the word; the lowest name its leaf
+        self.short = (hashed & WORD_MASK).astype(np.uint32)[self.ids]  # 32 bits of the word; the lowest name its leaf
 
     def sent(self):
         """(bucket, kind, payload): words with their training counts, contexts with their training continuations, sums of bit counts."""
         n = np.bincount(self.ids[self.learns], minlength=len(self.words))[self.seen]
         keys = self.hashed[self.seen]
-        for bucket, at in by_bucket(bucket_of(keys, self.buckets)):
+        for bucket, at in by_bucket(word_bucket(keys, self.buckets)):
             yield bucket, WORDS, packed(steps(keys[at]), n[at])
         pairs, times = np.unique((self.place_of[self.learns].astype(np.uint64) << WORD_BITS) | self.short[self.learns].astype(np.uint64), return_counts=True)
         of = (pairs >> WORD_BITS).astype(np.int64)
@@ -187,9 +193,8 @@ class Batch:
         for bucket, at in by_bucket(self.places >> np.uint64(32)):
             a, b = int(from_[at.start]), int(from_[at.stop - 1] + held[at.stop - 1])
             word = (pairs[a:b] & WORD_MASK).astype("<u4")
-            split = np.ascontiguousarray(word).view(np.uint8).reshape(-1, 4)[:, :3]
             keys32 = (self.places[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            yield bucket, CONTEXTS, packed(steps(keys32), held[at].astype(np.uint16), np.ascontiguousarray(split).ravel(), times[a:b].astype(np.uint16))
+            yield bucket, CONTEXTS, packed(steps(keys32), held[at].astype(np.uint32), word, times[a:b].astype(np.uint32))
         yield int(self.places[0] % np.uint64(self.buckets)), SUMS, packed(self.bit_counts())  # any bucket will do
 
     def bit_counts(self) -> np.ndarray:
@@ -250,18 +255,17 @@ def answered(batches: list[int], payloads: list[bytes], kind: int, shape: Shape)
     if kind == WORDS:
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
         c = np.bincount(at, np.concatenate([x[1] for x in held]), len(every)).astype(np.int64)
+        # Words of the corpus that continuations cannot tell apart share what is expected of their name by their counts.
+        _, named = np.unique(every & WORD_MASK, return_inverse=True)
+        part = np.log(np.maximum(c, 1) / np.maximum(np.bincount(named, c), 1)[named]).astype(np.float32) if len(every) else np.zeros(0, np.float32)
         out, begin = [], 0
         for batch, k in zip(batches, keys, strict=True):
-            out.append((batch, WORDS, packed(c[at[begin : begin + len(k)]])))
+            mine = at[begin : begin + len(k)]
+            out.append((batch, WORDS, packed(c[mine], part[mine])))
             begin += len(k)
         leaf = (every & np.uint64(shape.leaves - 1)).astype(np.int64)
         return [*out, (-1, WORDS, packed(np.bincount(leaf, c, shape.leaves).astype(np.int64), np.bincount(leaf, c > 0, shape.leaves).astype(np.int64)))]
-    words = []
-    for x in held:
-        wide = np.zeros((len(x[3]), 4), np.uint8)
-        wide[:, :3] = x[2].reshape(-1, 3)
-        words.append(wide.view("<u4").ravel().astype(np.uint64))
-    pairs = np.concatenate([(np.repeat(k, x[1]).astype(np.uint64) << WORD_BITS) | w for k, x, w in zip(keys, held, words, strict=True)])
+    pairs = np.concatenate([(np.repeat(k, x[1]).astype(np.uint64) << WORD_BITS) | x[2] for k, x in zip(keys, held, strict=True)])
     order = np.argsort(pairs)
     pairs, n = pairs[order], np.concatenate([x[3] for x in held]).astype(np.int64)[order]
     new = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))) if len(pairs) else np.zeros(0, np.int64)
@@ -284,13 +288,13 @@ def answered(batches: list[int], payloads: list[bytes], kind: int, shape: Shape)
 
 
 class Answers:
-    """What a batch got back, in the order in which it sent: c by word; top, times and total by context (total 0: nothing to expect)."""
+    """What a batch got back, in the order in which it sent: c by word, and part, the log of its part of the counts of its name; top, times and total by context (total 0: nothing to expect)."""
 
     def __init__(self, batch: Batch, rows: list[tuple[int, int, bytes]]) -> None:
         got = {(kind, bucket): unpacked(p) for kind, bucket, p in rows}
-        self.c = np.zeros(len(batch.words), np.int64)
-        for bucket, at in by_bucket(bucket_of(batch.hashed[batch.seen], batch.buckets)):
-            self.c[batch.seen[at]] = got[WORDS, bucket][0]
+        self.c, self.part = np.zeros(len(batch.words), np.int64), np.zeros(len(batch.words), np.float32)
+        for bucket, at in by_bucket(word_bucket(batch.hashed[batch.seen], batch.buckets)):
+            self.c[batch.seen[at]], self.part[batch.seen[at]] = got[WORDS, bucket]
         n = len(batch.places)
         self.top, self.times, self.total = np.zeros(n, np.uint32), np.zeros(n, np.int32), np.zeros(n, np.int32)
         for bucket, at in by_bucket(batch.places >> np.uint64(32)):
@@ -332,11 +336,11 @@ class Model:
         self.gate1, self.gate2, self.byte_gate = sure[0], 2 * sure[1], sure[3]
         self.leaf_total = leaf_tokens + 0.5 * (leaf_words + 1)
 
-    def log_tokens(self, leaf: np.ndarray, share: np.ndarray, sizes: np.ndarray, expected: np.ndarray, kind: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    def log_tokens(self, leaf: np.ndarray, share: np.ndarray, sizes: np.ndarray, expected: np.ndarray, kind: np.ndarray, hit: np.ndarray, part: np.ndarray | None = None) -> np.ndarray:
         """Natural-log probability of each document's tokens.
 
         leaf, share: leaf of each token and log of its word's share of the leaf. expected, kind: leaf of the expected word and its place in ``EXPECTED`` (-1: none); hit: whether
-        it is the token. Documents run side by side, token by token. Five predictors give logits for each decision of
+        it is the token; part: log of the word's part of its name's counts (None: all of it). Documents run side by side, token by token. Five predictors give logits for each decision of
         the path: the node's own frequency, hashed orders 1 and 2, one that learns the document's bits, and the
         expected word as long as the path agrees with its own. Weights, chosen by the contexts' counts and by whether a word is expected, mix them
         and move by the gradient of the coding cost after every token. On the expected word's leaf one more decision says whether it is that word;
@@ -406,7 +410,7 @@ class Model:
                 q, is_it, whole = trust.take(where), hit.take(at[reached]), share.take(at[reached])
                 p = 1 / (1 + np.exp(-q))
                 sure = np.minimum(np.maximum(p, least), most).astype(np.float64)
-                cost[reached] += np.where(is_it, np.log(sure) - whole, np.log1p(-sure))
+                cost[reached] += np.where(is_it, np.log(sure) + (0 if part is None else part.take(at[reached])) - whole, np.log1p(-sure))
                 trust[where] = q + match_rate * (is_it - p)
             total[:live] += cost
         out = np.empty(lanes)
@@ -458,10 +462,10 @@ def score_batch(docs, answers: list[tuple[int, int, bytes]], model: Model, bucke
     base = np.log10((c + 0.5) / (model.tokens + 0.5 * (model.words + 1)))
     share = np.log((c + 0.5) / model.leaf_total[batch.leaf]).astype(model.shape.real)
     top, kind = expectations(batch, got)
-    hit = (kind >= 0) & (top == batch.short)
+    hit = (kind >= 0) & (top == batch.short) & (c[ids] > 0)  # a word that the corpus lacks is nothing that it could expect
     awaited = (top & np.uint32(model.shape.leaves - 1)).astype(np.int32)
     del top
-    score = model.log_tokens(batch.by_token, share[ids], sizes, awaited, kind, hit) / np.log(10)
+    score = model.log_tokens(batch.by_token, share[ids], sizes, awaited, kind, hit, got.part[ids]) / np.log(10)
     unknown = np.flatnonzero(c[ids] == 0)
     byte, starts = spellings(batch.words.take(_indices(ids[unknown])))
     lengths = np.bincount(owner[unknown], np.diff(np.append(starts, len(byte))), n_docs).astype(np.int64)
@@ -525,7 +529,7 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     """
     shape = shape or Shape()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    length = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    length = F.greatest(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16, F.lit(512).cast("long"))  # a document's state takes some 4 KB, however short it is
     rows = rows.withColumn("likes", F.greatest(F.lit(0), F.ceil(F.log2(length / 2048))).cast("int"))
     held = {r.likes: r.bytes for r in rows.groupBy("likes").agg(F.sum(length).alias("bytes")).collect()}  # a row for each doubling of length
     counts = {k: -(-n // batch_bytes) for k, n in sorted(held.items())}

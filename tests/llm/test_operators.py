@@ -367,7 +367,7 @@ def plain_scores(rows, held, shape):
         return path, bits, [slot(one, v) for v in path], [slot(two, v) for v in path], lambda v: (slot(one, v), slot(two, v))
 
     pair = lambda n, t: (tokens[n][t - 2] if t > 1 else None, tokens[n][t - 1] if t else None)
-    short = lambda w: h(w) % 2**24
+    short = lambda w: h(w) % 2**32
     for n, r in enumerate(rows):
         if held(r.doc_id):
             continue
@@ -638,7 +638,7 @@ def test_query_equals_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(queries.ORACLES[name])
     got = queries.QUERIES[name](spark, SF).select(*want.columns).collect()
