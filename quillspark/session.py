@@ -23,12 +23,21 @@ def build(master: str | None = None, **conf: str) -> SparkSession:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with the scheme of the default file system where it names none and that is not the local one: what Python tasks open is then what Spark writes to."""
+    if "://" in folder or folder.startswith("file:"):
+        return folder
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    default = jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(conf)
+    return folder if default.getScheme() in (None, "file") else jvm.org.apache.hadoop.fs.Path(folder).makeQualified(default, jvm.org.apache.hadoop.fs.Path("/")).toString()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set and Spark is local."""
     if folder := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(folder)
-        return folder.rstrip("/")
+        return qualified(spark, folder).rstrip("/")
     if folder := spark.sparkContext.getCheckpointDir():
         return folder.rstrip("/")
     if spark.sparkContext.master.split("[")[0] != "local":
