@@ -67,6 +67,52 @@ def bridges(edges: DataFrame, top: DataFrame, sub: DataFrame, nodes: DataFrame)
     return best.select("a", "b", "n", "sub_a", "sub_b", "rep_a", "rep_b")
 
 
+def top_level(levels: DataFrame) -> DataFrame:
+    """(node, community, ...) at the coarsest level."""
+    return levels.join(F.broadcast(levels.agg(F.max("level").alias("level"))), "level").drop("level")
+
+
+def scope(levels: DataFrame, nodes: DataFrame, cluster: int | None = None) -> DataFrame:
+    """``nodes`` of one cluster of the coarsest level; all of them without a cluster or levels."""
+    if cluster is None or levels.isEmpty():
+        return nodes
+    return nodes.join(top_level(levels).where(F.col("community") == cluster).select("node"), "node", "left_semi")
+
+
+def seeds(levels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(level, community, node, first): what a new view places, the representative of each cluster of the coarsest level; ``first``, its first node, gives the order."""
+    top = F.broadcast(levels.agg(F.max("level").alias("level")))
+    first = levels.join(top, "level").groupBy("level", "community").agg(F.min("node").alias("first"))
+    return representatives(levels.join(top, "level"), nodes).join(first, ["level", "community"]).select("level", "community", F.col("rep").alias("node"), "first")
+
+
+def misc_clusters(levels: DataFrame) -> DataFrame:
+    """(level, community): at every level the cluster that holds level 0's cluster of unlinked nodes. levels: (level, node, community, is_misc)."""
+    return levels.join(levels.where("level = 0 AND is_misc").select("node"), "node", "left_semi").select("level", "community").distinct()
+
+
+def meta_graph(levels: DataFrame, nodes: DataFrame, edges: DataFrame, level: int | None) -> DataFrame:
+    """(kind, a, b, n, label, x, y, radius): the graph as a level shows it.
+
+    Rows of kind ``cluster`` are the clusters of ``level`` (a: its id, n: its nodes) at their middle, those of kind ``link`` the edges between two of them (a < b, n: how many).
+    Without a level they are ``paper`` rows (a: node, the label its shortened title) and single edges as they run. nodes: (node, title, x, y); levels: (level, node, community, is_misc).
+    """
+    empty = {c: F.lit(None).cast("double") for c in ("x", "y", "radius")}
+    if level is None:
+        title = F.coalesce("title", F.lit(""))
+        label = F.when(F.char_length(title) > 22, F.concat(F.left(title, F.lit(20)), F.lit("..."))).otherwise(title)
+        shown = nodes.select(F.lit("paper").alias("kind"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(1).cast("long").alias("n"), label.alias("label"), "x", "y", F.lit(12.0).alias("radius"))
+        links = edges.select(F.lit("link").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), F.lit(1).cast("long").alias("n"), F.lit(None).cast("string").alias("label"))
+        return shown.unionByName(links.withColumns(empty))
+    at = levels.where(F.col("level") == level).select("node", "community")
+    size = at.join(nodes.select("node"), "node").groupBy("community").agg(F.count("*").alias("n"))
+    misc = misc_clusters(levels).where(F.col("level") == level).select("community", F.lit(True).alias("misc"))
+    rows = centroids(at, nodes.select("node", "x", "y")).join(size, "community").join(misc, "community", "left")
+    name = F.when(F.col("misc"), F.lit("Miscellaneous")).otherwise(F.concat(F.lit("Cluster "), F.col("community").cast("string")))
+    shown = rows.select(F.lit("cluster").alias("kind"), F.col("community").alias("a"), F.lit(None).cast("long").alias("b"), "n", F.concat(name, F.lit(" · "), F.col("n").cast("string")).alias("label"), "x", "y", "radius")
+    return shown.unionByName(cluster_edges(edges, at).select(F.lit("link").alias("kind"), "a", "b", "n", F.lit(None).cast("string").alias("label")).withColumns(empty))
+
+
 def kpis(at: DataFrame, nodes: DataFrame, placed: DataFrame, tiers: DataFrame) -> DataFrame:
     """(community, papers, shown, gold, silver): totals of each cluster; shown: placed ones."""
     rows = at.join(placed.select("node", F.lit(True).alias("on")), "node", "left").join(tiers.select("node", "tier"), "node", "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quillspark.session import stored
 
@@ -83,3 +83,27 @@ def after_first(rows: DataFrame, shown: DataFrame, key: str) -> DataFrame:
 def fresh(cache: DataFrame, at: str, now, seconds: int = 300) -> DataFrame:
     """Cached rows fetched within the last ``seconds``."""
     return cache.where(F.col(at) > now - F.make_dt_interval(secs=F.lit(seconds)))
+
+
+def answered(requests: DataFrame, answers: DataFrame, key: str, at: str, seconds: int = 300, slice_seconds: int = 86400) -> DataFrame:
+    """``requests`` (key, at, ...) with value, answered_at and state, by the last good answer for the key at or before each: ``fresh`` within ``seconds``, later ``stale``, ``none`` without one.
+
+    answers: (key, at, value, ok); those that are not ok, or hold no value, leave the one before in place. Of good answers at one instant the largest value counts. Null keys and times find none.
+    Time is cut into slices: a window runs over the rows of a key within a slice, behind the last answer of the slices before, which comes from one row a key and slice. A hot key is thus spread over its slices.
+    """
+    piece = F.floor(F.unix_micros(F.col(at).cast("timestamp")) / (slice_seconds * 1_000_000))
+    good = answers.where(F.col("ok") & F.col("value").isNotNull() & F.col(key).isNotNull() & F.col(at).isNotNull())
+    good = good.select(F.col(key).alias("__key"), F.col(at).alias("__at"), piece.alias("__slice"), F.struct(F.col(at).alias("at"), "value").alias("__good"))
+    asked = requests.select(F.col(key).alias("__key"), F.col(at).alias("__at"), piece.alias("__slice"), F.struct("*").alias("__row"))
+    by_slice = good.groupBy("__key", "__slice").agg(F.max("__good").alias("__good"))
+    slices = by_slice.unionByName(asked.select("__key", "__slice").distinct(), allowMissingColumns=True).groupBy("__key", "__slice").agg(F.max("__good").alias("__good"))
+    before = F.last("__good", ignorenulls=True).over(W.partitionBy("__key").orderBy("__slice").rowsBetween(W.unboundedPreceding, -1))
+    carried = slices.select("__key", "__slice", before.alias("__good")).where("__good is not null")
+    rows = carried.unionByName(good, allowMissingColumns=True).unionByName(asked, allowMissingColumns=True)
+    # Carried answers have no time and come first; at one instant answers come before requests, the largest last.
+    order = W.partitionBy("__key", "__slice").orderBy(F.col("__at").asc_nulls_first(), F.col("__row").isNotNull(), F.col("__good").asc_nulls_first())
+    found = rows.withColumn("__last", F.last("__good", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).where("__row is not null")
+    age = F.unix_micros(F.col("__at").cast("timestamp")) - F.unix_micros(F.col("__last.at").cast("timestamp"))
+    known = F.col("__key").isNotNull() & F.col("__at").isNotNull() & F.col("__last").isNotNull()
+    state = F.when(~known, "none").when(age < seconds * 1_000_000, "fresh").otherwise("stale")
+    return found.select("__row.*", F.when(known, F.col("__last.value")).alias("value"), F.when(known, F.col("__last.at")).alias("answered_at"), state.alias("state"))

@@ -6,13 +6,15 @@ import re
 import string
 
 import functools
+import uuid
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quillspark.functions import fuzzy, scores, text as T
-from quillspark.operators import clusters, community, dashboard, filters, keywords, listings, models, resolve, store, traverse
+from quillspark.operators import clusters, community, dashboard, filters, keywords, listings, models, resolve, store, traverse, versions
 from quillspark.plans.surrogate import NAMES, PAPERS, PROJECTS, cites, cites_sql, meta, papers, projects, table
-from quillspark.sources import bibtex as bib, normalize
+from quillspark.session import shared_dir
+from quillspark.sources import bibtex as bib, index, normalize
 from quillspark.streaming import ingest
 
 QUERIES: dict = {}
@@ -907,3 +909,122 @@ def parsed_bibtex(spark, d):
     entry = F.concat(F.lit("junk @Article{key"), "p_partkey", F.lit(",\n title = {"), "p_name", F.lit(" {of}  parts},\n year = 2020, keywords = \""), "p_brand", F.lit("; "), "p_type", F.lit("\"\n}"))
     rows = bib.parse_bibtex(table(spark, d, "part").select(F.col("p_partkey").alias("id"), entry.alias("text")))
     return rows.select("id", "entry_type", "title", F.array_join("keywords", ";").alias("keywords"))
+
+
+# --- versions, the index by files, answers as of a time, views of clusters --------------------------------------------
+
+
+def fresh_folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("""WITH o AS (SELECT o_custkey AS project_id FROM orders), e AS (SELECT user_id AS project_id FROM events),
+v2 AS (SELECT * FROM o WHERE project_id % 5 <> 0 UNION ALL SELECT * FROM e WHERE project_id % 5 = 0), v3 AS (SELECT * FROM v2 WHERE project_id % 7 <> 0), v4 AS (SELECT * FROM v3 UNION ALL SELECT * FROM e WHERE project_id % 2 = 0)
+SELECT version, project_id, count(*) AS n FROM (SELECT 1::BIGINT AS version, * FROM o UNION ALL SELECT 2, * FROM v2 UNION ALL SELECT 3, * FROM v3 UNION ALL SELECT 4, * FROM v4 UNION ALL SELECT 5, * FROM v4) GROUP BY 1, 2""")
+def store_versions(spark, d):
+    """Orders as library rows; then events in place of a fifth of the projects, a seventh deleted, events added, and a compaction: all five versions as read at the end."""
+    v = versions.Versions(spark, fresh_folder(spark, "versions"))
+    o, e = table(spark, d, "orders").select(F.col("o_custkey").alias("project_id")), table(spark, d, "events").select(F.col("user_id").alias("project_id"))
+    fifth, every = "project_id % 5 = 0", o.union(e).distinct()
+    v.commit({"library": o})
+    v.commit({"library": e.where(fifth)}, {"library": every.where(fifth)})
+    versions.delete_projects(v, every.where("project_id % 7 = 0"))
+    v.commit({"library": e.where("project_id % 2 = 0")})
+    v.compact()
+    counted = [v.read("library", n).groupBy("project_id").agg(F.count("*").alias("n")).select(F.lit(n).cast("long").alias("version"), "project_id", "n") for n in range(1, 6)]
+    return functools.reduce(DataFrame.unionByName, counted)
+
+
+@query("""SELECT c_custkey AS project_id, c_mktsegment || ' ' || c_nationkey AS query_text, '["' || c_mktsegment || '","' || c_nationkey || '"]' AS keywords, coalesce(n, 0) AS n_results, coalesce(n, 0) AS n_papers
+FROM customer LEFT JOIN (SELECT o_custkey AS c_custkey, count(*) AS n FROM orders WHERE o_custkey % 3 > 0 OR o_orderstatus = 'F' GROUP BY 1) USING (c_custkey)""")
+def job_log(spark, d):
+    """Each customer's search brings all orders; then a third of the customers search again and get those of one status."""
+    v = versions.Versions(spark, fresh_folder(spark, "projects"))
+    c, o = table(spark, d, "customer"), table(spark, d, "orders").select(F.col("o_custkey").alias("project_id"), "o_orderkey", "o_orderstatus")
+
+    def search(which, papers):
+        n = papers.groupBy("project_id").agg(F.count("*").alias("n_results"))
+        jobs = c.select(F.col("c_custkey").alias("project_id"), F.array("c_mktsegment", F.col("c_nationkey").cast("string")).alias("keywords"), F.array(F.lit("orders")).alias("databases"), F.lit(None).cast("array<string>").alias("failed_sources"), F.current_timestamp().alias("completed_at"))
+        versions.load_projects(v, papers, jobs.where(which).join(n, "project_id", "left").withColumn("n_results", F.coalesce("n_results", F.lit(0))))
+
+    search("true", o)
+    search("project_id % 3 = 0", o.where("project_id % 3 = 0 AND o_orderstatus = 'F'"))
+    held = v.read("papers").groupBy("project_id").agg(F.count("*").alias("n_papers"))
+    return v.read("jobs").join(held, "project_id", "left").select("project_id", "query_text", "keywords", "n_results", F.coalesce("n_papers", F.lit(0)).alias("n_papers"))
+
+
+@query(f"WITH {cites_sql()} SELECT dst AS id, count(*) AS citations FROM cites WHERE src % 4 <> 3 OR dst % 2 = 0 GROUP BY 1")
+def index_update(spark, d):
+    """The parts as CSV files by fours; when the files of one four are written anew, with fewer references, the index follows."""
+    folder, v = fresh_folder(spark, "corpus"), versions.Versions(spark, fresh_folder(spark, "index"), owner="file")
+    uid = lambda c: F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad(F.col(c).cast("string"), 12, "0"))
+
+    def land(which):
+        refs = cites(spark, d).where(which).groupBy("src").agg(F.array_join(F.collect_list(F.concat(F.lit("'"), uid("dst"), F.lit("'"))), ", ").alias("refs"))
+        rows = meta(spark, d).join(refs.withColumnRenamed("src", "id"), "id", "left").withColumn("part", F.pmod("id", F.lit(4)))
+        no = F.lit("")
+        rows = rows.select(uid("id").alias("id"), "title", "abstract", no.alias("authors"), no.alias("venue"), F.lit(2000).alias("year"), "n_citation", F.concat(F.lit("["), F.coalesce("refs", no), F.lit("]")).alias("references"), no.alias("one"), no.alias("two"), "part")
+        rows = rows if which == "true" else rows.where("part = 3")
+        rows.write.mode("overwrite").options(header=True, escape='"', partitionOverwriteMode="dynamic").partitionBy("part").csv(folder)
+        index.update_index(v, folder)
+
+    land("true")
+    land("src % 4 = 3 AND dst % 2 = 0")
+    return index.index_tables(v)["cites"].groupBy("dst").agg(F.count("*").alias("citations")).select(F.right("dst", F.lit(12)).cast("long").alias("id"), "citations")
+
+
+@query("""WITH r AS (SELECT event_id, event_type, ts FROM events WHERE event_id % 3 > 0), g AS (SELECT event_type, ts, max(value) AS value FROM events WHERE event_id % 3 = 0 AND event_id % 4 > 0 AND value IS NOT NULL GROUP BY 1, 2)
+SELECT r.event_id, g.value, CASE WHEN g.ts IS NULL THEN 'none' WHEN epoch_us(r.ts) - epoch_us(g.ts) < 300000000 THEN 'fresh' ELSE 'stale' END AS state FROM r ASOF LEFT JOIN g ON r.event_type = g.event_type AND r.ts >= g.ts""")
+def answers_as_of(spark, d):
+    """A third of the events as answers, of which a fourth failed; the others ask for their type's."""
+    e = table(spark, d, "events")
+    answers = e.where("event_id % 3 = 0").select("event_type", "ts", "value", (F.col("event_id") % 4 > 0).alias("ok"))
+    return store.answered(e.where("event_id % 3 > 0").select("event_id", "event_type", "ts"), answers, "event_type", "ts").select("event_id", "value", "state")
+
+
+def placed_levels(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The dendrogram of parts with the brand of number 11 as that of unlinked nodes, nodes with places, edges."""
+    levels, nodes = type_levels(spark, d)
+    levels = levels.withColumn("is_misc", (F.col("level") == 0) & (F.col("community") == 11))
+    edges = traverse.undirected(cites(spark, d)).select(F.col("a").alias("source"), F.col("b").alias("target"))
+    return levels, nodes.withColumns({"x": F.col("year").cast("double"), "y": F.pmod("node", F.lit(10)).cast("double")}), edges
+
+
+@query(f"""WITH {TYPE}, {cites_sql()}, e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM cites),
+c AS (SELECT level, community, count(*) AS n, avg(year) AS x, avg(node % 10) AS y FROM levels JOIN m USING (node) GROUP BY 1, 2),
+l AS (SELECT p.level, least(p.community, q.community) AS a, greatest(p.community, q.community) AS b, count(*) AS n FROM e JOIN levels p ON p.node = a JOIN levels q ON q.node = b AND q.level = p.level WHERE p.community <> q.community GROUP BY 1, 2, 3)
+SELECT level, 'cluster' AS kind, community AS a, NULL::BIGINT AS b, n, CASE WHEN community = CASE level WHEN 0 THEN 11 ELSE 1 END AND EXISTS (SELECT 1 FROM m WHERE b = 11) THEN 'Miscellaneous' ELSE 'Cluster ' || community END || ' · ' || n AS label, round(x, 6) AS x, round(y, 6) AS y, round(least(46, 12 + 4 * sqrt(n)), 6) AS radius FROM c
+UNION ALL SELECT level, 'link', a, b, n, NULL, NULL, NULL, NULL FROM l
+UNION ALL SELECT -1, 'paper', node, NULL, 1, CASE WHEN length(title) > 22 THEN left(title, 20) || '...' ELSE title END, year, node % 10, 12 FROM m UNION ALL SELECT -1, 'link', a, b, 1, NULL, NULL, NULL, NULL FROM e WHERE a IN (SELECT node FROM m) AND b IN (SELECT node FROM m)""")
+def meta_graph(spark, d):
+    levels, nodes, edges = placed_levels(spark, d)
+    known = nodes.select("node")
+    edges = edges.join(known.select(F.col("node").alias("source")), "source", "left_semi").join(known.select(F.col("node").alias("target")), "target", "left_semi").select("source", "target")
+    shown = [clusters.meta_graph(levels, nodes, edges, n).withColumn("level", F.lit(-1 if n is None else n)) for n in (None, 0, 1)]
+    return functools.reduce(DataFrame.unionByName, shown).withColumns({c: F.round(c, 6) for c in ("x", "y", "radius")})
+
+
+@query(f"WITH {TYPE} SELECT node, title FROM m WHERE b // 10 = 2")
+def cluster_scope(spark, d):
+    levels, nodes = type_levels(spark, d)
+    return clusters.scope(levels, nodes, 2).select("node", "title")
+
+
+@query(f"WITH {TYPE} SELECT community, rep AS node, first FROM reps JOIN (SELECT b // 10 AS community, min(node) AS first FROM m GROUP BY 1) USING (community) WHERE level = 1")
+def top_seeds(spark, d):
+    return clusters.seeds(*type_levels(spark, d)).select("community", "node", "first")
+
+
+@query(f"WITH {TYPE} SELECT DISTINCT level, community FROM levels JOIN m USING (node) WHERE b = 11")
+def misc_clusters(spark, d):
+    return clusters.misc_clusters(placed_levels(spark, d)[0])
+
+
+@query("""SELECT o_orderkey AS id, coalesce(parts, '') AS parts, coalesce(flags, '') AS flags FROM orders LEFT JOIN (SELECT l_orderkey AS o_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS parts,
+string_agg(l_returnflag, '' ORDER BY l_shipdate, l_returnflag) FILTER (l_quantity > 25) AS flags FROM lineitem GROUP BY 1) USING (o_orderkey)""")
+def ordered_children(spark, d):
+    """Orders as papers, their lines as two kinds of children, each in an order of its own."""
+    i = table(spark, d, "lineitem").withColumn("id", F.col("l_orderkey"))
+    rows = listings.with_children(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), "id", parts=(i.select("id", "l_partkey", "l_linenumber"), [F.col("l_linenumber"), F.col("l_partkey")]),
+                                  flags=(i.where("l_quantity > 25").select("id", "l_returnflag", "l_shipdate"), [F.col("l_shipdate"), F.col("l_returnflag")]))
+    return rows.select("id", F.array_join(F.transform("parts", lambda x: x["l_partkey"].cast("string")), ",").alias("parts"), F.array_join(F.transform("flags", lambda x: x["l_returnflag"]), "").alias("flags"))

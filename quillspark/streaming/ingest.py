@@ -10,7 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 from quillspark.operators.models import attached_bibtex, classified, enriched
 from quillspark.operators.resolve import closure_groups, merged, upserted
 from quillspark.operators.store import replace_projects
+from quillspark.operators.versions import Conflict, Versions
 from quillspark.schemas import PAPER
+from quillspark.session import stored
 from quillspark.sources.normalize import SOURCES
 
 
@@ -44,6 +46,35 @@ def into_store(path: str, project: Callable[[], Column]) -> Callable[[DataFrame,
     return sink
 
 
+def into_versions(store: Versions, query: str, project: Callable[[], Column]) -> Callable[[DataFrame, int], None]:
+    """A batch sink of versions: each batch is one commit that upserts its papers and logs its arrivals, (project_id, source, batch, n, at) with source ``__all__`` for a project's total.
+
+    Readers see a batch's papers and arrivals together or not at all. A batch that runs again after a restart is known by its number and changes nothing; a commit that another
+    writer overtook is computed again from the newer version. A batch costs the projects that it names, not the table.
+    """
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        rows = stored(merged(batch, closure_groups(batch)).drop("n_records").withColumn("project_id", project()))
+        told = batch.withColumn("project_id", project()).groupBy("project_id", F.coalesce(F.get("sources", F.lit(0)), F.lit("unknown")).alias("source")).agg(F.count("*").alias("n"))
+        told = told.unionByName(told.groupBy("project_id").agg(F.sum("n").alias("n")).withColumn("source", F.lit("__all__")))
+        told = told.select("project_id", "source", F.lit(batch_id).cast("long").alias("batch"), "n", F.current_timestamp().alias("at"))
+        while True:
+            store.tidy()
+            now = store.manifest()
+            held = store.read("papers", now["version"]) if "papers" in now["schemas"] else rows.where(F.lit(False))
+            old = held.join(rows.select("project_id").distinct(), "project_id", "left_semi")
+            new = upserted(old.select("project_id", *PAPER.fieldNames()), rows)
+            try:
+                store.commit({"papers": new, "arrivals": told}, {"papers": rows}, base=now["version"], batch=(query, batch_id), operation=f"batch {query}")
+                break
+            except Conflict:
+                continue
+        batch.unpersist()
+
+    return sink
+
+
 def ingest(spark: SparkSession, name: str, landing: str, store: str, checkpoint: str, project: Callable[[], Column]) -> StreamingQuery:
     """Takes in all files landed so far, then stops; a later call goes on from the checkpoint. ``stop()`` cancels."""
     return prepared(landed(spark, name, landing)).writeStream.foreachBatch(into_store(store, project)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
