@@ -15,7 +15,7 @@ from quillspark.operators import clusters, community, dashboard, filters, keywor
 from quillspark.plans.surrogate import NAMES, PAPERS, PROJECTS, cites, cites_sql, meta, papers, projects, table
 from quillspark.session import shared_dir
 from quillspark.sources import bibtex as bib, index, normalize
-from quillspark.streaming import ingest
+from quillspark.streaming import ingest, jobs
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -1028,3 +1028,17 @@ def ordered_children(spark, d):
     rows = listings.with_children(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), "id", parts=(i.select("id", "l_partkey", "l_linenumber"), [F.col("l_linenumber"), F.col("l_partkey")]),
                                   flags=(i.where("l_quantity > 25").select("id", "l_returnflag", "l_shipdate"), [F.col("l_shipdate"), F.col("l_returnflag")]))
     return rows.select("id", F.array_join(F.transform("parts", lambda x: x["l_partkey"].cast("string")), ",").alias("parts"), F.array_join(F.transform("flags", lambda x: x["l_returnflag"]), "").alias("flags"))
+
+
+@query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS job_id, CASE event_type WHEN 'click' THEN 'fetched' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'start' WHEN 'purchase' THEN CASE WHEN event_id % 16 = 0 THEN 'cancel' ELSE 'start' END ELSE 'other' END AS kind, 's' || event_id % 6 AS source, event_id % 10 AS n, ts FROM events),
+c AS (SELECT job_id, min(ts) AS stop FROM e WHERE kind = 'cancel' GROUP BY 1), f AS (SELECT job_id, source, min((ts, kind, n)) AS r FROM e WHERE kind IN ('fetched', 'failed') GROUP BY 1, 2),
+g AS (SELECT f.*, stop FROM f LEFT JOIN c USING (job_id) WHERE stop IS NULL OR r[1] <= stop), w AS (SELECT DISTINCT job_id, source FROM e WHERE kind = 'start'),
+d AS (SELECT job_id, bool_and(g.source IS NOT NULL) AS over FROM w LEFT JOIN g USING (job_id, source) GROUP BY 1), j AS (SELECT DISTINCT job_id FROM g UNION SELECT job_id FROM c UNION SELECT job_id FROM d WHERE over)
+SELECT job_id, CASE WHEN coalesce(over, false) THEN 'done' WHEN stop IS NOT NULL THEN 'cancelled' ELSE 'running' END AS status, coalesce(total, 0) AS total_papers, coalesce(failed, '') AS failed_sources
+FROM j LEFT JOIN c USING (job_id) LEFT JOIN d USING (job_id) LEFT JOIN (SELECT job_id, CAST(sum(CASE WHEN r[2] = 'fetched' THEN r[3] ELSE 0 END) AS BIGINT) AS total, string_agg(CASE WHEN r[2] = 'failed' THEN source END, ',' ORDER BY source) AS failed FROM g GROUP BY 1) USING (job_id)""")
+def job_states(spark, d):
+    """Users as jobs: views and most purchases name a source, clicks bring papers, errors fail, a few purchases cancel."""
+    kind = F.expr("CASE event_type WHEN 'click' THEN 'fetched' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'start' WHEN 'purchase' THEN IF(event_id % 16 = 0, 'cancel', 'start') ELSE 'other' END")
+    n = F.col("event_id")
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("job_id"), kind.alias("kind"), F.concat(F.lit("s"), n % 6).alias("source"), (n % 10).alias("n"), F.lit("gone").alias("error"), F.col("ts").cast("timestamp").alias("at"))
+    return jobs.job_status(jobs.progressed(e)).withColumn("failed_sources", F.array_join("failed_sources", ","))
