@@ -184,7 +184,7 @@ def matches_any(keywords: list[str], title: Column | str = "title", abstract: Co
 
 def candidate_phrases(text: Column | str) -> Column:
     """Runs of words between stopwords and words of one character."""
-    tokens = F.filter(F.split(F.lower(col(text)), "[^a-z0-9-]+"), lambda t: t != "")
+    tokens = F.regexp_extract_all(F.lower(col(text)), F.lit("[a-z0-9-]+"), F.lit(0))
     marked = F.transform(tokens, lambda t: F.when(t.isin(STOPWORDS) | (F.char_length(t) < 2), F.lit("|")).otherwise(t))
     runs = F.split(F.array_join(marked, " "), r"\|")
     return F.filter(F.transform(runs, lambda r: F.trim(r)), lambda r: r != "")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quillspark.functions.scores import middle_years
+from quillspark.session import stored
 
 
 def representatives(levels: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -244,13 +245,14 @@ def hierarchy(levels: DataFrame, nodes: DataFrame) -> DataFrame:
     top = levels.agg(F.max("level")).first()[0]
     if top is None:
         return finest_summaries(levels.select("node", "community"), nodes).select(F.lit(0).alias("level"), "community", "title", "summary")
-    below = finest_summaries(levels.where("level = 0").select("node", "community"), nodes).withColumn("level", F.lit(0))
+    below = stored(finest_summaries(levels.where("level = 0").select("node", "community"), nodes).withColumn("level", F.lit(0)))
     out = below
     for level in range(1, top + 1):
         up = levels.where(F.col("level") == level).select("node", "community")
         down = levels.where(F.col("level") == level - 1).select("node", F.col("community").alias("child"))
         family = up.join(down, "node").select("community", "child").distinct()
         below = higher_summaries(family.join(below.select(F.col("community").alias("child"), "title"), "child")).withColumn("level", F.lit(level))
+        below = stored(below)  # read by the union and by the level above
         out = out.unionByName(below)
     return out.select("level", "community", "title", "summary")
 

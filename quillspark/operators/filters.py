@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quillspark.functions.text import filled
@@ -120,7 +123,8 @@ def source_counts(df: DataFrame, known: list[str]) -> DataFrame:
 
 def bar_widths(df: DataFrame, value: str) -> DataFrame:
     """``df`` with width: percent of the largest value, 2 at least."""
-    return df.withColumn("width", F.greatest(F.lit(2), F.round(100 * F.col(value) / F.max(value).over(W.partitionBy()))).cast("long"))
+    most = df.agg(F.max(value).alias("__most"))  # one row
+    return df.join(F.broadcast(most), F.lit(True)).withColumn("width", F.greatest(F.lit(2), F.round(100 * F.col(value) / F.col("__most"))).cast("long")).drop("__most")
 
 
 def star_tiers(df: DataFrame, score: str = "score", gold: float = 0.01, silver: float = 0.05) -> DataFrame:
@@ -140,13 +144,25 @@ def star_tiers(df: DataFrame, score: str = "score", gold: float = 0.01, silver:
     return tiered.withColumn("tier", F.when(s >= F.col("__gold"), "gold").when(s >= F.col("__silver"), "silver")).drop("__gold", "__silver")
 
 
+def _ranked(phrases, limit: int, most_words: int) -> list[str]:
+    """One row's ranking: phrases in order of their first place."""
+    f = Counter(w for p in phrases for w in p.split(" "))
+    scored = []
+    for pos, p in enumerate(dict.fromkeys(phrases)):
+        words = p.split(" ")[:most_words]
+        scored.append((-sum(f[w] for w in words) * len(words), pos, " ".join(words)))
+    return [kw for _, _, kw in heapq.nsmallest(limit, scored)]
+
+
 def keyword_ranking(df: DataFrame, id_col: str, phrases: str, limit: int = 10, most_words: int = 4) -> DataFrame:
-    """(id, keywords): phrases ranked by (sum of word frequencies) * words, cut to ``most_words`` words after duplicates are dropped."""
-    p = df.select(F.col(id_col).alias("id"), F.posexplode(phrases).alias("pos", "phrase"))
-    words = p.select("id", F.explode(F.split("phrase", " ")).alias("word")).groupBy("id", "word").agg(F.count("*").alias("f"))
-    once = p.groupBy("id", "phrase").agg(F.min("pos").alias("pos"))
-    cut = once.withColumn("ws", F.slice(F.split("phrase", " "), 1, most_words))
-    parts = cut.select("id", "pos", F.array_join("ws", " ").alias("kw"), F.size("ws").alias("n"), F.explode("ws").alias("word"))
-    scored = parts.join(words, ["id", "word"]).groupBy("id", "pos", "kw", "n").agg((F.sum("f") * F.col("n")).alias("score"))
-    ranked = scored.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "pos"))).where(F.col("r") <= limit)
-    return ranked.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "kw"))), lambda x: x["kw"]).alias("keywords"))
+    """(id, keywords): phrases ranked by (sum of word frequencies) * words, ties by place, cut to ``most_words`` words after duplicates are dropped. Rows without phrases go.
+
+    A row's ranking needs nothing but the row, so nothing is shuffled; counting a row's words in linear time has no expression, hence one Arrow function.
+    """
+
+    @F.pandas_udf("array<string>")
+    def ranked(column: pd.Series) -> pd.Series:
+        return column.map(lambda p: _ranked(p, limit, most_words), na_action="ignore")
+
+    # Said not to be deterministic, so that the condition stays above it and neither it nor the phrases are computed twice.
+    return df.select(F.col(id_col).alias("id"), ranked.asNondeterministic()(phrases).alias("keywords")).where(F.size("keywords") > 0)

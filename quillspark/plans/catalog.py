@@ -1042,3 +1042,72 @@ def job_states(spark, d):
     n = F.col("event_id")
     e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("job_id"), kind.alias("kind"), F.concat(F.lit("s"), n % 6).alias("source"), (n % 10).alias("n"), F.lit("gone").alias("error"), F.col("ts").cast("timestamp").alias("at"))
     return jobs.job_status(jobs.progressed(e)).withColumn("failed_sources", F.array_join("failed_sources", ","))
+
+
+# --- facets, labels and project rows ----------------------------------------------------------------------------------
+
+
+def labelled(spark, d) -> DataFrame:
+    """Papers with a primary label by language, none for English, and a secondary one by year."""
+    main = F.when(F.col("lang") == "de", "The Analyst").when(F.col("lang") == "fr", "The Architect").when(F.col("lang") != "en", "The Evaluator")
+    langs = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), "lang").select("ord", main.alias("__main"))
+    p = papers(spark, d).join(langs, "ord").withColumn("predicted_main_archetype", F.col("__main")).drop("__main")
+    return p.withColumns({"predicted_second_tier_archetype": F.when(F.col("year") % 3 == 0, "The Analyst").when(F.col("year") % 3 == 1, "None"), "code_url": F.when(F.col("ord") % 5 == 0, "https://example.org/x").when(F.col("ord") % 5 == 1, " ")})
+
+
+LABELLED = f"WITH {PAPERS}, labelled AS (SELECT *, CASE WHEN lang = 'de' THEN 'The Analyst' WHEN lang = 'fr' THEN 'The Architect' WHEN lang <> 'en' THEN 'The Evaluator' END AS main, CASE year % 3 WHEN 0 THEN 'The Analyst' WHEN 1 THEN 'None' END AS second FROM papers)"
+
+
+@query(f"{LABELLED} SELECT ord FROM labelled WHERE (coalesce(has_public_code, false) OR ord % 5 < 2) AND coalesce(is_peer_reviewed, false) AND (main IS NULL OR main IN ('The Architect', 'The Evaluator')) AND (second IS NULL OR second = 'None')")
+def code_and_label_facets(spark, d):
+    f = filters.Filters(code_only=True, peer_reviewed_only=True, archetypes=["The Architect", "The Evaluator"])
+    return labelled(spark, d).where(filters.predicate(f)).select("ord")
+
+
+@query(f"{LABELLED} SELECT ord, CASE WHEN ord % 4 = 0 THEN 'The Combiner' ELSE main END AS main, CASE WHEN ord % 8 = 0 THEN 'The Analyst' ELSE second END AS second FROM labelled")
+def patched_labels(spark, d):
+    p = labelled(spark, d)
+    told = p.where("ord % 4 = 0").select(F.col("doi").alias("key"), F.lit("The Combiner").alias("main"), F.when(F.col("ord") % 8 == 0, "The Analyst").alias("second"))
+    return models.patched(p, told, F.col("doi")).select("ord", F.col("predicted_main_archetype").alias("main"), F.col("predicted_second_tier_archetype").alias("second"))
+
+
+@query(f"{LABELLED} SELECT ord AS row_index, main, coalesce(second, 'None') AS second, CASE main WHEN 'The Analyst' THEN 1 WHEN 'The Architect' THEN 2 ELSE 0 END AS main_id FROM labelled WHERE ord % 3 > 0 AND main IS NOT NULL")
+def training_rows(spark, d):
+    """Texts of two thirds of the papers with their labels; a label beyond the known three takes the place of None."""
+    p = labelled(spark, d)
+    told = p.select(F.col("ord").alias("row_index"), F.col("predicted_main_archetype").alias("main_archetype"), F.coalesce("predicted_second_tier_archetype", F.lit(" ")).alias("second_tier_archetype"))
+    rows = models.prepared(p.where("ord % 3 > 0").select(F.col("ord").alias("row_index"), "abstract"), told)
+    rows = models.encoded_labels(rows, "main_archetype", ["None", "The Analyst", "The Architect"])
+    return rows.select("row_index", F.col("main_archetype").alias("main"), F.col("second_tier_archetype").alias("second"), F.col("main_archetype_id").alias("main_id"))
+
+
+@query("""WITH k AS (SELECT user_id AS project_id, event_type AS paper_identifier, arg_max(props, event_id) AS kept FROM events GROUP BY 1, 2)
+SELECT o_orderkey AS ord, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END, kept) AS notes FROM orders LEFT JOIN k ON project_id = o_custkey AND paper_identifier = CASE WHEN o_orderkey % 3 = 0 THEN 'view' ELSE 'click' END""")
+def restored_notes(spark, d):
+    """Orders as rows added again, half of them with a note of their own; events as the notes kept."""
+    kept = table(spark, d, "events").select(F.col("user_id").alias("project_id"), F.col("event_type").alias("paper_identifier"), F.col("props").alias("notes"), F.col("event_id").alias("at"))
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(k.alias("ord"), F.col("o_custkey").alias("project_id"), F.when(k % 3 == 0, "view").otherwise("click").alias("paper_identifier"), F.when(k % 2 == 0, F.col("o_orderstatus")).otherwise("").alias("notes"))
+    return store.with_notes(rows, kept).select("ord", "notes")
+
+
+@query("SELECT DISTINCT c_custkey AS project_id, user_id IS NOT NULL AS present FROM customer LEFT JOIN (SELECT DISTINCT user_id FROM events WHERE event_type = 'error') ON user_id = c_custkey")
+def membership(spark, d):
+    held = table(spark, d, "events").where("event_type = 'error'").select(F.col("user_id").alias("project_id"))
+    return store.contains(held, table(spark, d, "customer").select(F.col("c_custkey").alias("project_id")), ["project_id"])
+
+
+@query("SELECT o_orderkey AS id, trim(o_orderstatus) AS name FROM orders WHERE o_orderkey % 4 > 1 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def remaining_projects(spark, d):
+    """Orders with blank names for half of them; those with a returned line are done, those with another line have a blank label."""
+    k = F.col("o_orderkey")
+    rows = store.valid_projects(table(spark, d, "orders").select(k.alias("id"), F.when(k % 4 == 0, "  ").when(k % 4 > 1, F.concat(F.lit(" "), "o_orderstatus")).alias("name")))
+    done = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.when(F.col("l_returnflag") == "R", "R").otherwise(" ").alias("label"))
+    return store.remaining(rows, done, "id", "label").select("id", "name")
+
+
+@query(f"WITH {cites_sql()} SELECT src, dst, true AS link FROM cites WHERE src % 10 > 0 AND dst % 10 > 0 UNION ALL SELECT id, NULL, false FROM meta WHERE id % 10 > 0")
+def removed_nodes(spark, d):
+    gone = meta(spark, d).where("id % 10 = 0").select(F.col("id").alias("node"))
+    nodes, links = store.without_node(meta(spark, d).select(F.col("id").alias("node")), cites(spark, d).select("src", "dst"), gone)
+    return links.withColumn("link", F.lit(True)).unionByName(nodes.select(F.col("node").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(False).alias("link")))
