@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.session import cut
+from quillspark.session import settled, stored, written
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -14,33 +14,36 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     order that is new in every round, edges are renamed, and those inside one name go. What is left shrinks by a constant factor in
     expectation, whatever the graph and the order of its ids (paths of 1000 nodes took 9 to 12 rounds), and a group that is one name
     already takes no part any more. The rounds' names are then put together from the last to the first. Names and
-    edges are checkpointed; only whether an edge is left reaches the driver. The joins are plain equi-joins
+    edges are stored as tables, and go when the result is stored; only whether an edge is left reaches the driver. (A checkpoint keeps its plan's estimate of its size, which
+    joins multiply: over rounds that is a number of 3^rounds digits, on which the driver's time and memory went.) The joins are plain equi-joins
     between exchanged sides, so that adaptive execution can split a hub's edges over tasks.
     Stars are settled before the first round: where the smallest node of a component is an end of all its edges, its name is the answer, and
     most groups of equal keys are no more than that.
     Edges with a null end are left out; self-loops only register their node; no edges: no rows.
     """
+    mark = written()
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    lone, linked = pairs.where("a = b"), cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    lone, linked = pairs.where("a = b"), pairs.where("a <> b")
     inner = linked.select(F.col("a").alias("b")).distinct().withColumn("inner", F.lit(True))
     leaves = linked.groupBy("b").agg(F.count("*").alias("n")).join(inner, "b", "left").select("b", ((F.col("n") == 1) & F.col("inner").isNull()).alias("leaf"))
     outer = linked.select(F.col("b").alias("a")).distinct().withColumn("outer", F.lit(True))
     heads = linked.join(leaves, "b").groupBy("a").agg(F.bool_and("leaf").alias("star")).join(outer, "a", "left").where("star AND outer IS NULL").select("a")
-    stars = cut(linked.join(heads, "a"))
-    rest = cut(linked.join(heads, "a", "left_anti"))
-    settled = stars.select(F.col("b").alias("node"), F.col("a").alias("component")).union(heads.select("a", "a")).union(lone.select("a", "a"))
-    settled = settled.groupBy("node").agg(F.min("component").alias("component"))
+    stars = stored(linked.join(heads, "a"))
+    rest = stored(linked.join(heads, "a", "left_anti"))
+    done = stars.select(F.col("b").alias("node"), F.col("a").alias("component")).union(heads.select("a", "a")).union(lone.select("a", "a"))
+    done = done.groupBy("node").agg(F.min("component").alias("component"))
     if rest.isEmpty():
-        return settled
+        return settled(done, mark)
     both = rest.union(rest.select("b", "a"))
     rounds: list[DataFrame] = []
     while True:
         order = lambda c: F.struct(F.xxhash64(F.lit(len(rounds)), c).alias("h"), F.col(c).alias("n"))
         first = both.groupBy("a").agg(F.least(F.min(order("b")), F.min(order("a")))["n"].alias("to"))
-        names = cut(first.select(F.col("a").alias("node"), "to"))
+        names = stored(first.select(F.col("a").alias("node"), "to"))
         rounds.append(names)
         renamed = both.join(names.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(names.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-        left = cut(renamed.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        left = stored(renamed.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
         if left.isEmpty():
             break
         both = left
@@ -48,6 +51,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     while rounds:
         names = rounds.pop()
         whole = names.join(whole.select(F.col("node").alias("to"), F.col("to").alias("on")), "to", "left").select("node", F.coalesce("on", "to").alias("to"))
-    whole = cut(whole)
+    whole = stored(whole)
     least = whole.groupBy("to").agg(F.min("node").alias("component"))
-    return whole.join(least, "to").select("node", "component").union(settled).groupBy("node").agg(F.min("component").alias("component"))
+    found = whole.join(least, "to").select("node", "component").union(done).groupBy("node").agg(F.min("component").alias("component"))
+    return settled(found, mark)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import clusters, community, traverse
+from quillspark.operators.components import connected_components
 
 META = [("seed", "A digital watermark", 1359), ("A", "Alpha", 10), ("B", "Beta", 5), ("C", "Gamma", 3), ("D", "Delta", 2), ("E", "Epsilon", 1), ("dup", "duplicate title", 9), ("dup2", "duplicate title", 99)]
 CITES = [("seed", "A", 0), ("seed", "B", 1), ("seed", "Z", 2), ("A", "E", 0), ("C", "seed", 0), ("D", "seed", 0)]
@@ -104,3 +105,11 @@ def test_reindexed(spark):
     edges = spark.createDataFrame([("a", "c"), ("a", "z")], "src string, dst string")
     n, e = traverse.reindexed(nodes, edges)
     assert {r.id: r.idx for r in n.collect()} == {"a": 0, "b": 1, "c": 2, "d": 3} and [tuple(r) for r in e.collect()] == [(0, 2)]
+
+
+def test_components_leave_no_growing_estimate(spark):
+    """Estimates of sizes that rounds multiply have thousands of bits after a few rounds of a long path."""
+    edges = spark.range(300).selectExpr("id AS src", "id + 1 AS dst")
+    found = connected_components(edges)
+    assert found.agg({"component": "max"}).first()[0] == 0 and found.count() == 301
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 64
