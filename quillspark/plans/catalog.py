@@ -479,11 +479,25 @@ def code_signals(spark, d):
 
 @query("SELECT doc_id, array_to_string(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''), ' ') AS abstract FROM documents")
 def inverted_abstract(spark, d):
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(words).alias("pos", "w")).groupBy("doc_id", "w").agg(F.collect_list("pos").alias("at"))
-    index = rows.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("index"))
-    whole = table(spark, d, "documents").select("doc_id").join(index, "doc_id", "left")
-    return whole.select("doc_id", F.coalesce(normalize.abstract_from_index(F.col("index")), F.lit("")).alias("abstract"))
+    """Each text as an index of words to positions, made where the text is, and read back."""
+
+    def indexed(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                rows = b.slice(at, 64)
+                found = []
+                for text in rows["text"].to_pylist():
+                    places: dict[str, list[int]] = {}
+                    for i, w in enumerate(re.findall(r"[^\x20\x09-\x0D]+", text or "")):
+                        places.setdefault(w, []).append(i)
+                    found.append(list(places.items()))
+                yield pa.RecordBatch.from_arrays([rows["doc_id"], pa.array(found, pa.map_(pa.string(), pa.list_(pa.int32())))], ["doc_id", "index"])
+
+    rows = table(spark, d, "documents").select("doc_id", "text")
+    rows = rows.mapInArrow(indexed, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, index map<string,array<int>>")
+    return rows.select("doc_id", F.coalesce(normalize.abstract_from_index(F.col("index")), F.lit("")).alias("abstract"))
 
 
 def _landed(spark, d, **fields) -> DataFrame:
