@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from quillspark.functions import fuzzy, scores, text as T
 from quillspark.operators import clusters, community, dashboard, filters, keywords, listings, models, resolve, store, traverse, versions
 from quillspark.plans.surrogate import NAMES, PAPERS, PROJECTS, cites, cites_sql, meta, papers, projects, table
-from quillspark.session import shared_dir
+from quillspark.session import shared_dir, stored
 from quillspark.sources import bibtex as bib, index, normalize
 from quillspark.streaming import ingest, jobs
 
@@ -643,9 +643,11 @@ def upsert_chain(spark, d):
     p = p.withColumn("k", k).join(whole, "k", "left_semi").withColumns({
         "project_id": F.pmod("ord", F.lit(2)), "doi": F.when(place > 0, F.concat(F.lit("10.1/"), "k")), "arxiv_id": F.when(place < 2, F.concat(F.lit("x"), "k")), "reference_count": F.lit(1).cast("long"),
         "keywords": F.array(), "n": F.lit(1)})
-    both = p.select("project_id", F.col("ord").alias("at"), "doi", "arxiv_id", "semantic_scholar_id")
-    n = resolve.upsert_groups(both).groupBy("project_id", F.col("group_at").alias("ord")).agg(F.count("*").alias("n_records"))
-    out = resolve.upserted(p.where(place == 0), p.where(place > 0))
+    incoming = F.lit(1 << 60)
+    both = p.select("project_id", (F.col("ord") + F.when(place > 0, incoming).otherwise(0)).alias("at"), "doi", "arxiv_id", "semantic_scholar_id")
+    groups = stored(resolve.upsert_groups(both))
+    n = groups.groupBy("project_id", F.pmod("group_at", incoming).alias("ord")).agg(F.count("*").alias("n_records"))
+    out = resolve.upserted(p.where(place == 0), p.where(place > 0), groups)
     return out.join(n, ["project_id", "ord"]).select("project_id", "doi", "arxiv_id", "n_records", "repo_stars")
 
 

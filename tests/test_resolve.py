@@ -145,6 +145,20 @@ def test_upsert_groups_equal_a_sequence(spark):
     assert got == {(1, k): v for k, v in upserts(rows).items()} | {(2, k): v for k, v in upserts(rows[::2]).items()}
 
 
+def test_upsert_groups_need_no_call_a_part(spark):
+    """Parts stream through few tasks, across batches that cut them, and no part is a call of its own."""
+    rows = [(10 * k + i, f"d{k}" if i else None, f"x{k}" if i < 2 else None, None) for k in range(40) for i in range(3)]
+    df = spark.createDataFrame([(1, *r) for r in rows], "project_id int, at long, doi string, arxiv_id string, semantic_scholar_id string")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        groups = resolve.upsert_groups(df)
+        assert {r.at: r.group_at for r in groups.collect()} == upserts(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert "FlatMapGroups" not in groups._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tiles_lose_no_similar_title(spark):
     """Titles of few syllables, whose grams are all common: tiles find every pair by letter counts, and few others."""
     draw = random.Random(5)
