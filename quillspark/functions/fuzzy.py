@@ -43,7 +43,12 @@ def weighted_ratio(a: str, b: str) -> float:
 
 
 def best_match(df: DataFrame, title: str, id_col: str, wanted: str, cutoff: float = 50) -> DataFrame:
-    """(id, title, ratio): the title most like ``wanted``, the smallest id on ties; no row below ``cutoff``. Scored in Arrow batches, reduced by one aggregate."""
+    """(id, title, ratio): the title most like ``wanted``, the smallest id on ties; no row below ``cutoff``.
+
+    Each distinct title is scored once, in Arrow batches, in tasks that are as many as the session's cores allow several times over: titles are small rows that take long,
+    which by their bytes would lie in few tasks. One aggregate reduces them.
+    """
+    spark = df.sparkSession
 
     def run(batches: Iterator) -> Iterator:
         for b in batches:
@@ -51,5 +56,6 @@ def best_match(df: DataFrame, title: str, id_col: str, wanted: str, cutoff: floa
             yield b[b["ratio"] >= cutoff]
 
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(title).alias("title")).mapInPandas(run, f"id {kind}, title string, ratio double")
+    once = df.groupBy(F.col(title).alias("title")).agg(F.max_by(id_col, -F.col(id_col)).alias("id")).select("id", "title")
+    rows = once.repartition(4 * spark.sparkContext.defaultParallelism, "title").mapInPandas(run, f"id {kind}, title string, ratio double")
     return rows.agg(F.max_by(F.struct("id", "title", "ratio"), F.struct("ratio", -F.col("id"))).alias("r")).where("r is not null").select("r.*")

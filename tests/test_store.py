@@ -141,6 +141,16 @@ def test_fuzzy_title_query_equals_a_search(spark):
     assert (got.id, got.title) == (best.p_partkey, best.p_name)
 
 
+def test_a_title_is_scored_once_in_many_tasks(spark):
+    from quillspark.functions import fuzzy
+
+    rows = spark.range(0, 3000, 1, 1).selectExpr("3000 - id AS id", "concat('blue part ', id % 40) AS title")
+    best = fuzzy.best_match(rows, "title", "id", "blue part 17")
+    assert (best.first().id, best.first().ratio) == (3000 - 2977, 100.0)
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [title" in plan and plan.index("MapInPandas") < plan.index("RepartitionByExpression") < plan.rindex("Aggregate [title")
+
+
 def test_louvain_query_coarsens_and_gains(spark):
     from quillspark.operators import community
 
