@@ -217,15 +217,18 @@ def modularity(edges: DataFrame, assigned: DataFrame, resolution: float = 1.0, t
     """
     k = degrees(edges)
     total = k.groupBy("graph_id").agg(F.sum("degree").alias("m2"))
-    pairs = edges.where("source <> target").groupBy("graph_id", F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.sum("weight").alias("w"))
-    side = lambda end: assigned.join(k, ["graph_id", "node"]).select("graph_id", F.col("node").alias(end), F.col("community").alias(f"c{end}"), F.col("degree").alias(f"k{end}"))
-    inside = pairs.join(side("a"), ["graph_id", "a"]).join(side("b"), ["graph_id", "b"]).where("ca = cb").join(total, "graph_id")
+    # Ends of two communities count for nothing: such edges go before parallel ones add up.
+    held = assigned.join(k, ["graph_id", "node"])
+    side = lambda end, x: held.select("graph_id", F.col("node").alias(end), F.col("community").alias(f"c{x}"), F.col("degree").alias(f"k{x}"))
+    inside = edges.where("source <> target").select("graph_id", "source", "target", "weight").join(side("source", "a"), ["graph_id", "source"]).join(side("target", "b"), ["graph_id", "target"]).where("ca = cb")
+    inside = inside.groupBy("graph_id", F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"))
+    inside = inside.agg(F.sum("weight").alias("w"), F.max(F.col("ka") * F.col("kb")).alias("kk")).join(total, "graph_id")
     if not textbook:
-        term = 2 * (F.col("w") - resolution * F.col("ka") * F.col("kb") / F.col("m2")) / F.col("m2")
+        term = 2 * (F.col("w") - resolution * F.col("kk") / F.col("m2")) / F.col("m2")
         q = inside.groupBy("graph_id").agg(F.sum(term).alias("q"))
         return total.join(q, "graph_id", "left").select("graph_id", F.coalesce("q", F.lit(0.0)).alias("modularity"))
     within = inside.groupBy("graph_id").agg(F.sum(2 * F.col("w") / F.col("m2")).alias("within"))
-    mass = assigned.join(k, ["graph_id", "node"]).groupBy("graph_id", "community").agg(F.sum("degree").alias("d"))
+    mass = held.groupBy("graph_id", "community").agg(F.sum("degree").alias("d"))
     null = mass.join(total, "graph_id").groupBy("graph_id").agg(F.sum((F.col("d") / F.col("m2")) ** 2).alias("null_q"))
     return null.join(within, "graph_id", "left").select("graph_id", (F.coalesce("within", F.lit(0.0)) - resolution * F.col("null_q")).alias("modularity"))
 

@@ -139,9 +139,10 @@ def induced(edges: DataFrame, kept: DataFrame, id_col: str = "id") -> DataFrame:
     return edges.select("src", "dst")
 
 
-def undirected(edges: DataFrame) -> DataFrame:
-    """(a, b) with a < b, each pair once, no loops."""
-    return edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+def undirected(edges: DataFrame, pieces: int | None = None) -> DataFrame:
+    """(a, b) with a < b, each pair once, no loops. pieces: how many tasks tell the pairs apart, where their bytes should not decide."""
+    pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    return (pairs.repartition(pieces, "a", "b") if pieces else pairs).distinct()
 
 
 def reindexed(nodes: DataFrame, edges: DataFrame, id_col: str = "id", by: Column | None = None) -> tuple[DataFrame, DataFrame]:

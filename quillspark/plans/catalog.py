@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quillspark.functions import fuzzy, scores, text as T
 from quillspark.operators import clusters, community, dashboard, filters, keywords, listings, models, resolve, store, traverse, versions
-from quillspark.plans.surrogate import NAMES, PAPERS, PROJECTS, cites, cites_sql, meta, papers, projects, table
+from quillspark.plans.surrogate import NAMES, PAPERS, PROJECTS, cited, cites, cites_sql, meta, papers, pieces, projects, table
 from quillspark.session import shared_dir, stored
 from quillspark.sources import bibtex as bib, index, normalize
 from quillspark.streaming import ingest, jobs
@@ -297,7 +297,9 @@ def reference_graph(spark, d):
 
 def brand_graph(spark, d) -> tuple[DataFrame, DataFrame]:
     """One graph of the parts, citations as edges."""
-    nodes, edges = traverse.reindexed(meta(spark, d), traverse.undirected(cites(spark, d)).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    pairs = traverse.undirected(cited(spark, d), pieces(spark, d)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    nodes, edges = traverse.reindexed(meta(spark, d), pairs)
+    nodes, edges = nodes.select("id", "idx", "p_brand"), stored(edges)
     edges = edges.select(F.lit("parts").alias("graph_id"), "source", "target", F.lit(1.0).alias("weight"), (F.col("source") * (1 << 32) + F.col("target")).alias("ord"))
     return nodes.withColumn("graph_id", F.lit("parts")), edges
 

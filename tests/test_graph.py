@@ -113,3 +113,22 @@ def test_components_leave_no_growing_estimate(spark):
     found = connected_components(edges)
     assert found.agg({"component": "max"}).first()[0] == 0 and found.count() == 301
     assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 64
+
+
+def test_pairs_told_apart_in_pieces(spark):
+    rows = spark.range(3000).selectExpr("id % 50 AS src", "id % 7 AS dst")
+    got = traverse.undirected(rows, 9)
+    assert got.rdd.getNumPartitions() == 9
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, traverse.undirected(rows).collect())) == sorted({(min(i % 50, i % 7), max(i % 50, i % 7)) for i in range(3000) if i % 50 != i % 7})
+
+
+def test_modularity_adds_parallel_edges_of_a_community_only(spark):
+    """Edges between communities are gone before pairs are grouped, which is what grows with the edges."""
+    edges = spark.createDataFrame([(0, 0, 1, 1.0), (0, 1, 0, 2.0), (0, 1, 2, 1.0), (0, 2, 3, 1.0), (0, 3, 3, 5.0)], "graph_id int, source long, target long, weight double")
+    at = spark.createDataFrame([(0, 0, 7), (0, 1, 7), (0, 2, 8), (0, 3, 8)], "graph_id int, node long, community long")
+    found = community.modularity(edges, at, 0.5)
+    m2, k = 10.0, [3.0, 4.0, 2.0, 1.0]
+    assert found.first().modularity == pytest.approx(2 * (3 - 0.5 * k[0] * k[1] / m2) / m2 + 2 * (1 - 0.5 * k[2] * k[3] / m2) / m2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    grouped = next(i for i, line in enumerate(plan.splitlines()) if "Aggregate [graph_id" in line and "AS kk" in line)
+    assert any("= c" in line or "ca" in line for line in plan.splitlines()[grouped + 1 : grouped + 4])
