@@ -978,7 +978,7 @@ def index_update(spark, d):
     uid = lambda c: F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad(F.col(c).cast("string"), 12, "0"))
 
     def land(which):
-        refs = cites(spark, d).where(which).groupBy("src").agg(F.array_join(F.collect_list(F.concat(F.lit("'"), uid("dst"), F.lit("'"))), ", ").alias("refs"))
+        refs = cites(spark, d).where(which).repartition(pieces(spark, d), "src").groupBy("src").agg(F.array_join(F.collect_list(F.concat(F.lit("'"), uid("dst"), F.lit("'"))), ", ").alias("refs"))
         rows = meta(spark, d).join(refs.withColumnRenamed("src", "id"), "id", "left").withColumn("part", F.pmod("id", F.lit(4)))
         no = F.lit("")
         rows = rows.select(uid("id").alias("id"), "title", "abstract", no.alias("authors"), no.alias("venue"), F.lit(2000).alias("year"), "n_citation", F.concat(F.lit("["), F.coalesce("refs", no), F.lit("]")).alias("references"), no.alias("one"), no.alias("two"), "part")

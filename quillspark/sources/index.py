@@ -10,6 +10,8 @@ from quillspark.sources.files import citations, read_corpus
 
 #: Files that an index of another format has parsed are parsed again.
 FORMAT = 1
+#: Characters of references, about 40 a citation, that one task sorts.
+PIECE = 1 << 24
 
 
 def file_states(spark, folder: str) -> DataFrame:
@@ -38,7 +40,9 @@ def update_index(store: Versions, folder: str) -> dict[str, list[str]]:
             new = stored(read_corpus(spark, [r.path for r in parsed]).select(F.col("_metadata.file_path").alias("file"), "*"))
             cites = citations(new.withColumn("id", F.struct("file", "id"))).select("src.file", F.col("src.id").alias("src"), "dst", "pos")
             fresh = seen.drop("path").join(spark.createDataFrame([(r.file,) for r in parsed], "file string"), "file", "left_semi")
-            rows = {"files": fresh, "cites": cites.repartition("src").sortWithinPartitions("src", "pos"), "meta": new.drop("references", "authors")}
+            # Ids and file names shrink so well that a task given by its bytes would sort millions of them.
+            signs = new.agg(F.sum(F.char_length("references"))).first()[0] or 0
+            rows = {"files": fresh, "cites": cites.repartition(signs // PIECE + 1, "src").sortWithinPartitions("src", "pos"), "meta": new.drop("references", "authors")}
         gone = spark.createDataFrame([(r.file,) for r in moved], "file string")
         store.commit(rows, {t: gone for t in ("files", "cites", "meta") if base or t in rows}, base=base, operation="index")
     return {"parsed": sorted(r.file for r in parsed), "removed": sorted(removed)}

@@ -121,6 +121,18 @@ def test_index_follows_files(spark, tmp_path):
     assert tables(v) == tables(fresh) and files.titles(index.index_tables(v)["meta"]).count() == 3
 
 
+def test_index_is_sorted_in_pieces(spark, tmp_path, monkeypatch):
+    """As many tasks sort the citations as their number calls for, not their bytes."""
+    monkeypatch.setattr(index, "PIECE", 400)
+    refs = lambda i: ", ".join(f"'{uid(j)}'" for j in range(i % 5))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text(HEAD + "".join(f'{uid(i)},t,,[],,2000,1,"[{refs(i)}]",,\n' for i in range(40)))
+    v = versions.Versions(spark, str(tmp_path / "ix"), owner="file")
+    index.update_index(v, str(tmp_path / "in"))
+    rows = spark.read.parquet(f"{v.folder}/data/{v.manifest()['commits'][0]['id']}/cites").withColumn("of", F.input_file_name()).collect()
+    assert len(rows) == sum(i % 5 for i in range(40)) and len({r.of for r in rows}) > 4 and len({(r.src, r.of) for r in rows}) == len({r.src for r in rows})
+
+
 def test_stream_into_versions_restarts_without_repeats(spark, tmp_path):
     landing = tmp_path / "in"
     landing.mkdir()
