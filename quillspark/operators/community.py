@@ -113,28 +113,40 @@ def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, max_lev
     return n.groupBy("graph_id").cogroup(edges.groupBy("graph_id")).applyInPandas(run, LEVELS)
 
 
-def weighed(links: DataFrame, nodes: DataFrame, m2: DataFrame, resolution: float) -> DataFrame:
-    """(graph_id, q) of the labels in ``nodes`` (graph_id, node, k, inner, label): textbook modularity. inner: weight inside a node, both ways."""
-    sides = links.join(nodes.select("graph_id", F.col("node").alias("a"), F.col("label").alias("x")), ["graph_id", "a"]).join(nodes.select("graph_id", F.col("node").alias("b"), F.col("label").alias("y")), ["graph_id", "b"])
-    within = sides.where("x = y").groupBy("graph_id", F.col("x").alias("label")).agg(F.sum("w").alias("w"))
-    mass = nodes.groupBy("graph_id", "label").agg(F.sum("k").alias("k"), F.sum("inner").alias("inner"))
-    terms = mass.join(within, ["graph_id", "label"], "left").join(m2, "graph_id")
-    return terms.groupBy("graph_id").agg(F.sum((F.col("inner") + F.coalesce("w", F.lit(0.0))) / F.col("m2") - resolution * (F.col("k") / F.col("m2")) ** 2).alias("q"))
-
-
-def moved_half(links: DataFrame, nodes: DataFrame, m2: DataFrame, resolution: float, turn: int) -> DataFrame:
-    """``nodes`` (graph_id, node, k, inner, label) after one step in which about half of them, told by a hash, take the label that gains most, if any gains; ties go to the smallest label."""
-    held = nodes.select("graph_id", F.col("node").alias("b"), F.col("label").alias("to"))
-    moving = nodes.where(F.pmod(F.xxhash64(F.lit(turn // 2), "graph_id", "node"), F.lit(2)) == turn % 2)
-    toward = links.join(held, ["graph_id", "b"]).groupBy("graph_id", F.col("a").alias("node"), "to").agg(F.sum("w").alias("w"))
-    choices = toward.unionByName(moving.select("graph_id", "node", F.col("label").alias("to"), F.lit(0.0).alias("w"))).groupBy("graph_id", "node", "to").agg(F.sum("w").alias("w"))
-    mass = nodes.groupBy("graph_id", F.col("label").alias("to")).agg(F.sum("k").alias("mass"))
-    rated = choices.join(moving, ["graph_id", "node"]).join(mass, ["graph_id", "to"]).join(m2, "graph_id")
+#: Nodes of a level up to which its tables are broadcast in the rounds: what the driver is sent is then bounded by this number, whatever the graph.
+FEW = 1 << 14
+
+
+def aside(nodes: DataFrame, few: bool = False) -> DataFrame:
+    """``nodes``, a row a key, to be joined in partitions unless they are ``few``: below Spark's threshold tables that grow with the graph would pass the driver as broadcasts, in every round again."""
+    return nodes.hint("broadcast" if few else "shuffle_hash")
+
+
+def weighed(links: DataFrame, nodes: DataFrame, resolution: float, few: bool = False) -> DataFrame:
+    """(graph_id, q) of the labels in ``nodes`` (graph_id, node, k, inner, label, m2): textbook modularity. inner: weight inside a node, both ways."""
+    named = lambda end, x: aside(nodes.select("graph_id", F.col("node").alias(end), F.col("label").alias(x)), few)
+    sides = links.where("a < b").join(named("a", "x"), ["graph_id", "a"]).join(named("b", "y"), ["graph_id", "b"])
+    within = sides.where("x = y").groupBy("graph_id").agg(F.sum(2 * F.col("w")).alias("w"))
+    mass = nodes.groupBy("graph_id", "label").agg(F.sum("k").alias("k"), F.sum("inner").alias("inner"), F.max("m2").alias("m2"))
+    mass = mass.groupBy("graph_id").agg(F.sum(F.col("inner") / F.col("m2") - resolution * (F.col("k") / F.col("m2")) ** 2).alias("own"), F.max("m2").alias("m2"))
+    return mass.join(within, "graph_id", "left").select("graph_id", (F.col("own") + F.coalesce("w", F.lit(0.0)) / F.col("m2")).alias("q"))
+
+
+def moved_half(links: DataFrame, nodes: DataFrame, resolution: float, turn: int, few: bool = False) -> DataFrame:
+    """``nodes`` (graph_id, node, k, inner, label, m2) after one step in which about half of them, told by a hash, take the label that gains most, if any gains; ties go to the smallest label."""
+    mass = nodes.groupBy("graph_id", "label").agg(F.sum("k").alias("mass"))
+    held = nodes.join(aside(mass, few), ["graph_id", "label"])
+    moving = held.where(F.pmod(F.xxhash64(F.lit(turn // 2), "graph_id", "node"), F.lit(2)) == turn % 2)
+    near = held.select("graph_id", F.col("node").alias("b"), F.col("label").alias("to"), "mass")
+    toward = links.where(F.pmod(F.xxhash64(F.lit(turn // 2), "graph_id", "a"), F.lit(2)) == turn % 2).join(aside(near, few), ["graph_id", "b"])
+    toward = toward.select("graph_id", F.col("a").alias("node"), "to", "mass", "w").unionByName(moving.select("graph_id", "node", F.col("label").alias("to"), "mass", F.lit(0.0).alias("w")))
+    choices = toward.groupBy("graph_id", "node", "to").agg(F.sum("w").alias("w"), F.max("mass").alias("mass"))
+    rated = choices.join(aside(moving.drop("mass", "inner"), few), ["graph_id", "node"])
     stays = F.col("to") == F.col("label")
     gain = F.col("w") - resolution * F.col("k") * (F.col("mass") - F.when(stays, F.col("k")).otherwise(0.0)) / F.col("m2")
     # The own label wins unless another is better beyond rounding.
     best = rated.groupBy("graph_id", "node").agg(F.max_by("to", F.struct(F.round(gain, 9), stays, -F.col("to"))).alias("to"))
-    return nodes.join(best, ["graph_id", "node"], "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+    return nodes.join(aside(best, few), ["graph_id", "node"], "left").withColumn("label", F.coalesce("to", "label")).drop("to")
 
 
 def louvain_parallel(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, max_levels: int = 20, sweeps: int = 8) -> DataFrame:
@@ -150,41 +162,42 @@ def louvain_parallel(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0
     links = stored(pairs.unionByName(pairs.select("graph_id", F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("graph_id", "a", "b").agg(F.sum("w").alias("w")))
     every = nodes.select("graph_id", F.col("idx").cast("long").alias("node"))
     degree = links.groupBy("graph_id", F.col("a").alias("node")).agg(F.sum("w").alias("k"))
-    held = every.join(degree, ["graph_id", "node"], "left").withColumn("is_misc", F.col("k").isNull())
+    held = every.join(aside(degree), ["graph_id", "node"], "left").withColumn("is_misc", F.col("k").isNull())
     alone = held.where("is_misc").groupBy("graph_id").agg(F.min("node").alias("misc"))
-    held = stored(held.join(alone, "graph_id", "left").select("graph_id", "node", "is_misc", F.coalesce("k", F.lit(0.0)).alias("k"), F.when(F.col("is_misc"), F.col("misc")).otherwise(F.col("node")).alias("at")))
-    m2 = stored(held.groupBy("graph_id").agg(F.sum("k").alias("m2")).where("m2 > 0"))
+    held = stored(held.join(F.broadcast(alone), "graph_id", "left").select("graph_id", "node", "is_misc", F.coalesce("k", F.lit(0.0)).alias("k"), F.when(F.col("is_misc"), F.col("misc")).otherwise(F.col("node")).alias("at")))
+    m2 = held.groupBy("graph_id").agg(F.sum("k").alias("m2")).where("m2 > 0")
     # Each node's community so far, the level's nodes, and what has been found.
     below, found = held.select("graph_id", "node", "at", "is_misc"), []
-    level = stored(held.where("NOT is_misc").select("graph_id", "node", "k", F.lit(0.0).alias("inner")))
+    level = stored(held.where("NOT is_misc").join(F.broadcast(m2), "graph_id").select("graph_id", "node", "k", F.lit(0.0).alias("inner"), "m2"))
     while len(found) < max_levels:
+        few = level.count() <= FEW
         now = stored(level.withColumn("label", F.col("node")))
-        best = stored(now.join(weighed(links, now, m2, resolution), "graph_id").withColumn("idle", F.lit(0)))
+        best = stored(now.join(F.broadcast(weighed(links, now, resolution, few)), "graph_id").withColumn("idle", F.lit(0)))
         for turn in range(sweeps):
-            step = best.where("idle < 2").select("graph_id", "node", "k", "inner", "label")
+            step = best.where("idle < 2").select("graph_id", "node", "k", "inner", "label", "m2")
             for half in (0, 1):
-                step = stored(moved_half(links, step, m2, resolution, 2 * turn + half))
-            rise = weighed(links, step, m2, resolution).withColumnRenamed("q", "now")
-            tried = step.select("graph_id", "node", F.col("label").alias("new")).join(rise, "graph_id")
+                step = stored(moved_half(links, step, resolution, 2 * turn + half, few))
+            rise = weighed(links, step, resolution, few).withColumnRenamed("q", "now")
+            tried = step.select("graph_id", "node", F.col("label").alias("new")).join(F.broadcast(rise), "graph_id")
             gains = F.coalesce(F.col("now") > F.col("q") + 1e-6, F.lit(False))
-            best = stored(best.join(tried, ["graph_id", "node"], "left").select(
-                "graph_id", "node", "k", "inner", F.when(gains, F.col("new")).otherwise(F.col("label")).alias("label"), F.when(gains, F.col("now")).otherwise(F.col("q")).alias("q"), F.when(gains, 0).otherwise(F.col("idle") + 1).alias("idle")))
+            best = stored(best.join(aside(tried, few), ["graph_id", "node"], "left").select(
+                "graph_id", "node", "k", "inner", "m2", F.when(gains, F.col("new")).otherwise(F.col("label")).alias("label"), F.when(gains, F.col("now")).otherwise(F.col("q")).alias("q"), F.when(gains, 0).otherwise(F.col("idle") + 1).alias("idle")))
             if best.where("idle < 2").isEmpty():
                 break
         names = best.groupBy("graph_id", "label").agg(F.min("node").alias("name"))
-        renamed = stored(best.join(names, ["graph_id", "label"]).select("graph_id", "node", "k", "inner", F.col("name").alias("to")))
+        renamed = stored(best.join(aside(names, few), ["graph_id", "label"]).select("graph_id", "node", "k", "inner", "m2", F.col("name").alias("to")))
         merges = not renamed.where("node <> to").isEmpty()
         if found and not merges:
             break
-        below = stored(below.join(renamed.select("graph_id", F.col("node").alias("at"), "to"), ["graph_id", "at"], "left").select("graph_id", "node", F.coalesce("to", "at").alias("at"), "is_misc"))
+        below = stored(below.join(aside(renamed.select("graph_id", F.col("node").alias("at"), "to"), few), ["graph_id", "at"], "left").select("graph_id", "node", F.coalesce("to", "at").alias("at"), "is_misc"))
         found.append(below.select("graph_id", F.lit(len(found)).alias("level"), "node", F.col("at").alias("community"), "is_misc"))
         if not merges:
             break
-        ends = links.join(renamed.select("graph_id", F.col("node").alias("a"), F.col("to").alias("x")), ["graph_id", "a"]).join(renamed.select("graph_id", F.col("node").alias("b"), F.col("to").alias("y")), ["graph_id", "b"])
+        ends = links.join(aside(renamed.select("graph_id", F.col("node").alias("a"), F.col("to").alias("x")), few), ["graph_id", "a"]).join(aside(renamed.select("graph_id", F.col("node").alias("b"), F.col("to").alias("y")), few), ["graph_id", "b"])
         ends = stored(ends.groupBy("graph_id", F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")))
         inner = ends.where("a = b").select("graph_id", F.col("a").alias("node"), F.col("w").alias("more"))
-        level = renamed.groupBy("graph_id", F.col("to").alias("node")).agg(F.sum("k").alias("k"), F.sum("inner").alias("inner"))
-        level = stored(level.join(inner, ["graph_id", "node"], "left").select("graph_id", "node", "k", (F.col("inner") + F.coalesce("more", F.lit(0.0))).alias("inner")))
+        level = renamed.groupBy("graph_id", F.col("to").alias("node")).agg(F.sum("k").alias("k"), F.sum("inner").alias("inner"), F.max("m2").alias("m2"))
+        level = stored(level.join(aside(inner, few), ["graph_id", "node"], "left").select("graph_id", "node", "k", "m2", (F.col("inner") + F.coalesce("more", F.lit(0.0))).alias("inner")))
         links = ends.where("a <> b")
     return functools.reduce(DataFrame.unionByName, found) if found else below.select("graph_id", F.lit(0).alias("level"), "node", F.col("at").alias("community"), "is_misc")
 
@@ -192,7 +205,7 @@ def louvain_parallel(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0
 def nested(levels: DataFrame) -> DataFrame:
     """(graph_id, nested): whether nodes that share a community share the one above too, at every level."""
     above = levels.select("graph_id", "node", (F.col("level") - 1).alias("level"), F.col("community").alias("above"))
-    split = levels.join(above, ["graph_id", "node", "level"]).groupBy("graph_id", "level", "community").agg(F.countDistinct("above").alias("parts"))
+    split = levels.join(aside(above), ["graph_id", "node", "level"]).groupBy("graph_id", "level", "community").agg(F.countDistinct("above").alias("parts"))
     broken = split.groupBy("graph_id").agg(F.max("parts").alias("parts"))
     return levels.select("graph_id").distinct().join(broken, "graph_id", "left").select("graph_id", (F.coalesce("parts", F.lit(1)) == 1).alias("nested"))
 
@@ -218,9 +231,9 @@ def modularity(edges: DataFrame, assigned: DataFrame, resolution: float = 1.0, t
     k = degrees(edges)
     total = k.groupBy("graph_id").agg(F.sum("degree").alias("m2"))
     # Ends of two communities count for nothing: such edges go before parallel ones add up.
-    held = assigned.join(k, ["graph_id", "node"])
+    held = assigned.join(aside(k), ["graph_id", "node"])
     side = lambda end, x: held.select("graph_id", F.col("node").alias(end), F.col("community").alias(f"c{x}"), F.col("degree").alias(f"k{x}"))
-    inside = edges.where("source <> target").select("graph_id", "source", "target", "weight").join(side("source", "a"), ["graph_id", "source"]).join(side("target", "b"), ["graph_id", "target"]).where("ca = cb")
+    inside = edges.where("source <> target").select("graph_id", "source", "target", "weight").join(aside(side("source", "a")), ["graph_id", "source"]).join(aside(side("target", "b")), ["graph_id", "target"]).where("ca = cb")
     inside = inside.groupBy("graph_id", F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"))
     inside = inside.agg(F.sum("weight").alias("w"), F.max(F.col("ka") * F.col("kb")).alias("kk")).join(total, "graph_id")
     if not textbook:

@@ -331,9 +331,10 @@ def brand_graphs(spark, d) -> tuple[DataFrame, DataFrame]:
     """A graph for each brand: its parts, linked where one order holds both or a part cites another."""
     m = meta(spark, d).withColumn("graph_id", F.col("p_brand"))
     nodes = m.withColumn("idx", F.row_number().over(W.partitionBy("graph_id").orderBy("id")) - 1)
-    inner = traverse.undirected(cites(spark, d)).join(nodes.select(F.col("id").alias("a"), "graph_id", F.col("idx").alias("source")), "a")
-    inner = inner.join(nodes.select(F.col("id").alias("b"), "graph_id", F.col("idx").alias("target")), ["b", "graph_id"])
-    return nodes, inner.select("graph_id", "source", "target", F.lit(1.0).alias("weight"), (F.col("source") * (1 << 32) + F.col("target")).alias("ord"))
+    inner = traverse.undirected(cited(spark, d)).join(community.aside(nodes.select(F.col("id").alias("a"), "graph_id", F.col("idx").alias("source"))), "a")
+    inner = inner.join(community.aside(nodes.select(F.col("id").alias("b"), "graph_id", F.col("idx").alias("target"))), ["b", "graph_id"])
+    edges = inner.select("graph_id", "source", "target", F.lit(1.0).alias("weight"), (F.col("source") * (1 << 32) + F.col("target")).alias("ord"))
+    return nodes, stored(edges)
 
 
 @query()

@@ -74,6 +74,18 @@ def test_parallel_louvain(spark):
     assert community.louvain_parallel(nodes.where("false"), edges.where("false")).count() == 0
 
 
+def test_moves_of_many_nodes_send_no_table_to_the_driver(spark, tmp_path):
+    """Tables of a level with many nodes are joined in partitions, though they are far below Spark's threshold; the step is the same as with broadcasts."""
+    pairs = [(5 * c + a, 5 * c + b) for c in range(4) for a, b in itertools.permutations(range(5), 2)]
+    spark.createDataFrame([("g", a, b, 1.0) for a, b in pairs], "graph_id string, a long, b long, w double").write.parquet(f"{tmp_path}/links")
+    spark.createDataFrame([("g", i, 4.0, 0.0, i, 80.0) for i in range(20)], "graph_id string, node long, k double, inner double, label long, m2 double").write.parquet(f"{tmp_path}/nodes")
+    links, nodes = (spark.read.parquet(f"{tmp_path}/{x}") for x in ("links", "nodes"))
+    many, few = (community.moved_half(links, nodes, 1.0, 0, x) for x in (False, True))
+    assert "Broadcast" not in many._jdf.queryExecution().executedPlan().toString()
+    got = {r.node: r.label for r in many.collect()}
+    assert got == {r.node: r.label for r in few.collect()} and len(set(got.values())) < 20
+
+
 def test_titles_by_grams(spark):
     titles = ["Deep nets", "deep networks for all", "On joins", "éa", "x", "", None, "deep deep nets"]
     meta = spark.createDataFrame([(str(i), t, i % 3, i) for i, t in enumerate(titles)], "id string, title string, n_citation long, ord long")
