@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quillspark.functions import fuzzy, scores, text as T
 from quillspark.operators import clusters, community, dashboard, filters, keywords, listings, models, resolve, store, traverse, versions
-from quillspark.plans.surrogate import NAMES, PAPERS, PROJECTS, cited, cites, cites_sql, meta, papers, pieces, projects, table
+from quillspark.plans.surrogate import NAMES, PAPERS, PROJECTS, cited, cites, cites_sql, linked, meta, papers, pieces, projects, table
 from quillspark.session import shared_dir, stored
 from quillspark.sources import bibtex as bib, index, normalize
 from quillspark.streaming import ingest, jobs
@@ -328,12 +328,17 @@ def cluster_edges(spark, d):
 
 
 def brand_graphs(spark, d) -> tuple[DataFrame, DataFrame]:
-    """A graph for each brand: its parts, linked where one order holds both or a part cites another."""
-    m = meta(spark, d).withColumn("graph_id", F.col("p_brand"))
-    nodes = m.withColumn("idx", F.row_number().over(W.partitionBy("graph_id").orderBy("id")) - 1)
-    inner = traverse.undirected(cited(spark, d)).join(community.aside(nodes.select(F.col("id").alias("a"), "graph_id", F.col("idx").alias("source"))), "a")
-    inner = inner.join(community.aside(nodes.select(F.col("id").alias("b"), "graph_id", F.col("idx").alias("target"))), ["b", "graph_id"])
-    edges = inner.select("graph_id", "source", "target", F.lit(1.0).alias("weight"), (F.col("source") * (1 << 32) + F.col("target")).alias("ord"))
+    """A graph for each brand: its parts, linked where one order holds both or a part cites another; a pair is one link, however often it is held or cited.
+
+    Links to parts of another brand are in no brand's graph. An order's parts of a brand meet by an equi-join, so a large order spreads.
+    """
+    m = meta(spark, d).select("id", F.col("p_brand").alias("graph_id"))
+    nodes = stored(m.withColumn("idx", F.row_number().over(W.partitionBy("graph_id").orderBy("id")) - 1))
+    held = linked(spark, d).join(community.aside(nodes.withColumnRenamed("id", "part")), "part")
+    first, second = (held.select("order", "graph_id", F.col("idx").alias(x)) for x in ("source", "target"))
+    # A hash of one side takes half the time of sorting both.
+    pairs = first.join(second.hint("shuffle_hash"), ["order", "graph_id"]).where("source < target").select("graph_id", "source", "target").distinct()
+    edges = pairs.select("graph_id", "source", "target", F.lit(1.0).alias("weight"), (F.col("source") * (1 << 32) + F.col("target")).alias("ord"))
     return nodes, stored(edges)
 
 

@@ -132,3 +132,18 @@ def test_modularity_adds_parallel_edges_of_a_community_only(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     grouped = next(i for i, line in enumerate(plan.splitlines()) if "Aggregate [graph_id" in line and "AS kk" in line)
     assert any("= c" in line or "ca" in line for line in plan.splitlines()[grouped + 1 : grouped + 4])
+
+
+def test_brand_graphs_link_parts_of_one_order(spark, tmp_path):
+    """Parts are linked where one order holds both or one cites the other: once, inside a brand only, and not by an order without a key."""
+    from quillspark.plans import catalog
+
+    brands = ["A", "A", "A", "A", "B", "B", "B", "B"]
+    spark.createDataFrame([(i, f"part {i}", b, "t", 1) for i, b in enumerate(brands)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    held = {16: [0, 1, 3, 4, 1], 24: [1, 0], 18: [1], 23: [4, 6], None: [5, 6, 2, 3]}
+    spark.createDataFrame([(o, p) for o, parts in held.items() for p in parts], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    nodes, edges = catalog.brand_graphs(spark, str(tmp_path))
+    at = {(r.graph_id, r.idx): r.id for r in nodes.collect()}
+    found = [(at[r.graph_id, r.source], at[r.graph_id, r.target]) for r in edges.collect()]
+    # 16 % 8 and 24 % 8 are part 0, 18 % 8 is part 2, 23 % 8 part 7.
+    assert sorted(found) == [(0, 1), (0, 3), (1, 2), (1, 3), (4, 6), (4, 7), (6, 7)]
