@@ -350,10 +350,10 @@ def louvain_levels(spark, d):
 @query("SELECT p_brand AS graph_id, true AS nested, true AS rising FROM part GROUP BY p_brand")
 def louvain_nested(spark, d):
     nodes, edges = brand_graphs(spark, d)
-    levels = community.louvain_parallel(nodes, edges)
-    at = [community.modularity(edges, community.at_level(levels, n), textbook=True).withColumnRenamed("modularity", f"q{n}") for n in range(4)]
-    rising = functools.reduce(lambda a, b: a.join(b, "graph_id"), at).select("graph_id", F.expr("q0 <= q1 + 1e-9 AND q1 <= q2 + 1e-9 AND q2 <= q3 + 1e-9").alias("rising"))
-    return community.nested(levels).join(rising, "graph_id", "left").select("graph_id", "nested", F.coalesce("rising", F.lit(True)).alias("rising"))
+    paths = community.louvain_paths(nodes, edges)
+    q = community.modularities(paths, edges).withColumn("before", F.lag("modularity").over(W.partitionBy("graph_id").orderBy("level")))
+    rising = q.groupBy("graph_id").agg(F.bool_and(F.coalesce(F.col("before") <= F.col("modularity") + 1e-9, F.lit(True))).alias("rising"))
+    return community.nested_paths(paths).join(rising, "graph_id", "left").select("graph_id", "nested", F.coalesce("rising", F.lit(True)).alias("rising"))
 
 
 @query()
